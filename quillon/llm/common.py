@@ -229,6 +229,23 @@ def components(edges: DataFrame) -> DataFrame:
     return known if known is not None else spark.createDataFrame([], "id long, comp long")
 
 
+class Bitmap:
+    """Which ids may be wanted: a bit array of at most 8 MiB. It lets too many through, never too few."""
+
+    def __init__(self, ids: DataFrame, count: int):
+        self.bits = 16
+        while 1 << self.bits < 32 * count and self.bits < 26:
+            self.bits += 1
+        self.words = np.zeros(1 << (self.bits - 6), np.uint64)
+        bits = ids.selectExpr(f"pmod(id, {1 << self.bits}L) h").selectExpr("cast(shiftright(h, 6) as int) w", "shiftleft(1L, cast(h & 63 as int)) x")  # ids are hashes already
+        for w, x in bits.groupBy("w").agg(F.bit_or("x")).collect():
+            self.words[w] = _U(x & 0xFFFFFFFFFFFFFFFF)
+
+    def __contains__(self, key: int) -> bool:
+        at = key % (1 << self.bits)
+        return bool(int(self.words[at >> 6]) >> (at & 63) & 1)
+
+
 class Joined:
     """Union-find over the rows of one task."""
 

@@ -174,18 +174,24 @@ def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, id
         yield from out.flush()
 
     members = c.components(c.star_edges(rows.select("text").mapInArrow(send, c.BLOBS)))
-    sizes = seen.where("node <> 0").groupBy("node").agg((F.max("n") * 8).alias("bytes"), F.min("id").alias("first")).withColumnRenamed("node", "id")
-    tasks = c.stored(c.clusters(members, sizes.drop("first"), BLOCK_ROWS, BLOCK_BYTES))
-    # one row of each member, by its smallest id, brings the text; rows of that id with another text are told apart by their node
-    wanted = tasks.select("id").distinct().join(sizes, "id").selectExpr("first", "id as member").distinct()
+    sizes = seen.where("node <> 0").groupBy("node").agg((F.max("n") * 8).alias("bytes")).withColumnRenamed("node", "id")
+    tasks = c.stored(c.clusters(members, sizes, BLOCK_ROWS, BLOCK_BYTES))
+    wanted = c.stored(tasks.select("id").distinct())
+    handed = docs.sparkSession.sparkContext.broadcast(c.Bitmap(wanted, wanted.count()))
 
     def sets_of(batches):
+        sent = set()
         for batch in batches:
-            members_ = batch["member"].to_pylist()
-            got = [(m, s.tobytes()) for m, s in zip(members_, shingle_sets(batch["text"], n), strict=True) if node_of(s) == m]
+            got = []
+            for s in shingle_sets(batch["text"], n):
+                node = node_of(s)
+                if node and node in handed.value and node not in sent:
+                    got.append((node, s.tobytes()))
+                    if len(sent) < 1 << 20:
+                        sent.add(node)
             yield pa.record_batch([pa.array([m for m, _ in got], pa.int64()), pa.array([s for _, s in got], pa.binary())], names=["node", "s"])
 
-    sets = rows.join(wanted, F.col("id").eqNullSafe(F.col("first"))).select("member", "text").mapInArrow(sets_of, "node long, s binary").dropDuplicates(["node"])
+    sets = rows.select("text").mapInArrow(sets_of, "node long, s binary").groupBy("node").agg(F.first("s").alias("s"))
     links = tasks.join(sets, F.col("id") == F.col("node")).select("id", "comp", "bi", "bj", "own", "s").groupBy("comp", "bi", "bj").applyInArrow(lambda t: compare(t, num, den), "a long, b long")
     comps = c.components(links)
     full = seen.join(comps.withColumnRenamed("id", "node"), "node", "left").selectExpr("id", "n", "case when node = 0 then null else coalesce(comp, node) end comp")

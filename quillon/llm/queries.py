@@ -15,6 +15,21 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
 
 
+def tokenizer() -> str:
+    """Place of the public tokenizer's file; the operators take it as a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of each document: all, kept, removed, those removed that only resemble the line kept; and what remains."""
+    from .line_dedup import deduplicated
+
+    out = deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"), detail=True)
+    return out.selectExpr("doc_id", "n_lines", "n_lines - n_removed as n_kept", "n_removed", "n_near", "char_length(text) as n_chars_kept", "md5(text) as text_md5")
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality_scores
 
@@ -44,6 +59,12 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import packed
+
+    return packed(table(spark, sf_dir, "documents"), tokenizer())
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import round_trip
 
