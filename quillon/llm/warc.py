@@ -50,14 +50,13 @@ def _clean(url: str | None) -> str:
     return re.sub(r"[\x00-\x1f\x7f]", lambda m: f"%{ord(m[0]):02X}", url or "")
 
 
-def record(key: int | None, url: str | None, payload: bytes, first: int | None = None) -> bytes:
+def record(key: int | None, url: str | None, sha1: str, length: int, payload: bytes | None, first: int | None = None) -> bytes:
     """A response record, or a revisit of `first`, which carries the response's headers but no payload."""
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    block = http + (payload if first is None else b"")
-    head = ["WARC/1.1", f"WARC-Type: {'response' if first is None else 'revisit'}", f"WARC-Record-ID: {record_id(key)}", f"WARC-Date: {DATE}", f"WARC-Target-URI: {_clean(url)}"]
-    if first is not None:
+    block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {length}\r\n\r\n".encode() + (payload or b"")
+    head = ["WARC/1.1", f"WARC-Type: {'response' if payload is not None else 'revisit'}", f"WARC-Record-ID: {record_id(key)}", f"WARC-Date: {DATE}", f"WARC-Target-URI: {_clean(url)}"]
+    if payload is None:
         head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(first)}"]
-    head += [f"WARC-Payload-Digest: sha1:{digest(payload)}", f"WARC-Block-Digest: sha1:{digest(block)}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
+    head += [f"WARC-Payload-Digest: sha1:{sha1}", f"WARC-Block-Digest: sha1:{digest(block)}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
@@ -178,17 +177,28 @@ def write_archives(pages: DataFrame, path: str, least: int = 0, id_col: str = "p
     """
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary").alias("p")).withColumn("d", F.sha1("p"))
     first = rows.where(F.octet_length("p") >= least).groupBy("d").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").selectExpr("d as dd", "first")
-    total = rows.agg(F.sum(F.octet_length("p"))).first()[0] or 0
-    joined = rows.join(first, F.col("d") == F.col("dd"), "left").select("id", "url", "p", F.when(F.col("id").isNull() | (F.col("id") != F.col("first")), F.col("first")).alias("first"))
+    mean = rows.agg(F.avg(F.octet_length("p"))).first()[0] or 1
+
+    def make(batches):
+        for batch in batches:
+            got = []
+            for k, u, p, d in zip(*(batch[x].to_pylist() for x in ("id", "url", "p", "d")), strict=True):
+                sha1 = base64.b32encode(bytes.fromhex(d)).decode()
+                got.append((len(p), sha1, member(record(k, u, sha1, len(p), p))))
+            yield pa.record_batch([batch["id"], batch["url"], batch["d"], pa.array([x[0] for x in got], pa.int64()), pa.array([x[1] for x in got], pa.string()), pa.array([x[2] for x in got], pa.binary())], names=["id", "url", "d", "n", "sha1", "r"])
+
+    # responses are made, and compressed, before the join: what it moves is smaller than the pages
+    made = rows.mapInArrow(make, "id long, url string, d string, n long, sha1 string, r binary")
+    again = F.col("first").isNotNull() & (F.col("id").isNull() | (F.col("id") != F.col("first")))
+    joined = made.join(first, F.col("d") == F.col("dd"), "left").select("id", "url", "n", "sha1", F.when(again, F.col("first")).alias("first"), F.when(~again, F.col("r")).alias("r"))
 
     def go(batches):
         for batch in batches:
-            out = [member(record(k, u, p, f)) for k, u, p, f in zip(*(batch[x].to_pylist() for x in ("id", "url", "p", "first")), strict=True)]
+            out = [r if f is None else member(record(k, u, s, n, None, f)) for k, u, n, s, f, r in zip(*(c_.to_pylist() for c_ in batch.columns), strict=True)]
             yield pa.record_batch([pa.array(out, pa.binary())], names=["r"])
 
-    files = max(pages.sparkSession.sparkContext.defaultParallelism, -(-total // file_bytes))
-    spread = joined.repartition(files, F.xxhash64("id", "url", "p"))
-    spread.mapInArrow(go, "r binary").select(F.col("r").cast("string").alias("value")).write.option("lineSep", "\0").text(path)
+    each = max(1, int(file_bytes / max(mean, 1)))
+    joined.mapInArrow(go, "r binary").select(F.col("r").cast("string").alias("value")).write.option("lineSep", "\0").option("maxRecordsPerFile", each).text(path)
 
 
 READ = "file string, offset long, type string, id long, refers_to long, url string, payload_bytes long, payload_digest string, payload binary"
