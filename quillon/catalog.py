@@ -4,16 +4,436 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import names as N
+from .functions import sequences as S
+from .functions import text as X
+from .operators import assets, history, incremental, joins, monitor, navigation, search
+from .operators import graph as G
+from .plans.compile import Corpus, run
+from .plans.language import parse
+from .sources import model as M
+
+Q = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Q] = {}
+_SQL: dict[str, str] = {}
+WORD = "the"
+MIDNIGHT = 1_707_000_000_000
+
+# SQL pieces: documents as files, pages as files, places as declarations, events as records.
+FILES = "(select doc_id as file_key, source || '/' || lang || '/' || doc_id || '.txt' as path, source as project, lang as language, text as content from documents)"
+PAGES = "(select page_id as file_key, regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '') as path, html as content from pages)"
+PLACES = """(select 'namespace' kind, r_regionkey::bigint as key, r_name as name, r_name as qualified, '' as owner, '' as namespace from region
+ union all select 'module', n_nationkey::bigint, n_name, r_name || '.' || n_name, r_name, r_name from nation join region on n_regionkey = r_regionkey
+ union all select 'class', c_custkey, c_name, r_name || '.' || n_name || '.' || c_name, r_name || '.' || n_name, r_name || '.' || n_name from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey)"""
+RECORDS = """(select event_id::varchar id, event_type kind, user_id::varchar repository, epoch_ms(ts) start_ms, epoch_ms(ts) + floor(coalesce(value, 0))::bigint end_ms,
+ case when event_type = 'purchase' then 'success' else 'noop' end status, coalesce(try_cast(json_extract_string(props, '$.k') as bigint) > 90, false) detailed from events)"""
+LINES = f"(select file_key, path, language, i as line, string_split(content, chr(10))[i] as source from {FILES}, unnest(range(1, len(string_split(content, chr(10))) + 1)) t(i))"
+
+
+def query(sql: str | None = None) -> Callable[[Q], Q]:
+    def add(f: Q) -> Q:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _lines(needle: str, where: str = "true", low: bool = False) -> str:
+    t, n = ("lower(source)", needle.lower()) if low else ("source", needle)
+    return f"select path, line::bigint as line, trim(source, ' ') as source from {LINES} where contains({t}, '{n}') and {where}"
+
+
+# ---- text and files
+
+
+@query(_lines(WORD))
+def text_lines(spark, sf):
+    return search.text_search(M.files(spark, sf), None, parse(f"text:{WORD}")).select("path", "line", "source")
+
+
+@query(_lines("THE", low=True))
+def text_loose(spark, sf):
+    return search.text_search(M.files(spark, sf), None, parse('text:"THE" match:loose')).select("path", "line", "source")
+
+
+@query(_lines(WORD, "language = 'en'") + " order by path, line limit 20")
+def text_topk(spark, sf):
+    return run(Corpus(M.files(spark, sf)), f"text:{WORD} lang:en limit:20").select("path", "line", "source")
+
+
+@query(f"""with h as (select path, line::bigint as line, content, source, instr(source, 'ou')::bigint as "column", list_sum(list_transform(string_split(content, chr(10))[1:line-1], lambda x: strlen(x) + 1)) as before from {LINES} join {FILES} using (path, file_key, language) where contains(source, 'ou'))
+select path, line, "column", (coalesce(before, 0) + strlen(substr(source, 1, ("column" - 1)::int)))::bigint as at from h""")
+def text_offsets(spark, sf):
+    return search.text_matches(M.files(spark, sf), "ou").select("path", "line", "column", "at")
+
+
+@query(f"""with l as (select file_key, n, line, sum(length(line) + 1) over (partition by file_key order by n) - length(line) - 1 as start from (select file_key, i as n, string_split(content, chr(10))[i] as line from {FILES}, unnest(range(1, len(string_split(content, chr(10))) + 1)) t(i))),
+ i as (select *, sum((trim(line, ' ') = '')::int) over (partition by file_key order by n) as island from l),
+ p as (select file_key, min(n)::bigint first_line, max(n)::bigint last_line, min(start)::bigint s, max(start + length(line))::bigint e, island from i where trim(line, ' ') <> '' group by file_key, island)
+select file_key, (row_number() over (partition by file_key order by island))::bigint as number, first_line, last_line, s::bigint as "start", e::bigint as "end" from p""")
+def text_paragraphs(spark, sf):
+    return history.paragraphs(M.files(spark, sf)).select("file_key", "number", "first_line", "last_line", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+
+
+@query(f"select path from {PAGES} where regexp_matches(split_part(path, '/', -1), '^[^/]*4[^/]*$') group by path")
+def file_glob(spark, sf):
+    return search.file_search(M.pages(spark, sf), parse("file:*4*")).select("path")
+
+
+@query(f"select distinct path from {PAGES} where regexp_matches(path, '^[^/]*example\\.com/en/[^/]*$')")
+def file_glob_path(spark, sf):
+    return search.file_search(M.pages(spark, sf), parse("file:*example.com/en/*")).select("path")
+
+
+@query(f"select path from {FILES} where language = 'de'")
+def lang_filter(spark, sf):
+    return search.file_search(M.files(spark, sf), parse("file:* lang:de")).select("path")
+
+
+@query(f"select path from {FILES} where language <> 'en' and project <> 'src3'")
+def lang_negated(spark, sf):
+    return search.file_search(M.files(spark, sf), parse("file:* -lang:en -project:src3")).select("path")
+
+
+@query(f"select path from {FILES} where path like 'src1/%'")
+def path_prefix(spark, sf):
+    return search.file_search(M.files(spark, sf), parse("file:* path:src1")).select("path")
+
+
+# ---- names
+
+
+@query("select p_partkey, p_name from part where p_name = (select min(p_name) from part)")
+def name_exact(spark, sf):
+    p = M.read(spark, sf, "part")
+    return p.join(F.broadcast(p.agg(F.min("p_name").alias("least"))), F.col("p_name") == F.col("least")).select("p_partkey", "p_name")
+
+
+@query("select c_custkey, c_name from customer where c_name like 'Customer%1'")
+def name_wildcard(spark, sf):
+    return M.read(spark, sf, "customer").where(N.wildcard("Customer*1", "c_name")).select("c_custkey", "c_name")
+
+
+@query("""select * from (select c_custkey, c_name, case when c_name = 'CUSTOMER' or lower(c_name) = 'customer' then 1 when starts_with(lower(c_name), 'customer') then 2 when contains(lower(c_name), 'customer') then 4 end as rank from customer) where rank is not null""")
+def name_rank_loose(spark, sf):
+    return M.read(spark, sf, "customer").select("c_custkey", "c_name", N.name_rank("CUSTOMER", "c_name", True).alias("rank")).where("rank is not null")
+
+
+@query(f"select kind, qualified, case when qualified = 'ASIA.CHINA' then 0 else 1 end as rank from {PLACES} where qualified = 'ASIA.CHINA' or suffix(qualified, '.ASIA.CHINA')")
+def qualified_suffix(spark, sf):
+    return search.declarations(_decls(spark, sf), parse("symbol:ASIA.CHINA")).select("kind", "qualified", "rank")
+
+
+@query(f"select distinct kind || ':' || qualified as other from {PLACES} where name = 'CHINA' order by 1 limit 4")
+def kind_other_hint(spark, sf):
+    return search.other_kinds(_decls(spark, sf), parse("class:CHINA"))
+
+
+@query(f"select kind, qualified from {PLACES} where namespace = 'ASIA' or starts_with(namespace, 'ASIA.')")
+def namespace_prefix(spark, sf):
+    return search.declarations(_decls(spark, sf), parse("symbol:* namespace:ASIA")).select("kind", "qualified")
+
+
+@query(f"select kind, name, qualified from {PLACES} where kind in ('class') and starts_with(name, 'Customer') order by 0, qualified, name limit 50")
+def symbol_search(spark, sf):
+    d = _decls(spark, sf).withColumn("path", F.col("qualified"))
+    return search.ordered(search.declarations(d, parse("type:Customer* limit:50")), 50).select("kind", "name", "qualified")
+
+
+def _decls(spark, sf):
+    p = M.places(spark, sf)
+    return p.select("*", F.col("key").alias("file_key"), F.concat_ws("/", F.lit("places"), "kind").alias("path"), F.lit("places").alias("project"), F.lit("text").alias("language"), F.lit(0).cast("long").alias("start"), F.lit(1).cast("long").alias("end"))
+
+
+# ---- navigation
+
+
+@query(f"""with p as (select strlen(content) as b, string_split(path, '/') as parts from {PAGES})
+select directory, count(*)::bigint as files, sum(b)::bigint as bytes from (select b, unnest(list_transform(range(0, len(parts)), lambda k: array_to_string(parts[1:k], '/'))) as directory from p) group by directory""")
+def browse_rollup(spark, sf):
+    return navigation.roll_up(M.pages(spark, sf))
+
+
+@query(f"select line::bigint as line, source as text from {LINES} where file_key = 1 and line between 1 and 3 and not (source = '' and line > 1 and line = (select max(line) from {LINES} where file_key = 1))")
+def view_slice(spark, sf):
+    f = M.files(spark, sf).where("file_key = 1")
+    return navigation.view(f.withColumn("path", F.lit("p")), "p", 1, 3)
+
+
+@query(f"""with t as (select distinct path, case when path = '42' then 0 when suffix(path, '/42') then 1 when lower(path) = '42' or suffix(lower(path), '/42') then 2 when contains(lower(path), '42') then 3 end as tier, case when not suffix(path, '/42') then strlen(lower(path)) - 2 else 0 end as distance from {PAGES})
+select path, tier, distance::int as distance from t where tier = (select min(tier) from t)""")
+def path_tiers(spark, sf):
+    return navigation.tiers(M.pages(spark, sf), "42", fuzzy=True)
+
+
+@query()
+def path_fuzzy(spark, sf):
+    return navigation.tiers(M.pages(spark, sf), "exmaple.cmo/en", fuzzy=True)
+
+
+@query(f"select count(distinct project)::bigint as n_projects, count(*)::bigint as n_files, array_to_string(list_sort(list(distinct language)), ',') as languages from {FILES}")
+def summary_table(spark, sf):
+    return navigation.summary(M.files(spark, sf))
+
+
+# ---- index and relationships
+
+
+@query(f"select distinct file_key, unnest(string_split(content, ' ')) as term, 'word' as space from {FILES}")
+def postings_build(spark, sf):
+    return joins.postings(M.files(spark, sf), F.split("content", " ", -1), "word")
+
+
+@query(f"select path from {FILES} where list_contains(string_split(content, ' '), 'the')")
+def postings_semi(spark, sf):
+    f = M.files(spark, sf)
+    return f.join(joins.candidates(joins.postings(f, F.split("content", " ", -1), "word"), "the"), "file_key", "left_semi").select("path")
+
+
+@query("select l_partkey as target, l_suppkey as path, array_to_string(list_sort(list(distinct l_orderkey * 10 + l_linenumber)), ',') as places, count(distinct l_orderkey * 10 + l_linenumber)::bigint as n from lineitem group by 1, 2")
+def uses_group(spark, sf):
+    l = M.read(spark, sf, "lineitem")  # noqa: E741
+    sites = l.select(F.col("l_suppkey").alias("path"), F.lit(0).alias("line"), F.lit("").alias("symbol"), F.col("l_partkey").alias("target"), F.lit(False).alias("possible_write"), F.lit(False).alias("uncertain"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("at"))
+    return search.grouped(sites).select("target", "path", F.array_join("places", ",").alias("places"), F.size("places").cast("long").alias("n"))
+
+
+@query("select o_orderkey, coalesce(c_name, 'unresolved:' || o_custkey) as target, c_name is null as uncertain from orders left join (select * from customer where c_custkey % 3 <> 0) on o_custkey = c_custkey")
+def calls_outgoing(spark, sf):
+    o = M.read(spark, sf, "orders").select(F.lit("p").alias("project"), F.col("o_orderkey").alias("file_key"), F.col("o_custkey").cast("string").alias("name"), F.lit(0).alias("at"), F.lit(True).alias("call"))
+    c = M.read(spark, sf, "customer").where("c_custkey % 3 <> 0")
+    decls = c.select(F.lit("p").alias("project"), F.col("c_custkey").alias("file_key"), F.col("c_custkey").cast("string").alias("name"), F.col("c_name").alias("qualified"), F.lit("method").alias("kind"), F.lit(0).alias("start"), F.lit(1).alias("end"), F.lit(False).alias("metadata"))
+    return search.relationship(o, decls, parse("calls:*")).select(F.col("file_key").alias("o_orderkey"), "target", "uncertain")
+
+
+@query("select l_orderkey, l_linenumber, case l_returnflag when 'R' then 'ref' when 'A' then 'direct' else 'none' end as write, l_returnflag = 'R' as possible_write from lineitem where l_returnflag in ('R', 'A')")
+def writes_flag(spark, sf):
+    w = F.when(F.col("l_returnflag") == "R", "ref").when(F.col("l_returnflag") == "A", "direct").otherwise("none")
+    return M.read(spark, sf, "lineitem").withColumn("write", w).where("write <> 'none'").select("l_orderkey", "l_linenumber", "write", (F.col("write") == "ref").alias("possible_write"))
+
+
+@query("select s_suppkey, s_name from supplier join nation n on s_nationkey = n.n_nationkey where n.n_regionkey = 1 or n.n_regionkey = 2")
+def visibility_semi(spark, sf):
+    r = M.read(spark, sf, "region").select(F.col("r_regionkey").alias("project"))
+    refs = spark.createDataFrame([(1, 2, []), (1, 3, ["Other"]), (2, 4, [])], "project int, target int, aliases array<string>")
+    n = M.read(spark, sf, "nation").select("n_nationkey", F.col("n_regionkey").alias("project"))
+    rows = M.read(spark, sf, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey"))
+    return joins.visible(rows, joins.visibility(r, refs), 1).select("s_suppkey", "s_name")
+
+
+@query("with d as (select doc_id, md5(text) as h, source <> 'src0' as metadata from documents) select doc_id from d where not metadata or h not in (select h from d where not metadata)")
+def prefer_source_anti(spark, sf):
+    d = M.read(spark, sf, "documents").select("doc_id", F.md5("text").alias("h"), (F.col("source") != "src0").alias("metadata"))
+    return joins.prefer_source(d, ["h"]).select("doc_id")
+
+
+@query("""with o as (select o_custkey, o_orderkey as label, o_orderkey * 7 % 9000 as s, o_orderkey * 7 % 9000 + 1 + o_orderkey % 5000 as e from orders where o_orderstatus <> 'P'),
+ p as (select o_custkey, o_orderkey as id, o_orderkey * 13 % 9000 as at from orders where o_orderstatus = 'P')
+select p.o_custkey as c, p.id, arg_min(label::varchar, (e - s, -s, label::varchar)) as label from p left join o on p.o_custkey = o.o_custkey and s <= at and at < e group by 1, 2""")
+def innermost_owner(spark, sf):
+    o = M.read(spark, sf, "orders").select(F.col("o_custkey").alias("c"), "o_orderkey", "o_orderstatus")
+    k = F.col("o_orderkey")
+    spans = o.where("o_orderstatus <> 'P'").select("c", (k * 7 % 9000).alias("start"), (k * 7 % 9000 + 1 + k % 5000).alias("end"), k.cast("string").alias("label"))
+    points = o.where("o_orderstatus = 'P'").select("c", k.alias("id"), (k * 13 % 9000).alias("at"))
+    return joins.innermost(spans, points, ["c"], ["at"]).select("c", "id", "label")
+
+
+@query("with u as (select md5(text) as guid, min(doc_id) as doc_id from documents group by 1 having count(distinct doc_id) = 1) select guid, doc_id from u")
+def unique_guid_resolve(spark, sf):
+    return joins.unique(M.read(spark, sf, "documents").select(F.md5("text").alias("guid"), "doc_id"), ["guid"], "doc_id")
+
+
+# ---- graphs and assets
+
+
+@query(f"""with recursive e as (select owner src, qualified dst from {PLACES} where owner <> ''),
+ c(root, node, depth) as (select qualified, qualified, 0 from {PLACES} where kind = 'namespace' union all select root, dst, depth + 1 from c join e on node = src)
+select root, node, depth from c""")
+def hierarchy_closure(spark, sf):
+    seeds = M.places(spark, sf).where("kind = 'namespace'").select(F.col("qualified").alias("root"), F.col("qualified").alias("node"))
+    return G.closure(M.edges(spark, sf), seeds)
+
+
+@query(f"select qualified as root, unnest([qualified, owner, split_part(owner, '.', 1)]) as node, unnest([0, 1, 2]) as depth from {PLACES} where kind = 'class'")
+def ancestors(spark, sf):
+    seeds = M.places(spark, sf).where("kind = 'class'").select(F.col("qualified").alias("root"), F.col("qualified").alias("node"))
+    return G.ancestors(M.edges(spark, sf), seeds)
+
+
+@query("select doc_id, 'quality' as property, coalesce(quality::varchar, 'unset') as value from documents left join (select doc_id, max(quality) as quality from labels group by 1) using (doc_id)")
+def override_last_wins(spark, sf):
+    base = M.read(spark, sf, "documents").select("doc_id", F.lit("quality").alias("property"), F.lit("unset").alias("value"))
+    over = M.read(spark, sf, "labels").select("doc_id", F.lit("quality").alias("property"), F.col("quality").alias("pos"), F.col("quality").cast("string").alias("value"))
+    return assets.last_override(base, over, ["doc_id"])
+
+
+@query(f"select qualified as id from {PLACES} where qualified = 'ASIA.CHINA' or owner = 'ASIA.CHINA' or qualified = 'EUROPE' or starts_with(owner, 'EUROPE')")
+def removal_cascade(spark, sf):
+    p = M.places(spark, sf)
+    gone = p.where(F.col("qualified").isin("ASIA.CHINA", "EUROPE")).select(F.col("qualified").alias("id"))
+    return G.removal_cascade(p.where("owner <> ''").select(F.col("qualified").alias("id"), F.col("owner").alias("parent")), gone)
+
+
+@query("select l_orderkey, l_linenumber from lineitem where l_suppkey = 7")
+def edges_references(spark, sf):
+    e = M.read(spark, sf, "lineitem").withColumn("to", F.col("l_suppkey").cast("string")).withColumn("asset", F.col("l_partkey").cast("string"))
+    return assets.incoming(e, "7").select("l_orderkey", "l_linenumber")
+
+
+@query("select l_suppkey from lineitem where l_partkey = 7")
+def edges_dependencies(spark, sf):
+    e = M.read(spark, sf, "lineitem").withColumn("to", F.col("l_suppkey").cast("string")).withColumn("asset", F.col("l_partkey").cast("string"))
+    return assets.outgoing(e, "7").select("l_suppkey")
+
+
+@query("select 'unity@' || rtrim(replace(replace(to_base64(('source/' || doc_id)::blob), '+', '-'), '/', '_'), '=') || '#' || doc_id as handle from documents")
+def object_handle(spark, sf):
+    return M.read(spark, sf, "documents").select(assets.handle(F.concat(F.lit("source/"), F.col("doc_id").cast("string")), F.col("doc_id")).alias("handle"))
+
+
+# ---- history and similarity
+
+
+@query("select md5(text) as id, count(*)::bigint as n, min(doc_id) as first from documents group by 1")
+def content_identity(spark, sf):
+    return M.read(spark, sf, "documents").groupBy(F.md5("text").alias("id")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
+
+
+def _words(t: str) -> str:
+    return f"regexp_extract_all({t}, '[\\p{{L}}\\p{{N}}_]+|[^\\s]')"
+
+
+def _grams(w: str) -> str:
+    return f"list_distinct(list_transform(range(1, greatest(len({w}) - 1, 1)), lambda k: array_to_string({w}[k:k + 2], chr(1))))"
+
+
+@query(f"""with d as (select doc_id, {_words("left(text, 2000)")} as w, lead({_words("left(text, 2000)")}) over (order by doc_id) as v from documents where not contains(text, '"') and not contains(text, '''')),
+ g as (select doc_id, w, v, {_grams("w")} as a, {_grams("v")} as b from d where v is not null)
+select doc_id, (case when w = v then 100 when len(a) = 0 or len(b) = 0 then 0 else (200 * len(list_intersect(a, b))) // (len(a) + len(b)) end)::int as similarity from g""")
+def trigram_similarity(spark, sf):
+    d = M.read(spark, sf, "documents").where("not contains(text, '\"') and not contains(text, '\\'')").select("doc_id", X.tokens(F.substring("text", 1, 2000)).alias("w"))
+    d = d.withColumn("v", F.lead("w").over(Window.partitionBy(F.lit(0)).orderBy("doc_id"))).where("v is not null")
+    return d.select("doc_id", X.similarity(F.col("w"), F.col("v")).alias("similarity"))
+
+
+@query("select item_id, count(*)::bigint as n from benchmark join documents on contains(documents.text, benchmark.text) group by 1")
+def passage_occurrence(spark, sf):
+    """Exact passages: the passage's first words block the join; the whole is then looked for."""
+    b = M.read(spark, sf, "benchmark").select("item_id", F.col("text").alias("p")).withColumn("k", F.array_join(F.slice(X.tokens("p"), 2, 4), " "))
+    d = M.read(spark, sf, "documents").select("doc_id", "text", F.explode(F.array_distinct(_runs(X.tokens("text"), 4))).alias("k"))
+    return d.join(F.broadcast(b) if b.count() < 100_000 else b, "k").where(F.contains("text", "p")).groupBy("item_id").agg(F.count_distinct("doc_id").alias("n"))
+
+
+def _runs(words, n):
+    last = F.size(words) - n + 1
+    return F.when(last > 0, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda k: F.array_join(F.slice(words, k, n), " "))).otherwise(F.array().cast("array<string>"))
+
+
+@query()
+def mutual_best_match(spark, sf):
+    d = M.read(spark, sf, "documents").select(F.col("doc_id").alias("key"), F.col("text"), "source")
+    return history.renames(d.where("source = 'src1'").drop("source"), d.where("source = 'src2'").drop("source"))
+
+
+@query("""with o as (select conv_id || '/' || role as path, md5(string_agg(text, '|' order by turn)) as blob from conversations where turn < 3 group by 1), n as (select conv_id || '/' || role as path, md5(string_agg(text, '|' order by turn)) as blob from conversations where turn >= 2 group by 1)
+select path, case when o.blob is null then 'added' when n.blob is null then 'removed' else 'modified' end as status from o full join n using (path) where o.blob is distinct from n.blob""")
+def snapshot_diff(spark, sf):
+    c = M.read(spark, sf, "conversations").withColumn("path", F.concat(F.col("conv_id").cast("string"), F.lit("/"), "role"))
+    snap = lambda df: df.groupBy("path").agg(F.md5(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "|")).alias("blob"), F.lit(0).alias("mode"))
+    return history.change_set(snap(c.where("turn < 3")), snap(c.where("turn >= 2"))).select("path", "status")
+
+
+@query()
+def diff_counts(spark, sf):
+    c = M.read(spark, sf, "conversations")
+    prev = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    words = lambda x: F.replace(x, F.lit(" "), F.lit("\n"))
+    return c.withColumn("prev", prev).where("prev is not null").select("conv_id", "turn", S.diff_counts(words(F.col("prev")), words(F.col("text"))).alias("d")).select("conv_id", "turn", "d.added", "d.removed")
+
+
+@query("""with c as (select conv_id, turn, role, lag(role) over (partition by conv_id order by turn) as prev, row_number() over (partition by conv_id order by turn) as n from conversations)
+select conv_id, turn, case when n = 1 then 'added' else 'modified' end as status, (row_number() over (partition by conv_id order by turn desc))::bigint as position from c where n = 1 or prev is distinct from role""")
+def log_chain(spark, sf):
+    return history.log(M.read(spark, sf, "conversations"), "conv_id", "turn", "role").select("conv_id", "turn", "status", "position")
+
+
+# ---- monitoring and caches
+
+
+@query(f"select floor(start_ms / 86400000)::bigint as day, kind, repository, count(*)::bigint as count, sum(greatest(end_ms - start_ms, 0))::bigint as total_duration_ms from {RECORDS} where status = 'noop' and not detailed group by 1, 2, 3")
+def journal_daily(spark, sf):
+    return monitor.daily(M.records(spark, sf))
+
+
+@query(f"""with r as (select *, floor(start_ms / 86400000)::bigint as day from {RECORDS}), t as (select *, day < 20120 - 365 and status = 'success' and not detailed as old from r)
+select day, kind, repository, count(*)::bigint as count, sum(greatest(end_ms - start_ms, 0))::bigint as total_duration_ms, 'summary' as fact from t where old group by 1, 2, 3
+union all select day, kind, repository, 1, end_ms - start_ms, 'record' from t where not old""")
+def journal_compact(spark, sf):
+    none = spark.createDataFrame([], "day long, kind string, repository string, count long, total_duration_ms long")
+    kept, sums = monitor.compacted(M.records(spark, sf), none, 20120)
+    rest = kept.select(monitor.day(F.col("start_ms")).alias("day"), "kind", "repository", F.lit(1).cast("long").alias("count"), (F.col("end_ms") - F.col("start_ms")).alias("total_duration_ms"), F.lit("record").alias("fact"))
+    return sums.withColumn("fact", F.lit("summary")).unionByName(rest)
+
+
+@query(f"select repository, round(pow(2.0, -greatest({MIDNIGHT} - max(start_ms), 0) / 86400000.0), 9) as heat from {RECORDS} group by 1")
+def heat_priority(spark, sf):
+    last = M.records(spark, sf).groupBy("repository").agg(F.max("start_ms").alias("at"))
+    return last.select("repository", F.round(monitor.heat(F.lit(1.0), F.col("at"), F.lit(MIDNIGHT)), 9).alias("heat"))
+
+
+@query()
+def heat_fold(spark, sf):
+    return monitor.usage(M.records(spark, sf).select(F.col("repository").alias("owner"), F.col("start_ms").alias("ms")))
+
+
+_OWNERS = f"(select repository as owner, 1.0::double as heat, max(start_ms) as at, max(start_ms) as last_use, count(*)::bigint * 1000 as bytes from {RECORDS} group by 1)"
+
+
+@query(f"select owner, bytes, (row_number() over (order by ({MIDNIGHT} - last_use < 900000)::int, pow(2.0, -greatest({MIDNIGHT} - at, 0) / 86400000.0), bytes desc, last_use, owner))::bigint as position from {_OWNERS}")
+def eviction_order(spark, sf):
+    return monitor.eviction(_owners(spark, sf), MIDNIGHT).select("owner", "bytes", F.col("position").cast("long").alias("position"))
+
+
+@query(f"select owner, (sum(bytes) over (order by ({MIDNIGHT} - last_use < 900000)::int, pow(2.0, -greatest({MIDNIGHT} - at, 0) / 86400000.0), bytes desc, last_use, owner rows unbounded preceding))::bigint as freed from {_OWNERS}")
+def reclaim_running(spark, sf):
+    return monitor.eviction(_owners(spark, sf), MIDNIGHT).select("owner", "freed")
+
+
+def _owners(spark, sf):
+    return M.records(spark, sf).groupBy(F.col("repository").alias("owner")).agg(F.lit(1.0).alias("heat"), F.max("start_ms").alias("at"), F.max("start_ms").alias("last_use"), (F.count("*") * 1000).alias("bytes"))
+
+
+@query("select l_suppkey as owner, round(sum(share), 6) as bytes from (select l_suppkey, l_partkey, l_partkey % 1000 / count(*) over (partition by l_partkey) as share from (select distinct l_suppkey, l_partkey from lineitem)) group by 1")
+def cost_attribution(spark, sf):
+    c = M.read(spark, sf, "lineitem").select(F.col("l_suppkey").alias("owner"), F.col("l_partkey").alias("inode"), (F.col("l_partkey") % 1000).alias("bytes"))
+    return monitor.attributed(c).select("owner", F.round("bytes", 6).alias("bytes"))
+
+
+@query("select o_orderkey, round(15 - 1785 * (exp(-(o_orderkey % 100) / 28.74) - 1), 6) as seconds from orders")
+def refresh_backoff(spark, sf):
+    return M.read(spark, sf, "orders").select("o_orderkey", F.round(monitor.refresh_delay(F.col("o_orderkey") % 100), 6).alias("seconds"))
+
+
+@query("select coalesce(a.doc_id, b.doc_id) as file_key, case when a.doc_id is null then 'added' when b.doc_id is null then 'removed' else 'changed' end as change from (select doc_id, md5(text) h from documents where doc_id % 3 <> 0) a full join (select doc_id, case when doc_id % 5 = 0 then 'x' else md5(text) end h from documents where doc_id % 3 <> 1) b using (doc_id) where a.h is distinct from b.h")
+def stamps_incremental(spark, sf):
+    d = M.read(spark, sf, "documents")
+    old = d.where("doc_id % 3 <> 0").select(F.col("doc_id").alias("file_key"), F.md5("text").alias("stamp"))
+    new = d.where("doc_id % 3 <> 1").select(F.col("doc_id").alias("file_key"), F.when(F.col("doc_id") % 5 == 0, "x").otherwise(F.md5("text")).alias("stamp"))
+    return incremental.stamp_changes(old, new)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Lines of English documents that hold a literal."""
+    return run(Corpus(M.files(spark, sf_dir)), f'text:"{WORD}" lang:en limit:20').select("path", "line", "column", "source")
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Q]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
