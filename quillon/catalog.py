@@ -124,14 +124,14 @@ def name_rank_loose(spark, sf):
     return M.read(spark, sf, "customer").select("c_custkey", "c_name", N.name_rank("CUSTOMER", "c_name", True).alias("rank")).where("rank is not null")
 
 
-@query(f"select kind, qualified, case when qualified = 'ASIA.CHINA' then 0 else 1 end as rank from {PLACES} where qualified = 'ASIA.CHINA' or suffix(qualified, '.ASIA.CHINA')")
+@query(f"select kind, qualified, case when qualified = 'ASIA.NATION_2' then 0 else 1 end as rank from {PLACES} where qualified = 'ASIA.NATION_2' or suffix(qualified, '.ASIA.NATION_2')")
 def qualified_suffix(spark, sf):
-    return search.declarations(_decls(spark, sf), parse("symbol:ASIA.CHINA")).select("kind", "qualified", "rank")
+    return search.declarations(_decls(spark, sf), parse("symbol:ASIA.NATION_2")).select("kind", "qualified", "rank")
 
 
-@query(f"select distinct kind || ':' || qualified as other from {PLACES} where name = 'CHINA' order by 1 limit 4")
+@query(f"select distinct kind || ':' || qualified as other from {PLACES} where name = 'NATION_2' order by 1 limit 4")
 def kind_other_hint(spark, sf):
-    return search.other_kinds(_decls(spark, sf), parse("class:CHINA"))
+    return search.other_kinds(_decls(spark, sf), parse("class:NATION_2"))
 
 
 @query(f"select kind, qualified from {PLACES} where namespace = 'ASIA' or starts_with(namespace, 'ASIA.')")
@@ -139,7 +139,7 @@ def namespace_prefix(spark, sf):
     return search.declarations(_decls(spark, sf), parse("symbol:* namespace:ASIA")).select("kind", "qualified")
 
 
-@query(f"select kind, name, qualified from {PLACES} where kind in ('class') and starts_with(name, 'Customer') order by 0, qualified, name limit 50")
+@query(f"select kind, name, qualified from {PLACES} where kind in ('class') and starts_with(name, 'Customer') order by qualified, name limit 50")
 def symbol_search(spark, sf):
     d = _decls(spark, sf).withColumn("path", F.col("qualified"))
     return search.ordered(search.declarations(d, parse("type:Customer* limit:50")), 50).select("kind", "name", "qualified")
@@ -232,8 +232,8 @@ def prefer_source_anti(spark, sf):
 
 
 @query("""with o as (select o_custkey, o_orderkey as label, o_orderkey * 7 % 9000 as s, o_orderkey * 7 % 9000 + 1 + o_orderkey % 5000 as e from orders where o_orderstatus <> 'P'),
- p as (select o_custkey, o_orderkey as id, o_orderkey * 13 % 9000 as at from orders where o_orderstatus = 'P')
-select p.o_custkey as c, p.id, arg_min(label::varchar, (e - s, -s, label::varchar)) as label from p left join o on p.o_custkey = o.o_custkey and s <= at and at < e group by 1, 2""")
+ p as (select o_custkey, o_orderkey as id, o_orderkey * 13 % 9000 as pos from orders where o_orderstatus = 'P')
+select p.o_custkey as c, p.id, arg_min(label::varchar, (e - s, -s, label::varchar)) as label from p left join o on p.o_custkey = o.o_custkey and s <= pos and pos < e group by 1, 2""")
 def innermost_owner(spark, sf):
     o = M.read(spark, sf, "orders").select(F.col("o_custkey").alias("c"), "o_orderkey", "o_orderstatus")
     k = F.col("o_orderkey")
@@ -271,10 +271,10 @@ def override_last_wins(spark, sf):
     return assets.last_override(base, over, ["doc_id"])
 
 
-@query(f"select qualified as id from {PLACES} where qualified = 'ASIA.CHINA' or owner = 'ASIA.CHINA' or qualified = 'EUROPE' or starts_with(owner, 'EUROPE')")
+@query(f"select qualified as id from {PLACES} where qualified = 'ASIA.NATION_2' or owner = 'ASIA.NATION_2' or qualified = 'EUROPE' or starts_with(owner, 'EUROPE')")
 def removal_cascade(spark, sf):
     p = M.places(spark, sf)
-    gone = p.where(F.col("qualified").isin("ASIA.CHINA", "EUROPE")).select(F.col("qualified").alias("id"))
+    gone = p.where(F.col("qualified").isin("ASIA.NATION_2", "EUROPE")).select(F.col("qualified").alias("id"))
     return G.removal_cascade(p.where("owner <> ''").select(F.col("qualified").alias("id"), F.col("owner").alias("parent")), gone)
 
 
@@ -324,13 +324,8 @@ def trigram_similarity(spark, sf):
 def passage_occurrence(spark, sf):
     """Exact passages: the passage's first words block the join; the whole is then looked for."""
     b = M.read(spark, sf, "benchmark").select("item_id", F.col("text").alias("p")).withColumn("k", F.array_join(F.slice(X.tokens("p"), 2, 4), " "))
-    d = M.read(spark, sf, "documents").select("doc_id", "text", F.explode(F.array_distinct(_runs(X.tokens("text"), 4))).alias("k"))
-    return d.join(F.broadcast(b) if b.count() < 100_000 else b, "k").where(F.contains("text", "p")).groupBy("item_id").agg(F.count_distinct("doc_id").alias("n"))
-
-
-def _runs(words, n):
-    last = F.size(words) - n + 1
-    return F.when(last > 0, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda k: F.array_join(F.slice(words, k, n), " "))).otherwise(F.array().cast("array<string>"))
+    d = M.read(spark, sf, "documents").select("doc_id", "text", F.explode(F.array_distinct(X.runs(X.tokens("text"), 4, " "))).alias("k"))
+    return d.join(b, "k").where(F.contains("text", "p")).groupBy("item_id").agg(F.count_distinct("doc_id").alias("n"))
 
 
 @query()
@@ -379,7 +374,7 @@ def journal_compact(spark, sf):
     return sums.withColumn("fact", F.lit("summary")).unionByName(rest)
 
 
-@query(f"select repository, round(pow(2.0, -greatest({MIDNIGHT} - max(start_ms), 0) / 86400000.0), 9) as heat from {RECORDS} group by 1")
+@query(f"select repository, round(pow(2.0::double, -greatest({MIDNIGHT} - max(start_ms), 0)::double / 86400000.0::double), 9) as heat from {RECORDS} group by 1")
 def heat_priority(spark, sf):
     last = M.records(spark, sf).groupBy("repository").agg(F.max("start_ms").alias("at"))
     return last.select("repository", F.round(monitor.heat(F.lit(1.0), F.col("at"), F.lit(MIDNIGHT)), 9).alias("heat"))
@@ -390,15 +385,15 @@ def heat_fold(spark, sf):
     return monitor.usage(M.records(spark, sf).select(F.col("repository").alias("owner"), F.col("start_ms").alias("ms")))
 
 
-_OWNERS = f"(select repository as owner, 1.0::double as heat, max(start_ms) as at, max(start_ms) as last_use, count(*)::bigint * 1000 as bytes from {RECORDS} group by 1)"
+_OWNERS = f"(select repository as owner, 1.0::double as heat, max(start_ms) as used, max(start_ms) as last_use, count(*)::bigint * 1000 as bytes from {RECORDS} group by 1)"
 
 
-@query(f"select owner, bytes, (row_number() over (order by ({MIDNIGHT} - last_use < 900000)::int, pow(2.0, -greatest({MIDNIGHT} - at, 0) / 86400000.0), bytes desc, last_use, owner))::bigint as position from {_OWNERS}")
+@query(f"select owner, bytes, (row_number() over (order by ({MIDNIGHT} - last_use < 900000)::int, pow(2.0::double, -greatest({MIDNIGHT} - used, 0)::double / 86400000.0::double), bytes desc, last_use, owner))::bigint as position from {_OWNERS}")
 def eviction_order(spark, sf):
     return monitor.eviction(_owners(spark, sf), MIDNIGHT).select("owner", "bytes", F.col("position").cast("long").alias("position"))
 
 
-@query(f"select owner, (sum(bytes) over (order by ({MIDNIGHT} - last_use < 900000)::int, pow(2.0, -greatest({MIDNIGHT} - at, 0) / 86400000.0), bytes desc, last_use, owner rows unbounded preceding))::bigint as freed from {_OWNERS}")
+@query(f"select owner, (sum(bytes) over (order by ({MIDNIGHT} - last_use < 900000)::int, pow(2.0::double, -greatest({MIDNIGHT} - used, 0)::double / 86400000.0::double), bytes desc, last_use, owner rows unbounded preceding))::bigint as freed from {_OWNERS}")
 def reclaim_running(spark, sf):
     return monitor.eviction(_owners(spark, sf), MIDNIGHT).select("owner", "freed")
 

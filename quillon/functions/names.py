@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -23,6 +24,11 @@ def col(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is worked out once, however often f's inner functions use it."""
+    return F.transform(F.array(value), f)[0]
+
+
 def literal(text: str) -> str:
     """Text as a Java regular expression that means just it."""
     return re.sub(r"([\\^$.|?*+()\[\]{}&~\-#\s])", r"\\\1", text)
@@ -124,13 +130,15 @@ def qualified_name_rank(pattern: str, value: Column | str, loose: bool = False)
     v = col(value)
     whole = name_rank(pattern, v, loose)
     parts = F.split(v, literal(separator))
-    tails = F.transform(F.sequence(F.lit(2), F.greatest(F.size(parts), F.lit(2))), lambda k: F.array_join(F.slice(parts, k, F.greatest(F.size(parts) - k + 1, F.lit(0))), separator))
+
+    def tails(p: Column) -> Column:
+        return F.transform(F.sequence(F.lit(2), F.greatest(F.size(p), F.lit(2))), lambda k: F.array_join(F.slice(p, k, F.greatest(F.size(p) - k + 1, F.lit(0))), separator))
 
     def tail(x: Column) -> Column:
         r = name_rank(pattern, x, loose)
         return F.when(r == 0, 1).otherwise(r + 2)
 
-    best = F.when(F.size(parts) > 1, F.array_min(F.transform(tails, tail)))
+    best = F.when(F.size(parts) > 1, F.array_min(F.transform(let(parts, tails), tail)))
     return F.least(F.when(whole == 0, 0).otherwise(whole + 2), best)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .names import col, literal
+from .names import col, let, literal
 
 # The token pattern of code and prose, and words too common to tell texts apart.
 TOKEN = r'''("(?:\\.|[^"\\])*"|'(?:\\(?:u\{[0-9a-fA-F]+\}|u[0-9a-fA-F]{4}|U[0-9a-fA-F]{8}|x[0-9a-fA-F]{2}|.)|[^'\\\r\n])'|[\p{L}\p{N}_]+|[^\s])'''
@@ -87,12 +87,14 @@ def declaration_excerpt(source: Column, header: Column, characters: int = 1500)
 
 def dedent(text: Column | str) -> Column:
     """Without the margin common to the lines that aren't blank; the first line may begin at the margin."""
-    lines = F.split(col(text), "\n", -1)
-    rest = F.filter(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))), lambda x: F.trim(x) != "")
-    first = F.length(F.regexp_extract(lines[0], r"^([ \t]*)", 1))
-    indent = F.coalesce(F.array_min(F.transform(rest, lambda x: F.length(F.regexp_extract(x, r"^([ \t]*)", 1)))), first)
-    cut = F.transform(lines, lambda x, k: F.when(k == 0, F.substring(x, F.least(first, indent) + 1, F.length(x))).otherwise(F.substring(x, F.least(indent, F.length(F.regexp_extract(x, r"^([ \t]*)", 1))) + 1, F.length(x))))
-    return F.array_join(cut, "\n")
+    margin = lambda x: F.length(F.regexp_extract(x, r"^([ \t]*)", 1))
+
+    def of(lines: Column) -> Column:
+        rest = F.filter(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))), lambda x: F.trim(x) != "")
+        indent = F.coalesce(F.array_min(F.transform(rest, margin)), margin(lines[0]))
+        return let(F.struct(lines.alias("l"), indent.alias("i")), lambda s: F.array_join(F.transform(s["l"], lambda x: F.substring(x, F.least(s["i"], margin(x)) + 1, F.length(x))), "\n"))
+
+    return let(F.split(col(text), "\n", -1), of)
 
 
 def tokens(text: Column | str) -> Column:
@@ -104,17 +106,30 @@ def distinctive(words: Column, least: int) -> Column:
     return F.size(F.array_distinct(F.filter(words, lambda w: (F.octet_length(w) >= 3) & w.rlike(r"[\p{L}\p{N}]") & ~w.isin(*COMMON)))) >= least
 
 
+def runs(words: Column, n: int, separator: str) -> Column:
+    """Every run of n words, joined."""
+
+    def of(w: Column) -> Column:
+        last = F.size(w) - n + 1
+        return F.when(last > 0, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda k: F.array_join(F.slice(w, k, n), separator))).otherwise(F.array().cast("array<string>"))
+
+    return let(words, of)
+
+
 def trigrams(words: Column) -> Column:
     """Distinct runs of three tokens; the separator occurs in no token."""
-    n = F.size(words) - 2
-    return F.when(n > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda k: F.array_join(F.slice(words, k, 3), "\u0001")))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(runs(words, 3, "\u0001"))
 
 
 def similarity(a: Column, b: Column) -> Column:
     """100 for equal token lists, else twice the shared trigrams over all, in percent, rounded down; 0 if either has none."""
-    x, y = trigrams(a), trigrams(b)
-    shared = F.size(F.array_intersect(x, y))
-    return F.when(a == b, 100).when((F.size(x) == 0) | (F.size(y) == 0), 0).otherwise(F.floor(shared * 200 / (F.size(x) + F.size(y)))).cast("int")
+
+    def of(p: Column) -> Column:
+        x, y = p["x"], p["y"]
+        shared = F.size(F.array_intersect(x, y))
+        return F.when((F.size(x) == 0) | (F.size(y) == 0), 0).otherwise(F.floor(shared * 200 / (F.size(x) + F.size(y)))).cast("int")
+
+    return F.when(a == b, 100).otherwise(let(F.struct(trigrams(a).alias("x"), trigrams(b).alias("y")), of)).cast("int")
 
 
 def location_suffix(path: Column | str) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.names import col, glob_regex
 
@@ -44,7 +45,7 @@ def selected(path: Column | str, baseline: list[str], included: list[str], exclu
     return (some(baseline) & ~some(generated or []) | some(included)) & ~some(excluded)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def decoded(content: pd.Series) -> pd.Series:
     """Text of bytes: by byte order mark, as UTF-8, or as the most likely of a few single-byte encodings."""
 
