@@ -28,7 +28,7 @@ PAGES = "(select page_id as file_key, regexp_replace(regexp_replace(url, '^[a-z]
 PLACES = """(select 'namespace' kind, r_regionkey::bigint as key, r_name as name, r_name as qualified, '' as owner, '' as namespace from region
  union all select 'module', n_nationkey::bigint, n_name, r_name || '.' || n_name, r_name, r_name from nation join region on n_regionkey = r_regionkey
  union all select 'class', c_custkey, c_name, r_name || '.' || n_name || '.' || c_name, r_name || '.' || n_name, r_name || '.' || n_name from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey)"""
-RECORDS = """(select event_id::varchar id, event_type kind, user_id::varchar repository, epoch_ms(ts) start_ms, epoch_ms(ts) + floor(coalesce(value, 0))::bigint end_ms,
+RECORDS = """(select event_id::varchar id, event_type kind, user_id::varchar repository, (epoch_us(ts) // 1000) start_ms, (epoch_us(ts) // 1000) + floor(coalesce(value, 0))::bigint end_ms,
  case when event_type = 'purchase' then 'success' else 'noop' end status, coalesce(try_cast(json_extract_string(props, '$.k') as bigint) > 90, false) detailed from events)"""
 LINES = f"(select file_key, path, language, i as line, string_split(content, chr(10))[i] as source from {FILES}, unnest(range(1, len(string_split(content, chr(10))) + 1)) t(i))"
 
