@@ -31,7 +31,7 @@ def write_arrays(path: str, arrays: dict[str, np.ndarray], **facts: object) -> N
 
 
 def open_arrays(path: str) -> tuple[dict[str, np.ndarray], dict]:
-    m = np.memmap(path, np.uint8, "r")
+    m = np.asarray(np.memmap(path, np.uint8, "r")).view(np.ndarray)
     n = int.from_bytes(m[:8].tobytes(), "little")
     head = json.loads(m[8 : 8 + n].tobytes())
     out = {}
@@ -119,15 +119,19 @@ class EliasFano:
         if not self.n or not len(todo):
             return out
         top, want = top[todo], v[todo] & _U((1 << self.bits) - 1)
-        at = np.zeros(len(todo), np.int64)
+        low = np.zeros(len(todo), np.int64)
         some = top > 0
-        at[some] = self._select(top[some] - 1, False) + 1
-        while len(todo):
-            on = (self.high[at >> 6] >> (at & 63).astype(np.uint64) & _U(1)).astype(bool)
-            todo, top, want, at = todo[on], top[on], want[on], at[on]
-            have = self.lows(at - top)
-            hit = have == want
-            out[todo[hit]] = (at - top)[hit]
-            on = have < want
-            todo, top, want, at = todo[on], top[on], want[on], at[on] + 1
+        low[some] = self._select(top[some] - 1, False) + 1 - top[some]
+        high = self._select(top, False) - top
+        at, end = low, high.copy()
+        open_ = np.flatnonzero(at < end)
+        while len(open_):  # the bucket's low bits rise: halve it
+            mid = (at[open_] + end[open_]) >> 1
+            less = self.lows(mid) < want[open_]
+            at[open_] = np.where(less, mid + 1, at[open_])
+            end[open_] = np.where(less, end[open_], mid)
+            open_ = open_[at[open_] < end[open_]]
+        inside = np.flatnonzero(at < high)
+        hit = inside[self.lows(at[inside]) == want[inside]]
+        out[todo[hit]] = at[hit]
         return out
