@@ -31,6 +31,7 @@ APART = frozenset("nav header footer aside form menu dialog".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CLOSES = {"p": frozenset({"p"}), "li": frozenset({"li"}), "dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"}), "td": frozenset({"td", "th"}), "th": frozenset({"td", "th"}), "tr": frozenset({"tr", "td", "th"}), "option": frozenset({"option"})}
 SCOPE = frozenset("article aside body blockquote div dl fieldset footer form header html main nav ol section table td th ul".split())
+CONTAINER = frozenset("article body center div fieldset html main section table tbody td".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar form".split())
 ASIDE = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|banner|breadcrumb|breadcrumbs|comment|comments|commentlist|consent|cookie|cookies|disqus|footer|gdpr|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|pagination|pager|popup|promo|promoted|recommended|related|respond|share|sharing|sidebar|signup|social|sponsor|sponsored|subscribe|toolbar|widget|widgets)(?:$|[\s_-])", re.I)
 _SPACE = re.compile(r"\s+")
@@ -115,6 +116,13 @@ class Page(HTMLParser):
             self.text.append(data)
 
 
+def below(page: Page, at: int, region: int) -> bool:
+    """Whether an element is the region or in it; elements are numbered as they begin."""
+    while at > region:
+        at = page.parent[at]
+    return at == region
+
+
 def content(page: Page) -> list[str]:
     lines = page.lines
     if not lines:
@@ -138,14 +146,13 @@ def content(page: Page) -> list[str]:
             held[at] = held.get(at, 0.0) + size[k]
             at = page.parent[at]
     named = [e for e, n in held.items() if page.name[e] in ("article", "main") and n >= 0.5 * total]
-    region = max(named, key=lambda e: (held[e], -e)) if named else max((e for e, n in held.items() if n >= SHARE * total), default=-1)
-    out = []
-    for text, at, _ in lines:
-        while at > region:
-            at = page.parent[at]
-        if at == region:
-            out.append(text)
-    return out
+    if named:
+        region = max(named, key=lambda e: (held[e], -e))
+    else:
+        region = max((e for e, n in held.items() if n >= SHARE * total and page.name[e] in CONTAINER), default=-1)
+        while region >= 0 and sum(below(page, at, region) for _, at, _ in lines) == 1 and (up := page.parent[region]) >= 0 and page.name[up] in CONTAINER - {"body", "html"}:
+            region = up  # a container of a single line is a paragraph by another name
+    return [text for text, at, _ in lines if below(page, at, region)]
 
 
 def main_text(html: str | None) -> str:
