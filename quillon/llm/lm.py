@@ -29,7 +29,7 @@ from .elias_fano import EliasFano, open_arrays, write_arrays
 
 ORDER = 3
 #: Tokens that a task counts before it sends.
-CHUNK = 3 << 20
+CHUNK = 2 << 20
 #: Text bytes for each shard of the trie, and of the vocabulary.
 SHARD_BYTES, VOCABULARY_BYTES = 10 << 20, 64 << 20
 #: The end of a text, and what stands before its first word, as a word hash.
@@ -48,7 +48,7 @@ def local(path: str) -> str:
     return path
 
 
-def streams(column: pa.Array, limit: int = 6 << 20):
+def streams(column: pa.Array, limit: int = 3 << 20):
     """(first row, tokens a row, hashes): each text's words and its end."""
     for i0, _, buf, offs in c.slices(column, limit):
         starts, _, h = c.words(buf, c.SPACED)
@@ -65,7 +65,9 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def small(counts: np.ndarray) -> bytes:
-    return counts.astype(np.uint32 if counts.max(initial=0) < 1 << 32 else np.uint64).view(np.uint8).reshape(len(counts), -1).T.tobytes()
+    """Counts by byte plane, in four bytes or eight."""
+    c_ = counts.astype(np.uint32 if counts.max(initial=0) < 1 << 32 else np.uint64)
+    return c_.view(np.uint8).reshape(-1, c_.itemsize).T.tobytes()
 
 
 def unsmall(b: bytes, n: int) -> np.ndarray:
@@ -204,8 +206,8 @@ class Model:
         row = np.repeat(np.arange(len(tokens)), tokens)
         known = np.bincount(row, counts[inverse] > 0, len(tokens)).astype(np.int64)
         b, of = ids[inverse], counts[inverse]
-        before = np.concatenate((ids[unique == END] if (unique == END).any() else [-1], b[:-1])).astype(np.int64)
-        end_count = int(counts[unique == END][0]) if (unique == END).any() else 0
+        end = self.vocabulary.ids(np.array([END])) if self.vocabulary.size else np.array([-1])
+        before, end_count = np.concatenate((end, b[:-1])), int(self.vocabulary.counts(end)[0])
         p = base.copy()
         if self.vocabulary.size and self.shards:
             w = self.weight(0, np.concatenate(([end_count], of[:-1])))
