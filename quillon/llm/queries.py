@@ -56,7 +56,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import contamination
 
-    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10).drop("longest_match")
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,5 +87,32 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
+_AZ = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = r"regexp_extract_all(" + _AZ + r", '[^\x20\x09-\x0D]+')"
+_ALNUM = r"regexp_extract_all(" + _AZ + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_B32 = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v >> {0}) & 31) + 1, 1)"
+
+_SQL = {
+    "op3_ngram_jaccard": f"""with recursive d as (select doc_id, {_WORDS} w from documents),
+ s as (select distinct doc_id, unnest(case when len(w) >= 3 then list_transform(range(1, len(w) - 1), lambda k: array_to_string(w[k:k + 2], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) g from d),
+ n as (select doc_id, count(*) n from s group by 1),
+ p as (select a.doc_id a, b.doc_id b, count(*) c from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+ e as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 90 * (x.n + y.n - c)),
+ u as (select a, b from e union all select b, a from e),
+ r as (select doc_id root, doc_id node from documents union select root, u.b from r join u on u.a = node)
+select doc_id, coalesce(n, 0)::bigint n_shingles, component_id from documents left join n using (doc_id) join (select root doc_id, min(node) component_id from r group by 1) using (doc_id)""",
+    "op7_warc": f"""with p as (select page_id, coalesce(url, '') url, coalesce(html, '') h from pages), q as (select *, sha1(h) x, min(page_id) over (partition by h) first from p)
+select page_id, strlen(h)::bigint payload_bytes, array_to_string(list_transform(list_transform(range(8), lambda g: ('0x' || substr(x, (g * 5 + 1)::int, 5))::bigint), lambda v: {" || ".join(_B32.format(k) for k in (15, 10, 5, 0))}), '') payload_digest,
+ case when page_id = first then 'response' else 'revisit' end record_type, case when page_id <> first then first end refers_to, url from q""",
+    "op10_decontamination": f"""with d as (select doc_id, {_ALNUM} w from documents), i as (select item_id, {_ALNUM} w from benchmark),
+ iw as (select distinct item_id, n, array_to_string(w[k:k + n - 1], ' ') g from (select item_id, w, least(10, len(w)) n, unnest(range(1, len(w) - least(10, len(w)) + 2)) k from i where len(w) > 0)),
+ dw as (select doc_id, n, k, array_to_string(w[k:k + n - 1], ' ') g from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) k from d, (select distinct n from iw) where len(w) >= n)),
+ h as (select doc_id, k, n, item_id from dw join iw using (n, g)),
+ c as (select doc_id, count(distinct p) n_hit from (select doc_id, unnest(range(k, k + n)) p from h) group by 1),
+ t as (select doc_id, count(distinct item_id) n_items, string_agg(distinct item_id::varchar, ',' order by item_id::varchar) ids from h group by 1)
+select doc_id, len(w)::bigint n_words, coalesce(n_hit, 0)::bigint n_hit, coalesce(n_items, 0)::bigint n_items, sha256(coalesce(ids, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated from d left join c using (doc_id) left join t using (doc_id)""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
