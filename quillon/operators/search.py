@@ -185,3 +185,32 @@ def filter_hint(projects: DataFrame, q: Query) -> str | None:
         return "`namespace:` takes a prefix of whole components; leave the `*` out."
     wanted = {f.value for f in q.of("lang") if not f.negate}
     return "A file has one language; `lang:` filters combine with AND." if len(wanted) > 1 else None
+
+
+def native_bound(occurrences: DataFrame, decls: DataFrame, includes: DataFrame) -> DataFrame:
+    """Native names by spelling: every compatible declaration may be meant, so all are uncertain but lexical locals.
+
+    occurrences(file_key, language, name, at), decls(file_key, language, name, qualified, kind,
+    start, end), includes(file_key, target). The nearest come first: 0 same file, 1 included, 2 other.
+    """
+    d = decls.select(F.col("file_key").alias("of"), F.col("language").alias("dl"), "name", F.col("qualified").alias("target"), "kind", "start", "end")
+    here = N.is_local("kind") & (F.col("file_key") == F.col("of")) & (F.col("at") >= F.col("start")) & (F.col("at") < F.col("end"))
+    pairs = occurrences.join(d, "name").where(N.compatible(F.col("language"), F.col("dl")) & (here | ~N.is_local("kind")))
+    inc = includes.select("file_key", F.col("target").alias("of"), F.lit(True).alias("included")).distinct()
+    pairs = pairs.join(inc, ["file_key", "of"], "left").withColumn("near", F.when(F.col("of") == F.col("file_key"), 0).when(F.col("included"), 1).otherwise(2))
+    local = N.is_local("kind")
+    pairs = pairs.withColumn("any_local", F.bool_or(local).over(Window.partitionBy("file_key", "at", "name"))).where(local | ~F.col("any_local"))
+    return pairs.select("file_key", "at", "name", "target", "near", (~local).alias("uncertain"))
+
+
+def native_derived(decls: DataFrame, base: str) -> DataFrame:
+    """Types that write a base of that name, directly: templates and access words don't count. No closure; uncertain, as the name may be another's."""
+    written = lambda b: N.native_simple_name(F.regexp_replace(b, r"^\s*(?:virtual\s+|public\s+|protected\s+|private\s+)+", ""))
+    return decls.where(F.exists("bases", lambda b: written(b) == base)).withColumn("uncertain", F.lit(True))
+
+
+def asset_text(fragments: DataFrame, objects: DataFrame, needle: str, loose: bool = False, most: int = 512) -> DataFrame:
+    """Matches in retained fragments(asset, path, start, text) with the object(asset, start, end, label) they lie in."""
+    f = fragments.select(F.struct("asset", "start").alias("file_key"), "path", F.col("text").alias("content"))
+    hit = text_matches(f, needle, loose).select(F.col("file_key.asset").alias("asset"), "path", (F.col("file_key.start") + F.col("at")).alias("at"), F.substring("source", 1, most).alias("excerpt"))
+    return hit.join(J.last_before(objects, hit.select("asset", "at").distinct(), ["asset"]), ["asset", "at"], "left")
