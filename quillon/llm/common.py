@@ -8,6 +8,7 @@ place. Spans that differ collide with a chance near 2**-64 a pair.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -37,12 +38,25 @@ ALNUM = np.zeros(256, bool)
 ALNUM[48:58] = ALNUM[65:91] = ALNUM[97:123] = ALNUM[128:] = True
 
 
+#: Rows and bytes of the batches that reach Python; the functions here slice further.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.execution.arrow.maxBytesPerBatch": 16 << 20}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's batch limits to BATCH, which bounds what a worker and its executor hold."""
+    for key, most in BATCH.items():
+        now = re.match(r"\d+", spark.conf.get(key, None) or "0")[0]
+        if not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
     """A new folder in the one that the cluster names; a temporary one only where none is named."""
+    small_batches(spark)
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         base = tempfile.mkdtemp(prefix="quillon-")
