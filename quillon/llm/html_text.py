@@ -26,6 +26,7 @@ SHARE = 0.9
 
 # HTML element names by role, and words of class and id names that tell a block's role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+HEADED = frozenset("base basefont bgsound head link meta noframes noscript script style template title".split())
 SILENT = frozenset("head script style noscript template iframe object svg math canvas select textarea button audio video map datalist".split())
 APART = frozenset("nav header footer aside form menu dialog".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -35,6 +36,7 @@ CONTAINER = frozenset("article body center div fieldset html main section table
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar form".split())
 ASIDE = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|banner|breadcrumb|breadcrumbs|comment|comments|commentlist|consent|cookie|cookies|disqus|footer|gdpr|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|pagination|pager|popup|promo|promoted|recommended|related|respond|share|sharing|sidebar|signup|social|sponsor|sponsored|subscribe|toolbar|widget|widgets)(?:$|[\s_-])", re.I)
 _SPACE = re.compile(r"\s+")
+_LONG = re.compile(r"&#(\d{100,})")
 
 
 class Page(HTMLParser):
@@ -46,6 +48,26 @@ class Page(HTMLParser):
         self.lines: list[tuple[str, int, int]] = []  # text, number of the element, tags
         self.text: list[str] = []
         self.tags = 0
+        self.past = False  # whether the head was closed by what can't stand in it
+
+    def parse_marked_section(self, i, report=1):
+        """A comment up to the next '>', as in browsers; the library's own raises, or goes on to a far ']>'."""
+        return self.parse_bogus_comment(i, report)
+
+    def end_head(self, tag: str) -> None:
+        """Close an open head before what can't stand in it: its end tag is optional."""
+        for k in range(len(self.open) - 1, -1, -1):
+            name = self.open[k][0]
+            if name == "head":
+                if tag == "body" or k == len(self.open) - 1 and tag not in HEADED:
+                    del self.open[k:]
+                    self.past = True
+                return
+            if name == "template" or name in SCOPE:
+                return
+            if name == "title" and tag == "body" and self.past:
+                del self.open[k:]
+                return
 
     def flush(self) -> None:
         text = _SPACE.sub(" ", "".join(self.text)).strip()
@@ -60,6 +82,7 @@ class Page(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         self.tags += 1
+        self.end_head(tag)
         if tag in VOID:
             if tag in BLOCK:
                 self.flush()
@@ -75,7 +98,7 @@ class Page(HTMLParser):
                     break
                 if self.open[k][0] in SCOPE:
                     break
-        shut = self.shut() or tag in SILENT
+        shut = self.shut() or tag in SILENT or tag == "title" and self.past
         if not shut and (self.open or tag != "html") and tag != "body":
             shut = tag in APART
             for key, value in attrs:
@@ -112,6 +135,8 @@ class Page(HTMLParser):
                 return
 
     def handle_data(self, data):
+        if self.open and self.open[-1][0] == "head" and data.strip():
+            self.end_head("")
         if not self.shut():
             self.text.append(data)
 
@@ -160,11 +185,8 @@ def main_text(html: str | None) -> str:
     if not html:
         return ""
     page = Page()
-    try:
-        page.feed(html)
-        page.close()
-    except (AssertionError, ValueError):  # a broken declaration: keep what has been read
-        pass
+    page.feed(_LONG.sub(lambda m: "&#" + (m[1].lstrip("0")[:8] or "0"), html))  # int() refuses thousands of digits
+    page.close()
     page.flush()
     return "\n\n".join(content(page))
 

@@ -432,3 +432,24 @@ def test_pipeline_on_hard_tables(spark, tmp_path):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns, name
         assert stage(spark, docs.where(F.lit(False)), str(tmp_path)).count() == 0, name
+@pytest.mark.parametrize("mark", ["<![foo[..]]>", "<![ x]>", "<![if x>", "<!foo [>", "&#" + "9" * 5000 + ";"])
+def test_html_goes_on_after_a_broken_declaration(mark):
+    got = html_text.main_text(f"<body><p>One one one.</p>{mark}<p>Two two two.</p></body>")
+    assert got.startswith("One one one.") and got.endswith("Two two two.")
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<html><head><title>T</title><body><p>One.</p></body></html>", "One."),
+        ("<head><title>T<body><p>One.", "One."),
+        ("<head><title>T</title><script>x()</script><div>One.</div>", "One."),
+        ("<head><title>T</title>One <b>two</b>.", "One two."),
+        ("<head><img src=x><title>T</title><body><p>One.</p>", "One."),
+        ("<head><noscript><div>No script</div></noscript><template><div>No</div></template><title>T</title></head><body><p>One.</p>", "One."),
+    ],
+)
+def test_html_open_head(html, text):
+    assert html_text.main_text(html) == text
+
+
