@@ -5,7 +5,7 @@ Which pieces go together depends on their lengths only, so it is planned on the
 lengths: bins of like content are one pattern with a count, however many pieces there are. Best-fit
 decreasing makes the patterns; then the emptiest bin hands its pieces on to other underfull bins by
 moves, one-for-one and two-for-one exchanges, each of which raises the sum of squared fills, until
-it is empty or nothing fits. Pieces then take the slots of their length by rank.
+it is empty or nothing fits; so do all underfull patterns, each with all its copies. Pieces then take the slots of their length by rank.
 """
 
 from __future__ import annotations
@@ -25,8 +25,6 @@ from . import common as c
 
 SEQUENCE = 2048
 END_ID = 0
-#: Bins that the local search tries to empty before it gives up.
-TRIES = 64
 #: Pieces of one length in a bucket that is ranked by one task, about.
 BUCKET = 100_000
 
@@ -170,24 +168,36 @@ def exchange(victim: tuple[int, ...], bins: Bins) -> tuple[tuple[int, ...], tupl
     return None
 
 
-def improve(bins: Bins, tries: int = TRIES) -> Bins:
-    """Local search from the emptiest bin on, until the bound on bins is met or nothing helps."""
+def shift(victim: tuple[int, ...], bins: Bins) -> tuple[tuple[int, ...], int] | None:
+    """One exchange, made by as many copies of the victim as find a partner alike: what is left of them, and how many."""
+    n = bins.by[bins.most - sum(victim)][victim]
+    bins.take(victim, 1)
+    found = exchange(victim, bins)
+    bins.add(victim, 1)
+    if not found:
+        return None
+    pattern, gives, gets = found
+    k = n // 2 if pattern == victim else min(n, bins.by[bins.most - sum(pattern)][pattern])
+    bins.take(victim, k)
+    bins.take(pattern, k)
+    bins.add(_less(pattern, gives, gets), k)
+    rest = _less(victim, gets, gives)
+    if rest:
+        bins.add(rest, k)
+    return rest, k
+
+
+def improve(bins: Bins) -> Bins:
+    """Local search from the emptiest bin on, over every underfull pattern, until the bound on bins is met or nothing helps."""
     total = sum(sum(p) * n for x in bins.by.values() for p, n in x.items())
-    least, count, kept = -(-total // bins.most), bins.count(), []
-    while count > least and len(kept) < tries and bins.rooms and bins.rooms[-1]:
-        victim = next(iter(bins.by[bins.rooms[-1]]))
-        bins.take(victim, 1)
-        while victim and (found := exchange(victim, bins)):
-            pattern, gives, gets = found
-            bins.take(pattern, 1)
-            bins.add(_less(pattern, gives, gets), 1)
-            victim = _less(victim, gets, gives)
-        if victim:
-            kept.append(victim)
-        else:
-            count -= 1
-    for victim in kept:
-        bins.add(victim, 1)
+    least, count, moved = -(-total // bins.most), bins.count(), True
+    while count > least and moved:
+        moved, failed = False, set()
+        while count > least and (victim := next((p for room in reversed(bins.rooms) if room for p in bins.by[room] if p not in failed), None)):
+            while victim and (found := shift(victim, bins)):
+                (victim, n), moved = found, True
+                count -= 0 if victim else n
+            failed.add(victim)
     return bins
 
 

@@ -236,6 +236,28 @@ def test_local_search_empties_bins():
     assert before == after and bins.count() == 4
 
 
+@pytest.mark.parametrize("copies", [1, 64, 5000])
+def test_local_search_goes_on_past_copies_that_fail(copies):
+    bins = packing.Bins(2048)
+    bins.add((1030,), 300 * copies)  # emptiest: no two share a bin
+    for p in ((1032, 400), (1040, 404), (1100, 500)):
+        bins.add(p, copies)
+    bins.add((700, 600, 300), copies)
+    bins.add((1400, 200), copies)
+    before = Counter()
+    for b in bins.by.values():
+        for p, n in b.items():
+            before.update({x: c * n for x, c in Counter(p).items()})
+    first = bins.count()
+    packing.improve(bins)
+    after = Counter()
+    for b in bins.by.values():
+        for p, n in b.items():
+            after.update({x: c * n for x, c in Counter(p).items()})
+            assert sum(p) <= 2048
+    assert before == after and bins.count() <= first - copies
+
+
 # ---- language model
 
 
