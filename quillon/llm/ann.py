@@ -7,7 +7,8 @@ scores, and the best are scored again on the original vectors.
 
 Lists are cut into chunks of bounded size by a hash of the id, and so are the queries of a list:
 no task holds more than a chunk of each, whatever third of the vectors shares a list. How many
-lists a query visits is measured on the sample when the index is fitted.
+lists a query visits at least is measured on the sample when the index is fitted; it goes on down
+its order until the lists hold several times the rows it asks for.
 """
 
 from __future__ import annotations
@@ -124,16 +125,23 @@ def nearest(embeddings: DataFrame, queries: str, k: int = 20, id_col: str = "vec
 
     lists = c.stored(rows.dropDuplicates(["id", "v"]).mapInArrow(filed, "id long, list int, code binary, v binary"))
 
+    sizes = np.zeros(len(index.centres), np.int64)
+    for r in lists.groupBy("list").count().collect():
+        sizes[r[0]] = r[1]
+
     def asked(batches):
         for batch in batches:
             x = matrix(batch["v"])
             if len(x):
-                to = handed.value.promise(x)[:, : handed.value.probes]
-                n = to.shape[1]
-                yield pa.record_batch([pa.array(np.repeat(batch["id"].to_numpy(), n)), pa.array(to.ravel().astype(np.int32)), pa.array([r.tobytes() for r in x for _ in range(n)], pa.binary())], names=["q", "list", "qv"])
+                to = handed.value.promise(x)
+                held = np.cumsum(sizes[to], axis=1)
+                short = held < RERANK * k + batch["own"].to_numpy()[:, None]  # an id's own rows are no candidates
+                n = np.minimum(np.maximum(short.sum(1) + 1, handed.value.probes), to.shape[1])
+                go = np.arange(to.shape[1]) < n[:, None]
+                yield pa.record_batch([pa.array(np.repeat(batch["id"].to_numpy(), n)), pa.array(to[go].astype(np.int32)), pa.array([r.tobytes() for r, m in zip(x, n.tolist(), strict=True) for _ in range(m)], pa.binary())], names=["q", "list", "qv"])
 
     cut = lists.groupBy("list").agg(F.count("*").alias("n")).selectExpr("list", f"cast(ceil(n / {CHUNK}) as int) chunks")
-    probes = rows.where(queries).dropDuplicates(["id", "v"]).mapInArrow(asked, "q long, list int, qv binary")
+    probes = rows.where(queries).dropDuplicates(["id", "v"]).withColumn("own", F.count("*").over(Window.partitionBy("id"))).mapInArrow(asked, "q long, list int, qv binary")
     qcut = probes.groupBy("list").agg(F.count("*").alias("n")).selectExpr("list", f"cast(ceil(n / {QUERIES}) as int) blocks")
     cuts = cut.join(qcut, "list")
     left = lists.join(cuts, "list").selectExpr("list", "cast(pmod(xxhash64(id), chunks) as int) chunk", "explode(sequence(0, blocks - 1)) block", "id", "code", "v")
@@ -151,12 +159,11 @@ def nearest(embeddings: DataFrame, queries: str, k: int = 20, id_col: str = "vec
             q = np.frombuffer(b"".join(b["qv"].to_pylist()), float).reshape(len(qs), dim)
             keep = RERANK * k
             for i in range(len(qs)):
-                near = np.arange(len(ids))
-                if len(ids) > keep:
+                near = np.flatnonzero(ids != qs[i])
+                if len(near) > keep:
                     t = own.tables(q[i : i + 1])[0]
-                    rough = q[i] @ at + t[np.arange(len(t)), codes].sum(1)
-                    near = np.sort(np.argsort(-rough, kind="stable")[:keep])  # equal codes: smaller ids first
-                near = near[ids[near] != qs[i]]
+                    rough = q[i] @ at + t[np.arange(len(t)), codes[near]].sum(1)
+                    near = near[np.sort(np.argsort(-rough, kind="stable")[:keep])]  # equal codes: smaller ids first
                 s = exact(x[near], q[i])
                 best = np.argsort(-s, kind="stable")[:k]
                 out.append((np.full(len(best), qs[i]), ids[near][best], s[best]))

@@ -373,6 +373,22 @@ def test_ann(spark):
     assert sorted(r.vec_id for r in ann.nearest(df.where("vec_id < 3"), "id = 0", k=20).collect()) == [1, 2]
 
 
+def test_ann_gives_k_rows_to_outliers(spark):
+    r = np.random.default_rng(3)
+    y = r.normal(size=(50, 24))
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    x = np.concatenate((np.repeat(y[:10], 300, 0), y[10:]))  # ten groups of copies, and lists that hold one row
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for q in ann.nearest(df, "id >= 3000 or id % 500 = 0").collect():
+        got.setdefault(q.query_id, {})[q.rank] = q.vec_id
+    assert set(got) == {*range(0, 3000, 500), *range(3000, 3040)}
+    for q, found in got.items():
+        s = (x * x[q]).sum(1)
+        s[q] = -9
+        assert [found[k] for k in range(1, 21)] == np.lexsort((np.arange(len(x)), -s))[:20].tolist()
+
+
 # ---- language and quality
 
 
@@ -431,6 +447,27 @@ def test_html(html, text):
     assert html_text.main_text(html) == text
 
 
+@pytest.mark.parametrize("mark", ["<![foo[..]]>", "<![ x]>", "<![if x>", "<!foo [>", "&#" + "9" * 5000 + ";"])
+def test_html_goes_on_after_a_broken_declaration(mark):
+    got = html_text.main_text(f"<body><p>One one one.</p>{mark}<p>Two two two.</p></body>")
+    assert got.startswith("One one one.") and got.endswith("Two two two.")
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<html><head><title>T</title><body><p>One.</p></body></html>", "One."),
+        ("<head><title>T<body><p>One.", "One."),
+        ("<head><title>T</title><script>x()</script><div>One.</div>", "One."),
+        ("<head><title>T</title>One <b>two</b>.", "One two."),
+        ("<head><img src=x><title>T</title><body><p>One.</p>", "One."),
+        ("<head><noscript><div>No script</div></noscript><template><div>No</div></template><title>T</title></head><body><p>One.</p>", "One."),
+    ],
+)
+def test_html_open_head(html, text):
+    assert html_text.main_text(html) == text
+
+
 def test_html_table(spark):
     df = spark.createDataFrame([(1, "u", "<p>é</p>", "t"), (1, None, None, "t")], "page_id long, url string, html string, text string")
     assert Counter(map(tuple, html_text.extracted(df).collect())) == Counter([(1, "u", "é", 1), (1, None, "", 0)])
@@ -454,24 +491,3 @@ def test_pipeline_on_hard_tables(spark, tmp_path):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns, name
         assert stage(spark, docs.where(F.lit(False)), str(tmp_path)).count() == 0, name
-@pytest.mark.parametrize("mark", ["<![foo[..]]>", "<![ x]>", "<![if x>", "<!foo [>", "&#" + "9" * 5000 + ";"])
-def test_html_goes_on_after_a_broken_declaration(mark):
-    got = html_text.main_text(f"<body><p>One one one.</p>{mark}<p>Two two two.</p></body>")
-    assert got.startswith("One one one.") and got.endswith("Two two two.")
-
-
-@pytest.mark.parametrize(
-    ("html", "text"),
-    [
-        ("<html><head><title>T</title><body><p>One.</p></body></html>", "One."),
-        ("<head><title>T<body><p>One.", "One."),
-        ("<head><title>T</title><script>x()</script><div>One.</div>", "One."),
-        ("<head><title>T</title>One <b>two</b>.", "One two."),
-        ("<head><img src=x><title>T</title><body><p>One.</p>", "One."),
-        ("<head><noscript><div>No script</div></noscript><template><div>No</div></template><title>T</title></head><body><p>One.</p>", "One."),
-    ],
-)
-def test_html_open_head(html, text):
-    assert html_text.main_text(html) == text
-
-
