@@ -322,10 +322,17 @@ def trigram_similarity(spark, sf):
 
 @query("select item_id, count(*)::bigint as n from benchmark join documents on contains(documents.text, benchmark.text) group by 1")
 def passage_occurrence(spark, sf):
-    """Exact passages: the passage's first words block the join; the whole is then looked for."""
-    b = M.read(spark, sf, "benchmark").select("item_id", F.col("text").alias("p")).withColumn("k", F.array_join(F.slice(X.tokens("p"), 2, 4), " "))
-    d = M.read(spark, sf, "documents").select("doc_id", "text", F.explode(F.array_distinct(X.runs(X.tokens("text"), 4, " "))).alias("k"))
-    return d.join(b, "k").where(F.contains("text", "p")).groupBy("item_id").agg(F.count_distinct("doc_id").alias("n"))
+    """Exact passages: words inside the passage, which are whole ones in any text that holds it, block the join; the whole is then looked for."""
+    plain = lambda t: F.regexp_extract_all(F.col(t), F.lit(r"([\p{L}\p{N}_]+)"), 1)
+    b = M.read(spark, sf, "benchmark").select("item_id", F.col("text").alias("p"), plain("text").alias("w")).where("p is not null")
+    b = b.withColumn("w", F.slice("w", F.lit(2), F.least(F.greatest(F.size("w") - 2, F.lit(0)), F.lit(4))))
+    b = b.select("item_id", "p", F.size("w").alias("n"), F.array_join("w", " ").alias("k"))
+    d = M.read(spark, sf, "documents").select("text")
+    found = d.join(F.broadcast(b.where("n = 0")), F.contains("text", "p")).select("item_id")  # no word to go by
+    for n in sorted(r[0] for r in b.where("n > 0").select("n").distinct().collect()):
+        keys = d.select("text", F.explode(F.array_distinct(X.runs(plain("text"), n, " "))).alias("k"))
+        found = found.unionByName(keys.join(b.where(F.col("n") == n), "k").where(F.contains("text", "p")).select("item_id"))
+    return found.groupBy("item_id").agg(F.count("*").alias("n"))
 
 
 @query()

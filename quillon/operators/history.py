@@ -42,24 +42,42 @@ def mutual_best(scored: DataFrame) -> DataFrame:
     return out.where((F.col("score") >= ACCEPT) & win("old") & win("new")).select("old", "new", "score")
 
 
-def shared_shingles(old: DataFrame, new: DataFrame, most: int = 65_536) -> DataFrame:
-    """(old, new): candidates that share a token trigram held by few texts; all of them for short texts."""
-    s = lambda df, side: df.select(F.col("key").alias(side), F.explode(X.trigrams(X.tokens("text"))).alias("g"))
-    a, b = s(old, "old"), s(new, "new")
-    na, nb = a.groupBy("g").agg(F.count("*").alias("na")), b.groupBy("g").agg(F.count("*").alias("nb"))
-    rare = na.join(nb, "g").where(F.col("na") * F.col("nb") <= most).select("g")
-    return a.join(rare, "g", "left_semi").join(b.join(rare, "g", "left_semi"), "g").select("old", "new").distinct()
+def shared_shingles(old: DataFrame, new: DataFrame, least: int = ACCEPT - MARGIN, chunk: int = 1024) -> DataFrame:
+    """(old, new): every pair of texts(key, text), of different texts a side, whose similarity can reach `least`.
+
+    Such a pair shares a trigram among the rarest of each, all but (least / (200 - least)) of them. A
+    trigram's texts are joined in chunks. Texts of no trigram pair up with those of equal tokens.
+    """
+    texts = lambda df, side: df.select(F.col("key").alias("id"), F.lit(side).alias("side"), X.tokens("text").alias("w")).where("w is not null")
+    both = texts(old, "old").unionByName(texts(new, "new")).withColumn("t", X.trigrams(F.col("w")))
+    grams = both.select("id", "side", F.size("t").alias("size"), F.explode("t").alias("g"))
+    held = grams.groupBy("g").agg(*[F.count(F.when(F.col("side") == s, 1)).alias(f"n_{s}") for s in ("old", "new")])
+    rare = Window.partitionBy("side", "id").orderBy(F.col("n_old") + F.col("n_new"), "g")
+    first = grams.join(held, "g").withColumn("r", F.row_number().over(rare)).where(F.col("r") <= F.col("size") - F.ceil(F.col("size") * least / (200 - least)) + 1)
+    first = first.where("n_old > 0 and n_new > 0")
+    own = lambda side: F.pmod(F.xxhash64("id"), F.ceil(F.col(f"n_{side}") / chunk)).cast("long")
+    all_ = lambda side: F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col(f"n_{side}") / chunk).cast("long") - 1))
+    a = first.where("side = 'old'").select("g", F.col("id").alias("old"), F.col("size").alias("x"), own("old").alias("i"), all_("new").alias("j"))
+    b = first.where("side = 'new'").select("g", F.col("id").alias("new"), F.col("size").alias("y"), own("new").alias("j"), all_("old").alias("i"))
+    pairs = a.join(b, ["g", "i", "j"]).where(F.least("x", "y") * 200 >= (F.col("x") + F.col("y")) * least).select("old", "new")
+    bare = lambda side: both.where((F.col("side") == side) & (F.size("t") == 0)).select(F.col("id").alias(side), "w")
+    return pairs.unionByName(bare("old").join(bare("new"), "w").select("old", "new")).distinct()
 
 
 def renames(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Removed to added texts(key, text): first those of equal blobs on one side each, then mutual bests by similarity."""
-    blob = lambda df, side: df.groupBy(F.md5("text").alias("b")).agg(F.count("*").alias(f"n_{side}"), F.min("key").alias(side))
-    same = blob(old, "old").join(blob(new, "new"), "b").where("n_old = 1 and n_new = 1").select("old", "new", F.lit(100).cast("int").alias("score"))
-    a = old.join(same.select(F.col("old").alias("key")), "key", "left_anti")
-    b = new.join(same.select(F.col("new").alias("key")), "key", "left_anti")
-    pairs = shared_shingles(a, b).join(a.select(F.col("key").alias("old"), F.col("text").alias("x")), "old").join(b.select(F.col("key").alias("new"), F.col("text").alias("y")), "new")
+    """Removed to added texts(key, text): first those of equal blobs on one side each, then mutual bests by similarity.
+
+    Equal texts of a side stand as one in the search; they tie, so none of them is matched, but they remain rivals.
+    """
+    blob = lambda df, side: df.where("text is not null").groupBy("text").agg(F.count("*").alias(f"n_{side}"), F.min("key").alias(side))
+    a, b = blob(old, "old"), blob(new, "new")
+    same = a.join(b, "text").where("n_old = 1 and n_new = 1").select("old", "new", F.lit(100).cast("int").alias("score"))
+    a, b = a.join(same.select("old"), "old", "left_anti"), b.join(same.select("new"), "new", "left_anti")
+    pairs = shared_shingles(a.select(F.col("old").alias("key"), "text"), b.select(F.col("new").alias("key"), "text"))
+    pairs = pairs.join(a.select("old", F.col("text").alias("x")), "old").join(b.select("new", F.col("text").alias("y")), "new")
     scored = pairs.select("old", "new", X.similarity(X.tokens("x"), X.tokens("y")).alias("score"))
-    return same.unionByName(mutual_best(scored))
+    found = mutual_best(scored).join(a.where("n_old = 1").select("old"), "old", "left_semi").join(b.where("n_new = 1").select("new"), "new", "left_semi")
+    return same.unionByName(found.select("old", "new", "score"))
 
 
 def passage(words_a: Column, words_b: Column) -> Column:

@@ -174,3 +174,35 @@ def test_incremental(spark):
     assert rows(ch) == [("x", "changed"), ("y", "removed"), ("z", "added")]
     out = incremental.applied(a, ch, b.where("file_key in ('x', 'z')"))
     assert rows(out) == [("x", "2"), ("z", "1")]
+
+
+def test_renames_lose_no_pair_of_common_trigrams(spark):
+    head = " ".join(f"h{k % 7}{k}" for k in range(40))
+    tail = lambda s, k: " ".join(f"{s}{k}x{j}" for j in range(60))
+    old = {k: f"{head} {tail('o', k)}" for k in range(300)} | {900: head + " one", 901: "a b", 902: "twice the very same words", 903: "twice the very same words", 904: "p q r s t u v w x y z a b c d"}
+    new = {k: f"{head} {tail('n', k)}" for k in range(1000, 1300)} | {1900: head + " two", 1901: "a  b", 1902: "twice the very same words", 1904: "p q r s t u v w x y z a b c e", 1905: "p q r s t u v w x y z a b c e"}
+    grams = {k: {tuple(t.split()[i : i + 3]) for i in range(len(t.split()) - 2)} for k, t in (old | new).items()}
+    score = {}
+    for i, s in old.items():
+        for j, t in new.items():
+            both = len(grams[i]) + len(grams[j])
+            score[i, j] = 100 if s.split() == t.split() else 200 * len(grams[i] & grams[j]) // both if grams[i] and grams[j] else 0
+    want = set()
+    for (i, j), n in score.items():
+        rivals = [score[i, k] for k in new if k != j] + [score[k, j] for k in old if k != i]
+        if n >= 60 and n - max(rivals) > 6:
+            want.add((i, j, n))
+    df = lambda x: spark.createDataFrame(list(x.items()), "key long, text string")
+    assert {(900, 1900), (901, 1901)} == {w[:2] for w in want}
+    assert {tuple(r) for r in history.renames(df(old), df(new)).collect()} == want
+
+
+def test_passages_of_few_words_and_inside_quotes(spark, tmp_path):
+    from quillon import catalog
+
+    docs = ["say 'x' then", 'he said "the quick brown fox jumps over it" twice', "one two three four five sixteen", "tiny", None, "!!"]
+    items = ["x", "quick brown fox jumps over", "two three four five six", "tin", "!", "one two", "not here at all my friend"]
+    spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    want = {k: n for k, p in enumerate(items) if (n := sum(p in (t or "") for t in docs))}
+    assert dict(catalog.passage_occurrence(spark, str(tmp_path)).collect()) == want
