@@ -316,10 +316,23 @@ def _grams(w: str) -> str:
 select doc_id, (case when w = v then 100 when len(a) = 0 or len(b) = 0 then 0 else (200 * len(list_intersect(a, b))) // (len(a) + len(b)) end)::int as similarity from g""")
 def trigram_similarity(spark, sf):
     d = M.read(spark, sf, "documents").where("not contains(text, '\"') and not contains(text, '\\'')").select("doc_id", X.tokens(F.substring("text", 1, 2000)).alias("w"))
-    d = d.withColumn("v", F.lead("w").over(Window.partitionBy(F.lit(0)).orderBy("doc_id"))).where("v is not null")
+    # the next document stands in the same range of ids, or first in the next one that holds any
+    d = d.withColumn("range", F.coalesce(F.expr("doc_id div 1024"), F.lit(-(1 << 62))))
+    ranges = d.groupBy("range").agg(F.min_by("w", F.coalesce("doc_id", F.lit(-(1 << 62)))).alias("first"))
+    before = ranges.select("range").withColumn("before", F.lag("range").over(Window.orderBy("range")))
+    follow = before.join(ranges, "range").select(F.col("before").alias("range"), "first")
+    d = d.withColumn("v", F.lead("w").over(Window.partitionBy("range").orderBy("doc_id"))).join(follow, "range", "left")
+    d = d.withColumn("v", F.coalesce("v", "first")).where("v is not null")
     return d.select("doc_id", X.similarity(F.col("w"), F.col("v")).alias("similarity"))
 
 
+@query()
+def benchmark_similarity(spark, sf):
+    """Whole texts of all documents against those of the benchmark."""
+    key = lambda name, id_: M.read(spark, sf, name).select(F.col(id_).alias("key"), "text")
+    return history.similar(key("documents", "doc_id"), key("benchmark", "item_id")).select(F.col("old").alias("doc_id"), F.col("new").alias("item_id"), "similarity")
+
+
 @query("select item_id, count(*)::bigint as n from benchmark join documents on contains(documents.text, benchmark.text) group by 1")
 def passage_occurrence(spark, sf):
     """Exact passages: words inside the passage, which are whole ones in any text that holds it, block the join; the whole is then looked for."""

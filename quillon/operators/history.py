@@ -42,6 +42,17 @@ def mutual_best(scored: DataFrame) -> DataFrame:
     return out.where((F.col("score") >= ACCEPT) & win("old") & win("new")).select("old", "new", "score")
 
 
+def similar(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(old, new, similarity) of all pairs of whole texts(key, text) that share a trigram, or whose tokens are equal; keys are unique."""
+    t = lambda df, side: df.select(F.col("key").alias(side), X.tokens("text").alias("w")).where("w is not null").withColumn("t", X.trigrams(F.col("w")))
+    a, b = t(old, "old"), t(new, "new")
+    grams = lambda df, side, size: df.select(side, F.size("t").alias(size), F.explode("t").alias("g"))
+    shared = grams(a, "old", "x").join(grams(b, "new", "y"), "g").groupBy("old", "new", "x", "y").agg(F.count("*").alias("n"))
+    bare = a.where(F.size("t") == 0).select("old", "w").join(b.where(F.size("t") == 0).select("new", "w"), "w").select("old", "new", F.lit(100).cast("int").alias("similarity"))
+    # equal sets of trigrams give 100 as equal token lists do
+    return shared.select("old", "new", F.floor(F.col("n") * 200 / (F.col("x") + F.col("y"))).cast("int").alias("similarity")).unionByName(bare)
+
+
 def shared_shingles(old: DataFrame, new: DataFrame, least: int = ACCEPT - MARGIN, chunk: int = 1024) -> DataFrame:
     """(old, new): every pair of texts(key, text), of different texts a side, whose similarity can reach `least`.
 

@@ -206,3 +206,27 @@ def test_passages_of_few_words_and_inside_quotes(spark, tmp_path):
     spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     want = {k: n for k, p in enumerate(items) if (n := sum(p in (t or "") for t in docs))}
     assert dict(catalog.passage_occurrence(spark, str(tmp_path)).collect()) == want
+
+
+def test_similarity_of_whole_texts(spark):
+    long = " ".join(f"w{k}" for k in range(1500))
+    a = {1: long + " same end of both texts", 2: "other words " * 400 + "same end of both texts", 3: "it's \"quoted\" here", 4: "a b", 5: "", 6: "nothing in common at all"}
+    b = {1: long, 2: "same end of both texts", 3: "it's \"quoted\" here too", 4: "a  b", 5: "x"}
+    df = lambda x: spark.createDataFrame(list(x.items()), "key long, text string")
+    words = lambda t: ["it", "'", "s", '"quoted"', *t.split()[2:]] if "quoted" in t else t.split()
+    grams = lambda w: {tuple(w[k : k + 3]) for k in range(len(w) - 2)}
+    want = set()
+    for i, s in a.items():
+        for j, t in b.items():
+            x, y = grams(words(s)), grams(words(t))
+            if words(s) == words(t) or x & y:
+                want.add((i, j, 100 if words(s) == words(t) else 200 * len(x & y) // (len(x) + len(y))))
+    assert {tuple(r) for r in history.similar(df(a), df(b)).collect()} == want and {w[:2] for w in want} == {(1, 1), (1, 2), (2, 2), (3, 3), (4, 4)}
+
+
+def test_neighbours_across_ranges_of_ids(spark, tmp_path):
+    from quillon import catalog
+
+    ids = [0, 1, 1023, 1024, 5000, 5001, 90000]
+    spark.createDataFrame([(k, "a b c d " + "e " * (k % 3)) for k in ids], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(r.doc_id for r in catalog.trigram_similarity(spark, str(tmp_path)).collect()) == ids[:-1]
