@@ -8,15 +8,15 @@ place. Spans that differ collide with a chance near 2**-64 a pair.
 
 from __future__ import annotations
 
-import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SLICE = 1 << 20
@@ -42,12 +42,21 @@ ALNUM[48:58] = ALNUM[65:91] = ALNUM[97:123] = ALNUM[128:] = True
 BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.execution.arrow.maxBytesPerBatch": 16 << 20}
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Lowers the session's batch limits to BATCH, which bounds what a worker and its executor hold."""
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Lowers the session's batch limits to BATCH for what runs inside: this bounds what a worker and its executor hold."""
+    was = {key: spark.conf.get(key, None) for key in BATCH}
     for key, most in BATCH.items():
-        now = re.match(r"\d+", spark.conf.get(key, None) or "0")[0]
-        if not 0 < int(now) <= most:
+        if not (str(was[key]).isdigit() and 0 < int(was[key]) <= most):
             spark.conf.set(key, str(most))
+    try:
+        yield
+    finally:
+        for key, value in was.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+_OWN: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,20 +64,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder in the one that the cluster names; a temporary one only where none is named."""
-    small_batches(spark)
+    """A new folder in the one that the cluster names; a temporary one only where none is named and all run on this machine."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = tempfile.mkdtemp(prefix="quillon-")
-        spark.sparkContext.setCheckpointDir(base)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        base = _OWN.setdefault("dir", "") or tempfile.mkdtemp(prefix="quillon-")
+        _OWN["dir"] = base
     return f"{base.rstrip('/')}/q-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, by: list[str] | None = None) -> DataFrame:
+def stored(df: DataFrame) -> DataFrame:
     """df written as Parquet in the shared folder and read again: lineage ends, a lost executor costs nothing."""
     path = shared_dir(df.sparkSession)
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(*by) if by else writer).parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -261,11 +271,13 @@ class Bitmap:
 
 
 class Joined:
-    """Union-find over the rows of one task."""
+    """Union-find over the rows of one task; `same`: rows known to be one already."""
 
-    def __init__(self, n: int):
+    def __init__(self, n: int, same: np.ndarray | None = None):
         self.label = np.arange(n)
         self.edges: list[tuple[int, int]] = []
+        if same is not None and same.any():
+            self.label[same] = int(np.flatnonzero(same)[0])
 
     def join(self, i: int, j: int) -> None:
         a, b = int(self.label[i]), int(self.label[j])
@@ -274,13 +286,96 @@ class Joined:
             self.edges.append((i, j))
 
 
-def clusters(members: DataFrame, sizes: DataFrame, most_rows: int, most_bytes: int) -> DataFrame:
-    """members(id, comp) dealt to the tasks that compare them: (id, comp, bi, bj, own).
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like this one that df hasn't."""
+    taken = {x.lower() for x in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def numbered(df: DataFrame) -> tuple[DataFrame, str]:
+    """df written with a number of its own for each row, and the number's column: ids may be null or repeat."""
+    row = fresh(df, "row_number")
+    return stored(df.withColumn(row, F.monotonically_increasing_id())), row
+
+
+#: Keys that a join broadcasts at most, and rows from which on a key may be one of them.
+HOT_KEYS, HOT_ROWS = 50_000, 256
+
+
+def spread_join(big: DataFrame, small: DataFrame, key: str, weight: str, total: int, salt: list[str], how: str = "inner") -> DataFrame:
+    """big and the columns of small, unique by key, whatever share of big one key holds.
+
+    weight: how many rows of big have the key; they sum to at most `total`. Keys of many rows are
+    broadcast, at most HOT_KEYS of them; the rest are shuffled, hot rows being dealt by `salt`.
+    """
+    least = max(HOT_ROWS, total // HOT_KEYS)
+    more = [x for x in small.columns if x not in (key, weight)]
+    hot = F.broadcast(small.where(F.col(weight) >= least).select(F.col(key).alias("_hot"), *(F.col(x).alias(f"_hot_{x}") for x in more)))
+    rest = small.where(F.col(weight) < least).select(F.col(key).alias("_rest"), *more)
+    j = big.join(hot, F.col(key) == F.col("_hot"), "left").withColumn("_by", F.when(F.col("_hot").isNull(), F.col(key)).otherwise(F.xxhash64(*salt)))
+    j = j.join(rest, (F.col("_by") == F.col("_rest")) & F.col("_hot").isNull(), "left")
+    if how == "inner":
+        j = j.where("_hot is not null or _rest is not null")
+    return j.select(*big.columns, *(F.coalesce(F.col(x), F.col(f"_hot_{x}")).alias(x) for x in more))
+
+
+def first_of_class(seen: DataFrame, comps: DataFrame, value: Column, total: int, salt: list[str], how: str = "inner") -> DataFrame:
+    """The rows of seen(node, ...) whose class has more than one row (left: all), with `first`: the class' least value.
+
+    comps(id, comp): nodes that are in one class with others. Values are reduced by node, then by
+    class, before anything is joined, so copies of one node are never gathered.
+    """
+    nodes = seen.groupBy("node").agg(F.min(value).alias("least"), F.count("*").alias("n"))
+    nodes = stored(nodes.join(comps.withColumnRenamed("id", "member"), F.col("node") == F.col("member"), "left").select("node", F.coalesce("comp", "node").alias("class"), "least", "n"))
+    classes = nodes.groupBy("class").agg(F.min("least").alias("first"), F.sum("n").alias("rows"), F.count("*").alias("nodes")).where("rows > 1").drop("rows")
+    info = spread_join(nodes.select("node", "class", "n"), classes, "class", "nodes", total, ["node"])
+    return spread_join(seen, info.select("node", "n", "first"), "node", "n", total, salt, how)
+
+
+#: Members of a candidate cluster from which on it is compared with its leader first.
+LEAD = 512
+
+
+def verified(members: DataFrame, content: DataFrame, close: Callable[[bytes, bytes], bool], compare: Callable[[pa.Table], pa.Table], most_rows: int, most_bytes: int) -> DataFrame:
+    """Links (a, b), a forest of each task, between the members(id, comp) of candidate clusters by their content(node, s).
+
+    A cluster of at most LEAD members and most_bytes is one task. In a larger one each member is
+    first held against the leader, the smallest id, which is sent to as many tasks as it takes.
+    Those close to it are one class from then on and are never compared with each other; the others
+    are compared among themselves and with that class, in pairs of blocks. So a group of near
+    copies costs one comparison a member, and no task holds more than two blocks.
 
-    A cluster within the bounds is one task. A larger one is cut into blocks by a hash, and each
-    pair of blocks is one task, so no task holds more than two blocks. sizes(id, bytes).
+    close: whether two contents are linked. compare gets a task's rows (id, own, bi, bj, same, s).
     """
-    sized = members.join(sizes, "id")
-    cut = sized.groupBy("comp").agg(F.count("*").alias("n"), F.sum("bytes").alias("w")).where("n > 1").selectExpr("comp as c", f"cast(greatest(ceil(n / {most_rows}), ceil(w / {most_bytes})) as int) as blocks")
-    own = sized.select("id", "comp").join(cut, F.col("comp") == F.col("c")).selectExpr("id", "comp", "blocks", "cast(pmod(xxhash64(id), blocks) as int) own")
-    return own.selectExpr("id", "comp", "own", "explode(sequence(0, blocks - 1)) other").selectExpr("id", "comp", "least(own, other) bi", "greatest(own, other) bj", "own")
+    spark = members.sparkSession
+    total = members.count()
+    if not total:
+        return spark.createDataFrame([], "a long, b long")
+    got = members.join(content, F.col("id") == F.col("node")).select("id", "comp", "s", F.octet_length("s").cast("long").alias("bytes"))
+    got = stored(got)
+    cut = stored(got.groupBy("comp").agg(F.count("*").alias("n"), F.sum("bytes").alias("w"), F.min("id").alias("leader")).where("n > 1"))
+    big = cut.where((F.col("n") > LEAD) | (F.col("w") > most_bytes))
+    few = cut.where((F.col("n") <= LEAD) & (F.col("w") <= most_bytes))
+    one = got.join(few.select(F.col("comp").alias("c")), F.col("comp") == F.col("c"), "left_semi").selectExpr("id", "comp", "s", "0 own", "0 bi", "0 bj", "false same")
+    if big.isEmpty():
+        return one.groupBy("comp", "bi", "bj").applyInArrow(compare, "a long, b long")
+    led = spread_join(got, big.selectExpr("comp", "n", "leader", "cast(ceil(greatest(n / 256, w / 4194304)) as int) parts"), "comp", "n", total, ["id"])
+    led = led.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    heads = led.where("id = leader").selectExpr("comp as hc", "explode(sequence(0, parts - 1)) hp", "s as head")
+
+    def held(batches):
+        for batch in batches:
+            yes = [a == b or close(a, b) for a, b in zip(batch["s"].to_pylist(), batch["head"].to_pylist(), strict=True)]
+            yield pa.record_batch([batch["id"], batch["comp"], batch["leader"], batch["s"], batch["bytes"], pa.array(yes, pa.bool_())], names=["id", "comp", "leader", "s", "bytes", "same"])
+
+    led = led.join(heads, (F.col("comp") == F.col("hc")) & (F.col("part") == F.col("hp"))).select("id", "comp", "leader", "s", "bytes", "head").mapInArrow(held, "id long, comp long, leader long, s binary, bytes long, same boolean")
+    led = stored(led)
+    rows, size = (lambda same: F.sum(F.when(F.col("same") == same, 1).otherwise(0))), (lambda same: F.sum(F.when(F.col("same") == same, F.col("bytes")).otherwise(0)))
+    left = led.groupBy("comp").agg(F.count("*").alias("n"), rows(False).alias("u"), size(False).alias("uw"), rows(True).alias("r"), size(True).alias("rw")).where("u > 0")
+    left = left.selectExpr("comp", "n", f"cast(greatest(ceil(u / {most_rows}), ceil(uw / {most_bytes})) as int) bu", f"cast(greatest(ceil(r / {most_rows}), ceil(rw / {most_bytes})) as int) br")
+    own = spread_join(led, left, "comp", "n", total, ["id"]).withColumn("own", F.expr("cast(if(same, bu + pmod(xxhash64(id), br), pmod(xxhash64(id), bu)) as int)"))
+    many = own.selectExpr("id", "comp", "s", "own", "explode(sequence(0, if(same, bu, bu + br) - 1)) other", "same").selectExpr("id", "comp", "s", "own", "least(own, other) bi", "greatest(own, other) bj", "same")
+    links = one.unionByName(many).groupBy("comp", "bi", "bj").applyInArrow(compare, "a long, b long")
+    return links.unionByName(led.where("same and id <> leader").selectExpr("id as a", "leader as b"))

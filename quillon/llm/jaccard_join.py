@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common as c
@@ -120,7 +120,7 @@ def compare(t: pa.Table, num: int, den: int) -> pa.Table:
     sets = [np.frombuffer(x.as_py(), np.uint64) for x in t["s"]]
     n = np.array([len(s) for s in sets])
     bits = np.stack([bit_sketch(s) for s in sets])
-    found = c.Joined(len(ids))
+    found = c.Joined(len(ids), t["same"].to_numpy())
     left = np.flatnonzero(own == bi)
     right = np.flatnonzero(own == bj)
     for i in left.tolist():
@@ -141,24 +141,17 @@ def compare(t: pa.Table, num: int, den: int) -> pa.Table:
     return pa.table({"a": pa.array(ids[e[:, 0]], pa.int64()), "b": pa.array(ids[e[:, 1]], pa.int64())})
 
 
-def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, n_shingles, component_id) for each row of docs.
-
-    component_id is the smallest id reachable by links of similarity num / den or more. Null and
-    empty texts have no n-gram and are linked with nothing; their component is their own id. Rows
-    of equal sets (repeated rows among them) are in one component; ids may repeat. A null id takes
-    the smallest id of its component that isn't null, or null. Columns besides the two are not read.
-    """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+def classed(rows: DataFrame, n: int, num: int, den: int, value: Column) -> tuple[DataFrame, DataFrame]:
+    """rows(row, id, text) as (row, id, n, node), and those of them with an n-gram, with `first`: the least value of their class, null for lone rows."""
 
     def measure(batches):
         for batch in batches:
             got = [(len(s), node_of(s)) for s in shingle_sets(batch["text"], n)]
-            yield pa.record_batch([batch["id"].cast(pa.int64()), pa.array([x for x, _ in got], pa.int64()), pa.array([y for _, y in got], pa.int64())], names=["id", "n", "node"])
+            yield pa.record_batch([batch["row"], batch["id"], pa.array([x for x, _ in got], pa.int64()), pa.array([y for _, y in got], pa.int64())], names=["row", "id", "n", "node"])
 
-    seen = c.stored(rows.mapInArrow(measure, "id long, n long, node long"))
-    total = seen.agg(F.sum("n")).first()[0] or 0
-    shards = max(12, int(total * 4 * (den - num) / (den + num)) * 16 // SHARD_BYTES)
+    seen = c.stored(rows.mapInArrow(measure, f"row long, id {rows.schema['id'].dataType.simpleString()}, n long, node long"))
+    count, total = seen.agg(F.count("*"), F.sum("n")).first()
+    shards = max(12, int((total or 0) * 4 * (den - num) / (den + num)) * 16 // SHARD_BYTES)
 
     def send(batches):
         out, bands, sent = c.Sender(shards), Bands(num, den), set()
@@ -174,10 +167,7 @@ def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, id
         yield from out.flush()
 
     members = c.components(c.star_edges(rows.select("text").mapInArrow(send, c.BLOBS)))
-    sizes = seen.where("node <> 0").groupBy("node").agg((F.max("n") * 8).alias("bytes")).withColumnRenamed("node", "id")
-    tasks = c.stored(c.clusters(members, sizes, BLOCK_ROWS, BLOCK_BYTES))
-    wanted = c.stored(tasks.select("id").distinct())
-    handed = docs.sparkSession.sparkContext.broadcast(c.Bitmap(wanted, wanted.count()))
+    handed = rows.sparkSession.sparkContext.broadcast(c.Bitmap(members, members.count()))
 
     def sets_of(batches):
         sent = set()
@@ -191,9 +181,39 @@ def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, id
                         sent.add(node)
             yield pa.record_batch([pa.array([m for m, _ in got], pa.int64()), pa.array([s for _, s in got], pa.binary())], names=["node", "s"])
 
+    def close(x: bytes, y: bytes) -> bool:
+        return linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), num, den)
+
     sets = rows.select("text").mapInArrow(sets_of, "node long, s binary").groupBy("node").agg(F.first("s").alias("s"))
-    links = tasks.join(sets, F.col("id") == F.col("node")).select("id", "comp", "bi", "bj", "own", "s").groupBy("comp", "bi", "bj").applyInArrow(lambda t: compare(t, num, den), "a long, b long")
-    comps = c.components(links)
-    full = seen.join(comps.withColumnRenamed("id", "node"), "node", "left").selectExpr("id", "n", "case when node = 0 then null else coalesce(comp, node) end comp")
-    least = full.where("comp is not null").groupBy("comp").agg(F.min("id").alias("least"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
-    return full.join(least, "comp", "left").selectExpr(f"id as {id_col}", "n as n_shingles", "coalesce(least, id) component_id")
+    links = c.verified(members, sets, close, lambda t: compare(t, num, den), BLOCK_ROWS, BLOCK_BYTES)
+    return seen, c.first_of_class(seen.where("node <> 0"), c.components(links), value, count, ["row"], "left")
+
+
+def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id_col, n_shingles, component_id) for each row of docs.
+
+    component_id is the smallest id reachable by links of similarity num / den or more. Null and
+    empty texts have no n-gram and are linked with nothing; their component is their own id. Rows
+    of equal sets (repeated rows among them) are in one component; ids may repeat. A null id takes
+    the smallest id of its component that isn't null, or null. Columns besides the two are not read.
+    """
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    seen, full = classed(rows, n, num, den, F.col("id"))
+    out = full.select("id", "n", F.coalesce("first", "id").alias("component_id")).unionByName(seen.where("node = 0").selectExpr("id", "n", "id component_id"))
+    return out.withColumnsRenamed({"id": id_col, "n": "n_shingles"})
+
+
+def one_of_each(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all their columns, without those that are near copies of another that stays.
+
+    Of the rows linked by similarity num / den or more, directly or by others, one stays: that of
+    the smallest id (nulls last; of equal ids any one). Rows are told apart by a number of their
+    own, so a different text under a repeated or null id is a document like any other. Texts
+    without a word are linked with nothing and stay.
+    """
+    base, row = c.numbered(docs)
+    rows = base.select(F.col(row).alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    _, full = classed(rows, n, num, den, F.struct(F.col("id").isNull().alias("none"), "id", "row"))
+    key = c.fresh(base, "gone_row")
+    gone = full.where("first is not null and first.row <> row").select(F.col("row").alias(key))
+    return base.join(gone, F.col(row) == F.col(key), "left_anti").drop(row)

@@ -150,6 +150,107 @@ def test_line_dedup(spark):
     assert line_dedup.deduplicated(table(spark, [])).count() == 0
 
 
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def line_corpus():
+    r = random.Random(12)
+    letters = "abcdefgh é北"
+    base = ["".join(r.choice(letters) for _ in range(r.choice([5, 19, 20, 25, 39, 40, 41, 60, 90]))).strip() or "x" for _ in range(30)]
+
+    def bent(x):
+        x = list(x)
+        for _ in range(r.randint(1, 3)):
+            k = r.randrange(len(x) + 1)
+            x[k : k + r.randint(0, 1)] = r.choice(["", "é", "b"])
+        return "".join(x).strip() or "y"
+
+    texts = []
+    for k in range(70):
+        got = [r.choice(base) if r.random() < 0.4 else bent(r.choice(base)) if r.random() < 0.6 else f"unique line {k} {r.random()}" for _ in range(r.randint(1, 6))]
+        texts.append((r.choice([k, k, k, 7, None]), "\n".join(got)))  # ids repeat and are null, with other texts
+    return [*texts, (3, None), (None, None), (4, ""), (5, " \n\t"), texts[0], texts[0], (None, texts[1][1]), (8, "z" * 50_000 + "\n" + "z" * 49_999)]
+
+
+@pytest.mark.parametrize("lead", [512, 5])
+def test_line_dedup_against_brute_force(spark, monkeypatch, lead):
+    """Of each class of lines exactly one stays, in a row of the smallest id; whatever isn't repeated stays."""
+    monkeypatch.setattr(common, "LEAD", lead)
+    texts = line_corpus()
+    lines = sorted({x.strip() for _, t in texts for x in (t or "").split("\n") if x.strip()})
+    group = list(range(len(lines)))
+    for i, x in enumerate(lines):
+        for j, y in enumerate(lines[:i]):
+            k = min(min(len(x), len(y)) // 20, 2)
+            if k and abs(len(x) - len(y)) <= k and group[i] != group[j] and (len(x) > 1000 or edit_distance(x, y) <= k):
+                old, new = max(group[i], group[j]), min(group[i], group[j])
+                group = [new if g == old else g for g in group]
+    of = dict(zip(lines, group, strict=True))
+    places = {}
+    for at, (k, t) in enumerate(texts):
+        for x in (t or "").split("\n"):
+            if x.strip():
+                places.setdefault(of[x.strip()], []).append((k is not None, k or 0, at))
+    out = line_dedup.deduplicated(table(spark, texts)).collect()
+    kept = [(r.doc_id, of[x.strip()], x) for r in out for x in (r.text or "").split("\n") if x.strip()]
+    assert Counter(g for _, g, _ in kept) == Counter(dict.fromkeys(places, 1))
+    for k, g, _ in kept:
+        assert (k is not None, k or 0) == min(p[:2] for p in places[g])
+    blank = Counter((k, t) for k, t in texts if not (t or "").strip())
+    assert Counter((r.doc_id, r.text) for r in out if not (r.text or "").strip()) == blank
+    full = line_dedup.deduplicated(table(spark, texts), detail=True)
+    assert full.count() == len(texts) and full.selectExpr("sum(n_lines - n_removed)").first()[0] == len(places)
+
+
+def test_line_dedup_keeps_columns_of_clashing_names(spark):
+    rows = [(1, "the same line of text in two rows\nmine", 5, "a", 1.0), (None, "the same line of text in two rows\nother", 6, "b", 2.0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row_number long, gone string, near double")
+    got = {r.row_number: r for r in line_dedup.deduplicated(df).collect()}
+    assert df.columns == line_dedup.deduplicated(df).columns and got[5].text == "mine" and got[6].text == rows[1][1] and (got[5].gone, got[5].near) == ("a", 1.0)
+
+
+@pytest.mark.parametrize("lead", [512, 10])
+def test_jaccard_groups_with_and_without_leaders(spark, monkeypatch, lead):
+    """A drifting chain of near copies, whose ends share nothing, in a group with many copies close to its leader."""
+    monkeypatch.setattr(common, "LEAD", lead)
+    monkeypatch.setattr(jaccard_join, "BLOCK_ROWS", 16)
+    r = random.Random(2)
+    base = [f"w{k}" for k in range(120)]
+    texts, w = [], list(base)
+    for k in range(60):
+        w[(k * 2) % 120] = f"d{k}"
+        texts.append((k, " ".join(w)))
+    for k in range(60, 100):
+        v = list(base)
+        v[r.randrange(120)] = f"v{k}"
+        texts.append((k, " ".join(v)))
+    texts += [(200 + k, " ".join(f"z{k}{j}" for j in range(30))) for k in range(5)]
+    sets = {k: {tuple(t.split()[i : i + 3]) for i in range(len(t.split()) - 2)} for k, t in texts}
+    group = {k: k for k in sets}
+    for i, a in sets.items():
+        for j, b in sets.items():
+            if j < i and group[i] != group[j] and 100 * len(a & b) >= 90 * len(a | b):
+                old, new = max(group[i], group[j]), min(group[i], group[j])
+                group = {k: new if g == old else g for k, g in group.items()}
+    got = {x.doc_id: x.component_id for x in jaccard_join.jaccard_classes(table(spark, texts), 3, 90, 100).collect()}
+    assert got == group and len(set(group.values())) >= 6
+
+
+def test_one_of_each_tells_rows_apart(spark):
+    w = " ".join(f"w{k}" for k in range(40))
+    texts = [(5, w), (2, w + " end"), (2, "a different text under the same id, which stays"), (None, w), (None, "null id text of its own"), (None, None), (7, None), (9, w), (2, w + " end")]
+    got = Counter((r.doc_id, r.text) for r in jaccard_join.one_of_each(table(spark, texts)).collect())
+    assert got == Counter([texts[1], texts[2], texts[4], texts[5], texts[6]])
+    assert jaccard_join.one_of_each(table(spark, [])).count() == 0
+
+
 # ---- decontamination
 
 
