@@ -1,10 +1,17 @@
 """Main text of web pages.
 
-The standard library's parser streams events. Each block of text is a line with its characters
-and the tags inside and around it; the ratio of the two is smoothed with a Gaussian over the lines
-of the page, and the lines over a threshold form clusters. The best cluster's lines choose the
-content region: the nearest element that holds (nearly) all their text, or the article element that
-does. The region's lines, but for those in menus, notices and the like, are the main text.
+The standard library's parser streams events. Each block of text is a line with its characters,
+those of links, and the tags inside and around it. A line's text-to-tag ratio counts no link text,
+and is 0 where an element around it names itself a menu, notice or the like. Ratios are smoothed
+with a Gaussian over the lines of the page, and the lines over a threshold form the content
+clusters. They choose the content region: the nearest element that holds (nearly) all their text,
+or the article element that does. Where that is the page itself, it is what lies between the first
+and the last cluster. The region's lines, but for those in menus, notices and the like, are the
+main text.
+
+Names of elements and classes are hints. A class or a form around what is left of a page's text,
+as in `post has-sidebar`, takes nothing away: hints are withdrawn, the outermost first, while they
+leave nothing that looks like an article although one is inside.
 """
 
 from __future__ import annotations
@@ -19,8 +26,13 @@ from pyspark.sql import functions as F
 
 #: Gaussian over lines.
 SIGMA = 1.0
-#: Share of the spread of smoothed ratios by which a line must pass the least, to be a content line.
-LEVEL = 0.25
+#: Share of the spread of smoothed ratios by which a content line must pass the least, and the spread, as
+#: a share of their mean, from which on a page has lines that aren't content.
+LEVEL, UNEVEN = 0.5, 0.5
+#: Share of a page's text that hints must leave, unless they leave an article.
+LEFT = 0.25
+#: Characters of a paragraph that makes its surroundings look like an article.
+LONG = 80
 #: Share of the content lines' characters that the region must hold.
 SHARE = 0.9
 
@@ -28,26 +40,40 @@ SHARE = 0.9
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HEADED = frozenset("base basefont bgsound head link meta noframes noscript script style template title".split())
 SILENT = frozenset("head script style noscript template iframe object svg math canvas select textarea button audio video map datalist".split())
-APART = frozenset("nav header footer aside form menu dialog".split())
+APART = frozenset("nav header footer aside menu dialog".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CLOSES = {"p": frozenset({"p"}), "li": frozenset({"li"}), "dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"}), "td": frozenset({"td", "th"}), "th": frozenset({"td", "th"}), "tr": frozenset({"tr", "td", "th"}), "option": frozenset({"option"})}
 SCOPE = frozenset("article aside body blockquote div dl fieldset footer form header html main nav ol section table td th ul".split())
 CONTAINER = frozenset("article body center div fieldset html main section table tbody td".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar form".split())
 ASIDE = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|banner|breadcrumb|breadcrumbs|comment|comments|commentlist|consent|cookie|cookies|disqus|footer|gdpr|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|pagination|pager|popup|promo|promoted|recommended|related|respond|share|sharing|sidebar|signup|social|sponsor|sponsored|subscribe|toolbar|widget|widgets)(?:$|[\s_-])", re.I)
+#: Parts of a class name that say of another part that it is absent, or elsewhere on the page.
+_ABOUT = frozenset("no non not has have with without free hide hides show shows".split())
 _SPACE = re.compile(r"\s+")
 _LONG = re.compile(r"&#(\d{100,})")
 
 
+def names_aside(value: str) -> bool:
+    """Whether a class or id names a part that isn't the article's."""
+    for name in value.split():
+        parts = re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name)
+        if ASIDE.search(parts) and not _ABOUT.intersection(re.split(r"[-_]+", parts.lower())):
+            return True
+    return False
+
+
 class Page(HTMLParser):
+    """Elements by number, as they begin: parent, name and hint (2: not the article's, 1: perhaps not, 0), and the lines."""
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, int, bool]] = []  # name, number, shut: nothing below counts
+        self.open: list[tuple[str, int, bool]] = []  # name, number, shut: nothing below is text
         self.parent: list[int] = []
         self.name: list[str] = []
-        self.lines: list[tuple[str, int, int]] = []  # text, number of the element, tags
+        self.hint: list[int] = []
+        self.lines: list[tuple[str, int, int, int]] = []  # text, number of the element, tags, characters of links
         self.text: list[str] = []
-        self.tags = 0
+        self.tags = self.links = self.linked = 0
         self.past = False  # whether the head was closed by what can't stand in it
 
     def parse_marked_section(self, i, report=1):
@@ -74,8 +100,8 @@ class Page(HTMLParser):
         self.text.clear()
         if text:
             block = next((n for t, n, _ in reversed(self.open) if t in BLOCK), -1)
-            self.lines.append((text, block, self.tags))
-            self.tags = 0
+            self.lines.append((text, block, self.tags, min(self.linked, len(text))))
+            self.tags = self.linked = 0
 
     def shut(self) -> bool:
         return bool(self.open) and self.open[-1][2]
@@ -98,22 +124,21 @@ class Page(HTMLParser):
                     break
                 if self.open[k][0] in SCOPE:
                     break
-        shut = self.shut() or tag in SILENT or tag == "title" and self.past
-        if not shut and (self.open or tag != "html") and tag != "body":
-            shut = tag in APART
+        shut, hint = self.shut() or tag in SILENT or tag == "title" and self.past, 0
+        if not shut and tag not in ("html", "body"):
+            article = tag == "header" and any(t in ("article", "main") for t, _, _ in self.open)
+            hint = 2 if tag in APART and not article else int(tag == "form")
             for key, value in attrs:
-                if not value:
-                    shut = shut or key == "hidden"
-                elif key in ("class", "id"):
-                    shut = shut or bool(ASIDE.search(value))
-                elif key == "role":
-                    shut = shut or value.lower() in ROLES
-                elif key == "aria-hidden":
-                    shut = shut or value == "true"
-                elif key == "style":
-                    shut = shut or "display:none" in value.replace(" ", "").lower()
+                if key == "hidden" or key == "style" and "display:none" in (value or "").replace(" ", "").lower():
+                    shut = True
+                elif value and key == "role" and value.lower() in ROLES:
+                    hint = max(hint, 1 if value.lower() == "form" else 2)
+                elif value and (key in ("class", "id") and names_aside(value) or key == "aria-hidden" and value == "true"):
+                    hint = max(hint, 1)
+        self.links += tag == "a"
         self.parent.append(self.open[-1][1] if self.open else -1)
         self.name.append(tag)
+        self.hint.append(hint)
         self.open.append((tag, len(self.name) - 1, shut))
 
     def handle_startendtag(self, tag, attrs):
@@ -125,6 +150,7 @@ class Page(HTMLParser):
 
     def handle_endtag(self, tag):
         self.tags += 1
+        self.links = max(0, self.links - (tag == "a"))
         if tag in BLOCK:
             self.flush()
         for k in range(len(self.open) - 1, -1, -1):
@@ -139,48 +165,91 @@ class Page(HTMLParser):
             self.end_head("")
         if not self.shut():
             self.text.append(data)
+            if self.links and any(t == "a" for t, _, _ in self.open):
+                self.linked += len(data.strip())
 
 
-def below(page: Page, at: int, region: int) -> bool:
-    """Whether an element is the region or in it; elements are numbered as they begin."""
-    while at > region:
-        at = page.parent[at]
-    return at == region
+def hidden(page: Page, own: np.ndarray) -> np.ndarray:
+    """For each line whether a hint takes it away, after hints around what looks like the article are withdrawn."""
+    n, at = len(page.name), np.array([e for _, e, _, _ in page.lines])
+    chars, marks = np.zeros(n), np.array([float(x in ("article", "main", "h1", "h2")) * 2 for x in page.name])
+    for e, size in zip(at.tolist(), own.tolist(), strict=True):
+        if e >= 0:
+            chars[e] += size
+            marks[e] += size >= LONG
+    for e in range(n - 1, -1, -1):
+        if page.parent[e] >= 0:
+            chars[page.parent[e]] += chars[e]
+            marks[page.parent[e]] += marks[e]
+    hint = list(page.hint)
+    while True:
+        shut, article = [0] * n, [False] * n
+        for e in range(n):
+            up = page.parent[e]
+            shut[e] = max(hint[e], shut[up] if up >= 0 else 0)
+            article[e] = page.name[e] in ("article", "main", "h1") or up >= 0 and article[up]
+        gone = np.array([e >= 0 and shut[e] > 0 for e in at.tolist()], bool)
+        never = np.array([e >= 0 and shut[e] > 1 for e in at.tolist()], bool)
+        kept = [e for e, g, size in zip(at.tolist(), gone.tolist(), own.tolist(), strict=True) if not g and size]
+        if own[~gone].sum() >= LEFT * own[~never].sum() or any(e >= 0 and article[e] for e in kept):
+            return gone
+        outer = [e for e in range(n) if hint[e] == 1 and marks[e] >= 2 and not (page.parent[e] >= 0 and shut[page.parent[e]])]
+        if not outer:
+            return gone
+        hint[max(outer, key=lambda e: (chars[e], -e))] = 0
 
 
-def content(page: Page) -> list[str]:
+def smoothed(ratio: np.ndarray) -> np.ndarray:
+    """Each line's mean of the ratios around it, weighed by a Gaussian of the distance in lines."""
+    reach = np.arange(-3, 4)
+    kernel = np.exp(-(reach**2) / (2 * SIGMA**2))
+    padded = np.concatenate((np.zeros(3), ratio, np.zeros(3)))
+    there = np.concatenate((np.zeros(3), np.ones(len(ratio)), np.zeros(3)))
+    return np.convolve(padded, kernel, "valid") / np.convolve(there, kernel, "valid")
+
+
+def content(page: Page, level: float = LEVEL) -> list[str]:
     lines = page.lines
     if not lines:
         return []
-    size = np.array([len(t) for t, _, _ in lines], float)
-    ratio = size / np.array([max(1, tags) for _, _, tags in lines])
-    reach = np.arange(-3, 4)
-    kernel = np.exp(-(reach**2) / (2 * SIGMA**2))
-    weight = np.convolve(np.ones(len(lines)), kernel, "same") if len(lines) >= len(kernel) else None
-    if weight is None:
-        near = np.exp(-(np.subtract.outer(np.arange(len(lines)), np.arange(len(lines))) ** 2) / (2 * SIGMA**2))
-        smooth = near @ ratio / near.sum(1)
-    else:
-        smooth = np.convolve(ratio, kernel, "same") / weight
-    core = smooth >= smooth.min() + LEVEL * smooth.std() if len(lines) > 1 else np.ones(1, bool)
-    total = float(size[core].sum())
-    held: dict[int, float] = {}
-    for k in np.flatnonzero(core).tolist():
-        at = lines[k][1]
-        while at >= 0:
-            held[at] = held.get(at, 0.0) + size[k]
-            at = page.parent[at]
-    named = [e for e, n in held.items() if page.name[e] in ("article", "main") and n >= 0.5 * total]
+    size = np.array([len(t) - linked for t, _, _, linked in lines], float)
+    gone = hidden(page, size)
+    ratio = np.where(gone, 0, size / np.array([max(1, tags) for _, _, tags, _ in lines]))
+    smooth = smoothed(ratio)
+    least = smooth.min() + level * smooth.std() if smooth.std() > UNEVEN * smooth.mean() else -1.0
+    core = ~gone & (smooth >= least)
+    if not core.any() or not size[core].any():
+        core = ~gone
+    strong = core & (ratio >= least) if (core & (ratio >= least)).any() else core  # not raised by their neighbours alone
+    total = float(size[strong].sum())
+    held = np.zeros(len(page.name) + 1)  # the last is what stands in no element
+    alone = np.zeros(len(page.name) + 1, int)
+    for k, (_, at, _, _) in enumerate(lines):
+        held[at] += size[k] * strong[k]
+        alone[at] += 1
+    for e in range(len(page.name) - 1, -1, -1):
+        if page.parent[e] >= 0:
+            held[page.parent[e]] += held[e]
+            alone[page.parent[e]] += alone[e]
+    named = [e for e, x in enumerate(page.name) if x in ("article", "main") and held[e] and held[e] >= 0.5 * total]
     if named:
         region = max(named, key=lambda e: (held[e], -e))
     else:
-        region = max((e for e, n in held.items() if n >= SHARE * total and page.name[e] in CONTAINER), default=-1)
-        while region >= 0 and sum(below(page, at, region) for _, at, _ in lines) == 1 and (up := page.parent[region]) >= 0 and page.name[up] in CONTAINER - {"body", "html"}:
+        region = max((e for e, x in enumerate(page.name) if x in CONTAINER and held[e] >= SHARE * total), default=-1)
+        while region >= 0 and alone[region] == 1 and (up := page.parent[region]) >= 0 and page.name[up] in CONTAINER - {"body", "html"}:
             region = up  # a container of a single line is a paragraph by another name
-    return [text for text, at, _ in lines if below(page, at, region)]
+    below = [region < 0] * (len(page.name) + 1)
+    for e in range(max(region, 0), len(page.name)):
+        below[e] = e == region or below[page.parent[e]]
+    first, last = 0, len(lines) - 1
+    if core.any() and (region < 0 or page.name[region] in ("body", "html")):  # nothing but the clusters tells where the content is
+        first, last = (int(k) for k in np.flatnonzero(core & (size > 0) if size[core].any() else core)[[0, -1]])
+        while first and re.fullmatch("h[1-6]", page.name[lines[first - 1][1]] if lines[first - 1][1] >= 0 else ""):
+            first -= 1
+    return [text for k, (text, at, _, _) in enumerate(lines) if first <= k <= last and not gone[k] and below[at]]
 
 
-def main_text(html: str | None) -> str:
+def main_text(html: str | None, level: float = LEVEL) -> str:
     """The page's main text, blocks joined by two line feeds; empty for null, and where there is none."""
     if not html:
         return ""
@@ -188,7 +257,7 @@ def main_text(html: str | None) -> str:
     page.feed(_LONG.sub(lambda m: "&#" + (m[1].lstrip("0")[:8] or "0"), html))  # int() refuses thousands of digits
     page.close()
     page.flush()
-    return "\n\n".join(content(page))
+    return "\n\n".join(content(page, level))
 
 
 def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

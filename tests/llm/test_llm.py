@@ -569,6 +569,51 @@ def test_html_open_head(html, text):
     assert html_text.main_text(html) == text
 
 
+LONG = " ".join(["Long text of an article, with many words in it."] * 4)
+ARTICLE = f"<h1>Title</h1><p>{LONG}</p><p>Short.</p><p>{LONG}</p>"
+TEXT = f"Title\n\n{LONG}\n\nShort.\n\n{LONG}"
+
+
+@pytest.mark.parametrize("name", ["post has-sidebar", "no-sidebar", "ad-free", "page-with-comments", "layout-sidebar", "noSidebar", "comments-layout", "widget post"])
+@pytest.mark.parametrize("inner", ["div", "article"])
+def test_html_class_around_the_article(name, inner):
+    """A class of a wrapper takes no article away; those inside it still take theirs."""
+    page = f"<body><nav>Menu</nav><div class='{name}'><{inner}>{ARTICLE}</{inner}><div class='comments'><p>{LONG * 3}</p></div></div><footer>(c)</footer>"
+    assert html_text.main_text(page) == TEXT
+    assert html_text.main_text(f"<form class='{name}'><div class='menu'>Menu</div><{inner}>{ARTICLE}</{inner}></form>") == TEXT
+
+
+STOCK = "".join(f"<div>Item {k} of the stock</div>" for k in range(30))
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<body><div>{STOCK}</div><div>{ARTICLE}</div><div>{STOCK}</div>", TEXT),  # neither landmarks nor classes
+        (f"<body>{STOCK}{ARTICLE}{STOCK}", None),  # nor a container of its own
+        (f"<body><table><tr><td>{STOCK}</td><td>{ARTICLE}</td></tr></table>", TEXT),
+    ],
+)
+def test_html_threshold_chooses_the_region(page, text):
+    """Ablation: without the threshold the same pages give their menus as well."""
+    got, without = html_text.main_text(page), html_text.main_text(page, level=-100.0)
+    assert got == text or text is None and TEXT in got and got.count("of the stock") <= 4
+    assert TEXT in without and without.count("of the stock") >= 30
+
+
+def test_html_links_are_no_text():
+    links = "".join(f"<p><a href=x>A link to another page {k}</a></p>" for k in range(20))
+    assert html_text.main_text(f"<body>{links}{ARTICLE}{links}") == TEXT
+
+
+def test_html_deep_and_long_pages():
+    deep = "<div>" * 30_000 + f"<p>{LONG}</p><p>{LONG}</p>" + "</div>" * 30_000
+    assert html_text.main_text(f"<body>{deep}") == f"{LONG}\n\n{LONG}"
+    many = "".join(f"<p>Paragraph {k}. {LONG}</p>" for k in range(3000))
+    assert html_text.main_text(f"<body><nav>Menu</nav><div>{many}</div>").count("\n\n") == 2999
+    assert html_text.main_text("<body><header><b>Site</b></header><article><header><h1>T</h1></header><p>x</p><footer>f</footer></article>") == "T\n\nx"
+
+
 def test_html_table(spark):
     df = spark.createDataFrame([(1, "u", "<p>é</p>", "t"), (1, None, None, "t")], "page_id long, url string, html string, text string")
     assert Counter(map(tuple, html_text.extracted(df).collect())) == Counter([(1, "u", "é", 1), (1, None, "", 0)])
