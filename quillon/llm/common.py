@@ -314,7 +314,7 @@ def spread_join(big: DataFrame, small: DataFrame, key: str, weight: str, total:
     more = [x for x in small.columns if x not in (key, weight)]
     hot = F.broadcast(small.where(F.col(weight) >= least).select(F.col(key).alias("_hot"), *(F.col(x).alias(f"_hot_{x}") for x in more)))
     rest = small.where(F.col(weight) < least).select(F.col(key).alias("_rest"), *more)
-    j = big.join(hot, F.col(key) == F.col("_hot"), "left").withColumn("_by", F.when(F.col("_hot").isNull(), F.col(key)).otherwise(F.xxhash64(*salt)))
+    j = big.join(hot, F.col(key) == F.col("_hot"), "left").withColumn("_by", F.when(F.col("_hot").isNull(), F.col(key)).otherwise(F.xxhash64(*salt).cast(big.schema[key].dataType)))
     j = j.join(rest, (F.col("_by") == F.col("_rest")) & F.col("_hot").isNull(), "left")
     if how == "inner":
         j = j.where("_hot is not null or _rest is not null")

@@ -235,7 +235,7 @@ def content(page: Page, level: float = LEVEL) -> list[str]:
     if named:
         region = max(named, key=lambda e: (held[e], -e))
     else:
-        region = max((e for e, x in enumerate(page.name) if x in CONTAINER and held[e] >= SHARE * total), default=-1)
+        region = max((e for e, x in enumerate(page.name) if x in CONTAINER and total and held[e] >= SHARE * total), default=-1)
         while region >= 0 and alone[region] == 1 and (up := page.parent[region]) >= 0 and page.name[up] in CONTAINER - {"body", "html"}:
             region = up  # a container of a single line is a paragraph by another name
     below = [region < 0] * (len(page.name) + 1)
