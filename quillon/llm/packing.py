@@ -4,8 +4,9 @@ Texts become token ids; longer ones than a sequence are cut, the first piece bei
 Which pieces go together depends on their lengths only, so it is planned on the histogram of
 lengths: bins of like content are one pattern with a count, however many pieces there are. Best-fit
 decreasing makes the patterns; then the emptiest bin hands its pieces on to other underfull bins by
-moves, one-for-one and two-for-one exchanges, each of which raises the sum of squared fills, until
-it is empty or nothing fits; so do all underfull patterns, each with all its copies. Pieces then take the slots of their length by rank.
+moves, one-for-one and two-for-one exchanges (either way), each of which raises the sum of squared
+fills, until it is empty or nothing fits; so do all underfull patterns, each with all its copies.
+Pieces then take the slots of their length by rank.
 """
 
 from __future__ import annotations
@@ -37,8 +38,10 @@ _PLAIN = re.compile("[\t-\r -~¡-©«-±´¶-¸»¿-ſ‐-‧‰-⁞€]*")
 class Tokens:
     """Ids of whole texts by a `tokenizers` file.
 
-    Where the file's merges are in the order of its ids, plain texts go through the same byte-pair
-    merges as ranks, which is some five times as fast; all others go through the file's own model.
+    Where the file is a byte-level byte-pair model of the kind that _SPLIT belongs to, with merges
+    in the order of its ids, plain texts go through the same merges as ranks, which is some five
+    times as fast. All other texts, those that hold a special token among them, go through the
+    file's own model.
     """
 
     def __init__(self, path: str):
@@ -46,22 +49,24 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             data = json.load(f)
-        vocab, merges = data["model"]["vocab"], data["model"]["merges"]
-        # byte-level vocabularies write bytes as characters: printable ones as themselves, the rest from 256 on
-        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        rest = [b for b in range(256) if b not in shown]
-        byte = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(rest)}
-        special = {x["content"] for x in data.get("added_tokens", [])}
-        ranks = {bytes(byte[ch] for ch in t): i for t, i in vocab.items() if t not in special}
-        joined = ["".join(m if isinstance(m, list) else m.split(" ")) for m in merges]
-        self.ordered = [vocab[t] for t in joined] == list(range(256, 256 + len(joined)))
-        self.ranked = tiktoken.Encoding("ranked", pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens={})
+        self.special = [x["content"] for x in data.get("added_tokens") or []]
+        self.ranked = None
+        model, before = data["model"], data.get("pre_tokenizer") or {}
+        usual = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "ignore_merges", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback"))
+        if usual and data.get("normalizer") is None and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True):
+            vocab, joined = model["vocab"], ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+            # byte-level vocabularies write bytes as characters: printable ones as themselves, the rest from 256 on
+            shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+            rest = [b for b in range(256) if b not in shown]
+            byte = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(rest)}
+            if [vocab[t] for t in joined] == list(range(256, 256 + len(joined))):
+                ranks = {bytes(byte[ch] for ch in t): i for t, i in vocab.items() if t not in self.special}
+                self.ranked = tiktoken.Encoding("ranked", pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, text: str) -> np.ndarray:
-        if not self.ordered or not _PLAIN.fullmatch(text):
+        if self.ranked is None or not _PLAIN.fullmatch(text) or any(x in text for x in self.special):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32)
         return np.array(self.ranked.encode_ordinary(text), np.uint32)
 
@@ -116,9 +121,10 @@ class Bins:
         return sum(n for x in self.by.values() for n in x.values())
 
 
-def best_fit(lengths: dict[int, int], most: int) -> Bins:
+def best_fit(lengths: dict[int, int], most: int, order: list[int] | None = None) -> Bins:
+    """Each length in the fullest bins that take it, by falling length or in the order given."""
     bins = Bins(most)
-    for size in sorted(lengths, reverse=True):
+    for size in sorted(lengths, reverse=True) if order is None else order:
         left = lengths[size]
         while left:
             k = bisect_right(bins.rooms, size - 1)
@@ -145,25 +151,30 @@ def _less(pattern: tuple[int, ...], out: tuple[int, ...], into: tuple[int, ...]
 
 def exchange(victim: tuple[int, ...], bins: Bins) -> tuple[tuple[int, ...], tuple[int, ...], tuple[int, ...]] | None:
     """The other bin, what it gives and what it gets: what raises its fill most, the fullest bins first."""
-    sizes = sorted(set(victim))
-    twos = sorted({(a + b, a, b) for i, a in enumerate(victim) for b in victim[i + 1 :]})
-    fill = sum(victim)
+    own, fill = Counter(victim), sum(victim)
+    ones = sorted(own)
+    twos = sorted({(a + b, a, b) for a in own for b in own if a < b or a == b and own[a] > 1})
+
+    def gain(gives: tuple[int, ...], room: int) -> tuple[int, tuple, tuple]:
+        """The most that what is handed over for `gives` exceeds it, if the bin has this much room besides."""
+        given, best = sum(gives), (0, (), ())
+        k = bisect_right(ones, given + room)
+        if k:
+            best = (ones[k - 1] - given, gives, (ones[k - 1],))
+        if len(gives) == 1 and (k := bisect_right(twos, (given + room, bins.most, bins.most))):
+            best = max(best, (twos[k - 1][0] - given, gives, twos[k - 1][1:]))
+        return best
+
     for room in bins.rooms:
         if not room or bins.most - room < fill:
             continue
         for pattern in bins.by[room]:
-            best = (0, (), ())
-            k = bisect_right(sizes, room)
-            if k:
-                best = max(best, (sizes[k - 1], (), (sizes[k - 1],)))
-            for x in set(pattern):
-                k = bisect_right(sizes, x + room)
-                if k and sizes[k - 1] > x:
-                    best = max(best, (sizes[k - 1] - x, (x,), (sizes[k - 1],)))
-                k = bisect_right(twos, (x + room, most_ := bins.most + 1, most_))
-                if k and twos[k - 1][0] > x:
-                    best = max(best, (twos[k - 1][0] - x, (x,), twos[k - 1][1:]))
-            if best[0]:
+            theirs = Counter(pattern)
+            best = max((gain(x, room) for x in ((), *((a,) for a in theirs))), default=(0, (), ()))
+            if best[0] < room:
+                two = ((a, b) for a in theirs if 2 * a < ones[-1] for b in theirs if a + b < ones[-1] and (a < b or a == b and theirs[a] > 1))
+                best = max(best, max((gain(x, room) for x in two), default=best))
+            if best[0] > 0:
                 return pattern, best[1], best[2]
     return None
 
