@@ -1,14 +1,15 @@
 """Approximate nearest neighbours: inverted file, product-quantised residuals, exact reranking.
 
 Coarse centroids and code books are fitted by k-means on a bounded sample. Every vector is put in
-the list of its nearest centroid, with the codes of its residual. A query is sent to the lists that
+the list of its nearest centroid, with the codes of its residual. A query visits the lists that
 promise most; there, per-query tables of inner products with the code words give approximate
 scores, and the best are scored again on the original vectors.
 
-Lists are cut into chunks of bounded size by a hash of the id, and so are the queries of a list:
-no task holds more than a chunk of each, whatever third of the vectors shares a list. How many
-lists a query visits at least is measured on the sample when the index is fitted; it goes on down
-its order until the lists hold several times the rows it asks for.
+Lists that lie together form a group, and a query is sent to a group once, with the lists that it
+visits there. Groups are cut into chunks of bounded size by a hash of the id, and so are a group's
+queries: no task holds more than a chunk of each, whatever third of the vectors shares a list. How
+many lists a query visits at least is measured on the sample when the index is fitted; it goes on
+down its order until the lists hold several times the rows it asks for.
 """
 
 from __future__ import annotations
@@ -26,18 +27,27 @@ CODES = 256
 SUB = 8
 CHUNK = 8192
 QUERIES = 1024
+#: Lists in a group, about.
+GROUP = 16
 #: Share of the sample's true neighbours that the visited lists must hold.
-REACH = 0.985
+REACH = 0.95
 RERANK = 12
 SEED = 11
 
 
+def closest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Number of the nearest centre of each row; the distances of some rows at a time are held."""
+    size = (centres**2).sum(1)
+    step = max(1, (4 << 20) // max(1, len(centres)))
+    return np.concatenate([(x[k : k + step] @ centres.T * 2 - size).argmax(1) for k in range(0, len(x), step)]) if len(x) else np.zeros(0, np.int64)
+
+
 def kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     rng = np.random.default_rng(SEED)
     x = np.unique(x, axis=0)
     centres = x[rng.permutation(len(x))[:k]].copy()
     for _ in range(rounds):
-        own = (x @ centres.T * 2 - (centres**2).sum(1)).argmax(1)
+        own = closest(x, centres)
         n = np.bincount(own, minlength=len(centres))
         sums = np.stack([np.bincount(own, x[:, j], len(centres)) for j in range(x.shape[1])], 1)
         centres = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], centres)
@@ -50,6 +60,12 @@ class Index:
     def __init__(self, sample: np.ndarray, total: int, k: int):
         self.dim = sample.shape[1]
         self.centres = kmeans(sample, max(1, min(len(sample) // 8, int(total**0.5), 4096)))
+        middles = kmeans(self.centres, -(-len(self.centres) // GROUP))
+        self.group = closest(self.centres, middles)
+        self.groups = len(middles)
+        order = np.argsort(self.group, kind="stable")
+        self.place = np.empty(len(order), np.int64)  # of a list within its group
+        self.place[order] = np.arange(len(order)) - np.searchsorted(self.group[order], np.arange(self.groups))[self.group[order]]
         own = self.nearest(sample)
         self.cuts = np.linspace(0, self.dim, min(SUB, self.dim) + 1).astype(int)
         rest = sample - self.centres[own]
@@ -64,14 +80,14 @@ class Index:
         self.probes = int(need[min(len(need) - 1, int(REACH * len(need)))]) + 1
 
     def nearest(self, x: np.ndarray) -> np.ndarray:
-        return (x @ self.centres.T * 2 - (self.centres**2).sum(1)).argmax(1)
+        return closest(x, self.centres)
 
     def promise(self, q: np.ndarray) -> np.ndarray:
         return np.argsort(-(q @ self.centres.T), axis=1, kind="stable")
 
     def encode(self, x: np.ndarray, own: np.ndarray) -> np.ndarray:
         rest = x - self.centres[own]
-        return np.stack([(rest[:, a:b] @ book.T * 2 - (book**2).sum(1)).argmax(1) for a, b, book in zip(self.cuts[:-1], self.cuts[1:], self.books, strict=True)], 1).astype(np.uint8)
+        return np.stack([closest(rest[:, a:b], book) for a, b, book in zip(self.cuts[:-1], self.cuts[1:], self.books, strict=True)], 1).astype(np.uint8)
 
     def tables(self, q: np.ndarray) -> np.ndarray:
         """Inner products of the queries' parts with all code words: query, part, code."""
@@ -81,11 +97,6 @@ class Index:
         return out
 
 
-def exact(x: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Inner products row by row in double precision; equal rows give equal numbers wherever they stand."""
-    return (x * q).sum(1)
-
-
 def usable(embeddings: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(id, v): vectors of finite components that aren't all 0, and of the most common length (ties: the smaller); ids that aren't null."""
     v = F.col(vector_col).cast("array<double>")
@@ -120,10 +131,11 @@ def nearest(embeddings: DataFrame, queries: str, k: int = 20, id_col: str = "vec
         for batch in batches:
             x = matrix(batch["v"])
             if len(x):
-                own = handed.value.nearest(x)
-                yield pa.record_batch([batch["id"], pa.array(own, pa.int32()), pa.array([r.tobytes() for r in handed.value.encode(x, own)], pa.binary()), pa.array([r.tobytes() for r in x], pa.binary())], names=["id", "list", "code", "v"])
+                i: Index = handed.value
+                own = i.nearest(x)
+                yield pa.record_batch([batch["id"], pa.array(own, pa.int32()), pa.array(i.group[own], pa.int32()), pa.array([r.tobytes() for r in i.encode(x, own)], pa.binary()), pa.array([r.tobytes() for r in x], pa.binary())], names=["id", "list", "grp", "code", "v"])
 
-    lists = c.stored(rows.dropDuplicates(["id", "v"]).mapInArrow(filed, "id long, list int, code binary, v binary"))
+    lists = c.stored(rows.dropDuplicates(["id", "v"]).mapInArrow(filed, "id long, list int, grp int, code binary, v binary"))
 
     sizes = np.zeros(len(index.centres), np.int64)
     for r in lists.groupBy("list").count().collect():
@@ -132,45 +144,62 @@ def nearest(embeddings: DataFrame, queries: str, k: int = 20, id_col: str = "vec
     def asked(batches):
         for batch in batches:
             x = matrix(batch["v"])
-            if len(x):
-                to = handed.value.promise(x)
-                held = np.cumsum(sizes[to], axis=1)
-                short = held < RERANK * k + batch["own"].to_numpy()[:, None]  # an id's own rows are no candidates
-                n = np.minimum(np.maximum(short.sum(1) + 1, handed.value.probes), to.shape[1])
-                go = np.arange(to.shape[1]) < n[:, None]
-                yield pa.record_batch([pa.array(np.repeat(batch["id"].to_numpy(), n)), pa.array(to[go].astype(np.int32)), pa.array([r.tobytes() for r, m in zip(x, n.tolist(), strict=True) for _ in range(m)], pa.binary())], names=["q", "list", "qv"])
-
-    cut = lists.groupBy("list").agg(F.count("*").alias("n")).selectExpr("list", f"cast(ceil(n / {CHUNK}) as int) chunks")
-    probes = rows.where(queries).dropDuplicates(["id", "v"]).withColumn("own", F.count("*").over(Window.partitionBy("id"))).mapInArrow(asked, "q long, list int, qv binary")
-    qcut = probes.groupBy("list").agg(F.count("*").alias("n")).selectExpr("list", f"cast(ceil(n / {QUERIES}) as int) blocks")
-    cuts = cut.join(qcut, "list")
-    left = lists.join(cuts, "list").selectExpr("list", "cast(pmod(xxhash64(id), chunks) as int) chunk", "explode(sequence(0, blocks - 1)) block", "id", "code", "v")
-    right = probes.join(cuts, "list").selectExpr("list", "explode(sequence(0, chunks - 1)) chunk", "cast(pmod(xxhash64(q), blocks) as int) block", "q", "qv")
+            if not len(x):
+                continue
+            i: Index = handed.value
+            to = i.promise(x)
+            held = np.cumsum(sizes[to], axis=1)
+            short = held < RERANK * k + batch["own"].to_numpy()[:, None]  # an id's own rows are no candidates
+            n = np.minimum(np.maximum(short.sum(1) + 1, i.probes), to.shape[1])
+            visit = np.zeros(to.shape, bool)
+            np.put_along_axis(visit, to, np.arange(to.shape[1])[None, :] < n[:, None], 1)
+            ids, got = batch["id"].to_numpy(), []
+            for g in range(i.groups):
+                its = np.flatnonzero(i.group == g)
+                its = its[np.argsort(i.place[its])]
+                some = np.flatnonzero(visit[:, its].any(1))
+                bits = np.packbits(visit[np.ix_(some, its)], axis=1)
+                got += [(int(ids[q]), g, b.tobytes(), x[q].tobytes()) for q, b in zip(some.tolist(), bits, strict=True)]
+            yield pa.record_batch([pa.array([r[j] for r in got], t) for j, t in enumerate((pa.int64(), pa.int32(), pa.binary(), pa.binary()))], names=["q", "grp", "visits", "qv"])
+
+    cut = lists.groupBy("grp").agg(F.count("*").alias("n")).selectExpr("grp", f"cast(ceil(n / {CHUNK}) as int) chunks")
+    probes = c.stored(rows.where(queries).dropDuplicates(["id", "v"]).withColumn("own", F.count("*").over(Window.partitionBy("id"))).mapInArrow(asked, "q long, grp int, visits binary, qv binary"))
+    qcut = probes.groupBy("grp").agg(F.count("*").alias("n")).selectExpr("grp", f"cast(ceil(n / {QUERIES}) as int) blocks")
+    cuts = F.broadcast(c.stored(cut.join(qcut, "grp")))  # a row a group: 4096 / GROUP at most, or so
+    left = lists.join(cuts, "grp").selectExpr("grp", "cast(pmod(xxhash64(id), chunks) as int) chunk", "explode(sequence(0, blocks - 1)) block", "id", "list", "code", "v")
+    right = probes.join(cuts, "grp").selectExpr("grp", "explode(sequence(0, chunks - 1)) chunk", "cast(pmod(xxhash64(q), blocks) as int) block", "q", "visits", "qv")
 
     def search(a: pa.Table, b: pa.Table) -> pa.Table:
         out: list = []
         if len(a) and len(b):
-            own: Index = handed.value
+            i: Index = handed.value
             order = np.argsort(a["id"].to_numpy(), kind="stable")
-            ids = a["id"].to_numpy()[order]
+            ids, own = a["id"].to_numpy()[order], a["list"].to_numpy()[order]
             codes = np.frombuffer(b"".join(a["code"].to_pylist()), np.uint8).reshape(len(ids), -1)[order]
             x = np.frombuffer(b"".join(a["v"].to_pylist()), float).reshape(len(ids), dim)[order]
-            qs, at = b["q"].to_numpy(), own.centres[a["list"][0].as_py()]
-            q = np.frombuffer(b"".join(b["qv"].to_pylist()), float).reshape(len(qs), dim)
+            qs, qv = b["q"].to_numpy(), np.frombuffer(b"".join(b["qv"].to_pylist()), float).reshape(len(b), dim)
+            visits = np.unpackbits(np.frombuffer(b"".join(b["visits"].to_pylist()), np.uint8).reshape(len(b), -1), axis=1).astype(bool)
             keep = RERANK * k
-            for i in range(len(qs)):
-                near = np.flatnonzero(ids != qs[i])
-                if len(near) > keep:
-                    t = own.tables(q[i : i + 1])[0]
-                    rough = q[i] @ at + t[np.arange(len(t)), codes[near]].sum(1)
-                    near = near[np.sort(np.argsort(-rough, kind="stable")[:keep])]  # equal codes: smaller ids first
-                s = exact(x[near], q[i])
-                best = np.argsort(-s, kind="stable")[:k]
-                out.append((np.full(len(best), qs[i]), ids[near][best], s[best]))
+            for at in range(0, len(qs), 32):
+                q = qv[at : at + 32]
+                tables = i.tables(q)
+                rough = (q @ i.centres.T)[:, own]
+                for m in range(codes.shape[1]):
+                    rough += tables[:, m][:, codes[:, m]]
+                rough[~visits[at : at + 32][:, i.place[own]] | (ids[None, :] == qs[at : at + 32, None])] = -np.inf
+                for r, key, v in zip(rough, qs[at : at + 32].tolist(), q, strict=True):
+                    near = np.flatnonzero(r > -np.inf)
+                    if len(near) > keep:  # of equal codes the smaller ids
+                        least = np.partition(r, len(r) - keep)[len(r) - keep]
+                        over = np.flatnonzero(r > least)
+                        near = np.sort(np.concatenate((over, np.flatnonzero(r == least)[: keep - len(over)])))
+                    s = (x[near] * v).sum(1)  # row by row: equal rows give equal numbers wherever they stand
+                    best = np.argsort(-s, kind="stable")[:k]
+                    out.append((np.full(len(best), key), ids[near][best], s[best]))
         cols = [np.concatenate([r[j] for r in out]) if out else np.zeros(0) for j in range(3)]
         return pa.table({"query_id": pa.array(cols[0].astype(np.int64)), "vec_id": pa.array(cols[1].astype(np.int64)), "score": pa.array(cols[2].astype(float))})
 
-    keys = ["list", "chunk", "block"]
+    keys = ["grp", "chunk", "block"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(search, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -2,11 +2,14 @@
 
 Each task reads its documents in shards of up to a million words and sorts a shard's suffixes by
 their first words (prefix doubling on hash order, at least as deep as the window). Every suffix of
-a benchmark item that begins a window is then found by binary search: the range it delimits holds
-all occurrences, with their places. A document is whole in one shard, so nothing is shuffled.
+a benchmark item that is long enough to begin a window is then found by binary search: the range it
+delimits holds all occurrences, with their places. Windows that follow each other both in a document
+and in an item make up a longest verbatim match. A document is whole in one shard, so nothing is
+shuffled.
 
-The benchmark is handed out in broadcasts of at most BLOCK_BYTES of text each, however large it
-is; a shard is sorted once and searched for each of them in turn.
+The suffixes of a benchmark of at most HANDED_BYTES of text are broadcast. Those of a larger one are
+a table: documents send the windows that a bitmap of fixed size lets through, and these are joined
+with it by 64-bit hash.
 
 Window: `window` consecutive words of an item; an item of fewer words, but not none, is one.
 """
@@ -18,18 +21,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common as c
 
 SHARD_WORDS = (1 << 20) - 2
-BLOCK_BYTES = 16 << 20
+#: Text of a benchmark that is broadcast: its suffixes take some 30 times as much for a moment.
+HANDED_BYTES = 8 << 20
 _U = np.uint64
 
 
 class Windows:
-    """Distinct windows of a block of benchmark items, by length, and the items that hold each."""
+    """Distinct windows of benchmark items, by length, and where each stands: item and word."""
 
     def __init__(self, ids: list, texts: list, window: int):
         self.window, self.ids, rows = window, [None if i is None else str(i) for i in ids], {}
@@ -40,17 +44,14 @@ class Windows:
                 n = min(window, b - a)
                 if n:
                     w = np.lib.stride_tricks.sliding_window_view(h[a:b], n)
-                    rows.setdefault(n, []).append((np.full(len(w), i0 + k), w))
+                    rows.setdefault(n, []).append((np.full(len(w), i0 + k), np.arange(len(w)), w))
         self.by: dict[int, tuple] = {}
         for n, parts in rows.items():
-            words = np.concatenate([w for _, w in parts])
-            item = np.concatenate([i for i, _ in parts])
+            item, word, words = (np.concatenate([p[k] for p in parts]) for k in range(3))
             unique, inverse = np.unique(words, axis=0, return_inverse=True)
             inverse = inverse.reshape(-1)
             order = np.argsort(inverse, kind="stable")
-            at = np.searchsorted(inverse[order], np.arange(len(unique) + 1))
-            after = inverse[1:] * np.int64(1 << 32) + inverse[:-1]
-            self.by[n] = (unique, at, item[order], np.unique(after[item[1:] == item[:-1]]))
+            self.by[n] = (unique, np.searchsorted(inverse[order], np.arange(len(unique) + 1)), item[order], word[order])
 
 
 class Shard:
@@ -125,113 +126,223 @@ def _each(count: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.arange(total[-1] if len(total) else 0) - np.repeat(total - count - first, count)
 
 
-def hits(h: np.ndarray, doc: np.ndarray, docs: int, blocks: list, window: int) -> tuple[np.ndarray, list[set], np.ndarray]:
-    """Of a shard's documents: words inside a window, ids of the items found, words of the longest verbatim match."""
-    n_hit, items, longest = np.zeros(docs, np.int64), [set() for _ in range(docs)], np.zeros(docs, np.int64)
-    if not len(h):
-        return n_hit, items, longest
-    shard = Shard(h, window)
-    cover = np.zeros(len(h) + 1, np.int64)
-    for block in blocks:
-        w: Windows = block.value if hasattr(block, "value") else block
-        for n, (unique, at, item, after) in w.by.items():
-            known, lo, hi = shard.find(unique)
-            some = hi > lo
-            known, lo, count = known[some], lo[some], (hi - lo)[some]
-            if not len(known):
-                continue
-            places = shard.sa[_each(count, lo)]
-            which = np.repeat(known, count)
-            np.add.at(cover, places, 1)
-            np.add.at(cover, places + n, -1)
-            pair = np.unique(doc[places] * np.int64(1 << 32) + which)
-            d, which_of = pair >> 32, pair & 0xFFFFFFFF
-            many = at[which_of + 1] - at[which_of]
-            found = np.unique(np.repeat(d, many) * np.int64(1 << 32) + item[_each(many, at[which_of])])
-            for k in found.tolist():
-                if w.ids[k & 0xFFFFFFFF] is not None:
-                    items[k >> 32].add(w.ids[k & 0xFFFFFFFF])
-            order = np.argsort(places)
-            places, which = places[order], which[order]
-            follows = (places[1:] == places[:-1] + 1) & np.isin(which[1:] * np.int64(1 << 32) + which[:-1], after)
-            begin = np.flatnonzero(np.concatenate(([True], ~follows)))
-            np.maximum.at(longest, doc[places[begin]], np.diff(np.concatenate((begin, [len(places)]))) + n - 1)
-    inside = np.cumsum(cover[:-1]) > 0
-    return np.bincount(doc[inside], minlength=docs), items, longest
+def found(h: np.ndarray, windows: Windows) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Length of the windows, places in the shard, and the window that stands at each."""
+    shard = Shard(h, windows.window)
+    for n, (unique, _, _, _) in windows.by.items():
+        known, lo, hi = shard.find(unique)
+        some = hi > lo
+        count = (hi - lo)[some]
+        if len(count):
+            yield n, shard.sa[_each(count, lo[some])], np.repeat(known[some], count)
 
 
-def scan(column: pa.Array, blocks: list, window: int) -> Iterator[tuple[int, int, str, int, int]]:
-    """n_words, n_hit, items' digest, n_items and the longest match of each text, in order."""
-    held: list = []
+def hits(h: np.ndarray, doc: np.ndarray, docs: int, windows: Windows) -> tuple[np.ndarray, list[set]]:
+    """Of a shard's documents: words inside a window, and ids of the items found."""
+    items: list[set] = [set() for _ in range(docs)]
+    cover = np.zeros(len(h) + 1, np.int64)
+    for n, places, which in found(h, windows) if len(h) else ():
+        _, at, item, _ = windows.by[n]
+        np.add.at(cover, places, 1)
+        np.add.at(cover, places + n, -1)
+        pair = np.unique(doc[places] * np.int64(1 << 32) + which)
+        d, which_of = pair >> 32, pair & 0xFFFFFFFF
+        many = at[which_of + 1] - at[which_of]
+        for k in np.unique(np.repeat(d, many) * np.int64(1 << 32) + item[_each(many, at[which_of])]).tolist():
+            if windows.ids[k & 0xFFFFFFFF] is not None:
+                items[k >> 32].add(windows.ids[k & 0xFFFFFFFF])
+    inside = np.cumsum(cover[:-1]) > 0
+    return np.bincount(doc[inside], minlength=docs), items
+
+
+def longest(h: np.ndarray, doc: np.ndarray, start: np.ndarray, windows: Windows) -> Iterator[tuple[int, int, int, str | None, int]]:
+    """Document, first word, words, item and first word there, of each longest match of a shard; start: of the documents in it."""
+    parts = []
+    for n, places, which in found(h, windows) if len(h) else ():
+        _, at, item, word = windows.by[n]
+        many = at[which + 1] - at[which]
+        k = _each(many, at[which])
+        parts.append(np.stack((item[k], np.repeat(places, many) - word[k], np.repeat(places, many), np.full(len(k), n))))
+    if not parts:
+        return
+    item, ahead, place, n = np.concatenate(parts, 1)
+    order = np.lexsort((place, ahead, item))  # what one item and one distance between the places have in common
+    item, ahead, place, n = (x[order] for x in (item, ahead, place, n))
+    first = np.flatnonzero(np.concatenate(([True], (item[1:] != item[:-1]) | (ahead[1:] != ahead[:-1]) | (place[1:] != place[:-1] + 1))))
+    size = np.diff(np.concatenate((first, [len(item)]))) + n[first] - 1
+    for k, words in zip(first.tolist(), size.tolist(), strict=True):
+        d = int(doc[place[k]])
+        yield d, int(place[k] - start[d]), words, windows.ids[item[k]], int(place[k] - ahead[k])
+
+
+def shards(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """First row, words and a 0 after each text, the text of each word, and where each text begins."""
+    held: list[np.ndarray] = []
+    total = i0 = 0
 
     def done():
-        h = np.concatenate([np.concatenate((x, np.zeros(1, np.uint64))) for x in held])
         size = np.array([len(x) + 1 for x in held])
-        doc = np.repeat(np.arange(len(held)), size)
-        n_hit, items, longest = hits(h, doc, len(held), blocks, window)
-        for k, x in enumerate(held):
-            yield len(x), int(n_hit[k]), hashlib.sha256(",".join(sorted(items[k])).encode()).hexdigest(), len(items[k]), int(longest[k])
-        held.clear()
+        return i0, np.concatenate([np.append(x, _U(0)) for x in held]), np.repeat(np.arange(len(held)), size), np.cumsum(size) - size
 
-    total = 0
     for _, _, buf, offs in c.slices(column):
         starts, _, h = c.words(buf, c.ALNUM)
         h[h == 0] = 1  # 0 parts documents
         cut = np.searchsorted(starts, offs)
         for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
             if held and total + b - a + 1 > SHARD_WORDS:
-                yield from done()
-                total = 0
+                yield done()
+                i0, held, total = i0 + len(held), [], 0
             held.append(h[a:b])
             total += b - a + 1
     if held:
-        yield from done()
+        yield done()
 
 
-def handed_out(benchmark: DataFrame, window: int, id_col: str, text_col: str) -> list:
-    """The benchmark's windows as broadcasts, each made of at most about BLOCK_BYTES of text."""
+def scan(column: pa.Array, windows: Windows) -> Iterator[tuple[int, int, int, str]]:
+    """n_words, n_hit, n_items and the items' digest of each text, in order."""
+    for _, h, doc, start in shards(column):
+        n_hit, items = hits(h, doc, len(start), windows)
+        for n, k, x in zip(np.diff(np.append(start, len(h))).tolist(), n_hit.tolist(), items, strict=True):
+            yield n - 1, k, len(x), hashlib.sha256(",".join(sorted(x)).encode()).hexdigest()
+
+
+def suffixes(benchmark: DataFrame, window: int, id_col: str, text_col: str):
+    """The benchmark's windows as a broadcast, or None if its text exceeds HANDED_BYTES."""
     rows = benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).cast("string").alias("t")).where("t is not null")
-    total = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    n = -(-total // BLOCK_BYTES)
-    out = []
+    if (rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0) > HANDED_BYTES:
+        return None
+    got = rows.collect()
+    return benchmark.sparkSession.sparkContext.broadcast(Windows([r[0] for r in got], [r[1] for r in got], window))
+
+
+# ---- a benchmark too large to hand out
+
+
+def grams(h: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the runs of n words."""
+    out = np.full(max(0, len(h) - n + 1), c.MULT[62] * _U(n))
     for k in range(n):
-        part = (rows if n == 1 else rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k)).collect()
-        out.append(benchmark.sparkSession.sparkContext.broadcast(Windows([r[0] for r in part], [r[1] for r in part], window)))
-    return out
+        out += h[k : k + len(out)] * c.MULT[k % 40] * _U(2 * (k // 40) + 1)
+    return c.mix(out).view(np.int64)
+
+
+def joined(docs: DataFrame, benchmark: DataFrame, window: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Windows of docs(row, text) that the benchmark holds: (row, word, n, key); its (key, item, at); (row, words) of all rows."""
+
+    def theirs(batches):
+        for batch in batches:
+            for i0, _, buf, offs in c.slices(batch["t"]):
+                starts, _, h = c.words(buf, c.ALNUM)
+                cut = np.searchsorted(starts, offs)
+                for k, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)):
+                    if n := min(window, b - a):
+                        g = grams(h[a:b], n)
+                        yield pa.record_batch([pa.array(g), pa.array([batch["i"][i0 + k].as_py()] * len(g), pa.string()), pa.array(np.arange(len(g))), pa.array(np.full(len(g), n, np.int32))], names=["key", "item", "at", "n"])
+
+    items = benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).cast("string").alias("t"))
+    bench = c.stored(items.mapInArrow(theirs, "key long, item string, at long, n int"))
+    keys = bench.select("key").distinct()
+    handed = docs.sparkSession.sparkContext.broadcast(c.Bitmap(keys.withColumnRenamed("key", "id"), bench.count()))
+    sizes = sorted(r[0] for r in bench.select("n").distinct().collect())
+
+    def ours(batches):
+        bitmap = handed.value
+        for batch in batches:
+            for i0, _, buf, offs in c.slices(batch["text"]):
+                starts, _, h = c.words(buf, c.ALNUM)
+                cut = np.searchsorted(starts, offs)
+                of = np.repeat(np.arange(len(cut) - 1), np.diff(cut))
+                for n in sizes:
+                    g = grams(h, n)
+                    at = g % (1 << bitmap.bits)
+                    some = np.flatnonzero((bitmap.words[at >> 6] >> (at & 63).astype(np.uint64) & _U(1)).astype(bool))
+                    some = some[of[some] == of[some + n - 1]]
+                    yield pa.record_batch([batch["row"].take(pa.array(of[some] + i0)), pa.array(some - cut[of[some]]), pa.array(np.full(len(some), n, np.int32)), pa.array(g[some])], names=["row", "word", "n", "key"])
+
+    def measured(batches):
+        for batch in batches:
+            n = np.concatenate([np.zeros(0, np.int64), *(np.diff(np.append(start, len(h))) - 1 for _, h, _, start in shards(batch["text"]))])
+            yield pa.record_batch([batch["row"], pa.array(n, pa.int64())], names=["row", "words"])
+
+    same = c.stored(docs.mapInArrow(ours, "row long, word long, n int, key long").join(keys, "key", "left_semi"))
+    return same, bench, docs.mapInArrow(measured, "row long, words long")
+
 
+def judged(docs: DataFrame, benchmark: DataFrame, window: int, id_col: str, text_col: str) -> DataFrame:
+    """(row, n_words, n_hit, n_items, items_sha256) of docs(row, text), by the join."""
+    same, bench, sizes = joined(docs, benchmark, window, id_col, text_col)
+    before = F.max(F.col("word") + F.col("n")).over(Window.partitionBy("row").orderBy("word", "n").rowsBetween(Window.unboundedPreceding, -1))
+    cover = same.withColumn("new", F.greatest(F.lit(0), F.col("word") + F.col("n") - F.greatest("word", F.coalesce(before, F.lit(0))))).groupBy("row").agg(F.sum("new").alias("n_hit"))
+    of = same.select("row", "key").distinct().join(bench.select("key", "item").distinct(), "key").where("item is not null").groupBy("row").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    full = sizes.join(cover, "row", "left").join(of, "row", "left")
+    return full.select("row", F.col("words").alias("n_words"), F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"), F.sha2(F.coalesce(F.array_join("items", ","), F.lit("")).cast("binary"), 256).alias("items_sha256"))
 
-FOUND = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest_match long"
+
+# ---- operators
+
+FOUND = "n_words long, n_hit long, n_items long, items_sha256 string"
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
-    """(id_col, n_words, n_hit, n_items, items_sha256, contaminated, longest_match) of each row of docs.
+    """(id_col, n_words, n_hit, n_items, items_sha256, contaminated) of each row of docs.
+
+    Null texts have no words on either side. A null item id marks words but isn't listed; repeated
+    items count once. Other columns aren't read; rows aren't merged, whatever their ids. With an
+    empty benchmark nothing is contaminated.
+    """
+    handed = suffixes(benchmark, window, item_col, text_col)
+    if handed is None:
+        base, row = c.numbered(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")))
+        got = judged(base.select(F.col(row).alias("row"), "text"), benchmark, window, item_col, text_col)
+        out = base.select("id", F.col(row).alias("row")).join(got, "row").drop("row")
+    else:
+
+        def go(batches):
+            for batch in batches:
+                got = list(scan(batch["text"], handed.value))
+                yield pa.record_batch([batch["id"], *(pa.array([x[k] for x in got], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string())))], names=["id", "n_words", "n_hit", "n_items", "items_sha256"])
+
+        kind = docs.schema[id_col].dataType.simpleString()
+        out = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(go, f"id {kind}, {FOUND}")
+    return out.withColumn("contaminated", F.col("n_hit") > 0).withColumnRenamed("id", id_col)
+
 
-    longest_match: words of the longest verbatim match of `window` words or more (or of a whole
-    shorter item). Null texts have no words on either side. A null item id marks words but isn't
-    listed; repeated items count once. Other columns aren't read; rows aren't merged, whatever
-    their ids. With an empty benchmark nothing is contaminated.
+def verbatim_matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
+    """(id_col, first_word, n_words, item_id, item_word): each longest verbatim match of a document and an item, and where it stands in both.
+
+    Words count from 0. A match has `window` words or more, or is a whole shorter item. Rows of equal
+    id or text have each their own; null texts have none.
     """
-    blocks = handed_out(benchmark, window, item_col, text_col)
+    handed = suffixes(benchmark, window, item_col, text_col)
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    if handed is None:
+        base, row = c.numbered(rows)
+        same, bench, _ = joined(base.select(F.col(row).alias("row"), "text"), benchmark, window, item_col, text_col)
+        one = same.join(bench.drop("n").distinct(), "key").selectExpr("row", "item", "word - at ahead", "word", "n")
+        run = one.withColumn("run", F.col("word") - F.row_number().over(Window.partitionBy("row", "item", "ahead").orderBy("word")))
+        runs = run.groupBy("row", "item", "ahead", "run").agg(F.min("word").alias("first_word"), (F.count("*") + F.max("n") - 1).alias("n_words"))
+        return base.select("id", F.col(row).alias("row")).join(runs, "row").selectExpr("id", "first_word", "n_words", "item item_id", "first_word - ahead item_word").withColumnRenamed("id", id_col)
 
     def go(batches):
         for batch in batches:
-            got = list(scan(batch["text"], blocks, window))
-            yield pa.record_batch(
-                [batch["id"], *(pa.array([x[k] for x in got], t) for k, t in ((0, pa.int64()), (1, pa.int64()), (3, pa.int64()), (2, pa.string()))), pa.array([x[1] > 0 for x in got], pa.bool_()), pa.array([x[4] for x in got], pa.int64())],
-                names=["id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest_match"],
-            )
+            got = [(i0 + d, *x) for i0, h, doc, start in shards(batch["text"]) for d, *x in longest(h, doc, start, handed.value)]
+            yield pa.record_batch([batch["id"].take(pa.array([x[0] for x in got], pa.int64())), *(pa.array([x[k] for x in got], t) for k, t in ((1, pa.int64()), (2, pa.int64()), (3, pa.string()), (4, pa.int64())))], names=["id", "first_word", "n_words", "item_id", "item_word"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(go, f"id {kind}, {FOUND}").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(go, f"id {kind}, first_word long, n_words long, item_id string, item_word long").withColumnRenamed("id", id_col)
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """The rows of docs, all their columns, without a benchmark window."""
-    blocks = handed_out(benchmark, window, item_col, text_col)
+    handed = suffixes(benchmark, window, item_col, text_col)
+    if handed is None:
+        base, row = c.numbered(docs)
+        same, _, _ = joined(base.select(F.col(row).alias("row"), F.col(text_col).cast("string").alias("text")), benchmark, window, item_col, text_col)
+        key = c.fresh(base, "hit_row")
+        return base.join(same.select(F.col("row").alias(key)).distinct(), F.col(row) == F.col(key), "left_anti").drop(row)
 
     def go(batches):
         for batch in batches:
-            keep = pa.array([x[1] == 0 for x in scan(batch[text_col], blocks, window)], pa.bool_())
-            yield batch.filter(keep)
+            yield batch.filter(pa.array([x[1] == 0 for x in scan(batch[text_col], handed.value)], pa.bool_()))
 
     return docs.mapInArrow(go, docs.schema)

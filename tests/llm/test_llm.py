@@ -254,7 +254,9 @@ def test_one_of_each_tells_rows_apart(spark):
 # ---- decontamination
 
 
-def test_decontamination(spark):
+@pytest.mark.parametrize("handed", [1 << 20, 0])
+def test_decontamination(spark, monkeypatch, handed):
+    monkeypatch.setattr(decontaminate, "HANDED_BYTES", handed)
     r = random.Random(4)
     vocab = [f"w{k}" for k in range(40)]
     items = [(k, " ".join(r.choice(vocab) for _ in range(r.choice([3, 9, 10, 30])))) for k in range(12)] + [(50, None), (51, "..."), (None, "alpha beta"), (3, "dup of an id")]
@@ -277,10 +279,23 @@ def test_decontamination(spark):
                     found |= win[tuple(w[i : i + n])]
         ids = sorted(str(x) for x in found if x is not None)
         want[(k, len(w), len(hit), len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest(), bool(hit))] += 1
-    got = Counter(tuple(x)[:6] for x in decontaminate.contamination(docs, bench).collect())
+    got = Counter(tuple(x) for x in decontaminate.contamination(docs, bench).collect())
     assert got == want
     clean = decontaminate.decontaminated(docs, bench)
     assert clean.columns == docs.columns and clean.count() == sum(n for x, n in want.items() if not x[5])
+    words = [(k, rx.findall((t or "").translate(LOW))) for k, t in texts]
+    matches = Counter()
+    for d, w in words:
+        for i, v in ((i, rx.findall((t or "").translate(LOW))) for i, t in items):
+            n = min(10, len(v))
+            for a in range(len(w)) if n else ():
+                for b in range(len(v)):
+                    k = 0
+                    while a + k < len(w) and b + k < len(v) and w[a + k] == v[b + k]:
+                        k += 1
+                    if k >= n and (not a or not b or w[a - 1] != v[b - 1]):
+                        matches[(d, a, k, None if i is None else str(i), b)] += 1
+    assert Counter(tuple(x) for x in decontaminate.verbatim_matches(docs, bench).collect()) == matches
     assert decontaminate.contamination(docs, bench.limit(0)).where("contaminated").count() == 0
     assert decontaminate.contamination(docs.limit(0), bench).count() == 0
 
@@ -290,10 +305,10 @@ def test_suffix_array_of_a_large_shard(monkeypatch):
     doc = np.zeros(len(h), np.int64)
     w = decontaminate.Windows(["a"], ["x"], 10)
     q = np.lib.stride_tricks.sliding_window_view(h, 10)[::97]
-    w.by = {10: (np.unique(q, axis=0), np.arange(len(q) + 1), np.zeros(len(q), np.int64), np.zeros(0, np.int64))}
-    small = decontaminate.hits(h, doc, 1, [w], 10)
+    w.by = {10: (np.unique(q, axis=0), np.arange(len(q) + 1), np.zeros(len(q), np.int64), np.zeros(len(q), np.int64))}
+    small = decontaminate.hits(h, doc, 1, w)
     monkeypatch.setattr(decontaminate, "SHARD_WORDS", 100)
-    large = decontaminate.hits(h, doc, 1, [w], 10)
+    large = decontaminate.hits(h, doc, 1, w)
     assert small[0][0] == large[0][0] >= 10 * 10
 
 
@@ -577,6 +592,33 @@ def test_ann_gives_k_rows_to_outliers(spark):
         assert [found[k] for k in range(1, 21)] == np.lexsort((np.arange(len(x)), -s))[:20].tolist()
 
 
+def test_ann_in_many_groups_and_chunks(spark, monkeypatch):
+    """Recall against brute force with small chunks and blocks, a hot vector, and clashing column names."""
+    monkeypatch.setattr(ann, "CHUNK", 300)
+    monkeypatch.setattr(ann, "QUERIES", 7)
+    r = np.random.default_rng(5)
+    x = r.normal(size=(3000, 24)) + 3 * r.normal(size=(40, 24))[r.integers(0, 40, 3000)]
+    x[1000:1900] = x[1000]
+    df = spark.createDataFrame([(k, v.tolist(), 0, 1, 2.0) for k, v in enumerate(x)], "vec_id long, embedding array<double>, rank int, list int, v double")
+    got = {}
+    for q in ann.nearest(df, "id % 20 = 0").collect():
+        got.setdefault(q.query_id, {})[q.rank] = (q.vec_id, q.score)
+    assert set(got) == set(range(0, 3000, 20)) and all(sorted(g) == list(range(1, 21)) for g in got.values())
+    hit = 0
+    for q, found in got.items():
+        s = (x * x[q]).sum(1)
+        s[q] = -np.inf
+        hit += len({v for v, _ in found.values()} & set(np.lexsort((np.arange(3000), -s))[:20].tolist()))
+        assert all(score == s[v] for v, score in found.values())
+    assert hit >= 0.9 * 20 * len(got)
+
+
+def test_kmeans_holds_some_rows_at_a_time():
+    x = np.random.default_rng(2).normal(size=(5000, 4))
+    centres = ann.kmeans(x, 2000, 1)
+    assert (ann.closest(x, centres) == ((x[:, None] - centres[None]) ** 2).sum(2).argmin(1)).mean() > 0.999
+
+
 # ---- language and quality
 
 
