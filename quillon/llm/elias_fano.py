@@ -110,8 +110,8 @@ class EliasFano:
         """The numbers at places j."""
         return (self._select(j, True) - j).astype(np.uint64) << _U(self.bits) | self.lows(j)
 
-    def find(self, v: np.ndarray) -> np.ndarray:
-        """Place of each number, or -1: the successor search ends in the number's bucket of high parts."""
+    def find(self, v: np.ndarray, within: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+        """Place of each number, or -1: a successor search in its bucket of high parts, as far as that lies within the range given."""
         v = v.astype(np.uint64)
         top = (v >> _U(self.bits)).astype(np.int64)
         out = np.full(len(v), -1, np.int64)
@@ -123,6 +123,8 @@ class EliasFano:
         some = top > 0
         low[some] = self._select(top[some] - 1, False) + 1 - top[some]
         high = self._select(top, False) - top
+        if within is not None:
+            low, high = np.maximum(low, within[0][todo]), np.minimum(high, within[1][todo])
         at, end = low, high.copy()
         open_ = np.flatnonzero(at < end)
         while len(open_):  # the bucket's low bits rise: halve it
@@ -131,7 +133,7 @@ class EliasFano:
             at[open_] = np.where(less, mid + 1, at[open_])
             end[open_] = np.where(less, end[open_], mid)
             open_ = open_[at[open_] < end[open_]]
-        inside = np.flatnonzero(at < high)
+        inside = np.flatnonzero((at < high) & (at >= low))
         hit = inside[self.lows(at[inside]) == want[inside]]
         out[todo[hit]] = at[hit]
         return out

@@ -3,21 +3,27 @@
 Level one is the vocabulary: sorted 64-bit word hashes, whose ranks are word ids, with counts. The
 levels below hold, for each n-gram, its last word, stored relative to its context as `context * V +
 word` so that a level is one rising sequence; a context of level three is the place of its pair in
-level two, and monotone pointers delimit the children of each pair. Beside each entry stands its
-quantised conditional probability. Lookups are successor searches within the context.
+level two, and monotone pointers delimit the children of each pair. Lookups are successor searches
+within that range. Beside each entry stands its smoothed probability, quantised to a byte; where an
+n-gram isn't found, the shorter one's counts, times what the context leaves it.
 
 Probabilities of the orders are interpolated; the weights, by the size of the context, are those
 under which the training text itself is likeliest with each token left out of its own counts.
 
 Counting: tasks send distinct n-grams of a few million tokens as blobs to shards by hash of the
-first two words, so no shard holds more of a frequent word than of others. Shards are files in the
-shared folder, which must be mounted on all machines; scoring maps them, and what it needs is paged
-in, so memory doesn't grow with the model. All counts cover all training tokens; nothing is pruned.
+first two words, so no shard holds more of a frequent word than of others. A shard's levels and
+counts are a file in the shared folder, which must be mounted on all machines; once the weights are
+known, a second job writes its probabilities. Files are mapped where they are used, a bounded number
+at a time, and what is needed is paged in, so memory doesn't grow with the model. All counts cover
+all training tokens; nothing is pruned.
 """
 
 from __future__ import annotations
 
+import os
 import pickle
+from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +43,14 @@ END = np.uint64(0x9E3779B97F4A7C15)
 WEIGHTS = np.array([0, 0.002, 0.005, 0.01, 0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.97])
 SIZES = 32
 _U = np.uint64
-_OPEN: dict[str, object] = {}
+#: Files mapped by a worker at a time.
+MAPS = 2048
+
+
+@lru_cache(MAPS)
+def opened(path: str) -> tuple[dict[str, np.ndarray], dict]:
+    """A file's arrays and facts; none if nothing was dealt to it."""
+    return open_arrays(path) if os.path.exists(path) else ({}, {})
 
 
 def local(path: str) -> str:
@@ -75,6 +88,21 @@ def unsmall(b: bytes, n: int) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(size, n).T).view(np.uint32 if size == 4 else np.uint64).reshape(-1).astype(np.int64)
 
 
+def by_shard(to: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """The shards that occur, each with the places at which it does."""
+    if not len(to):
+        return
+    order = np.argsort(to, kind="stable")
+    full, first = np.unique(to[order], return_index=True)
+    yield from zip(full.tolist(), np.split(order, first[1:]), strict=True)
+
+
+def packed_counts(n: np.ndarray) -> dict[str, np.ndarray]:
+    """Counts in a byte each; those from 255 on stand apart."""
+    over = np.flatnonzero(n >= 255)
+    return {"n": np.minimum(n, 255).astype(np.uint8), "at": over.astype(np.int64), "over": n[over].astype(np.int64)}
+
+
 class Vocabulary:
     """Level one: word ids by rank of the hash, counts by id."""
 
@@ -83,21 +111,16 @@ class Vocabulary:
         self.size = int(self.starts[-1])
 
     def shard(self, k: int) -> dict[str, np.ndarray]:
-        path = f"{self.folder}/vocabulary-{k}"
-        if path not in _OPEN:
-            _OPEN[path] = open_arrays(path)[0]
-        return _OPEN[path]
+        return opened(f"{self.folder}/vocabulary-{k}")[0]
 
     def ids(self, h: np.ndarray) -> np.ndarray:
         """Of sorted distinct hashes; -1 for unknown words."""
         out, n = np.full(len(h), -1, np.int64), len(self.starts) - 1
-        cut = np.searchsorted(c.dealt(h, n), np.arange(n + 1))
-        for k in range(n):
-            part = h[cut[k] : cut[k + 1]]
-            if len(part) and self.starts[k + 1] > self.starts[k]:
+        for k, own in by_shard(c.dealt(h, n)):
+            if self.starts[k + 1] > self.starts[k]:
                 known = self.shard(k)["hash"]
-                at = np.minimum(np.searchsorted(known, part), len(known) - 1)
-                out[cut[k] : cut[k + 1]] = np.where(known[at] == part, at + self.starts[k], -1)
+                at = np.minimum(np.searchsorted(known, h[own]), len(known) - 1)
+                out[own] = np.where(known[at] == h[own], at + self.starts[k], -1)
         return out
 
     def counts(self, ids: np.ndarray) -> np.ndarray:
@@ -130,7 +153,7 @@ def left_out(n: np.ndarray, of: np.ndarray, lower: np.ndarray) -> np.ndarray:
 
 
 def build_shard(path: str, vocabulary: Vocabulary, blobs: list[bytes], order: int) -> np.ndarray:
-    """Writes a shard's levels; gives back what chooses the weights."""
+    """Writes a shard's levels and counts; gives back what chooses the weights."""
     pairs, pair_n, triples, triple_n = [], [], [], []
     parts = [pickle.loads(b) for b in blobs]  # noqa: S301 - our own tasks' blobs
     for keys, n, _, _ in parts:
@@ -139,14 +162,15 @@ def build_shard(path: str, vocabulary: Vocabulary, blobs: list[bytes], order: in
     own, count = summed(np.concatenate(pairs), np.concatenate(pair_n))
     size = vocabulary.size
     a, b = own >> 32, own & 0xFFFFFFFF
-    of = vocabulary.counts(a)
-    base = vocabulary.base(vocabulary.counts(b))
     stats = np.zeros((2, len(WEIGHTS), SIZES))
-    stats[0] = left_out(count, of, base)
+    stats[0] = left_out(count, vocabulary.counts(a), vocabulary.base(vocabulary.counts(b)))
     arrays, facts = {}, {}
-    got, facts["2"] = EliasFano.build(a * size + b, size * size)
-    arrays |= {f"2{k}": v for k, v in got.items()}
-    arrays["2p"], facts["2q"] = quantised(count / of)
+
+    def level(k: str, values: np.ndarray, universe: int, n: np.ndarray | None = None) -> None:
+        got, facts[k] = EliasFano.build(values, universe)
+        arrays.update({f"{k}{x}": v for x, v in (got | (packed_counts(n) if n is not None else {})).items()})
+
+    level("2", a * size + b, size * size, count)
     if order > 2:
         for (_, _, keys, n), local_pairs in zip(parts, pairs, strict=True):
             t = c.unplanes(keys, np.int64)
@@ -156,32 +180,51 @@ def build_shard(path: str, vocabulary: Vocabulary, blobs: list[bytes], order: in
         at, w = t >> 32, t & 0xFFFFFFFF
         if len(t):
             stats[1] = left_out(n, count[at], vocabulary.base(vocabulary.counts(w)))
-        got, facts["3"] = EliasFano.build(at * size + w, len(own) * size)
-        arrays |= {f"3{k}": v for k, v in got.items()}
-        arrays["3p"], facts["3q"] = quantised(n / count[at])
-        ends = np.cumsum(np.bincount(at, minlength=len(own)))
-        got, facts["to"] = EliasFano.build(ends, len(t) + 1)
-        arrays |= {f"to{k}": v for k, v in got.items()}
+        level("3", at * size + w, len(own) * size, n)
+        level("to", np.cumsum(np.bincount(at, minlength=len(own))), len(t) + 1)
     write_arrays(path, arrays, **facts)
     return stats
 
 
 class Shard:
-    def __init__(self, path: str):
-        self.arrays, self.facts = open_arrays(path)
+    """A shard's levels with their counts and, once written, probabilities."""
+
+    def __init__(self, folder: str, k: int):
+        self.arrays, self.facts = opened(f"{folder}/levels-{k}")
+        self.paths = f"{folder}/probabilities-{k}"
 
     def level(self, k: str) -> EliasFano:
         return EliasFano(*(self.arrays[f"{k}{x}"] for x in ("low", "high", "zeros")), self.facts[k]["bits"], self.facts[k]["n"])
 
+    def counts(self, k: str, at: np.ndarray) -> np.ndarray:
+        """0 for -1."""
+        n, over = self.arrays[f"{k}n"][np.maximum(at, 0)].astype(np.int64), self.arrays[f"{k}at"]
+        high = np.flatnonzero(n == 255)
+        if len(high):
+            n[high] = self.arrays[f"{k}over"][np.searchsorted(over, np.maximum(at, 0)[high])]
+        return np.where(at >= 0, n, 0)
+
     def probability(self, k: str, at: np.ndarray) -> np.ndarray:
-        lo, step = self.facts[f"{k}q"]
-        return np.where(at >= 0, 10.0 ** (lo + step * self.arrays[f"{k}p"][np.maximum(at, 0)]), 0.0) if len(self.arrays[f"{k}p"]) else np.zeros(len(at))
+        arrays, facts = opened(self.paths)
+        lo, step = facts[k]
+        return 10.0 ** (lo + step * arrays[k][at])
 
-    def children(self, pair: int, size: int) -> np.ndarray:
-        """Words that follow a pair, by its place in level two: the pointers' range, less the context."""
-        ends = self.level("to").access(np.array([pair - 1, pair]).clip(0))
-        a = 0 if pair == 0 else int(ends[0])
-        return (self.level("3").access(np.arange(a, int(ends[1]))) - _U(pair * size)).astype(np.int64)
+    def pair(self, a: np.ndarray, b: np.ndarray, size: int) -> np.ndarray:
+        """Places of pairs, or -1."""
+        return self.level("2").find(a * size + b) if self.arrays else np.full(len(a), -1, np.int64)
+
+    def children(self, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the children of pairs begin and end in level three, by the pointers."""
+        to = self.level("to")
+        return np.where(pair > 0, to.access(np.maximum(pair - 1, 0)).astype(np.int64), 0), to.access(pair).astype(np.int64)
+
+    def child(self, pair: np.ndarray, word: np.ndarray, size: int) -> np.ndarray:
+        """Places of the words that follow pairs, or -1."""
+        if not self.facts["3"]["n"]:
+            return np.full(len(pair), -1, np.int64)
+        one, which = np.unique(pair, return_inverse=True)
+        first, end = self.children(one)
+        return self.level("3").find(pair * size + word, (first[which], end[which]))
 
 
 class Model:
@@ -189,69 +232,87 @@ class Model:
         self.folder, self.vocabulary, self.shards, self.order, self.weights = folder, vocabulary, shards, order, weights
 
     def shard(self, k: int) -> Shard:
-        path = f"{self.folder}/trie-{k}"
-        if path not in _OPEN:
-            _OPEN[path] = Shard(path)
-        return _OPEN[path]
+        return Shard(self.folder, k)
 
     def weight(self, level: int, of: np.ndarray) -> np.ndarray:
+        """Of a context's own share, by its count; 0 for one that never occurred."""
         return np.where(of > 0, self.weights[level][np.minimum(np.log2(np.maximum(of, 1)).astype(int), SIZES - 1)], 0.0)
 
+    def pair_counts(self, pairs: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(pairs), np.int64)
+        for k, own in by_shard(shard_of(pairs, self.shards)):
+            s = self.shard(k)
+            if s.arrays:
+                out[own] = s.counts("2", s.pair(pairs[own] >> 32, pairs[own] & 0xFFFFFFFF, self.vocabulary.size))
+        return out
+
+    def smooth(self, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Probabilities of known words b after a, by how often the pairs occurred."""
+        of = self.vocabulary.counts(a)
+        w = self.weight(0, of)
+        return w * n / np.maximum(of, 1) + (1 - w) * self.vocabulary.base(self.vocabulary.counts(b))
+
+    def write_probabilities(self, k: int) -> None:
+        """The smoothed probabilities of a shard's entries. Pairs that a triple ends in may be in any shard."""
+        s, size = self.shard(k), self.vocabulary.size
+        if not s.arrays:
+            return
+        v = s.level("2").access(np.arange(s.facts["2"]["n"])).astype(np.int64)
+        a, b, n = v // size, v % size, s.counts("2", np.arange(len(v)))
+        arrays, facts = {}, {}
+        arrays["2"], facts["2"] = quantised(self.smooth(a, b, n))
+        if self.order > 2:
+            t = s.level("3").access(np.arange(s.facts["3"]["n"])).astype(np.int64)
+            at, word = t // size, t % size
+            ends, which = np.unique(b[at] << 32 | word, return_inverse=True)
+            lower = self.smooth(ends >> 32, ends & 0xFFFFFFFF, self.pair_counts(ends))[which]
+            w = self.weight(1, n[at])
+            arrays["3"], facts["3"] = quantised(w * s.counts("3", np.arange(len(t))) / np.maximum(n[at], 1) + (1 - w) * lower)
+        write_arrays(f"{self.folder}/probabilities-{k}", arrays, **facts)
+
     def score(self, tokens: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """n_known, base score and score of each text; h: the texts' words and ends, one after the other."""
+        voc = self.vocabulary
         unique, inverse = np.unique(h, return_inverse=True)
-        ids = self.vocabulary.ids(unique)
-        counts = self.vocabulary.counts(ids)
-        base = self.vocabulary.base(counts)[inverse]
+        ids = voc.ids(unique)
+        counts = voc.counts(ids)
+        base = voc.base(counts)[inverse]
         row = np.repeat(np.arange(len(tokens)), tokens)
         known = np.bincount(row, counts[inverse] > 0, len(tokens)).astype(np.int64)
-        b, of = ids[inverse], counts[inverse]
-        end = self.vocabulary.ids(np.array([END])) if self.vocabulary.size else np.array([-1])
-        before, end_count = np.concatenate((end, b[:-1])), int(self.vocabulary.counts(end)[0])
         p = base.copy()
-        if self.vocabulary.size and self.shards:
-            w = self.weight(0, np.concatenate(([end_count], of[:-1])))
-            both = np.flatnonzero((before >= 0) & (b >= 0))
-            pairs, which = np.unique(before[both] << 32 | b[both], return_inverse=True)
+        if voc.size and self.shards:
+            b, of = ids[inverse], counts[inverse]
+            end = voc.ids(np.array([END]))  # what stands before a text's first word
+            a, of_a = np.concatenate((end, b[:-1])), np.concatenate((voc.counts(end), of[:-1]))
+            p = (1 - self.weight(0, of_a)) * base
+            both = np.flatnonzero((a >= 0) & (b >= 0))
+            pairs, which = np.unique(a[both] << 32 | b[both], return_inverse=True)
             to = shard_of(pairs, self.shards)
-            by = np.argsort(to, kind="stable")
-            cut = np.searchsorted(to[by], np.arange(self.shards + 1))
-            size = self.vocabulary.size
-            place, r2 = np.full(len(pairs), -1, np.int64), np.zeros(len(pairs))
-            full = [k for k in range(self.shards) if cut[k + 1] > cut[k]]
-            for k in full:
-                own = by[cut[k] : cut[k + 1]]
+            place, times, p2 = np.full(len(pairs), -1, np.int64), np.zeros(len(pairs), np.int64), np.zeros(len(pairs))
+            for k, own in by_shard(to):
                 s = self.shard(k)
-                place[own] = s.level("2").find((pairs[own] >> 32) * size + (pairs[own] & 0xFFFFFFFF))
-                r2[own] = s.probability("2", place[own])
-            ratio = np.zeros(len(h))
-            ratio[both] = r2[which]
-            p = w * ratio + (1 - w) * base
+                at = place[own] = s.pair(pairs[own] >> 32, pairs[own] & 0xFFFFFFFF, voc.size)
+                hit = own[at >= 0]
+                if len(hit):
+                    times[hit], p2[hit] = s.counts("2", place[hit]), s.probability("2", place[hit])
+            seen = place[which] >= 0
+            p[both[seen]] = p2[which[seen]]
             if self.order > 2 and len(both):
                 pair_at = np.full(len(h), -1, np.int64)
-                pair_at[both] = which
-                ends = h == END
-                ctx = np.concatenate(([-1], np.where(ends, -1, pair_at)[:-1]))  # the pair that a token follows, within its text
-                seen = np.flatnonzero(ctx >= 0)
-                seen = seen[place[ctx[seen]] >= 0]
-                if len(seen):
-                    times = r2[ctx[seen]] * np.maximum(1, np.concatenate(([end_count, end_count], of))[seen])  # of the pair: its share of its first word
-                    w3 = self.weight(1, times)
-                    r3 = np.zeros(len(seen))
-                    some = np.flatnonzero(b[seen] >= 0)
-                    triples, which3 = np.unique(ctx[seen][some] << 32 | b[seen][some], return_inverse=True)
-                    found = np.zeros(len(triples))
-                    at = triples >> 32
-                    to3 = to[at]
-                    by3 = np.argsort(to3, kind="stable")
-                    cut3 = np.searchsorted(to3[by3], np.arange(self.shards + 1))
-                    for k in full:
-                        own = by3[cut3[k] : cut3[k + 1]]
-                        if len(own):
-                            s = self.shard(k)
-                            found[own] = s.probability("3", s.level("3").find(place[at[own]] * size + (triples[own] & 0xFFFFFFFF)))
-                    r3[some] = found[which3]
-                    p[seen] = w3 * r3 + (1 - w3) * p[seen]
+                pair_at[both[seen]] = which[seen]
+                pair_at[h == END] = -1  # a text's first word follows its end alone
+                ctx = np.concatenate(([-1], pair_at[:-1]))
+                after = np.flatnonzero(ctx >= 0)
+                p[after] *= 1 - self.weight(1, times[ctx[after]])
+                some = after[b[after] >= 0]
+                triples, which3 = np.unique(ctx[some] << 32 | b[some], return_inverse=True)
+                p3 = np.zeros(len(triples))
+                for k, own in by_shard(to[triples >> 32]):
+                    s = self.shard(k)
+                    at = s.child(place[triples[own] >> 32], triples[own] & 0xFFFFFFFF, voc.size)
+                    p3[own[at >= 0]] = s.probability("3", at[at >= 0])
+                hit = p3[which3] > 0
+                p[some[hit]] = p3[which3[hit]]
         return known, np.bincount(row, np.log10(base), len(tokens)), np.bincount(row, np.log10(p), len(tokens))
 
 
@@ -288,7 +349,8 @@ def train(texts: DataFrame, order: int = ORDER) -> Model:
         write_arrays(f"{folder}/vocabulary-{k}", {"hash": keys, "count": counts.astype(np.uint32 if counts.max() < 1 << 32 else np.uint64)})
         return pa.table({"shard": pa.array([k], pa.int32()), "n": pa.array([len(keys)]), "total": pa.array([int(counts.sum())])})
 
-    got = {r[0]: (r[1], r[2]) for r in texts.select("text").mapInArrow(tally, c.BLOBS).groupBy("shard").applyInArrow(vocabulary_file, "shard int, n long, total long").collect()}
+    with c.small_batches(spark):
+        got = {r[0]: (r[1], r[2]) for r in texts.select("text").mapInArrow(tally, c.BLOBS).groupBy("shard").applyInArrow(vocabulary_file, "shard int, n long, total long").collect()}
     vocabulary = Vocabulary(folder, [got.get(k, (0, 0))[0] for k in range(word_shards)], sum(x[1] for x in got.values()))
     if vocabulary.size >= 1 << 31:
         raise ValueError("more than 2**31 words: give the ids more bits")
@@ -306,20 +368,14 @@ def train(texts: DataFrame, order: int = ORDER) -> Model:
             if order > 2:
                 inside = np.flatnonzero(~end[1:-1])
                 triples, triple_n = np.unique(which[inside] << 32 | s[2:][inside], return_counts=True)
-            to = shard_of(pairs, shards)
-            by = np.argsort(to, kind="stable")
-            cut = np.searchsorted(to[by], np.arange(shards + 1)).tolist()
-            new = np.empty(len(pairs), np.int64)
-            new[by] = np.arange(len(pairs)) - np.array(cut)[to[by]]
-            to3 = to[triples >> 32]
-            by3 = np.argsort(to3, kind="stable")
-            cut3 = np.searchsorted(to3[by3], np.arange(shards + 1)).tolist()
-            for k in range(shards):
-                own, own3 = by[cut[k] : cut[k + 1]], by3[cut3[k] : cut3[k + 1]]
-                if len(own):
-                    t = new[triples[own3] >> 32] << 32 | triples[own3] & 0xFFFFFFFF
-                    blob = pickle.dumps((c.planes(pairs[own]), small(pair_n[own]), c.planes(t), small(triple_n[own3])))
-                    yield pa.record_batch([pa.array([k], pa.int32()), pa.array([blob], pa.binary())], names=["shard", "a"])
+            to, new, none = shard_of(pairs, shards), np.empty(len(pairs), np.int64), np.zeros(0, np.int64)
+            theirs = dict(by_shard(to[triples >> 32]))
+            for k, own in by_shard(to):
+                new[own] = np.arange(len(own))
+                own3 = theirs.get(k, none)
+                t = new[triples[own3] >> 32] << 32 | triples[own3] & 0xFFFFFFFF
+                blob = pickle.dumps((c.planes(pairs[own]), small(pair_n[own]), c.planes(t), small(triple_n[own3])))
+                yield pa.record_batch([pa.array([k], pa.int32()), pa.array([blob], pa.binary())], names=["shard", "a"])
 
         for batch in batches:
             for _, _, h in streams(batch["text"]):
@@ -331,19 +387,26 @@ def train(texts: DataFrame, order: int = ORDER) -> Model:
         if held:
             yield from sent()
 
-    def trie_file(t: pa.Table) -> pa.Table:
+    def levels_file(t: pa.Table) -> pa.Table:
         k = t["shard"][0].as_py()
-        stats = build_shard(f"{folder}/trie-{k}", vocabulary, [x.as_py() for x in t["a"]], order)
-        return pa.table({"shard": pa.array([k], pa.int32()), "stats": pa.array([stats.tobytes()], pa.binary())})
+        stats = build_shard(f"{folder}/levels-{k}", vocabulary, [x.as_py() for x in t["a"]], order).ravel()
+        return pa.table({"cell": pa.array(np.arange(len(stats))), "x": pa.array(stats)})
+
+    stats = np.zeros((2, len(WEIGHTS), SIZES))
+    with c.small_batches(spark):
+        for r in texts.select("text").mapInArrow(count, "shard int, a binary").groupBy("shard").applyInArrow(levels_file, "cell long, x double").groupBy("cell").agg(F.sum("x")).collect():
+            stats.flat[r[0]] = r[1]
+    model = Model(folder, vocabulary, shards, order, WEIGHTS[stats.argmax(1)])
+
+    def probabilities(batches):
+        for batch in batches:
+            for k in batch["id"].to_pylist():
+                model.write_probabilities(k)
+            yield batch
 
-    built, stats = set(), np.zeros((2, len(WEIGHTS), SIZES))
-    for r in texts.select("text").mapInArrow(count, "shard int, a binary").groupBy("shard").applyInArrow(trie_file, "shard int, stats binary").collect():
-        built.add(r[0])
-        stats += np.frombuffer(r[1], float).reshape(stats.shape)
-    for k in set(range(shards)) - built:  # no pair was dealt to it
-        e, f = EliasFano.build(np.zeros(0, np.int64), 1)
-        write_arrays(f"{folder}/trie-{k}", {f"{x}{y}": v for x in ("2", "3", "to") for y, v in e.items()} | {"2p": np.zeros(0, np.uint8), "3p": np.zeros(0, np.uint8)}, **{"2": f, "3": f, "to": f, "2q": [0.0, 0.0], "3q": [0.0, 0.0]})
-    return Model(folder, vocabulary, shards, order, WEIGHTS[stats.argmax(1)])
+    if shards:
+        spark.range(0, shards, 1, -(-shards // 2)).mapInArrow(probabilities, "id long").agg(F.count("*")).collect()
+    return model
 
 
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -370,4 +433,4 @@ def lm_scores(docs: DataFrame, folds: int = 7, fold: int = 2, order: int = ORDER
     """
     held = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == fold, F.lit(False))
     model = train(docs.where(~held).select(F.col(text_col).cast("string").alias("text")), order)
-    return scored(docs, model, id_col, text_col).select(id_col, held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return c.stored(scored(docs, model, id_col, text_col)).select(id_col, held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -428,18 +428,63 @@ def test_lm(spark, order):
     assert all(r.score == 0 and r.train_tokens == 0 for r in nothing)
 
 
-def test_lm_sums_to_one(spark):
-    model = lm.train(table(spark, [(k, t) for k, t in enumerate(["a b a b c", "a b a c c a b", "c a b"])]).select("text"))
-    words = ["a", "b", "c", "unheard"]
-    h = {w: lm.streams(pa.array([w])) for w in words}
-    h = {w: next(iter(x))[2][0] for w, x in h.items()} | {"": lm.END}
-    total = 0.0
-    for w in h:
-        t = np.array([h["a"], h["b"], h[w]])
+@pytest.mark.parametrize("order", [2, 3])
+def test_lm_scores_against_brute_force(spark, monkeypatch, order):
+    """Every text's score, from counts in dictionaries; a stored probability is off by half a step of its byte at most."""
+    monkeypatch.setattr(lm, "SHARD_BYTES", 4000)
+    monkeypatch.setattr(lm, "VOCABULARY_BYTES", 20_000)
+    r = random.Random(9)
+    vocab = [f"w{k}" for k in range(30)]
+    train = [[r.choice(vocab[: r.randint(2, 30)]) for _ in range(r.randint(0, 60))] for _ in range(120)] + [["w1"] * 400, [], ["w1", "w2"] * 300]
+    model = lm.train(spark.createDataFrame([(" ".join(t),) for t in train] + [(None,)], "text string"), order)
+    train.append([])
+    one, two, three = Counter(), Counter(), Counter()
+    for t in train:
+        t = [None, *t, None]
+        one.update(t[1:])
+        two.update(zip(t, t[1:], strict=False))
+        three.update(zip(t, t[1:], t[2:], strict=False))
+    n, v = sum(one.values()), len(one)
+
+    def p(a, b, x, c_):
+        """Of x after b, and after a and b if c_."""
+        low = (one[x] + 1) / (n + v + 1)
+        w = model.weight(0, np.array([one[b]]))[0]
+        out = w * two[b, x] / max(1, one[b]) + (1 - w) * low
+        if c_ and two[a, b]:
+            w = model.weight(1, np.array([two[a, b]]))[0]
+            out = w * three[a, b, x] / two[a, b] + (1 - w) * out
+        return out
+
+    texts = [*train[:20], ["w1", "unheard", "w2", "w1"], ["unheard"], [], ["w1", "w2", "w1", "w1"] * 50, [r.choice(vocab) for _ in range(300)]]
+    got = lm.scored(spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string"), model).collect()
+    for row in got:
+        t = [None, *texts[row.doc_id], None]
+        want = sum(math.log10(p(t[k - 2] if k > 1 else None, t[k - 1], t[k], order > 2 and k > 1)) for k in range(1, len(t)))
+        assert abs(row.score - want) <= 0.012 * (len(t) - 1), row.doc_id
+    h = {w: next(iter(lm.streams(pa.array([w]))))[2][0] for w in [*vocab, "unheard"]} | {"": lm.END}
+    total = 0.0  # over what may follow two words
+    for x in h.values():
+        t = np.array([h["w1"], h["w2"], x])
         total += 10 ** (model.score(np.array([3]), t)[2][0] - model.score(np.array([2]), t[:2])[2][0])
     assert total == pytest.approx(1, abs=0.02)
-    pair = model.shard(0).level("2")
-    assert pair.n >= 0
+
+
+def test_trie_pointers_delimit_the_children(spark):
+    model = lm.train(spark.createDataFrame([("a b a b c",), ("a b a c c a b",), ("c a b",)], "text string"))
+    found = 0
+    for k in range(model.shards):
+        s = model.shard(k)
+        if s.arrays:
+            place = np.arange(s.facts["2"]["n"])
+            first, end = s.children(place)
+            t = s.level("3").access(np.arange(s.facts["3"]["n"])).astype(np.int64)
+            for i, a, b in zip(place, first, end, strict=True):
+                assert (t[a:b] // model.vocabulary.size == i).all()
+                found += b - a
+                assert s.child(np.full(b - a, i), t[a:b] % model.vocabulary.size, model.vocabulary.size).tolist() == list(range(a, b))
+            assert end[-1] == len(t)
+    assert found
 
 
 # ---- WARC
