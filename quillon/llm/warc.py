@@ -270,7 +270,8 @@ def write_archives(pages: DataFrame, path: str, least: int = 0, id_col: str = "p
             yield pa.record_batch([pa.array(out, pa.binary())], names=["r"])
 
     each = max(1, int(file_bytes / max(mean or 1, 1)))
-    put_members(joined.mapInArrow(go, "r binary"), path, each)
+    with c.small_batches(pages.sparkSession):
+        put_members(joined.mapInArrow(go, "r binary"), path, each)
 
 
 #: payload_bytes and payload_digest are computed from the payload of a response; a revisit's are those it states.
@@ -314,4 +315,4 @@ def round_trip(pages: DataFrame, least: int = 0) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to, url) of the records read back."""
     path = c.shared_dir(pages.sparkSession)
     write_archives(pages, path, least)
-    return read_archives(pages.sparkSession, path).selectExpr("id as page_id", "payload_bytes", "payload_digest", "type as record_type", "refers_to", "url")
+    return c.stored(read_archives(pages.sparkSession, path).selectExpr("id as page_id", "payload_bytes", "payload_digest", "type as record_type", "refers_to", "url"))
