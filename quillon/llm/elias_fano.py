@@ -61,10 +61,10 @@ class EliasFano:
         self.buckets = int(zeros[-1])
 
     @staticmethod
-    def build(values: np.ndarray, universe: int) -> tuple[dict[str, np.ndarray], dict]:
-        """values: rising, below universe."""
+    def build(values: np.ndarray, universe: int, bits: int | None = None) -> tuple[dict[str, np.ndarray], dict]:
+        """values: rising, below universe. bits: low ones, if they aren't to be chosen for space."""
         n, values = len(values), values.astype(np.uint64)
-        bits = max(0, (universe // max(1, n)).bit_length() - 1)
+        bits = max(0, (universe // max(1, n)).bit_length() - 1) if bits is None else bits
         top = (values >> _U(bits)).astype(np.int64)
         ones = top + np.arange(n)
         size = -(-(n + (universe >> bits) + 2) // 512) * 512
@@ -110,8 +110,21 @@ class EliasFano:
         """The numbers at places j."""
         return (self._select(j, True) - j).astype(np.uint64) << _U(self.bits) | self.lows(j)
 
-    def find(self, v: np.ndarray, within: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
-        """Place of each number, or -1: a successor search in its bucket of high parts, as far as that lies within the range given."""
+    def all(self) -> np.ndarray:
+        """The numbers, in order."""
+        ones = np.flatnonzero(np.unpackbits(np.ascontiguousarray(self.high).view(np.uint8), bitorder="little"))
+        place = np.arange(self.n)
+        return (ones - place).astype(np.uint64) << _U(self.bits) | self.lows(place)
+
+    def bucket(self, top: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the numbers of a high part begin and end: the unary part points there."""
+        low = np.zeros(len(top), np.int64)
+        some = top > 0
+        low[some] = self._select(top[some] - 1, False) + 1 - top[some]
+        return low, self._select(top, False) - top
+
+    def find(self, v: np.ndarray) -> np.ndarray:
+        """Place of each number, or -1: a successor search in its bucket of high parts."""
         v = v.astype(np.uint64)
         top = (v >> _U(self.bits)).astype(np.int64)
         out = np.full(len(v), -1, np.int64)
@@ -119,13 +132,8 @@ class EliasFano:
         if not self.n or not len(todo):
             return out
         top, want = top[todo], v[todo] & _U((1 << self.bits) - 1)
-        low = np.zeros(len(todo), np.int64)
-        some = top > 0
-        low[some] = self._select(top[some] - 1, False) + 1 - top[some]
-        high = self._select(top, False) - top
-        if within is not None:
-            low, high = np.maximum(low, within[0][todo]), np.minimum(high, within[1][todo])
-        at, end = low, high.copy()
+        at, high = self.bucket(top)
+        end = high.copy()
         open_ = np.flatnonzero(at < end)
         while len(open_):  # the bucket's low bits rise: halve it
             mid = (at[open_] + end[open_]) >> 1
@@ -133,7 +141,7 @@ class EliasFano:
             at[open_] = np.where(less, mid + 1, at[open_])
             end[open_] = np.where(less, end[open_], mid)
             open_ = open_[at[open_] < end[open_]]
-        inside = np.flatnonzero((at < high) & (at >= low))
+        inside = np.flatnonzero(at < high)
         hit = inside[self.lows(at[inside]) == want[inside]]
         out[todo[hit]] = at[hit]
         return out

@@ -1,11 +1,12 @@
 """Language model scores from an Elias-Fano n-gram trie.
 
 Level one is the vocabulary: sorted 64-bit word hashes, whose ranks are word ids, with counts. The
-levels below hold, for each n-gram, its last word, stored relative to its context as `context * V +
-word` so that a level is one rising sequence; a context of level three is the place of its pair in
-level two, and monotone pointers delimit the children of each pair. Lookups are successor searches
-within that range. Beside each entry stands its smoothed probability, quantised to a byte; where an
-n-gram isn't found, the shorter one's counts, times what the context leaves it.
+levels below hold, for each n-gram, its last word after its context, so that a level is one rising
+sequence. A context of level three is the place of its pair in level two: the low bits are the word,
+and the unary part, with one bucket for each pair, is the monotone pointers that delimit the pair's
+children. Lookups are successor searches within that range. In level two, of whose contexts a shard
+has few, the low bits are chosen for space. Beside each entry stands its smoothed probability,
+quantised to a byte; where an n-gram isn't found, the shorter one's, times what the context leaves it.
 
 Probabilities of the orders are interpolated; the weights, by the size of the context, are those
 under which the training text itself is likeliest with each token left out of its own counts.
@@ -166,9 +167,9 @@ def build_shard(path: str, vocabulary: Vocabulary, blobs: list[bytes], order: in
     stats[0] = left_out(count, vocabulary.counts(a), vocabulary.base(vocabulary.counts(b)))
     arrays, facts = {}, {}
 
-    def level(k: str, values: np.ndarray, universe: int, n: np.ndarray | None = None) -> None:
-        got, facts[k] = EliasFano.build(values, universe)
-        arrays.update({f"{k}{x}": v for x, v in (got | (packed_counts(n) if n is not None else {})).items()})
+    def level(k: str, values: np.ndarray, universe: int, n: np.ndarray, bits: int | None = None) -> None:
+        got, facts[k] = EliasFano.build(values, universe, bits)
+        arrays.update({f"{k}{x}": v for x, v in (got | packed_counts(n)).items()})
 
     level("2", a * size + b, size * size, count)
     if order > 2:
@@ -180,8 +181,8 @@ def build_shard(path: str, vocabulary: Vocabulary, blobs: list[bytes], order: in
         at, w = t >> 32, t & 0xFFFFFFFF
         if len(t):
             stats[1] = left_out(n, count[at], vocabulary.base(vocabulary.counts(w)))
-        level("3", at * size + w, len(own) * size, n)
-        level("to", np.cumsum(np.bincount(at, minlength=len(own))), len(t) + 1)
+        word = int(size).bit_length()
+        level("3", at << word | w, len(own) << word, n, word)
     write_arrays(path, arrays, **facts)
     return stats
 
@@ -213,18 +214,10 @@ class Shard:
         """Places of pairs, or -1."""
         return self.level("2").find(a * size + b) if self.arrays else np.full(len(a), -1, np.int64)
 
-    def children(self, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where the children of pairs begin and end in level three, by the pointers."""
-        to = self.level("to")
-        return np.where(pair > 0, to.access(np.maximum(pair - 1, 0)).astype(np.int64), 0), to.access(pair).astype(np.int64)
-
-    def child(self, pair: np.ndarray, word: np.ndarray, size: int) -> np.ndarray:
+    def child(self, pair: np.ndarray, word: np.ndarray) -> np.ndarray:
         """Places of the words that follow pairs, or -1."""
-        if not self.facts["3"]["n"]:
-            return np.full(len(pair), -1, np.int64)
-        one, which = np.unique(pair, return_inverse=True)
-        first, end = self.children(one)
-        return self.level("3").find(pair * size + word, (first[which], end[which]))
+        three = self.level("3")
+        return three.find(pair << three.bits | word)
 
 
 class Model:
@@ -257,13 +250,14 @@ class Model:
         s, size = self.shard(k), self.vocabulary.size
         if not s.arrays:
             return
-        v = s.level("2").access(np.arange(s.facts["2"]["n"])).astype(np.int64)
+        v = s.level("2").all().astype(np.int64)
         a, b, n = v // size, v % size, s.counts("2", np.arange(len(v)))
         arrays, facts = {}, {}
         arrays["2"], facts["2"] = quantised(self.smooth(a, b, n))
         if self.order > 2:
-            t = s.level("3").access(np.arange(s.facts["3"]["n"])).astype(np.int64)
-            at, word = t // size, t % size
+            three = s.level("3")
+            t = three.all().astype(np.int64)
+            at, word = t >> three.bits, t & ((1 << three.bits) - 1)
             ends, which = np.unique(b[at] << 32 | word, return_inverse=True)
             lower = self.smooth(ends >> 32, ends & 0xFFFFFFFF, self.pair_counts(ends))[which]
             w = self.weight(1, n[at])
@@ -309,7 +303,7 @@ class Model:
                 p3 = np.zeros(len(triples))
                 for k, own in by_shard(to[triples >> 32]):
                     s = self.shard(k)
-                    at = s.child(place[triples[own] >> 32], triples[own] & 0xFFFFFFFF, voc.size)
+                    at = s.child(place[triples[own] >> 32], triples[own] & 0xFFFFFFFF)
                     p3[own[at >= 0]] = s.probability("3", at[at >= 0])
                 hit = p3[which3] > 0
                 p[some[hit]] = p3[which3[hit]]
