@@ -12,7 +12,7 @@ from .functions import sequences as S
 from .functions import text as X
 from .operators import assets, history, incremental, joins, monitor, navigation, search
 from .operators import graph as G
-from .plans.compile import Corpus, run
+from .plans.compile import Corpus, plan, run
 from .plans.language import parse
 from .sources import model as M
 
@@ -173,7 +173,7 @@ def path_tiers(spark, sf):
 
 @query()
 def path_fuzzy(spark, sf):
-    return navigation.tiers(M.pages(spark, sf), "exmaple.cmo/en", fuzzy=True)
+    return navigation.tiers(M.pages(spark, sf), "thther.exmaple.org/en/414", fuzzy=True)
 
 
 @query(f"select count(distinct project)::bigint as n_projects, count(*)::bigint as n_files, array_to_string(list_sort(list(distinct language)), ',') as languages from {FILES}")
@@ -210,10 +210,53 @@ def calls_outgoing(spark, sf):
     return search.relationship(o, decls, parse("calls:*")).select(F.col("file_key").alias("o_orderkey"), "target", "uncertain")
 
 
-@query("select l_orderkey, l_linenumber, case l_returnflag when 'R' then 'ref' when 'A' then 'direct' else 'none' end as write, l_returnflag = 'R' as possible_write from lineitem where l_returnflag in ('R', 'A')")
+@query("select l_orderkey, l_linenumber, case l_returnflag when 'R' then 'ref' when 'A' then 'direct' else 'none' end as write, l_returnflag = 'R' as possible_write, s_name as target from lineitem join supplier on l_suppkey = s_suppkey where l_returnflag in ('R', 'A')")
 def writes_flag(spark, sf):
     w = F.when(F.col("l_returnflag") == "R", "ref").when(F.col("l_returnflag") == "A", "direct").otherwise("none")
-    return M.read(spark, sf, "lineitem").withColumn("write", w).where("write <> 'none'").select("l_orderkey", "l_linenumber", "write", (F.col("write") == "ref").alias("possible_write"))
+    sites = M.read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.lit("p").alias("project"), F.col("l_orderkey").alias("file_key"), F.col("l_suppkey").cast("string").alias("name"), F.col("l_linenumber").alias("at"), w.alias("write"))
+    decls = _named(M.read(spark, sf, "supplier"), "s_suppkey", "s_name", "field")
+    return search.relationship(sites, decls, parse("writes:*")).select("l_orderkey", "l_linenumber", "write", "possible_write", "target")
+
+
+def _named(rows, key, name, kind):
+    """Rows as declarations of one project, spelt by their key and qualified by their name."""
+    return rows.select(F.lit("p").alias("project"), F.col(key).alias("file_key"), F.col(key).cast("string").alias("name"), F.col(name).alias("qualified"), F.lit(kind).alias("kind"), F.lit(0).alias("start"), F.lit(1).alias("end"), F.lit(False).alias("metadata"))
+
+
+@query("select o_orderkey, c_name as target from orders join customer on o_custkey = c_custkey where suffix(c_name, '7')")
+def uses_sites(spark, sf):
+    sites = M.read(spark, sf, "orders").select("o_orderkey", F.lit("p").alias("project"), F.col("o_orderkey").alias("file_key"), F.col("o_custkey").cast("string").alias("name"), F.lit(0).alias("at"))
+    return search.relationship(sites, _named(M.read(spark, sf, "customer"), "c_custkey", "c_name", "class"), parse("uses:*7")).select("o_orderkey", "target")
+
+
+@query("""with n as (select n_nationkey, n_name, n_regionkey from nation)
+select o_orderkey, n.n_name as target, count(*) over (partition by o_orderkey) > 1 as uncertain from orders join customer on o_custkey = c_custkey join n h on c_nationkey = h.n_nationkey join n on n.n_regionkey in (h.n_regionkey, (h.n_regionkey + 1) % 5) and n.n_nationkey % 5 = o_orderkey % 5""")
+def uses_visible(spark, sf):
+    """A name that several declarations have, of which a project sees its own and those of the next one."""
+    n = M.read(spark, sf, "nation").select("n_nationkey", "n_name", F.col("n_regionkey").alias("project"))
+    home = M.read(spark, sf, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "project")
+    sites = M.read(spark, sf, "orders").join(home, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "project", F.col("o_orderkey").alias("file_key"), (F.col("o_orderkey") % 5).cast("string").alias("name"), F.lit(0).alias("at"))
+    decls = n.select("project", F.col("n_nationkey").alias("file_key"), (F.col("n_nationkey") % 5).cast("string").alias("name"), F.col("n_name").alias("qualified"), F.lit("type").alias("kind"), F.lit(0).alias("start"), F.lit(1).alias("end"))
+    sees = n.select("project").distinct().select("project", F.explode(F.array("project", (F.col("project") + 1) % 5)).alias("sees"))
+    return search.relationship(sites, decls, parse("uses:*"), sees).select("o_orderkey", "target", "uncertain")
+
+
+@query(f"select qualified from {PLACES} where starts_with(qualified, 'EUROPE.') or starts_with(qualified, 'ASIA.NATION_2.')")
+def contained_places(spark, sf):
+    """Declarations within others, by their owners; each is a file of its own here, so spans hold nothing else."""
+    d = _decls(spark, sf).withColumn("file_key", F.concat_ws(":", "kind", "key"))
+    within = lambda name: search.declarations(d, parse(f"symbol:* in:{name}")).select("qualified")
+    return within("EUROPE").where("qualified <> 'EUROPE'").unionByName(within("ASIA.NATION_2").where("qualified <> 'ASIA.NATION_2'")).distinct()
+
+
+@query(f"""with recursive e as (select owner src, qualified dst from {PLACES} where owner <> ''), c(node, depth) as (select dst, 1 from e where src = 'ASIA' union all select dst, depth + 1 from c join e on node = src)
+select 'ASIA' as root, node as name, depth from c""")
+def derived_types(spark, sf):
+    """`derived:` through the query language: places as types, owners as bases."""
+    p = M.places(spark, sf)
+    bases = p.where("owner <> ''").select(F.col("qualified").alias("type"), F.col("owner").alias("base"))
+    decls = p.select(F.col("qualified").alias("name"), F.lit("class").alias("kind"))
+    return plan(Corpus(M.files(spark, sf), declarations=decls, bases=bases), parse("impl:ASIA"))
 
 
 @query("select s_suppkey, s_name from supplier join nation n on s_nationkey = n.n_nationkey where n.n_regionkey = 1 or n.n_regionkey = 2")
@@ -298,24 +341,26 @@ def object_handle(spark, sf):
 # ---- history and similarity
 
 
-@query("select md5(text) as id, count(*)::bigint as n, min(doc_id) as first from documents group by 1")
+@query("select sha256('v1' || chr(0) || lang || chr(0) || source || chr(0) || sha256(text)) as id, count(*)::bigint as n, min(doc_id) as first from documents group by 1")
 def content_identity(spark, sf):
-    return M.read(spark, sf, "documents").groupBy(F.md5("text").alias("id")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
+    id_ = incremental.content_identity("v1", F.col("lang"), F.col("text"), F.col("source"))
+    return M.read(spark, sf, "documents").groupBy(id_.alias("id")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
 
 
 def _words(t: str) -> str:
-    return f"regexp_extract_all({t}, '[\\p{{L}}\\p{{N}}_]+|[^\\s]')"
+    return f"regexp_extract_all({t}, '" + X.TOKEN.replace("'", "''") + "', 1)"
 
 
 def _grams(w: str) -> str:
     return f"list_distinct(list_transform(range(1, greatest(len({w}) - 1, 1)), lambda k: array_to_string({w}[k:k + 2], chr(1))))"
 
 
-@query(f"""with d as (select doc_id, {_words("left(text, 2000)")} as w, lead({_words("left(text, 2000)")}) over (order by doc_id) as v from documents where not contains(text, '"') and not contains(text, '''')),
+@query(f"""with d as (select doc_id, {_words("text")} as w, lead({_words("text")}) over (order by doc_id) as v from documents),
  g as (select doc_id, w, v, {_grams("w")} as a, {_grams("v")} as b from d where v is not null)
 select doc_id, (case when w = v then 100 when len(a) = 0 or len(b) = 0 then 0 else (200 * len(list_intersect(a, b))) // (len(a) + len(b)) end)::int as similarity from g""")
 def trigram_similarity(spark, sf):
-    d = M.read(spark, sf, "documents").where("not contains(text, '\"') and not contains(text, '\\'')").select("doc_id", X.tokens(F.substring("text", 1, 2000)).alias("w"))
+    """Each document against the next one, whole texts."""
+    d = M.read(spark, sf, "documents").where("text is not null").select("doc_id", X.tokens("text").alias("w"))
     # the next document stands in the same range of ids, or first in the next one that holds any
     d = d.withColumn("range", F.coalesce(F.expr("doc_id div 1024"), F.lit(-(1 << 62))))
     ranges = d.groupBy("range").agg(F.min_by("w", F.coalesce("doc_id", F.lit(-(1 << 62)))).alias("first"))

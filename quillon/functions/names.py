@@ -151,6 +151,13 @@ def component_prefix(value: Column | str, prefix: str) -> Column:
     return (v == prefix) | v.startswith(prefix + ".") | v.startswith(prefix + "::")
 
 
+def component_prefixes(value: Column | str) -> Column:
+    """The name and every name that it lies in, by `.` and `::`."""
+    v = col(value)
+    ends = F.filter(F.sequence(F.lit(1), F.greatest(F.length(v), F.lit(1))), lambda k: (k >= F.length(v)) | (F.substring(v, k + 1, F.lit(1)) == ".") | (F.substring(v, k + 1, F.lit(2)) == "::"))
+    return F.transform(ends, lambda k: F.substring(v, F.lit(1), k))
+
+
 def attribute_name(value: Column | str) -> Column:
     return F.regexp_replace(F.trim(F.regexp_extract(F.regexp_replace(col(value), r"^(#\[)+", ""), r"^([^(\]]*)", 1)), "(Attribute)+$", "")
 

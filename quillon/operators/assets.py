@@ -10,13 +10,13 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import _cut, closure
 
 DEPTH = 64
-OBJECTS = 1_000_000
 _HEADER = re.compile(r"^--- !u!(\d+) &(-?\d+)(?: (stripped))?[^\n]*$", re.M)
 _POINTER = re.compile(r"\{\s*fileID:\s*(-?\d+)\s*(?:,\s*guid:\s*([0-9a-fA-F]+)\s*)?(?:,\s*type:\s*\d+\s*)?\}")
 
@@ -59,7 +59,12 @@ def references_of(body: str) -> list[tuple[str, str, int]]:
 
 def extract(files: DataFrame, key: str = "asset", text: str = "content") -> DataFrame:
     """(asset, id, field, guid, target): the pointers of each object."""
-    refs = F.udf(references_of, "array<struct<field:string,guid:string,target:bigint>>", useArrow=True)
+
+    @F.pandas_udf("array<struct<field:string,guid:string,target:bigint>>")
+    def refs(bodies: pd.Series) -> pd.Series:
+        names = ("field", "guid", "target")
+        return bodies.map(lambda b: [dict(zip(names, r, strict=True)) for r in references_of(b or "")])
+
     return documents(files, key, text).select(key, "id", F.inline(refs("body")))
 
 

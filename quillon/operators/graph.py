@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections import defaultdict
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,25 +14,27 @@ def _cut(df: DataFrame) -> DataFrame:
     """Lineage ends here: a checkpoint in the folder the session names (its own only where none is named)."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        import tempfile
-
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillon-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quillon-"))
     return df.checkpoint()
 
 
-def closure(edges: DataFrame, seeds: DataFrame, most: int = 1000) -> DataFrame:
+def closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(root, node, depth): all nodes reachable from seeds(root, node) by edges(src, dst), cycles or not.
 
-    Semi-naive: each round joins only the nodes that the last one found, less those seen.
+    Semi-naive: each round joins only the nodes that the last one found, less those seen, until none
+    is new. What is seen becomes one table again every few rounds.
     """
     seen = _cut(seeds.select("root", "node", F.lit(0).alias("depth")).distinct())
     new = seen
-    for depth in range(1, most + 1):
+    for depth in count(1):
         step = new.join(edges, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node")).distinct()
         new = _cut(step.join(seen, ["root", "node"], "left_anti").withColumn("depth", F.lit(depth)))
         if new.isEmpty():
             break
-        seen = seen.unionByName(new)
+        seen = seen.unionByName(new) if depth % 8 else _cut(seen.unionByName(new))
     return seen
 
 
@@ -97,8 +101,7 @@ class History:
     def bases(self, a: str, b: str) -> list[str]:
         """Common ancestors that no other common ancestor descends from."""
         both = self.ancestors(a) & self.ancestors(b)
-        under = set().union(*(self.ancestors(c) - {c} for c in both)) if both else set()
-        return sorted(both - under)
+        return sorted(c for c in both if both.isdisjoint(self.children[c]))  # all between two common ancestors are common
 
     def cut(self, tip: str) -> str | None:
         """The nearest commit below the tip through which every path to a root leads."""

@@ -17,9 +17,12 @@ def content_identity(version: str, language: Column, content: Column, profile: C
     return F.sha2(F.concat_ws("\u0000", F.lit(version), language, F.coalesce(profile, F.lit("")), F.sha2(content, 256)), 256)
 
 
-def declaration_revision(decls: DataFrame) -> DataFrame:
-    """(file_key, revision): hash of the headers; changed bodies leave it as it is."""
-    return decls.groupBy("file_key").agg(F.sha2(F.concat_ws("\n", F.sort_array(F.collect_list("header"))), 256).alias("revision"))
+def declaration_revision(decls: DataFrame, imports: DataFrame | None = None) -> DataFrame:
+    """(file_key, revision): hash of the headers of decls(file_key, header) and of imports(file_key, name); changed bodies leave it as it is."""
+    parts = decls.select("file_key", F.concat(F.lit("d"), "header").alias("part"))
+    if imports is not None:
+        parts = parts.unionByName(imports.select("file_key", F.concat(F.lit("i"), "name").alias("part")).distinct())
+    return parts.groupBy("file_key").agg(F.sha2(F.concat_ws("\n", F.sort_array(F.collect_list("part"))), 256).alias("revision"))
 
 
 def generation(files: DataFrame, version: str, group: Column) -> DataFrame:

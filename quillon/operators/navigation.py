@@ -27,8 +27,16 @@ def children(files: DataFrame, directory: str) -> DataFrame:
 
 def browse(files: DataFrame, directory: str = "", budget: int = BUDGET) -> str:
     """A tree as text. Chains of single directories are one entry; what doesn't fit is a count. The budget goes to small children first."""
-    rows = roll_up(files).where(F.col("directory").startswith(directory)).select("directory", "files").limit(100_000).collect()
-    counts = {r[0]: r[1] for r in rows}
+    base = directory.rstrip("/")
+    depth = 1 + base.count("/") + bool(base)
+    counts: dict[str, int] = {}
+    every = roll_up(files).where((F.col("directory") == base) | F.col("directory").startswith(base + "/" * bool(base))).select("directory", "files").withColumn("depth", F.when(F.col("directory") == "", 0).otherwise(F.size(F.split("directory", "/"))))
+    while True:  # level by level, as far as the text can show them: a line takes some 12 characters
+        level = every.where(F.col("depth") == depth).orderBy("directory").limit(max(1, budget // 12)).collect()
+        counts |= {r[0]: r[1] for r in level}
+        depth += 1
+        if not level or len(counts) > budget // 12:
+            break
 
     def write(path: str, depth: int, left: int) -> str:
         below = sorted(d for d in counts if d.startswith(path + "/" * bool(path)) and d != path and "/" not in d[len(path) + bool(path) :])

@@ -30,8 +30,8 @@ def omission(shown: int, total: int | None) -> str:
 
 def results(found: DataFrame, limit: int, count: bool = True) -> str:
     """Rows (path, line, source, and symbol, uncertain or target if there) as a list, grouped by path."""
-    total = found.count() if count else None
-    rows = found.limit(limit if count else limit + 1).collect()
+    rows = found.limit(limit + 1).collect()
+    total = None if not count else found.count() if len(rows) > limit else len(rows)
     out, last = [], None
     for r in rows[:limit]:
         x = r.asDict()

@@ -64,12 +64,24 @@ def declarations(decls: DataFrame, q: Query) -> DataFrame:
 
 
 def contained(rows: DataFrame, decls: DataFrame, f: Filter) -> DataFrame:
-    """`in:`: rows whose start lies in, or whose owner is, a declaration of that name."""
-    outer = decls.where(N.qualified_name_rank(f.value, "qualified").isNotNull() | (F.col("name") == f.value)).select("project", F.col("file_key").alias("of"), F.col("qualified").alias("outer"), F.col("start").alias("from"), F.col("end").alias("to")).alias("o")
-    inside = (F.col("r.file_key") == F.col("o.of")) & (F.col("r.start") >= F.col("o.from")) & (F.col("r.start") < F.col("o.to"))
+    """`in:`: rows whose start lies in, or whose owner is, a declaration of that name.
+
+    Two equi-joins: by file with the declaration's span, and by owner, of which each distinct one is
+    looked up with all that it lies in.
+    """
+    outer = decls.where(N.qualified_name_rank(f.value, "qualified").isNotNull() | (F.col("name") == f.value))
+    spans = outer.select(F.col("project").alias("of_project"), F.col("file_key").alias("of"), F.col("start").alias("from"), F.col("end").alias("to"))
+    within = (F.col("file_key") == F.col("of")) & (F.col("project") == F.col("of_project")) & (F.col("start") >= F.col("from")) & (F.col("start") < F.col("to"))
+    rest = rows.join(spans, within, "left_anti")
     if "owner" in rows.columns:
-        inside |= N.component_prefix_of(F.col("r.owner"), F.col("o.outer"))
-    return rows.alias("r").join(outer, (F.col("r.project") == F.col("o.project")) & inside, "left_anti" if f.negate else "left_semi")
+        names = outer.select(F.col("project").alias("of_project"), F.col("qualified").alias("up")).distinct()
+        owners = rows.select(F.col("project").alias("of_project"), F.col("owner").alias("of_owner")).where("owner is not null").distinct().withColumn("up", F.explode(N.component_prefixes("of_owner")))
+        owned = owners.join(names, ["of_project", "up"], "left_semi").select("of_project", "of_owner")
+        by_owner = (F.col("project") == F.col("of_project")) & (F.col("owner") == F.col("of_owner"))
+        if f.negate:
+            return rest.join(owned, by_owner, "left_anti")
+        return rows.join(spans, within, "left_semi").unionByName(rest.join(owned, by_owner, "left_semi"))
+    return rest if f.negate else rows.join(spans, within, "left_semi")
 
 
 def ordered(found: DataFrame, limit: int) -> DataFrame:
@@ -143,16 +155,20 @@ def bound(occurrences: DataFrame, decls: DataFrame, sees: DataFrame | None = Non
     the name that the project sees: certain if it is the only one. Without any, the target is null
     and uncertain.
     """
-    o = occurrences.withColumn("oid", F.xxhash64("file_key", "at", "name"))
+    site, name = ["file_key", "at", "name"], ["project", "name"]
     local = decls.where(N.is_local("kind")).select("file_key", "name", F.col("start").alias("ls"), F.col("end").alias("le"), F.col("qualified").alias("local"))
-    near = o.join(local, ["file_key", "name"]).where("at >= ls and at < le").groupBy("oid").agg(F.max_by("local", "ls").alias("target")).select("oid", "target", F.lit(False).alias("uncertain"))
-    rest = o.join(near, "oid", "left_anti")
+    near = occurrences.select(*site).distinct().join(local, ["file_key", "name"]).where("at >= ls and at < le").groupBy(*site).agg(F.max_by("local", "ls").alias("target"))
+    settled = occurrences.join(near, site).withColumn("uncertain", F.lit(False))
+    rest = occurrences.join(near, site, "left_anti")
+    # what a name may mean is found once for a project, not for each site
     wide = decls.where(~N.is_local("kind")).select("name", F.col("project").alias("sees"), F.col("qualified").alias("target"), "metadata" if "metadata" in decls.columns else F.lit(False).alias("metadata"))
-    cand = rest.join(wide, "name")
-    cand = cand.join(sees, ["project", "sees"], "left_semi") if sees is not None else cand.where("project = sees")
-    cand = J.prefer_source(cand.select("oid", "target", "metadata").distinct(), ["oid", "target"]).select("oid", "target").distinct()
-    cand = cand.withColumn("uncertain", F.count("*").over(Window.partitionBy("oid")) > 1)
-    return o.join(near.unionByName(cand), "oid", "left").withColumn("uncertain", F.coalesce("uncertain", F.lit(True))).drop("oid")
+    asked = rest.select(*name).distinct()
+    asked = asked.join(sees, "project") if sees is not None else asked.withColumn("sees", F.col("project"))
+    cand = asked.join(wide, ["sees", "name"]).select(*name, "target", "metadata").distinct()
+    cand = J.prefer_source(cand, [*name, "target"]).select(*name, "target").distinct()
+    several = cand.groupBy(*name).agg((F.count("*") > 1).alias("uncertain"))
+    open_ = rest.join(cand.join(several, name), name, "left").withColumn("uncertain", F.coalesce("uncertain", F.lit(True)))
+    return settled.unionByName(open_)
 
 
 def relationship(occurrences: DataFrame, decls: DataFrame, q: Query, sees: DataFrame | None = None) -> DataFrame:

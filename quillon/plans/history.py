@@ -56,10 +56,14 @@ def edges(repo: Repository, r: HistoryRequest) -> DataFrame:
     tree = selected(repo.entries, r)
     c = repo.commits.select("id", "tree")
     e = c.join(repo.parents.select("id", "pos", "parent"), "id", "left").withColumn("pos", F.coalesce("pos", F.lit(0)))
-    new = e.join(tree, "tree").select("id", "pos", "path", F.col("blob").alias("nb"), F.col("mode").alias("nm"))
-    up = e.join(c.select(F.col("id").alias("parent"), F.col("tree").alias("pt")), "parent").join(tree.withColumnRenamed("tree", "pt"), "pt").select("id", "pos", "path", F.col("blob").alias("ob"), F.col("mode").alias("om"))
-    both = new.join(up, ["id", "pos", "path"], "full").where("not (nb <=> ob and nm <=> om)")
-    return both.select("id", "pos", "path", F.when(F.col("ob").isNull(), "added").when(F.col("nb").isNull(), "removed").otherwise("modified").alias("status"))
+    e = e.join(c.select(F.col("id").alias("parent"), F.col("tree").alias("was")), "parent", "left").where("not (tree <=> was)").withColumn("was", F.coalesce("was", F.lit("")))
+    # each pair of different trees is compared once, however many commits have it
+    pairs = e.select("tree", "was").distinct()
+    new = pairs.join(tree, "tree").select("tree", "was", "path", F.col("blob").alias("nb"), F.col("mode").alias("nm"))
+    up = pairs.join(tree.withColumnRenamed("tree", "was"), "was").select("tree", "was", "path", F.col("blob").alias("ob"), F.col("mode").alias("om"))
+    both = new.join(up, ["tree", "was", "path"], "full").where("not (nb <=> ob and nm <=> om)")
+    status = F.when(F.col("ob").isNull(), "added").when(F.col("nb").isNull(), "removed").otherwise("modified")
+    return e.join(both.select("tree", "was", "path", status.alias("status")), ["tree", "was"]).select("id", "pos", "path", "status")
 
 
 def log(repo: Repository, r: HistoryRequest, tip: str) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from quillon import catalog
 
 SF = "/root/testdata/sf0.001"
-FEW = ["text_lines", "text_offsets", "lang_negated", "qualified_suffix", "browse_rollup", "calls_outgoing", "innermost_owner", "override_last_wins", "trigram_similarity", "journal_compact", "stamps_incremental", "object_handle"]
+FEW = ["text_lines", "text_offsets", "lang_negated", "qualified_suffix", "browse_rollup", "calls_outgoing", "innermost_owner", "override_last_wins", "trigram_similarity", "content_identity", "writes_flag", "uses_sites", "uses_visible", "contained_places", "derived_types", "journal_compact", "stamps_incremental", "object_handle"]
 
 
 def canonical(df):
