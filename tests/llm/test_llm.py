@@ -698,6 +698,19 @@ def test_quality(spark):
     assert quality.quality_scores(table(spark, []), labels).count() == 0
 
 
+def test_long_texts_and_clashing_columns(spark):
+    """A text of megabytes is scored whole, and columns named like internal ones don't disturb."""
+    long = "the river walks under a stone lamp. " * 60_000
+    texts = [(k, "the river walks under a lamp", "en", 0.5, "x") for k in range(40)] + [(100, long, "en", 0.1, "y"), (101, long, None, 0.1, "y")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, lang string, score double, id string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, quality int")
+    q = {r.doc_id: r.score for r in quality.quality_scores(docs, labels).collect()}
+    assert len(q) == 42 and q[100] == q[101] and q[0] == q[39]
+    found = {r.doc_id: r.lang_pred for r in langid.identified(docs, langid.learn(docs.select("text", "lang"))).collect()}
+    assert set(found.values()) == {"en"} and len(found) == 42
+    assert quality.quality_kept(docs, labels).columns == docs.columns
+
+
 def test_isotonic():
     x, y = quality.isotonic(np.arange(6.0), np.ones(6), np.array([0, 1, 0, 0, 1, 1.0]))
     assert (np.diff(y) > 0).all() and y[0] == 0 and y[-1] == 1
@@ -811,3 +824,60 @@ def test_pipeline_on_hard_tables(spark, tmp_path):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns, name
         assert stage(spark, docs.where(F.lit(False)), str(tmp_path)).count() == 0, name
+
+
+def test_pipeline_stages_against_brute_force(spark, tmp_path):
+    """Each stage on what the one before kept, with null and repeated ids: which rows stay, and what the last packs."""
+    public = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+
+    r = random.Random(21)
+    vocab = [f"{a}{b}" for a in ("ka", "lo", "mi", "nu", "ra") for b in ("ten", "dor", "vis", "pel", "sum", "gar")]
+    item = " ".join(r.choice(vocab) for _ in range(14))
+    texts = []
+    for k in range(40):
+        t = " ".join(r.choice(vocab) for _ in range(r.randint(20, 90)))
+        texts.append((r.choice([k, k, 5, None]), t))
+        if k % 4 == 0:
+            texts.append((100 + k, t + " extra word"))  # a near copy
+        if k % 7 == 0:
+            texts.append((None, f"{' '.join(r.choice(vocab) for _ in range(30))} {item.upper()} end"))
+    texts += [(900, None), (901, ""), (902, "one two")]
+    docs = table(spark, texts)
+    spark.createDataFrame([(1, item), (2, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(k, 1, 0) for k in range(40)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    stages, sf = dict(corpus_pipeline.STAGES), str(tmp_path)
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+
+    good = Counter((x.doc_id, x.score >= 0.3) for x in quality.quality_scores(docs, labels).collect())
+    assert Counter((x.doc_id, True) for x in stages["quality"](spark, docs, sf).collect()) == Counter({k: n for k, n in good.items() if k[1]})
+
+    def shingles(t):
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOW))
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} - {()}
+
+    sets = [shingles(t) for _, t in texts]
+    group = list(range(len(sets)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a and b and 10 * len(a & b) >= 8 * len(a | b):
+                old, new = max(group[i], group[j]), min(group[i], group[j])
+                group = [new if g == old else g for g in group]
+    stays = []
+    for g in set(group):
+        stays.append(min((t for t, h in zip(texts, group, strict=True) if h == g), key=lambda t: (t[0] is None, t[0] or 0)))
+    kept = stages["near_copies"](spark, docs, sf)
+    assert len(stays) < len(texts) and Counter(k for k, _ in stays) == Counter(x.doc_id for x in kept.collect())
+
+    rx = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    words = rx.findall(item.translate(LOW))
+    windows = {tuple(words[i : i + 10]) for i in range(len(words) - 9)}
+    clean = [(k, t) for k, t in texts if not any(tuple(w[i : i + 10]) in windows for w in [rx.findall((t or "").translate(LOW))] for i in range(len(w)))]
+    got = stages["benchmark"](spark, docs, sf)
+    assert len(clean) < len(texts) and Counter((x.doc_id, x.text) for x in got.collect()) == Counter(clean)
+
+    encode = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
+    want = Counter((k, 0, len(encode.encode(t or "", add_special_tokens=False).ids) + 1) for k, t in texts)
+    assert Counter((x.doc_id, x.piece, x.length) for x in stages["packing"](spark, docs, sf).collect()) == want
