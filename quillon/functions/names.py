@@ -194,12 +194,16 @@ def context_name(name: Column | str, module: Column | str) -> Column:
     )
 
 
-def type_path(written: Column | str, nesting: int = 8) -> Column:
-    """A type's path without `global::`, generic arguments (to a depth of `nesting`) and arities."""
-    x = F.regexp_replace(F.trim(col(written)), r"^(global::)+", "")
-    for _ in range(nesting):
-        x = F.regexp_replace(x, r"<[^<>]*>", "")
-    return F.regexp_replace(F.regexp_replace(x, r"<.*$", ""), r"`[0-9]*", "")
+def type_path(written: Column | str) -> Column:
+    """A type's path without `global::`, generic arguments, however deep, and arities."""
+    pieces = F.regexp_extract_all(F.regexp_replace(F.trim(col(written)), r"^(global::)+", ""), F.lit(r"([<>]|[^<>]+)"), 1)
+
+    def step(a: Column, x: Column) -> Column:
+        depth = F.when(x == "<", a["depth"] + 1).when((x == ">") & (a["depth"] > 0), a["depth"] - 1).otherwise(a["depth"])
+        outside = (a["depth"] == 0) & (x != "<")
+        return F.struct(depth.alias("depth"), F.when(outside, F.concat(a["path"], x)).otherwise(a["path"]).alias("path"))
+
+    return F.regexp_replace(F.aggregate(pieces, F.struct(F.lit(0).alias("depth"), F.lit("").alias("path")), step)["path"], r"`[0-9]*", "")
 
 
 def normalized_type(written: Column | str) -> Column:

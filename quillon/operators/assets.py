@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 
 from .graph import _cut, closure
 
-DEPTH = 64
 _HEADER = re.compile(r"^--- !u!(\d+) &(-?\d+)(?: (stripped))?[^\n]*$", re.M)
 _POINTER = re.compile(r"\{\s*fileID:\s*(-?\d+)\s*(?:,\s*guid:\s*([0-9a-fA-F]+)\s*)?(?:,\s*type:\s*\d+\s*)?\}")
 
@@ -79,8 +78,8 @@ def compose(objects: DataFrame, placements: DataFrame, overrides: DataFrame, rem
 
     `path` is the placements' ids from the asset down, then the object's id. Names follow the
     overrides of the outermost placement that sets them, the last of its list. Removed objects
-    aren't alive; what stands below them is left to `cascade`. Placements deeper than DEPTH, or in
-    a cycle, end the expansion.
+    aren't alive; what stands below them is left to `cascade`. An asset isn't placed within itself,
+    so the expansion ends.
     """
     guid = objects.select("guid", F.col("asset").alias("source")).distinct()
     own = objects.where("not stripped").select("asset", F.col("id").cast("string").alias("path"), F.col("asset").alias("source"), "id", "name", F.lit(True).alias("alive"), F.array("asset").alias("through"))
@@ -89,7 +88,7 @@ def compose(objects: DataFrame, placements: DataFrame, overrides: DataFrame, rem
     named = last.join(guid.withColumnRenamed("source", "of"), "guid").select(F.col("asset").alias("a"), F.col("placement").alias("p"), F.col("of").alias("s"), F.col("id").alias("i"), F.col("value").alias("set"))
     gone = removals.join(guid.withColumnRenamed("source", "of"), "guid").select(F.col("asset").alias("ra"), F.col("placement").alias("rp"), F.col("of").alias("rs"), F.col("id").alias("ri"), F.lit(True).alias("removed")).distinct()
     out, level = own, own
-    for _ in range(DEPTH):
+    while True:
         level = level.where("alive").alias("c").join(placed.alias("p"), F.col("c.asset") == F.col("p.below")).where("not array_contains(c.through, p.asset)")
         level = level.select("p.asset", "p.placement", F.concat_ws("/", F.col("p.placement").cast("string"), "c.path").alias("path"), "c.source", "c.id", "c.name", "c.alive", F.concat(F.array("p.asset"), "c.through").alias("through"))
         level = level.join(named, (F.col("asset") == F.col("a")) & (F.col("placement") == F.col("p")) & (F.col("source") == F.col("s")) & (F.col("id") == F.col("i")), "left")

@@ -51,6 +51,7 @@ def test_names(spark):
     assert value(spark, N.attribute_name("v"), v="#[SerializableAttribute(1)]") == "Serializable"
     assert value(spark, N.normalized_type("v"), v="this List<int> x") == "List<System.Int32>x"
     assert value(spark, N.type_path("v"), v="global::A.B<C<int>>.D`2") == "A.B.D"
+    assert value(spark, N.type_path("v"), v="A<" * 20 + "x" + ">" * 20 + ".B<C") == "A.B"
     assert value(spark, N.signature_matches("v", ["System.Int32", "List< string >"]), v=["int", "List<string>"]) is True
     assert value(spark, N.signature_matches("v", ["int"]), v=["long"]) is False
     for name, out in {"crate::x": "m::x", "self::x": "m::n::x", "super::x": "m::x", "super::super::x": "m::x", "::x": "x", "x": "m::n::x", "": "m::n"}.items():
