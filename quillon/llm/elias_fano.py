@@ -118,10 +118,15 @@ class EliasFano:
 
     def bucket(self, top: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where the numbers of a high part begin and end: the unary part points there."""
-        low = np.zeros(len(top), np.int64)
+        before = np.full(len(top), -1, np.int64)  # place of the zero before the bucket
         some = top > 0
-        low[some] = self._select(top[some] - 1, False) + 1 - top[some]
-        return low, self._select(top, False) - top
+        before[some] = self._select(top[some] - 1, False)
+        at = before + 1
+        rest = ~self.high[at >> 6] >> (at & 63).astype(np.uint64)  # the next zero is mostly in the same word
+        after = at + np.bitwise_count((rest & (~rest + _U(1))) - _U(1))
+        far = np.flatnonzero(rest == 0)
+        after[far] = self._select(top[far], False)
+        return at - top, after - top
 
     def find(self, v: np.ndarray) -> np.ndarray:
         """Place of each number, or -1: a successor search in its bucket of high parts."""
