@@ -1,4 +1,4 @@
-"""Queries of the ten operators, each over its whole table with production parameters."""
+"""Queries of the operators, each over its whole table with production parameters."""
 
 from __future__ import annotations
 
@@ -83,6 +83,12 @@ def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), "id % 20 = 0", k=20)
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .conversation import damage_report
+
+    return damage_report(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
@@ -90,9 +96,43 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 _AZ = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"regexp_extract_all(" + _AZ + r", '[^\x20\x09-\x0D]+')"
 _ALNUM = r"regexp_extract_all(" + _AZ + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+#: crc32 of a short ASCII text.
+_CRC = "xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(1, length({0}) + 1), lambda k: ascii({0}[k])::bigint)), lambda x, y: list_reduce(list_prepend(xor(x, y), [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]), lambda v, z: xor(v >> 1, 3988292384 * (v & 1)))), 4294967295::bigint)"
 _B32 = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v >> {0}) & 31) + 1, 1)"
 
+_WS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+def _then(state: str, cost: str, edit: str) -> str:
+    """A state's `cost, edits` in SQL, one edit on."""
+    return f"(printf('%06d', substr({state}, 1, 6)::int + {cost}) || substr({state}, 7) || '{edit}')"
+
+
+_REPAIR = f"""with recursive f as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as key from conversations),
+ g as (select *, {_CRC.format("key")} % 20 as fate from f),
+ h as (select conv_id, turn, case when fate = 4 then 'user' else role end as role, case fate when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text, copy from g, unnest(range(case fate when 0 then 0 when 3 then 2 else 1 end)) t(copy)),
+ w as (select *, row_number() over (partition by conv_id order by turn nulls first, role, sha256(text), copy) as k, row_number() over (partition by conv_id, role, text order by turn nulls first, copy) > 1 as again, rtrim(text, {_WS}) as solid from h),
+ x as (select conv_id, turn, role, text, k, substr(role, 1, 1) as i, solid = '' as blank, solid <> '' and again as duplicate, solid <> '' and not again and right(solid, 1) not in ('.', '!', '?') as truncated, lag(substr(role, 1, 1)) over (partition by conv_id order by k) as p from w),
+ r as (select conv_id, count(*) as n, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, sum(blank::int) as blank, sum(duplicate::int) as duplicate, sum(truncated::int) as truncated, sum((k > 1 and p || i not in ('su', 'ua', 'au'))::int) as illegal from x group by 1),
+ d(conv_id, k, n, e, s, u, a) as (
+  select conv_id, 0::bigint, n, '000000', null::varchar, '000002I', '000004II' from r
+  union all select conv_id, k, n, e, s, least(u, {_then("e", "2", "I")}, {_then("s", "2", "I")}, {_then("a", "2", "I")}), least(a, {_then("u", "2", "I")}, {_then("e", "4", "II")}, {_then("s", "4", "II")}) from (
+   select d.conv_id, x.k, n, {_then("e", "3", "D")} as e,
+    least({_then("s", "3", "D")}, case when ok and i = 's' then {_then("e", "t", "K")} end) as s,
+    least({_then("u", "3", "D")}, case when ok and i = 'u' then least({_then("e", "t", "K")}, {_then("s", "t", "K")}, {_then("a", "t", "K")}) end, case when ok then least({_then("e", "2 + t", "R")}, {_then("s", "2 + t", "R")}, {_then("a", "2 + t", "R")}) end) as u,
+    least({_then("a", "3", "D")}, case when ok and i = 'a' then {_then("u", "t", "K")} end, case when ok then {_then("u", "2 + t", "R")} end) as a
+   from d join (select *, truncated::int as t, not blank and not duplicate as ok from x) x on d.conv_id is not distinct from x.conv_id and x.k = d.k + 1)),
+ z as (select conv_id, n, least(e, a) as best from d where k = n),
+ y as (select conv_id, substr(best, 7) as audit, substr(best, 1, 6)::bigint as cost, list_filter(range(1, length(best) - 5), lambda j: best[j + 6] <> 'I') as at from z),
+ m as (select conv_id, j::bigint as j, audit[j] as edit from y, unnest(range(1, length(audit) + 1)) t(j)),
+ v as (select m.conv_id, m.j, m.edit, x.role, x.text, sum((m.edit <> 'D')::int) over (partition by m.conv_id order by m.j) as place, case when m.edit = 'K' then substr(x.role, 1, 1) end as kept from m join y on m.conv_id is not distinct from y.conv_id left join x on x.conv_id is not distinct from m.conv_id and m.edit <> 'I' and x.k = list_position(y.at, m.j)),
+ o as (select *, bool_or(kept = 's') over (partition by conv_id) as headed from v where edit <> 'D'),
+ t as (select conv_id, sha256(string_agg(case when edit = 'K' then role when (place - headed::int) % 2 = 1 then 'user' else 'assistant' end || ':' || case when edit = 'I' then '' else text end, chr(10) order by j)) as sha from (select * replace (coalesce(headed, false) as headed) from o) group by 1)
+select c.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate, coalesce(truncated, 0)::bigint as truncated, coalesce(illegal, 0)::bigint as illegal, coalesce(cost, 0)::bigint as cost, coalesce(audit, '') as audit, coalesce(sha, sha256('')) as repaired_sha256
+from (select distinct conv_id from conversations) c left join r on c.conv_id is not distinct from r.conv_id left join y on c.conv_id is not distinct from y.conv_id left join t on c.conv_id is not distinct from t.conv_id"""
+
 _SQL = {
+    "op11_conversation_repair": _REPAIR,
     "op3_ngram_jaccard": f"""with recursive d as (select doc_id, {_WORDS} w from documents),
  s as (select distinct doc_id, unnest(case when len(w) >= 3 then list_transform(range(1, len(w) - 1), lambda k: array_to_string(w[k:k + 2], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) g from d),
  n as (select doc_id, count(*) n from s group by 1),
