@@ -89,6 +89,15 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return damage_report(table(spark, sf_dir, "conversations"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .negatives import mined
+
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.expr("if(vec_id % 7 = 0, (label + 1) % 10, label)").alias("label"))
+    return mined(rows, "id % 50 = 0")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
@@ -131,7 +140,15 @@ _REPAIR = f"""with recursive f as (select conv_id, turn, coalesce(role, ' ') as
 select c.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate, coalesce(truncated, 0)::bigint as truncated, coalesce(illegal, 0)::bigint as illegal, coalesce(cost, 0)::bigint as cost, coalesce(audit, '') as audit, coalesce(sha, sha256('')) as repaired_sha256
 from (select distinct conv_id from conversations) c left join r on c.conv_id is not distinct from r.conv_id left join y on c.conv_id is not distinct from y.conv_id left join t on c.conv_id is not distinct from t.conv_id"""
 
+_NEGATIVES = """with v as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+ s as (select a.vec_id as anchor_id, b.vec_id, a.label = b.label as same, list_sum(list_transform(range(1, len(a.v) + 1), lambda k: a.v[k] * b.v[k]))::bigint as score from v a join v b on a.vec_id % 50 = 0 and a.vec_id <> b.vec_id),
+ p as (select anchor_id, vec_id as positive_id, score as positive_score from s where same qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5),
+ n as (select p.*, s.vec_id as negative_id, s.score as negative_score, row_number() over (partition by p.anchor_id, positive_id order by s.score desc, s.vec_id) as rank from p join s on p.anchor_id = s.anchor_id and not same and 50 * positive_score <= 100 * s.score and 100 * s.score <= 95 * positive_score)
+select anchor_id, positive_id, rank::int as rank, negative_id, positive_score, negative_score from n where rank <= 3"""
+
 _SQL = {
+    "op12_hard_negatives": _NEGATIVES,
     "op11_conversation_repair": _REPAIR,
     "op3_ngram_jaccard": f"""with recursive d as (select doc_id, {_WORDS} w from documents),
  s as (select distinct doc_id, unnest(case when len(w) >= 3 then list_transform(range(1, len(w) - 1), lambda k: array_to_string(w[k:k + 2], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) g from d),
