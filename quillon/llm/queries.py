@@ -98,6 +98,12 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mined(rows, "id % 50 = 0")
 
 
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .privacy import report
+
+    return report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
