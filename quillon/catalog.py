@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions import names as N
 from .functions import sequences as S
 from .functions import text as X
-from .operators import assets, history, incremental, joins, monitor, navigation, search
+from .operators import assets, hierarchy, history, incremental, joins, monitor, navigation, scopes, search
 from .operators import graph as G
 from .plans.compile import Corpus, plan, run
 from .plans.language import parse
@@ -259,6 +259,60 @@ def derived_types(spark, sf):
     return plan(Corpus(M.files(spark, sf), declarations=decls, bases=bases), parse("impl:ASIA"))
 
 
+# orders as types in seven namespaces, of which some have an inner one; a base is written in full, by its own name, or by an alias of an alias
+TYPES = """(select o_orderkey k, 'p' || o_custkey % 3 as project, case when o_orderkey % 4 = 0 then 'interface' else 'class' end as kind, 'N' || o_custkey % 7 || case when o_orderkey % 5 = 0 then '.M' else '' end as owner, 'T' || o_orderkey % 500 as name,
+ case when o_orderkey % 3 = 1 then 'T' || (o_orderkey // 2) % 500 else 'N' || o_orderkey % 7 || '.T' || (o_orderkey // 2) % 500 end as w, 'N' || (o_orderkey + 1) % 7 as open from orders)"""
+
+
+def _types(spark, sf):
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    text = lambda *x: F.concat(*(F.lit(y) if isinstance(y, str) else y.cast("string") for y in x))
+    o = M.read(spark, sf, "orders")
+    owner = text("N", c % 7, F.when(k % 5 == 0, ".M").otherwise(""))
+    base = text("T", F.expr("(o_orderkey div 2) % 500"))
+    written = F.when(k % 3 == 0, text("N", k % 7, ".", base)).when(k % 3 == 1, base).otherwise("B")
+    decls = o.select(text("p", c % 3).alias("project"), k.alias("file_key"), F.when(k % 4 == 0, "interface").otherwise("class").alias("kind"), text("T", k % 500).alias("name"), text(owner, ".T", k % 500).alias("qualified"), owner.alias("owner"), F.array(written).alias("bases"))
+    row = lambda pos, path, alias: F.struct(F.lit(pos).alias("pos"), path.alias("path"), F.lit(alias).alias("alias"))
+    imports = o.select(k.alias("file_key"), F.inline(F.array(row(0, text("N", (k + 1) % 7), ""), row(1, text("C.", base), "B"), row(2, text("N", k % 7), "C"))))
+    sees = spark.range(3).select(text("p", F.col("id")).alias("project"), F.explode(F.array(text("p", F.col("id")), text("p", (F.col("id") + 1) % 3))).alias("sees"))
+    return decls, imports, sees
+
+
+@query(f"""with recursive t as (select *, owner || '.' || name as qualified from {TYPES}),
+ c as (select k, project, owner || '.' || w as f, 0 as d from t union all select k, project, split_part(owner, '.', 1) || '.' || w, 2 from t where contains(owner, '.') union all select k, project, w, 100 from t union all select k, project, open || '.' || w, 200 from t),
+ s as (select distinct project as p, qualified as q from t),
+ h as (select k, d, p, q, min(d) over (partition by k) as least from c join s on f = q and p in (c.project, 'p' || (right(c.project, 1)::int + 1) % 3)),
+ e as (select distinct p as tp, q as tq, t.project, t.qualified from h join t using (k) where d = least),
+ r as (select p, q from s where split_part(q, '.', -1) = 'T1' union select e.project, e.qualified from r join e on tp = p and tq = q),
+ n as (select project, qualified, min(kind) as kind from t group by 1, 2)
+select project, qualified from n join r on p = project and q = qualified where kind = 'class' and split_part(q, '.', -1) <> 'T1'""")
+def derived_scoped(spark, sf):
+    """`impl:T1`: bases are resolved in their scopes round by round, and many types share a name."""
+    decls, imports, sees = _types(spark, sf)
+    c = Corpus(M.files(spark, sf), declarations=decls, imports=imports, visibility=sees)
+    return plan(c, parse("impl:T1")).select("project", "qualified")
+
+
+SITES = """(select l_orderkey, l_linenumber, 'k::n' || case l_linenumber % 4 when 0 then l_partkey % 25 when 1 then l_orderkey % 25 when 2 then l_suppkey % 25 else 7 end || '::S' || l_suppkey % 20 as w from lineitem)"""
+
+
+@query(f"""with d as (select distinct 'k::n' || s_nationkey || '::S' || s_suppkey % 20 as q from supplier)
+select l_orderkey, l_linenumber, q as target, q is null as uncertain from {SITES} left join d on w = q""")
+def uses_aliased(spark, sf):
+    """Names as modules see them: suppliers declared in a module by nation, used by name, `super::`, an alias, and `crate::`."""
+    text = lambda *x: F.concat(*(F.lit(y) if isinstance(y, str) else y.cast("string") for y in x))
+    s = M.read(spark, sf, "supplier")
+    plain = s.select(F.col("s_suppkey").alias("file_key"), text("S", F.col("s_suppkey") % 20).alias("name"), text("S", F.col("s_suppkey") % 20).alias("qualified"), F.lit("").alias("owner"), F.lit("").alias("namespace"), F.lit("struct").alias("kind"))
+    decls = scopes.contextual(plain, s.select(F.col("s_suppkey").alias("file_key"), F.lit("r").alias("project"), text("k::n", F.col("s_nationkey")).alias("module")))
+    l = M.read(spark, sf, "lineitem")  # noqa: E741
+    n, own = F.col("l_linenumber") % 4, text("S", F.col("l_suppkey") % 20)
+    written = F.when(n == 0, own).when(n == 1, text("super::n", F.col("l_orderkey") % 25, "::", own)).when(n == 2, text("A::", own)).otherwise(text("crate::n7::", own))
+    file = text(F.col("l_orderkey"), "/", F.col("l_linenumber"), "/", F.col("l_suppkey"))
+    sites = l.select("l_orderkey", "l_linenumber", F.lit("r").alias("project"), file.alias("file_key"), text("k::n", F.col("l_partkey") % 25).alias("module"), written.alias("written"))
+    imports = l.where(n == 2).select(file.alias("file_key"), F.lit(0).alias("pos"), text("crate::n", F.col("l_suppkey") % 25).alias("path"), F.lit("A").alias("alias"))
+    return scopes.bound_in_scope(sites, decls, imports).select("l_orderkey", "l_linenumber", "target", "uncertain")
+
+
 @query("select s_suppkey, s_name from supplier join nation n on s_nationkey = n.n_nationkey where n.n_regionkey = 1 or n.n_regionkey = 2")
 def visibility_semi(spark, sf):
     r = M.read(spark, sf, "region").select(F.col("r_regionkey").alias("project"))

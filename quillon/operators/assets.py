@@ -14,7 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import _cut, closure
+from .graph import closure
+from .tables import stored
 
 _HEADER = re.compile(r"^--- !u!(\d+) &(-?\d+)(?: (stripped))?[^\n]*$", re.M)
 _POINTER = re.compile(r"\{\s*fileID:\s*(-?\d+)\s*(?:,\s*guid:\s*([0-9a-fA-F]+)\s*)?(?:,\s*type:\s*\d+\s*)?\}")
@@ -93,7 +94,7 @@ def compose(objects: DataFrame, placements: DataFrame, overrides: DataFrame, rem
         level = level.select("p.asset", "p.placement", F.concat_ws("/", F.col("p.placement").cast("string"), "c.path").alias("path"), "c.source", "c.id", "c.name", "c.alive", F.concat(F.array("p.asset"), "c.through").alias("through"))
         level = level.join(named, (F.col("asset") == F.col("a")) & (F.col("placement") == F.col("p")) & (F.col("source") == F.col("s")) & (F.col("id") == F.col("i")), "left")
         level = level.join(gone, (F.col("asset") == F.col("ra")) & (F.col("placement") == F.col("rp")) & (F.col("source") == F.col("rs")) & (F.col("id") == F.col("ri")), "left")
-        level = _cut(level.select("asset", "path", "source", "id", F.coalesce("set", "name").alias("name"), F.col("removed").isNull().alias("alive"), "through"))
+        level = stored(level.select("asset", "path", "source", "id", F.coalesce("set", "name").alias("name"), F.col("removed").isNull().alias("alive"), "through"))
         if level.isEmpty():
             break
         out = out.unionByName(level)

@@ -2,40 +2,32 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections import defaultdict
 from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _cut(df: DataFrame) -> DataFrame:
-    """Lineage ends here: a checkpoint in the folder the session names (its own only where none is named)."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quillon-"))
-    return df.checkpoint()
+from .tables import SMALL, Rounds, stored
 
 
 def closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(root, node, depth): all nodes reachable from seeds(root, node) by edges(src, dst), cycles or not.
 
     Semi-naive: each round joins only the nodes that the last one found, less those seen, until none
-    is new. What is seen becomes one table again every few rounds.
+    is new. Edges are written once, and each round is added to one table. What a round found is sent to
+    the edges while it is small, else both are shuffled by node.
     """
-    seen = _cut(seeds.select("root", "node", F.lit(0).alias("depth")).distinct())
-    new = seen
+    edges = stored(edges.select("src", "dst").distinct())
+    first = seeds.select("root", "node", F.lit(0).alias("depth")).distinct()
+    seen = Rounds(edges.sparkSession, first.schema)
+    new = seen.add(first)
     for depth in count(1):
-        step = new.join(edges, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node")).distinct()
-        new = _cut(step.join(seen, ["root", "node"], "left_anti").withColumn("depth", F.lit(depth)))
-        if new.isEmpty():
-            break
-        seen = seen.unionByName(new) if depth % 8 else _cut(seen.unionByName(new))
-    return seen
+        n = new.count()
+        if not n:
+            return seen.all()
+        step = (F.broadcast(new) if n <= SMALL else new).join(edges, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node")).distinct()
+        new = seen.add(step.join(seen.all(), ["root", "node"], "left_anti").select("root", "node", F.lit(depth).alias("depth")))
 
 
 def subtypes(bases: DataFrame, targets: DataFrame, kinds: DataFrame | None = None, classes_only: bool = False) -> DataFrame:

@@ -7,7 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import assets, search
+from ..functions import names as N
+from ..operators import assets, hierarchy, search
 from ..operators import graph as G
 from .language import Query, QueryError, parse
 
@@ -20,6 +21,7 @@ class Corpus:
     declarations: DataFrame | None = None
     occurrences: DataFrame | None = None
     bases: DataFrame | None = None
+    imports: DataFrame | None = None
     visibility: DataFrame | None = None
     edges: DataFrame | None = None
     composed: DataFrame | None = None
@@ -41,6 +43,8 @@ def plan(corpus: Corpus, query: Query) -> DataFrame:
         return search.file_search(corpus.files, query)
     if s in ("uses", "calls", "writes"):
         return search.relationship(corpus.need("occurrences"), corpus.need("declarations"), query, corpus.visibility)
+    if s in ("derived", "impl") and corpus.imports is not None:  # bases as they are written, to be found in their scopes
+        return _implementations(corpus, query)
     if s in ("derived", "impl"):
         seeds = corpus.need("declarations").where(F.col("name") == query.target.name).select("name").distinct()
         return G.subtypes(corpus.need("bases"), seeds, corpus.declarations.select("name", "kind"), classes_only=s == "derived")
@@ -52,6 +56,26 @@ def plan(corpus: Corpus, query: Query) -> DataFrame:
     return search.declarations(corpus.need("declarations"), query)
 
 
+def _implementations(corpus: Corpus, query: Query) -> DataFrame:
+    """Types below the target, or what overrides it if it is a member; filters hold for the results, not for what lies between."""
+    decls = corpus.need("declarations")
+    found = decls.where(N.qualified_name_rank(query.target.name, "qualified").isNotNull() | (F.col("name") == query.target.name))
+    types = found.where(F.col("kind").isin(*N.NAMED_TYPES)).select("project", "qualified").distinct()
+    member = N.simple_name(F.lit(query.target.name))
+    if types.isEmpty():
+        name = query.target.name.replace("::", ".").rsplit(".", 1)[-1]
+        owners = found.where(F.col("kind").isin(*N.CALLABLE) & (F.col("name") == member)).select("project", F.col("owner").alias("qualified"))
+        out = hierarchy.overriding(decls, corpus.imports, owners, name, corpus.visibility)
+    else:
+        below = hierarchy.implementations(decls, corpus.imports, types, corpus.visibility, query.selector == "derived").select(F.col("project").alias("_p"), F.col("qualified").alias("_q"))
+        out = decls.join(below, (F.col("project").cast("string") == F.col("_p")) & (F.col("qualified") == F.col("_q")), "left_semi")
+        out = out.where(F.col("kind").isin(*N.NAMED_TYPES))
+    out = out.where(search.row_filters(query, out.columns))
+    for f in query.of("in"):
+        out = search.contained(out, decls, f)
+    return out
+
+
 def run(corpus: Corpus, text: str) -> DataFrame:
     """The first `limit:` rows, in the order of their kind of search."""
     q = parse(text)
