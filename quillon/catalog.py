@@ -475,6 +475,53 @@ def log_chain(spark, sf):
     return history.log(M.read(spark, sf, "conversations"), "conv_id", "turn", "role").select("conv_id", "turn", "status", "position")
 
 
+# a customer's orders as a repository: each follows the one before, every third merges the one three before, every seventh branches off two before
+COMMITS = """(select o_custkey::varchar as repo, o_orderkey::varchar as id, n, unnest(case when n = 1 then [] when n % 3 = 0 and n > 3 then [n - 1, n - 3] when n % 7 = 0 then [n - 2] else [n - 1] end) as up from (select *, row_number() over (partition by o_custkey order by o_orderkey) as n from orders))"""
+_NUMBERED = "(select o_custkey::varchar as repo, o_orderkey::varchar as id, row_number() over (partition by o_custkey order by o_orderkey) as n from orders)"
+_PARENTS = f"(select c.repo, c.id, p.id as parent from {COMMITS} c join {_NUMBERED} p on p.repo = c.repo and p.n = c.up)"
+_TIPS = f"(select repo, arg_max(id, n) as root from {_NUMBERED} group by 1)"
+
+
+def _history(spark, sf):
+    """(parents, tips): see COMMITS; tips has each repository's last commit, and the one two before."""
+    at = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    ago = lambda k: F.lag("id", k).over(at)
+    o = M.read(spark, sf, "orders").select("o_custkey", "o_orderkey", F.col("o_orderkey").cast("string").alias("id"))
+    o = o.withColumn("n", F.row_number().over(at)).withColumn("last", F.lead("id").over(at).isNull()).withColumn("a", ago(1)).withColumn("b", ago(2)).withColumn("c", ago(3))
+    n = F.col("n")
+    ups = F.when((n % 3 == 0) & (n > 3), F.array("a", "c")).when(n % 7 == 0, F.array("b")).otherwise(F.array("a"))
+    return o.select("id", F.posexplode(ups).alias("pos", "parent")), o.where("last").select(F.col("o_custkey").cast("string").alias("repo"), F.col("id").alias("root"), F.col("b").alias("other"))
+
+
+@query(f"""with recursive p as (select distinct id, parent from {_PARENTS}), r(root, id, far) as (select root, root, 0::bigint from {_TIPS} union select root, parent, far + 1 from r join p using (id))
+select root, id, max(far) as far from r group by 1, 2""")
+def commit_ancestors(spark, sf):
+    """What the last commit of each repository reaches, with the longest way."""
+    parents, tips = _history(spark, sf)
+    return G.Commits(parents, tips).ancestors()
+
+
+@query(f"""with recursive p as (select distinct id, parent from {_PARENTS}), w(root, id, way) as (select root, root, [root] from {_TIPS} union all select root, parent, list_append(way, parent) from w join p using (id)),
+ done as (select root, way from w where id not in (select id from p)), n as (select root, count(*) as ways from done group by 1),
+ v as (select root, id, count(*) as ways, max(k) as far from (select root, unnest(way) as id, unnest(range(len(way))) as k from done) group by 1, 2)
+select root, arg_min(id, far) as id from v join n using (root, ways) where id <> root group by 1""")
+def commit_cut(spark, sf):
+    """Where all ways from the last commit of each repository meet first."""
+    parents, tips = _history(spark, sf)
+    return G.Commits(parents, tips).cut(together=False)
+
+
+@query(f"""with recursive p as (select distinct id, parent from {_PARENTS}), t as (select repo, id as root from {_NUMBERED} x join (select repo, max(n) as last from {_NUMBERED} group by 1) using (repo) where n = last or n = last - 2),
+ r(repo, root, id) as (select repo, root, root from t union select repo, root, parent from r join p using (id)), s as (select repo, count(*) as size from t group by 1),
+ c as (select repo, id from r join s using (repo) group by repo, id, size having count(*) = size)
+select repo as "group", id from c where not exists (select 1 from p join c d on d.id = p.id where p.parent = c.id and d.repo = c.repo)""")
+def commit_bases(spark, sf):
+    """Merge bases of the last commit of each repository and the one two before it."""
+    parents, tips = _history(spark, sf)
+    groups = tips.select(F.col("repo").alias("group"), F.explode(F.array_compact(F.array("root", "other"))).alias("root"))
+    return G.Commits(parents, groups).bases(groups)
+
+
 # ---- monitoring and caches
 
 

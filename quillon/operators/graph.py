@@ -51,8 +51,151 @@ def removal_cascade(parents: DataFrame, removed: DataFrame) -> DataFrame:
     return closure(edges, removed.select(F.lit(0).alias("root"), F.col("id").alias("node"))).select(F.col("node").alias("id")).distinct()
 
 
+#: Primes below 2**31 that counts of paths are taken by; a cut is one by both.
+PRIMES = (2_147_483_629, 2_147_483_587)
+
+
+def _jumped(step: DataFrame) -> DataFrame:
+    """(id, end, hops, last) of step(id, to): where pointers lead that go on while they meet an id; last is the id before the end.
+
+    Pointers are doubled, so a run of n takes log n rounds.
+    """
+    now = stored(step.select("id", F.col("to").alias("end"), F.lit(1).cast("long").alias("hops"), F.col("id").alias("last")))
+    for _ in range(now.count().bit_length() + 2):
+        on = now.select(F.col("id").alias("mid"), F.col("end").alias("further"), F.col("hops").alias("more"), F.col("last").alias("late"))
+        both = stored(now.join(on, F.col("end") == F.col("mid"), "left").select("id", F.coalesce("further", "end").alias("end"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"), F.coalesce("late", "last").alias("last"), F.col("mid").isNotNull().alias("moved")))
+        moved = not both.where("moved").isEmpty()
+        now = both.drop("moved")
+        if not moved:
+            return now
+    raise ValueError("The commit graph has a cycle.")
+
+
+class Commits:
+    """A commit graph as tables, with its unbranched runs contracted.
+
+    parents(id, pos, parent); an end has no row or one of null parent. tips: some ids, or a table of any
+    number (root), each of which is walked from. Commits that have one parent and
+    one child, and are no tip, stand in a run; what branches, merges, begins or ends is a knot. Knots
+    and their edges are what walks go over; runs are folded and unfolded by joins.
+    """
+
+    def __init__(self, parents: DataFrame, tips: list[str] | DataFrame):
+        self.spark = parents.sparkSession
+        self.roots = tips.select("root").distinct() if isinstance(tips, DataFrame) else self.spark.createDataFrame([(t,) for t in dict.fromkeys(tips)], "root string")
+        self.edges = stored(parents.where("parent is not null and id is not null").groupBy("id", "parent").agg(F.min("pos").alias("pos")))
+        up = self.edges.groupBy("id").agg(F.count("*").alias("up"))
+        down = self.edges.groupBy(F.col("parent").alias("id")).agg(F.count("*").alias("down"))
+        inner = up.where("up = 1").join(down.where("down = 1"), "id").select("id").join(self.roots.withColumnRenamed("root", "id"), "id", "left_anti")
+        inner = stored(inner)
+        own = self.edges.join(inner, "id", "left_semi")
+        self.above = _jumped(own.select("id", F.col("parent").alias("to")))  # towards the root
+        self.below = _jumped(self.edges.join(inner.withColumnRenamed("id", "parent"), "parent", "left_semi").select(F.col("parent").alias("id"), F.col("id").alias("to")))
+        knots = self.edges.join(inner, "id", "left_anti")
+        ends = self.above.select(F.col("id").alias("parent"), "end", "hops")
+        self.knots = stored(knots.join(ends, "parent", "left").select(F.col("id").alias("src"), "pos", F.col("parent").alias("first"), F.coalesce("end", "parent").alias("dst"), (F.coalesce("hops", F.lit(0)) + 1).alias("hops")))
+
+    def nodes(self) -> DataFrame:
+        return self.edges.select("id").unionByName(self.edges.select(F.col("parent").alias("id"))).unionByName(self.roots.select(F.col("root").alias("id"))).distinct()
+
+    def _weighted(self) -> DataFrame:
+        return self.knots.groupBy("src", "dst").agg(F.max("hops").alias("far"), *(F.count("*").alias(f"c{k}") for k in range(len(PRIMES))))
+
+    @staticmethod
+    def _sums(rows: DataFrame, *keys: str) -> DataFrame:
+        return rows.groupBy(*keys).agg(F.max("far").alias("far"), *((F.sum(f"c{k}") % p).alias(f"c{k}") for k, p in enumerate(PRIMES)))
+
+    @staticmethod
+    def _times(a: str, b: str) -> list:
+        return [(F.col(f"{a}.far") + F.col(f"{b}.far")).alias("far"), *((F.col(f"{a}.c{k}") * F.col(f"{b}.c{k}") % p).alias(f"c{k}") for k, p in enumerate(PRIMES))]
+
+    def walk(self, ends: bool = False) -> tuple[DataFrame, DataFrame | None]:
+        """(root, id, far, c0, c1) of all that each tip reaches, and with `ends` (id, c0, c1) of how many ways lead from it to an end.
+
+        far is the greatest number of steps, c0 and c1 the number of ways modulo PRIMES. With A the edges
+        between knots, powers A^1, A^2, A^4, ... are squared, and what is reached within 2^k steps, times A^(2^k),
+        is reached within 2^(k+1): rounds grow with the logarithm of depth. A power holds the pairs so many
+        knots apart, which grows with the width of the graph.
+        """
+        one = [F.lit(1).cast("long").alias(f"c{k}") for k in range(len(PRIMES))]
+        f = stored(self.roots.select("root", F.col("root").alias("id"), F.lit(0).cast("long").alias("far"), *one))
+        power = stored(self._weighted())
+        g = None
+        if ends:
+            last = self.nodes().join(self.edges.select("id"), "id", "left_anti")
+            g = stored(last.select("id", F.lit(0).cast("long").alias("far"), *one))
+        for _ in range(power.count().bit_length() + 2):  # no way passes more knots than there are
+            if power.isEmpty():
+                break
+            on = f.alias("f").join(power.alias("a"), F.col("f.id") == F.col("a.src")).select("f.root", F.col("a.dst").alias("id"), *self._times("f", "a"))
+            f = stored(self._sums(f.unionByName(on), "root", "id"))
+            if g is not None:
+                back = power.alias("a").join(g.alias("g"), F.col("a.dst") == F.col("g.id")).select(F.col("a.src").alias("id"), *self._times("a", "g"))
+                g = stored(self._sums(g.unionByName(back), "id"))
+            power = stored(self._sums(power.alias("a").join(power.alias("b"), F.col("a.dst") == F.col("b.src")).select("a.src", "b.dst", *self._times("a", "b")), "src", "dst"))
+        else:
+            raise ValueError("The commit graph has a cycle.")
+        runs = self.below.select("id", F.col("end").alias("knot"), "hops").join(f.withColumnRenamed("id", "knot"), "knot")
+        f = f.unionByName(runs.select("root", "id", (F.col("far") + F.col("hops")).alias("far"), *(f"c{k}" for k in range(len(PRIMES)))))
+        if g is not None:
+            runs = self.above.select("id", F.col("end").alias("knot")).join(g.withColumnRenamed("id", "knot"), "knot")
+            g = g.unionByName(runs.select("id", "far", *(f"c{k}" for k in range(len(PRIMES)))))
+        return f, g
+
+    def ancestors(self) -> DataFrame:
+        """(root, id, far): what each tip reaches, itself included; ordered by far, children come before parents."""
+        return self.walk()[0].select("root", "id", "far")
+
+    def bases(self, groups: DataFrame | None = None) -> DataFrame:
+        """(group, id): common ancestors of the tips of each of groups(group, root) that no other one descends from; without groups, of all tips, in group 0."""
+        groups = groups.select("group", "root").distinct() if groups is not None else self.roots.select(F.lit(0).alias("group"), "root")
+        size = groups.groupBy("group").agg(F.count("*").alias("size"))
+        common = self.ancestors().join(groups, "root").groupBy("group", "id").agg(F.count("*").alias("n")).join(size, "group").where("n = size")
+        common = stored(common.select("group", "id"))
+        under = common.join(self.edges, "id").select("group", F.col("parent").alias("id"))  # all between two common ancestors are common
+        return common.join(under, ["group", "id"], "left_anti")
+
+    def cut(self, together: bool = True) -> DataFrame:
+        """(root, id): the nearest commit that every way from a tip to an end passes, but the tip itself; none where there is none.
+
+        together: of the ways from all tips, with a null root; a tip may then be the cut if there are others.
+        """
+        f, g = self.walk(ends=True)
+        counts = [f"c{k}" for k in range(len(PRIMES))]
+        if together:
+            alone = self.roots.count() == 1
+            f = self._sums(f.withColumn("own", (F.col("root") == F.col("id")) & F.lit(alone)).withColumn("root", F.lit("")), "root", "id", "own")
+        else:
+            f = f.withColumn("own", F.col("root") == F.col("id"))
+        final = f.join(self.edges.select("id"), "id", "left_anti").groupBy("root").agg(*((F.sum(x) % p).alias(f"all_{x}") for x, p in zip(counts, PRIMES, strict=True)))
+        on = f.join(g.select("id", *(F.col(x).alias(f"to_{x}") for x in counts)), "id").join(final, "root").where("not own")
+        for x, p in zip(counts, PRIMES, strict=True):
+            on = on.where(F.col(x) * F.col(f"to_{x}") % p == F.col(f"all_{x}"))
+        return on.groupBy("root").agg(F.min_by("id", "far").alias("id")).select(F.when(F.lit(not together), F.col("root")).alias("root"), "id")
+
+    def order(self) -> DataFrame:
+        """(position, id) below the one tip: children before parents; among the ready ones, as a walk along first parents first would meet them.
+
+        Such a walk is one step after another. It is made on the driver, over knots and runs only; a run
+        stands together in it, so its commits get their places by a join.
+        """
+        first = self.below.select("id", F.col("last").alias("run"), "hops")
+        length = first.groupBy("run").agg(F.max("hops").alias("n"))
+        runs = length.join(self.above.select(F.col("id").alias("run"), "end"), "run")
+        steps = self.knots.select("src", "pos", "first").unionByName(runs.select(F.col("run").alias("src"), F.lit(0).alias("pos"), F.col("end").alias("first")))
+        graph = History.of(steps.toDF("id", "pos", "parent"))
+        sizes = {r[0]: r[1] for r in length.where("n > 1").toLocalIterator()}
+        places, at = [], 0
+        for unit in graph.order(self.roots.first()[0]):
+            places.append((unit, at))
+            at += sizes.get(unit, 1)
+        units = self.spark.createDataFrame(places, "unit string, base long")
+        members = self.nodes().join(first, "id", "left").select("id", F.coalesce("run", "id").alias("unit"), F.coalesce(F.col("hops") - 1, F.lit(0)).alias("within"))
+        return members.join(units, "unit").select((F.col("base") + F.col("within")).alias("position"), "id")
+
+
 class History:
-    """A commit graph on the driver: ids and ordered parents, a few dozen bytes a commit. Times play no part."""
+    """A commit graph on the driver, for the one thing that goes step by step: the order of a log. Commits hands it knots and runs only. Times play no part."""
 
     def __init__(self, parents: dict[str, list[str]]):
         self.parents = parents

@@ -1,6 +1,6 @@
 """History requests over commits(id, tree, date, subject), parents(id, pos, parent), entries(tree, path, blob, mode) and blobs(blob, text).
 
-The commit graph (ids and parents) is walked on the driver; trees and texts stay distributed.
+The order of a log is found on the driver over branches and merges only; commits, trees and texts stay distributed.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names as N
 from ..functions import sequences as S
-from ..operators.graph import History
+from ..operators.graph import Commits
 from ..operators.history import change_set
 from .language import HistoryRequest, QueryError, parse_history
 
@@ -68,8 +68,7 @@ def edges(repo: Repository, r: HistoryRequest) -> DataFrame:
 
 def log(repo: Repository, r: HistoryRequest, tip: str) -> DataFrame:
     """(position, id, date, subject, paths): commits that changed the selection, children first. A merge counts for what it changed against all parents."""
-    order = History.of(repo.parents.select("id", "pos", "parent").unionByName(repo.commits.join(repo.parents, "id", "left_anti").select("id", F.lit(0).alias("pos"), F.lit(None).cast("string").alias("parent")))).order(tip)
-    ranks = repo.commits.sparkSession.createDataFrame(list(enumerate(order)), "position long, id string")
+    ranks = Commits(repo.parents.select("id", "pos", "parent"), [tip]).order()
     n = repo.parents.where("parent is not null").groupBy("id").agg(F.count_distinct("pos").alias("n"))
     changed = edges(repo, r).groupBy("id", "path").agg(F.count_distinct("pos").alias("m")).join(n, "id", "left").where("m >= coalesce(n, 1)")
     found = changed.groupBy("id").agg(F.sort_array(F.collect_set("path")).alias("paths"))
