@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions import names as N
 from .functions import sequences as S
 from .functions import text as X
-from .operators import assets, hierarchy, history, incremental, joins, monitor, navigation, scopes, search
+from .operators import assets, hierarchy, history, incremental, joins, matching, monitor, navigation, scopes, search, tracing
 from .operators import graph as G
 from .plans.compile import Corpus, plan, run
 from .plans.language import parse
@@ -522,6 +522,93 @@ def commit_bases(spark, sf):
     return G.Commits(parents, groups).bases(groups)
 
 
+# each commit of COMMITS has three regions, which move every five commits and are edited every three, so that some share a text
+_REGIONS = f"(select id as c, 'g' || r as region, 'd' || r || '/' || (n // 5) % 2 as path, (n + 2 * r) // 3 as blob from {_NUMBERED}, unnest([0, 1, 2]) t(r))"
+
+
+def _links_sql(a: str, b: str) -> str:
+    """CTEs up to l(a, b, here, there, relation, uncertain): what becomes of each region on each edge from one end to the other."""
+    return f"""e as (select distinct {a} as a, {b} as b from {_PARENTS}),
+ q as (select a, b, x.region as here, y.region as there, x.blob = y.blob as sb, x.path = y.path as sp, x.region = y.region as sn from e join {_REGIONS} x on x.c = a join {_REGIONS} y on y.c = b),
+ u as (select *, bool_or(sb and sp and sn) over (partition by a, b, here) or bool_or(sb and sp and sn) over (partition by a, b, there) as kept from q where sb or sp or sn),
+ s as (select a, b, here, there, sp, sn, case when sb then 100 else 60 end as m, case when sb then 50 + 24 else 30 end + 8 * sp::int + 18 + 12 * sn::int as v from u where not kept),
+ o as (select *, row_number() over (partition by a, b, there order by v desc, here) as i, row_number() over (partition by a, b, here order by v desc, there) as j from s where v >= 45),
+ f as (select a, b, there, max(case when i = 1 then here end) as h1, max(case when i = 1 then v end) as v1, max(case when i = 1 then m end) as m1, max(case when i = 2 then v end) as v2 from o group by 1, 2, 3),
+ w as (select a, b, here as h1, max(case when j = 1 then there end) as t1, max(case when j = 1 then v end) as w1, max(case when j = 2 then v end) as w2 from o group by 1, 2, 3),
+ k as (select o.*, case when h1 = here then case when coalesce(v2 >= 60 and v2 + 6 >= v, false) then 'uncertain' else 'none' end
+   when v1 < 60 then 'none' when m1 < 70 or v1 <= v + 6 or coalesce(v2 + 6 >= v1, false) then 'uncertain'
+   when coalesce(case when t1 = there then w2 else w1 end, -1000) > v1 + 6 then 'none' when coalesce(case when t1 = there then w2 else w1 end, -1000) + 6 >= v1 then 'uncertain' else 'stronger' end as rival
+  from o join f using (a, b, there) left join w using (a, b, h1)),
+ d as (select *, max(v) over (partition by a, b, here) as best from k where v >= 60 and rival <> 'stronger'),
+ l as (select a, b, here, there, case when not sp then 'move' when not sn then 'rename' else 'continue' end as relation, count(*) over (partition by a, b, here) > 1 or rival = 'uncertain' as uncertain from d where v + 6 >= best
+  union all select a, b, here, there, 'continue', false from q where sb and sp and sn)"""
+
+
+def _regions(spark, sf):
+    at = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    o = M.read(spark, sf, "orders").select(F.col("o_custkey").cast("string").alias("repo"), F.col("o_orderkey").cast("string").alias("commit"), F.row_number().over(at).alias("n"))
+    o = o.withColumn("r", F.explode(F.array(*map(F.lit, range(3)))))
+    name = F.concat(F.lit("g"), F.col("r").cast("string"))
+    path = F.concat(F.lit("d"), F.col("r").cast("string"), F.lit("/"), F.expr("cast((n div 5) % 2 as string)"))
+    return o.select("repo", "n", "commit", name.alias("region"), path.alias("path"), name.alias("name"), F.lit("o").alias("owner"), F.expr("cast((n + 2 * r) div 3 as string)").alias("blob"))
+
+
+def _mapped(spark, sf, forward=False):
+    parents, tips = _history(spark, sf)
+    e = parents.where("parent is not null")
+    e = e.select(F.col("parent").alias("at"), F.col("id").alias("to")) if forward else e.select(F.col("id").alias("at"), F.col("parent").alias("to"))
+    return matching.mapping(e, _regions(spark, sf).drop("repo", "n"), forward=forward)
+
+
+@query(f"""with {_links_sql("id", "parent")} select a as at, b as "to", here, there, relation, uncertain from l""")
+def region_links(spark, sf):
+    """What each region of each commit was in its parents: unchanged, moved, renamed or edited, with rivals."""
+    return _mapped(spark, sf).select("at", "to", "here", "there", "relation", "uncertain")
+
+
+@query(f"""with recursive {_links_sql("id", "parent")}, r(target, c, region, far) as (select repo, root, 'g0', 0::bigint from {_TIPS} union select target, b, there, far + 1 from r join l on a = c and here = region)
+select target, c as commit, region, max(far) as far from r group by 1, 2, 3""")
+def trace_backward(spark, sf):
+    """Where one region of each repository's last commit comes from, through all its history."""
+    tips = _history(spark, sf)[1]
+    return tracing.backwards(_mapped(spark, sf), tips.select(F.col("repo").alias("target"), F.col("root").alias("commit"), F.lit("g0").alias("region")))
+
+
+@query(f"""with recursive {_links_sql("parent", "id")}, p as (select distinct id, parent from {_PARENTS}), i(target, c) as (select repo, root from {_TIPS} union select target, parent from i join p on id = c),
+ r(target, c, region) as (select repo, id, 'g1' from {_NUMBERED} where n = 1 union select r.target, b, there from r join l on a = r.c and here = region join i on i.target = r.target and i.c = b)
+select target, c as commit, region from r where (target, c) not in (select (repo, id) from {_NUMBERED} where n = 1)""")
+def trace_forward(spark, sf):
+    """What one region of each repository's first commit became in the commits below the last one."""
+    parents, tips = _history(spark, sf)
+    inside = G.Commits(parents, tips).ancestors().join(tips.select("root", "repo"), "root").select(F.col("repo").alias("target"), F.col("id").alias("commit"))
+    first = _regions(spark, sf).where("n = 1 and region = 'g1'").select(F.col("repo").alias("target"), "commit", "region")
+    return tracing.forwards(_mapped(spark, sf, forward=True), first, inside)
+
+
+# the events of users of one remainder as two sides of a commit: paths by user, names by type, texts by amount
+_SIDES = "(select (user_id % 40)::varchar as c, event_id as key, (user_id // 40)::varchar as path, event_type as name, (floor(coalesce(value, 0)) % 5)::bigint::varchar as blob, event_id % 2 as side from events)"
+
+
+def _pairs_sql() -> str:
+    """Groups of columns in order of what they count; in each, the n-th of what is left goes with the n-th."""
+    out, left, right = [], f"(select * from {_SIDES} where side = 0)", f"(select * from {_SIDES} where side = 1)"
+    for k, keys in enumerate(("path, name, blob", "path, name", "path, blob", "path", "name, blob", "name", "blob")):
+        nth = f"row_number() over (partition by c, {keys} order by key) as n"
+        out.append(f"h{k} as materialized (select c, a.key as o, b.key as w from (select *, {nth} from {left}) a join (select *, {nth} from {right}) b using (c, {keys}, n))")
+        left, right = f"(select * from {left} where key not in (select o from h{k}))", f"(select * from {right} where key not in (select w from h{k}))"
+    both = " union all ".join(f"select c, o, w from h{k}" for k in range(7))
+    return f"with {', '.join(out)} select c as commit, o as old, w as new from ({both} union all select c, key, null from {left} union all select c, null, key from {right})"
+
+
+@query(_pairs_sql())
+def region_pairs(spark, sf):
+    """Regions of two sides, one to one, best pairs first."""
+    e = M.read(spark, sf, "events")
+    text = lambda x: F.expr(f"cast({x} as string)")
+    r = e.select(text("user_id % 40").alias("commit"), F.col("event_id").alias("key"), text("user_id div 40").alias("path"), F.col("event_type").alias("name"), text("cast(floor(coalesce(value, 0)) % 5 as bigint)").alias("blob"), (F.col("event_id") % 2).alias("side"))
+    return matching.paired(r.where("side = 0").drop("side"), r.where("side = 1").drop("side"))
+
+
 # ---- monitoring and caches
 
 

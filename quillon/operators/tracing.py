@@ -1,37 +1,16 @@
-"""Regions through history: pairing, evidence from neighbours, traces along the commit graph, and merges."""
+"""Regions through history: evidence from neighbours, traces along the commit graph, and merges."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import sequences as S
-from .graph import History
+from .graph import Commits
 from .history import GROUP
 
 
-def paired(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Regions(commit, key, path, name, blob) of two sides, one to one: the best of path 4, name 2, blob 1 first. What finds none stands alone."""
-
-    def go(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-        scored = sorted((-(4 * (x.path == y.path) + 2 * (x.name == y.name) + (x.blob == y.blob)), i, j) for i, x in enumerate(a.itertuples(index=False)) for j, y in enumerate(b.itertuples(index=False)) if x.path == y.path or x.name == y.name or x.blob == y.blob)
-        left, right, out = set(), set(), []
-        for _, i, j in scored:
-            if i not in left and j not in right:
-                left.add(i)
-                right.add(j)
-                out.append((a["key"].iloc[i], b["key"].iloc[j]))
-        out += [(k, None) for i, k in enumerate(a["key"]) if i not in left] + [(None, k) for j, k in enumerate(b["key"]) if j not in right]
-        return pd.DataFrame({"commit": pdf["commit"].iloc[0], "old": [x for x, _ in out], "new": [y for _, y in out]})
-
-    both = old.withColumn("side", F.lit(0)).unionByName(new.withColumn("side", F.lit(1)))
-    return both.groupBy("commit").applyInPandas(go, "commit string, old string, new string")
-
-
 def sibling_evidence(pairs: DataFrame, members: DataFrame) -> DataFrame:
     """pairs(old_owner, new_owner, old, new, similarity) whose owners share another member pair of GROUP or more.
 
@@ -55,27 +34,56 @@ def wrappers(pairs: DataFrame, after: DataFrame, most_tokens: int = 40) -> DataF
     return pairs.join(thin, "old").where(F.col("body").rlike(r"\w\s*\(") & F.contains("body", F.concat("new", F.lit("(")))).select("old", "new").distinct()
 
 
-def backwards(history: History, tip: str, state: frozenset, follow: Callable[[str, str, frozenset], frozenset]) -> dict[str, frozenset]:
-    """The state at each commit that leads to the tip's: children come first, and states that meet in a commit are united."""
-    out = {tip: state}
-    for commit in history.order(tip):
-        if commit in out:
-            for parent in history.parents.get(commit, []):
-                got = follow(commit, parent, out[commit])
-                if got:
-                    out[parent] = out.get(parent, frozenset()) | got
-    return out
+def _node(commit: str, region: str) -> Column:
+    return F.to_json(F.array(F.col(commit).cast("string"), F.col(region).cast("string")))
 
 
-def forwards(history: History, tip: str, known: dict[str, frozenset], follow: Callable[[str, str, frozenset], frozenset]) -> dict[str, frozenset]:
-    """Fills commits between known ones from parent to child; where nothing arrives, nothing is passed on."""
-    out = dict(known)
-    for commit in reversed(history.order(tip)):
-        if commit not in out:
-            got = frozenset().union(*(follow(p, commit, out[p]) for p in history.parents.get(commit, []) if out.get(p)))
-            if got:
-                out[commit] = got
-    return out
+def _place(df: DataFrame, *columns: str) -> DataFrame:
+    """Nodes as (commit, region) again."""
+    at = F.from_json("id", "array<string>")
+    return df.select(*columns, at[0].alias("commit"), at[1].alias("region"))
+
+
+def backwards(links: DataFrame, targets: DataFrame) -> DataFrame:
+    """(target, commit, region, far): where the regions of targets(target, commit, region) come from, by links(at, to, here, there) from child to parent.
+
+    What a region became doesn't depend on how it was reached. So states that are passed from commit to
+    commit and united where they meet are what the target reaches among pairs of commit and region. Runs of
+    commits that a region goes through alone are contracted, and rounds grow with the logarithm of what is left.
+    Where a region has no link, it begins, and nothing is said of the parents.
+    """
+    seeds = targets.select(F.col("target").cast("string").alias("target"), _node("commit", "region").alias("root")).distinct()
+    steps = links.select(_node("at", "here").alias("id"), F.lit(0).alias("pos"), _node("to", "there").alias("parent"))
+    found = Commits(steps, seeds).ancestors().join(seeds, "root")
+    return _place(found.groupBy("target", "id").agg(F.max("far").alias("far")), "target", "far").select("target", "commit", "region", "far")
+
+
+def forwards(links: DataFrame, known: DataFrame, inside: DataFrame) -> DataFrame:
+    """(target, commit, region) in commits that a trace hasn't reached: from known(target, commit, region) by links(at, to, here, there) from parent to child.
+
+    inside(target, commit): commits that count, those below the tip. A commit that is known keeps what it has, and
+    where nothing arrives, nothing is passed on: so only links into unreached commits are followed.
+    """
+    text = lambda df, *keys: df.select(*(F.col(k).cast("string").alias(k) for k in keys))
+    known, inside = text(known, "target", "commit", "region").distinct(), text(inside, "target", "commit").distinct()
+    open_ = inside.join(known.select("target", "commit").distinct(), ["target", "commit"], "left_anti")
+    steps = text(links, "at", "to", "here", "there").join(open_.select("target", F.col("commit").alias("to")), "to")
+    first = steps.join(known.select("target", F.col("commit").alias("at"), F.col("region").alias("here")), ["target", "at", "here"], "left_semi")
+    node = lambda c, r: F.to_json(F.array("target", F.col(c), F.col(r)))
+    seeds = first.select(node("to", "there").alias("root")).distinct()
+    rest = steps.join(open_.select("target", F.col("commit").alias("at")), ["target", "at"], "left_semi")
+    edges = rest.select(node("at", "here").alias("src"), node("to", "there").alias("dst"))
+    got = closure_of(edges, seeds)
+    at = F.from_json("id", "array<string>")
+    return got.select(at[0].alias("target"), at[1].alias("commit"), at[2].alias("region"))
+
+
+def closure_of(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(id): seeds(root) and all that they reach together by edges(src, dst), in rounds that grow with the logarithm of its depth."""
+    one = seeds.select("root").distinct()
+    hub = one.sparkSession.createDataFrame([("",)], "root string")  # one root above all seeds
+    steps = edges.select(F.col("src").alias("id"), F.lit(0).alias("pos"), F.col("dst").alias("parent")).unionByName(one.select(F.lit("").alias("id"), F.lit(0).alias("pos"), F.col("root").alias("parent")))
+    return Commits(steps, hub).ancestors().where("id <> ''").select("id")
 
 
 def rejected(base: str, side: str, merged: str) -> bool:

@@ -3,7 +3,6 @@ from pyspark.sql import functions as F
 
 from quillon.functions import compact
 from quillon.operators import csharp, render, tracing
-from quillon.operators.graph import History
 
 
 def rows(df, *cols):
@@ -48,13 +47,6 @@ def test_overloads(spark):
 
 
 def test_tracing(spark):
-    a = spark.createDataFrame([("c", "1", "p", "n", "b"), ("c", "2", "q", "m", "x"), ("c", "3", "r", "k", "y")], "commit string, key string, path string, name string, blob string")
-    b = spark.createDataFrame([("c", "7", "p", "z", "w"), ("c", "8", "t", "m", "x"), ("c", "9", "u", "v", "w")], "commit string, key string, path string, name string, blob string")
-    assert {(r.old, r.new) for r in tracing.paired(a, b).collect()} == {("1", "7"), ("2", "8"), ("3", None), (None, "9")}
-    h = History({"m": ["a", "b"], "a": ["r"], "b": ["r"], "r": []})
-    got = tracing.backwards(h, "m", frozenset({"x"}), lambda c, p, s: s if (c, p) != ("m", "b") else frozenset({"y"}))
-    assert got["r"] == {"x", "y"}
-    assert tracing.forwards(h, "m", {"r": frozenset({"x"})}, lambda p, c, s: s)["m"] == {"x"}
     assert tracing.rejected("a\nb\nc", "a\nX\nc", "a\nb\nc") and not tracing.rejected("a\nb\nc", "a\nX\nc", "a\nX\nc")
     pairs = spark.createDataFrame([("f", "g")], "old string, new string")
     co = spark.createDataFrame([("main", "f", "x = f(1)")], "caller string, callee string, body string")
