@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions import names as N
 from .functions import sequences as S
 from .functions import text as X
-from .operators import assets, hierarchy, history, incremental, joins, matching, monitor, navigation, scopes, search, tracing
+from .operators import assets, hierarchy, history, incremental, joins, matching, monitor, navigation, prefabs, scopes, search, tracing
 from .operators import graph as G
 from .plans.compile import Corpus, plan, run
 from .plans.language import parse
@@ -129,6 +129,16 @@ def qualified_suffix(spark, sf):
     return search.declarations(_decls(spark, sf), parse("symbol:ASIA.NATION_2")).select("kind", "qualified", "rank")
 
 
+@query("""with c as (select c_custkey, r_name as r, n_name as n, c_name as c, case when c_custkey % 2 = 0 then '<int, a::b<c>>' else '' end as t from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey)
+select c_custkey, r || ' :: ' || n || t || '::' || c as name, greatest(1, case when n = 'nation_2' then 0 when lower(n) = 'nation_2' then 1 when starts_with(lower(n), 'nation_2') then 2 end, case when contains(lower(c), 'customer') then 2 end) as rank
+ from c where starts_with(lower(n), 'nation_2') and starts_with(lower(c), 'customer')""")
+def native_ranks(spark, sf):
+    """Native names with template arguments and parts before the pattern's, matched loosely from the end."""
+    p = M.read(spark, sf, "customer").join(M.read(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(M.read(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    name = F.concat("r_name", F.lit(" :: "), "n_name", F.when(F.col("c_custkey") % 2 == 0, "<int, a::b<c>>").otherwise(""), F.lit("::"), "c_name")
+    return p.select("c_custkey", name.alias("name"), N.native_name_rank("nation_2::customer", name, loose=True).alias("rank")).where("rank is not null")
+
+
 @query(f"select distinct kind || ':' || qualified as other from {PLACES} where name = 'NATION_2' order by 1 limit 4")
 def kind_other_hint(spark, sf):
     return search.other_kinds(_decls(spark, sf), parse("class:NATION_2"))
@@ -392,6 +402,34 @@ def object_handle(spark, sf):
     return M.read(spark, sf, "documents").select(assets.handle(F.concat(F.lit("source/"), F.col("doc_id").cast("string")), F.col("doc_id")).alias("handle"))
 
 
+# suppliers placed in nations, nations in regions: a supplier's second object points at its first one and at the nation's
+_PLACED = "(select s_suppkey s, n_nationkey n, n_regionkey r from supplier join nation on s_nationkey = n_nationkey)"
+
+
+@query(f"""select 'S' || s as asset, '2' as path, unnest(['mine', 'home']) as field, unnest(['S' || s, 'N' || n]) as "to", unnest(['1', '7']) as object from {_PLACED}
+union all select 'N' || n, 1000 + s || '/2', unnest(['mine', 'home']), 'N' || n, unnest([1000 + s || '/1', '7']) from {_PLACED}
+union all select 'R' || r, 100 + n || '/' || 1000 + s || '/2', 'mine', 'R' || r, case when s % 2 = 0 then '9' else 100 + n || '/' || 1000 + s || '/1' end from {_PLACED}
+union all select 'R' || r, 100 + n || '/' || 1000 + s || '/2', 'home', 'R' || r, 100 + n || '/7' from {_PLACED}
+union all select 'R' || r, 100 + n || '/' || 1000 + s || '/1', 'added', 'N' || n, '7' from {_PLACED} where s % 3 = 0""")
+def prefab_references(spark, sf):
+    """Pointers of assets composed over three levels: re-rooted at each, and overridden from the outermost."""
+    s, n = M.read(spark, sf, "supplier"), M.read(spark, sf, "nation")
+    text = lambda *x: F.concat(*(F.lit(y) if isinstance(y, str) else y.cast("string") for y in x))
+    sk, nk, rk = F.col("s_suppkey"), F.col("n_nationkey"), F.col("n_regionkey")
+    at = s.join(n, F.col("s_nationkey") == nk)
+    obj = lambda df, kind, key, ids: df.select(text(kind, key).alias("asset"), text("g", kind, key).alias("guid"), F.explode(F.array(*(F.lit(i).cast("long") for i in ids))).alias("id"), F.lit(1).alias("class"), F.lit(False).alias("stripped"), F.lit("o").alias("name"))
+    objects = obj(s, "S", sk, (1, 2)).unionByName(obj(n, "N", nk, (7,))).unionByName(obj(n.select("n_regionkey").distinct(), "R", rk, (9,)))
+    ref = lambda field, guid, target: at.select(text("S", sk).alias("asset"), F.lit(2).cast("long").alias("id"), F.lit(field).alias("field"), guid.alias("guid"), F.lit(target).cast("long").alias("target"))
+    refs = ref("mine", F.lit(""), 1).unionByName(ref("home", text("gN", nk), 7))
+    place = lambda df, asset, id_, guid: df.select(asset.alias("asset"), id_.cast("long").alias("id"), guid.alias("source_guid"), F.lit("").alias("parent_guid"), F.lit(0).cast("long").alias("parent_id"))
+    placements = place(at, text("N", nk), sk + 1000, text("gS", sk)).unionByName(place(n, text("R", rk), nk + 100, text("gN", nk)))
+    over = lambda df, id_, prop, guid, to: df.select(text("R", rk).alias("asset"), (nk + 100).cast("long").alias("placement"), (sk * 2 + id_).cast("int").alias("pos"), text("gS", sk).alias("guid"), F.lit(id_).cast("long").alias("id"), F.lit(prop).alias("property"), F.lit(None).cast("string").alias("value"), guid.alias("ref_guid"), F.lit(to).cast("long").alias("ref_id"))
+    overrides = over(at.where(sk % 2 == 0), 2, "mine", F.lit(""), 9).unionByName(over(at.where(sk % 3 == 0), 1, "added", text("gN", nk), 7))
+    composed = assets.compose(objects, placements, overrides, spark.createDataFrame([], "asset string, placement long, guid string, id long"))
+    known = prefabs.aliases(objects, spark.createDataFrame([], "asset string, id long, placement long, guid string, target long"), placements, composed)
+    return prefabs.references(objects, refs, placements, overrides, composed, known)
+
+
 # ---- history and similarity
 
 

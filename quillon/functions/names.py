@@ -242,10 +242,14 @@ def compatible(a: Column, b: Column) -> Column:
 
 
 def written_components(value: Column | str) -> Column:
-    """Parts of a native name between `::` outside template arguments."""
-    inner = col(value)
-    for _ in range(4):
-        inner = F.regexp_replace(inner, r"(<[^<>]*)::([^<>]*>)", "$1\u0001$2")
+    """Parts of a native name between `::` outside template arguments, however deep."""
+    pieces = F.regexp_extract_all(col(value), F.lit(r"(::|[<>]|[^<>:]+|:)"), 1)
+
+    def step(a: Column, x: Column) -> Column:
+        depth = F.when(x == "<", a["depth"] + 1).when((x == ">") & (a["depth"] > 0), a["depth"] - 1).otherwise(a["depth"])
+        return F.struct(depth.alias("depth"), F.concat(a["out"], F.when((x == "::") & (a["depth"] > 0), "\u0001").otherwise(x)).alias("out"))
+
+    inner = F.aggregate(pieces, F.struct(F.lit(0).alias("depth"), F.lit("").alias("out")), step)["out"]
     return F.transform(F.split(inner, "::"), lambda p: F.regexp_replace(p, "\u0001", "::"))
 
 
@@ -253,6 +257,57 @@ def native_simple_name(value: Column | str) -> Column:
     return F.regexp_replace(F.element_at(written_components(value), -1), r"(?<!operator)<.*$", "")
 
 
+_SPACES = r"\s*(::|[<>,*&()\[\]])\s*"
+
+
+def native_name_rank(pattern: str, value: Column | str, loose: bool = False) -> Column:
+    """A native name against a pattern of fewer or as many parts, aligned at the end; null if one part doesn't match.
+
+    0 the same, 1 with parts before it; loose ranks are those of the worst part. Template arguments count only
+    where the pattern has them; an operator has to be spelt alike. White space around signs plays no part.
+    """
+    tight = lambda v: F.regexp_replace(F.trim(v), _SPACES, "$1")
+    wanted, depth, part = [], 0, ""
+    for piece in re.findall(r"::|[<>]|[^<>:]+|:", re.sub(_SPACES, r"\1", pattern.strip())):
+        depth += (piece == "<") - (piece == ">" and depth > 0)
+        if piece == "::" and depth == 0:
+            wanted.append(part)
+            part = ""
+        else:
+            part += piece
+    wanted.append(part)
+    if not pattern.strip():
+        return F.lit(None).cast("int")
+    parts = written_components(tight(col(value)))
+
+    def one(k: int, p: str, have: Column) -> Column:
+        w = F.try_element_at(have, F.lit(k - len(wanted)))
+        if p.startswith("operator"):
+            return F.when(F.regexp_replace(w, r"^operator\s+(?=\W)", "operator") == re.sub(r"^operator\s+(?=\W)", "operator", p), 0)
+        return name_rank(p, w if "<" in p else F.regexp_replace(w, r"(?<!operator)<.*$", ""), loose)
+
+    def ranked(have: Column) -> Column:
+        ranks = [one(k, p, have) for k, p in enumerate(wanted)]
+        all_ = F.size(have) >= len(wanted)
+        for r in ranks:
+            all_ &= r.isNotNull()
+        return F.when(all_, F.greatest(F.when(F.size(have) > len(wanted), 1).otherwise(0), *ranks, *([F.lit(0)] if len(ranks) == 1 else [])))
+
+    return let(parts, ranked)
+
+
+def native_tokens(written: Column | str) -> Column:
+    """The signs and words of a native type, with one space between."""
+    return F.array_join(F.regexp_extract_all(col(written), F.lit(r"([\p{L}_$][\p{L}\p{N}_$]*|[0-9][\p{L}\p{N}_.]*|::|->\*?|<<=?|>=|[=!<+*/%&|^-]=|&&|\|\||\+\+|--|\.\.\.|\S)"), 1), " ")
+
+
+def native_signature_matches(a: Column | str, b: list[str] | Column) -> Column:
+    """Parameter lists that are spelt alike, sign by sign."""
+    left = F.transform(col(a), native_tokens)
+    right = F.transform(F.array(*map(F.lit, b)).cast("array<string>") if isinstance(b, list | tuple) else b, native_tokens)
+    return (F.size(left) == F.size(right)) & F.forall(F.arrays_zip(left.alias("l"), right.alias("r")), lambda p: p["l"].eqNullSafe(p["r"]))
+
+
 def satisfies(constraints: Column | str, defines: list[str]) -> Column:
     """Define constraints: all entries, each an OR of symbols that `!` may negate."""
     known = F.array(*map(F.lit, defines)).cast("array<string>")
