@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions import names as N
 from .functions import sequences as S
 from .functions import text as X
-from .operators import assets, hierarchy, history, incremental, joins, matching, monitor, navigation, prefabs, scopes, search, tracing
+from .operators import assets, hierarchy, history, incremental, joins, matching, monitor, navigation, passages, prefabs, scopes, search, tracing
 from .operators import graph as G
 from .plans.compile import Corpus, plan, run
 from .plans.language import parse
@@ -485,6 +485,17 @@ def passage_occurrence(spark, sf):
     return found.groupBy("item_id").agg(F.count("*").alias("n"))
 
 
+@query(f"""with d as (select doc_id, text, {_words("text")} as w from documents), b as (select item_id, {_words("text")} as p from benchmark),
+ s as (select item_id, p, len(p) as m, p[1] as first from b where len(p) > 0), k as (select doc_id, w, text, unnest(range(1, len(w) + 1)) as pos from d),
+ h as (select item_id, doc_id, text, w, m, pos from k join s on w[pos] = first and w[pos:pos + m - 1] = p),
+ o as (select item_id, doc_id, coalesce(list_sum(list_transform(string_split_regex(text, '{X.TOKEN.replace("'", "''")}')[1:pos], lambda x: length(x))), 0) as g, coalesce(list_sum(list_transform(w[1:pos - 1], lambda x: length(x))), 0) as t,
+   list_sum(list_transform(w[pos:pos + m - 1], lambda x: length(x))) + coalesce(list_sum(list_transform(string_split_regex(text, '{X.TOKEN.replace("'", "''")}')[pos + 1:pos + m - 1], lambda x: length(x))), 0) as n from h)
+select item_id as passage, doc_id as key, (row_number() over (partition by item_id, doc_id order by g + t))::bigint as number, (g + t)::bigint as start, (g + t + n)::bigint as "end" from o""")
+def passage_places(spark, sf):
+    """Where the texts of the benchmark stand in documents."""
+    return passages.occurrences(M.read(spark, sf, "documents").select(F.col("doc_id").alias("key"), "text"), M.read(spark, sf, "benchmark").select(F.col("item_id").alias("passage"), "text"))
+
+
 @query()
 def mutual_best_match(spark, sf):
     d = M.read(spark, sf, "documents").select(F.col("doc_id").alias("key"), F.col("text"), "source")

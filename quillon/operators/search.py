@@ -9,6 +9,7 @@ from ..functions import names as N
 from ..functions import text as X
 from ..plans.language import Filter, Query
 from . import joins as J
+from . import paths
 
 
 def _all(parts: list[Column]) -> Column:
@@ -118,7 +119,7 @@ def text_matches(files: DataFrame, needle: str, loose: bool = False) -> DataFram
 
 def text_search(files: DataFrame, decls: DataFrame | None, q: Query) -> DataFrame:
     """Text matches with the innermost declaration that isn't local around each as label."""
-    out = text_matches(files.where(row_filters(q, files.columns)), q.target.name, q.loose)
+    out = text_matches(paths.candidate_files(files, q).where(row_filters(q, files.columns)), q.target.name, q.loose)
     if decls is not None:
         spans = decls.where(~N.is_local("kind")).select("file_key", "start", "end", F.concat_ws(":", "kind", "qualified").alias("label"))
         for f in q.of("in"):
@@ -134,7 +135,7 @@ def text_top(found: DataFrame, limit: int) -> DataFrame:
 
 
 def file_search(files: DataFrame, q: Query) -> DataFrame:
-    return files.where(N.file_matches(q.target.name, "path", q.loose) & row_filters(q, files.columns)).select("path").distinct()
+    return paths.candidate_files(files, q).where(N.file_matches(q.target.name, "path", q.loose) & row_filters(q, files.columns)).select("path").distinct()
 
 
 def grouped(sites: DataFrame) -> DataFrame:
