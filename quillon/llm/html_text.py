@@ -9,9 +9,9 @@ or the article element that does. Where that is the page itself, it is what lies
 and the last cluster. The region's lines, but for those in menus, notices and the like, are the
 main text.
 
-Names of elements and classes are hints. A class or a form around what is left of a page's text,
-as in `post has-sidebar`, takes nothing away: hints are withdrawn, the outermost first, while they
-leave nothing that looks like an article although one is inside.
+Names of elements and classes are hints. What names itself a comment, menu, notice or advert is never
+text, however little is left. A name that wrappers have as well (sidebar, header, widget, a form)
+takes nothing away where it stands around the page's only article.
 """
 
 from __future__ import annotations
@@ -29,8 +29,6 @@ SIGMA = 1.0
 #: Share of the spread of smoothed ratios by which a content line must pass the least, and the spread, as
 #: a share of their mean, from which on a page has lines that aren't content.
 LEVEL, UNEVEN = 0.5, 0.5
-#: Share of a page's text that hints must leave, unless they leave an article.
-LEFT = 0.25
 #: Characters of a paragraph that makes its surroundings look like an article.
 LONG = 80
 #: Share of the content lines' characters that the region must hold.
@@ -46,20 +44,27 @@ CLOSES = {"p": frozenset({"p"}), "li": frozenset({"li"}), "dt": frozenset({"dt",
 SCOPE = frozenset("article aside body blockquote div dl fieldset footer form header html main nav ol section table td th ul".split())
 CONTAINER = frozenset("article body center div fieldset html main section table tbody td".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar form".split())
-ASIDE = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|banner|breadcrumb|breadcrumbs|comment|comments|commentlist|consent|cookie|cookies|disqus|footer|gdpr|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|pagination|pager|popup|promo|promoted|recommended|related|respond|share|sharing|sidebar|signup|social|sponsor|sponsored|subscribe|toolbar|widget|widgets)(?:$|[\s_-])", re.I)
-#: Parts of a class name that say of another part that it is absent, or elsewhere on the page.
-_ABOUT = frozenset("no non not has have with without free hide hides show shows".split())
+_NAMED = r"(?:^|[\s_-])(?:{})(?:$|[\s_-])"
+#: Never the article's; and those that a wrapper of the article may have.
+ASIDE = re.compile(_NAMED.format("ad|ads|advert|adverts|advertisement|advertising|breadcrumb|breadcrumbs|comment|comments|commentlist|consent|cookie|cookies|disqus|gdpr|menu|modal|nav|navbar|navigation|newsletter|notice|pagination|pager|popup|promo|promoted|recommended|related|respond|share|sharing|signup|social|sponsor|sponsored|subscribe"), re.I)
+AROUND = re.compile(_NAMED.format("banner|footer|header|masthead|sidebar|toolbar|widget|widgets"), re.I)
+#: What a footer's line begins with, whatever holds it.
+RIGHTS = re.compile(r"(?:©|\(c\) ?\d{4}|copyright\b)", re.I)
+#: Parts of a class name that say of another part that it is absent, in some state, or elsewhere on the page.
+_ABOUT = frozenset("no non not has have with without free hide hides show shows layout open opened closed enabled disabled on off".split())
 _SPACE = re.compile(r"\s+")
 _LONG = re.compile(r"&#(\d{100,})")
 
 
-def names_aside(value: str) -> bool:
-    """Whether a class or id names a part that isn't the article's."""
+def names_aside(value: str) -> int:
+    """Whether a class or id names a part that isn't the article's: 2 never, 1 unless it stands around it, 0 no."""
+    found = 0
     for name in value.split():
         parts = re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name)
-        if ASIDE.search(parts) and not _ABOUT.intersection(re.split(r"[-_]+", parts.lower())):
-            return True
-    return False
+        hint = 2 if ASIDE.search(parts) else int(bool(AROUND.search(parts)))
+        if hint > found and not _ABOUT.intersection(re.split(r"[-_]+", parts.lower())):
+            found = hint
+    return found
 
 
 class Page(HTMLParser):
@@ -68,6 +73,7 @@ class Page(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, int, bool]] = []  # name, number, shut: nothing below is text
+        self.where: dict[str, list[int]] = {}  # places in `open` by name, and of scopes and blocks: no tag walks the stack
         self.parent: list[int] = []
         self.name: list[str] = []
         self.hint: list[int] = []
@@ -80,26 +86,38 @@ class Page(HTMLParser):
         """A comment up to the next '>', as in browsers; the library's own raises, or goes on to a far ']>'."""
         return self.parse_bogus_comment(i, report)
 
+    def last(self, name: str) -> int:
+        """Place of the innermost open element of a name; -1 if there is none."""
+        held = self.where.get(name)
+        return held[-1] if held else -1
+
+    def push(self, tag: str, shut: bool) -> None:
+        for group in (tag, *(["/scope"] if tag in SCOPE else []), *(["/block"] if tag in BLOCK else [])):
+            self.where.setdefault(group, []).append(len(self.open))
+        self.open.append((tag, len(self.name) - 1, shut))
+
+    def cut(self, k: int) -> None:
+        """Closes the open elements from a place on; each is closed once."""
+        while len(self.open) > k:
+            tag = self.open.pop()[0]
+            for group in (tag, *(["/scope"] if tag in SCOPE else []), *(["/block"] if tag in BLOCK else [])):
+                self.where[group].pop()
+
     def end_head(self, tag: str) -> None:
         """Close an open head before what can't stand in it: its end tag is optional."""
-        for k in range(len(self.open) - 1, -1, -1):
-            name = self.open[k][0]
-            if name == "head":
-                if tag == "body" or k == len(self.open) - 1 and tag not in HEADED:
-                    del self.open[k:]
-                    self.past = True
-                return
-            if name == "template" or name in SCOPE:
-                return
-            if name == "title" and tag == "body" and self.past:
-                del self.open[k:]
-                return
+        head, title = self.last("head"), self.last("title")
+        stop = max(self.last("template"), self.last("/scope"))
+        if tag == "body" and self.past and title > max(head, stop):
+            self.cut(title)
+        elif head > stop and (tag == "body" or head == len(self.open) - 1 and tag not in HEADED):
+            self.cut(head)
+            self.past = True
 
     def flush(self) -> None:
         text = _SPACE.sub(" ", "".join(self.text)).strip()
         self.text.clear()
         if text:
-            block = next((n for t, n, _ in reversed(self.open) if t in BLOCK), -1)
+            block = self.open[k][1] if (k := self.last("/block")) >= 0 else -1
             self.lines.append((text, block, self.tags, min(self.linked, len(text))))
             self.tags = self.linked = 0
 
@@ -117,29 +135,27 @@ class Page(HTMLParser):
             return
         if tag in BLOCK:
             self.flush()
-            shuts = CLOSES.get(tag, frozenset({"p"}))
-            for k in range(len(self.open) - 1, -1, -1):
-                if self.open[k][0] in shuts:
-                    del self.open[k:]
-                    break
-                if self.open[k][0] in SCOPE:
-                    break
+            near = max(map(self.last, CLOSES.get(tag, ("p",))))
+            if near >= 0 and near >= self.last("/scope"):
+                self.cut(near)
         shut, hint = self.shut() or tag in SILENT or tag == "title" and self.past, 0
         if not shut and tag not in ("html", "body"):
-            article = tag == "header" and any(t in ("article", "main") for t, _, _ in self.open)
+            article = tag == "header" and (self.last("article") >= 0 or self.last("main") >= 0)
             hint = 2 if tag in APART and not article else int(tag == "form")
             for key, value in attrs:
                 if key == "hidden" or key == "style" and "display:none" in (value or "").replace(" ", "").lower():
                     shut = True
                 elif value and key == "role" and value.lower() in ROLES:
                     hint = max(hint, 1 if value.lower() == "form" else 2)
-                elif value and (key in ("class", "id") and names_aside(value) or key == "aria-hidden" and value == "true"):
+                elif value and key in ("class", "id"):
+                    hint = max(hint, names_aside(value))
+                elif key == "aria-hidden" and value == "true":
                     hint = max(hint, 1)
         self.links += tag == "a"
         self.parent.append(self.open[-1][1] if self.open else -1)
         self.name.append(tag)
         self.hint.append(hint)
-        self.open.append((tag, len(self.name) - 1, shut))
+        self.push(tag, shut)
 
     def handle_startendtag(self, tag, attrs):
         if tag in VOID:
@@ -153,50 +169,46 @@ class Page(HTMLParser):
         self.links = max(0, self.links - (tag == "a"))
         if tag in BLOCK:
             self.flush()
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] == tag:
-                del self.open[k:]
-                return
-            if self.open[k][0] in SCOPE and tag not in SCOPE and tag not in BLOCK:
-                return
+        k = self.last(tag)
+        if k >= 0 and (tag in SCOPE or tag in BLOCK or k > self.last("/scope")):
+            self.cut(k)
 
     def handle_data(self, data):
         if self.open and self.open[-1][0] == "head" and data.strip():
             self.end_head("")
         if not self.shut():
             self.text.append(data)
-            if self.links and any(t == "a" for t, _, _ in self.open):
+            if self.links and self.last("a") >= 0:
                 self.linked += len(data.strip())
 
 
 def hidden(page: Page, own: np.ndarray) -> np.ndarray:
-    """For each line whether a hint takes it away, after hints around what looks like the article are withdrawn."""
-    n, at = len(page.name), np.array([e for _, e, _, _ in page.lines])
-    chars, marks = np.zeros(n), np.array([float(x in ("article", "main", "h1", "h2")) * 2 for x in page.name])
-    for e, size in zip(at.tolist(), own.tolist(), strict=True):
+    """For each line whether a hint takes it away, or it claims copyright outside any article. If nothing is left that looks like an article, hints of 1 around what does are withdrawn."""
+    n, at = len(page.name), [e for _, e, _, _ in page.lines]
+    never, within = [False] * n, [False] * n
+    for e in range(n):
+        up = page.parent[e]
+        never[e] = page.hint[e] > 1 or up >= 0 and never[up]
+        within[e] = not never[e] and (page.name[e] in ("article", "main", "h1") or up >= 0 and within[up])
+    marks = [2 * (within[e] and page.name[e] in ("article", "main", "h1", "h2")) for e in range(n)]
+    for e, size in zip(at, own.tolist(), strict=True):
         if e >= 0:
-            chars[e] += size
-            marks[e] += size >= LONG
+            marks[e] += size >= LONG and not never[e]
     for e in range(n - 1, -1, -1):
         if page.parent[e] >= 0:
-            chars[page.parent[e]] += chars[e]
             marks[page.parent[e]] += marks[e]
-    hint = list(page.hint)
-    while True:
-        shut, article = [0] * n, [False] * n
+
+    def gone(hint: list[int]) -> np.ndarray:
+        shut = [False] * n
         for e in range(n):
             up = page.parent[e]
-            shut[e] = max(hint[e], shut[up] if up >= 0 else 0)
-            article[e] = page.name[e] in ("article", "main", "h1") or up >= 0 and article[up]
-        gone = np.array([e >= 0 and shut[e] > 0 for e in at.tolist()], bool)
-        never = np.array([e >= 0 and shut[e] > 1 for e in at.tolist()], bool)
-        kept = [e for e, g, size in zip(at.tolist(), gone.tolist(), own.tolist(), strict=True) if not g and size]
-        if own[~gone].sum() >= LEFT * own[~never].sum() or any(e >= 0 and article[e] for e in kept):
-            return gone
-        outer = [e for e in range(n) if hint[e] == 1 and marks[e] >= 2 and not (page.parent[e] >= 0 and shut[page.parent[e]])]
-        if not outer:
-            return gone
-        hint[max(outer, key=lambda e: (chars[e], -e))] = 0
+            shut[e] = hint[e] > 0 or up >= 0 and shut[up]
+        return np.array([e >= 0 and shut[e] or not (e >= 0 and within[e]) and bool(RIGHTS.match(text)) for text, e, _, _ in page.lines], bool)
+
+    first = gone(page.hint)
+    if any(not g and size and e >= 0 and (within[e] or size >= LONG) for e, g, size in zip(at, first.tolist(), own.tolist(), strict=True)):
+        return first
+    return gone([0 if h == 1 and m >= 2 else h for h, m in zip(page.hint, marks, strict=True)])
 
 
 def smoothed(ratio: np.ndarray) -> np.ndarray:
