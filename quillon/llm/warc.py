@@ -121,7 +121,7 @@ class Salvage:
         """The record at a place of raw bytes and where it ends; or why there is none, and where the next begins if that is known."""
         if not _VERSION.match(raw, at):
             return "no version line", None
-        end = raw.find(b"\r\n\r\n", at, at + (1 << 20))
+        end = raw.find(b"\r\n\r\n", at)  # headers may be as long as an address is
         if end < 0:
             return "headers don't end", None
         headers = {}

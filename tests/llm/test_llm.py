@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -881,3 +882,59 @@ def test_pipeline_stages_against_brute_force(spark, tmp_path):
     encode = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
     want = Counter((k, 0, len(encode.encode(t or "", add_special_tokens=False).ids) + 1) for k, t in texts)
     assert Counter((x.doc_id, x.piece, x.length) for x in stages["packing"](spark, docs, sf).collect()) == want
+
+
+POST = "<div class='post'><p>Short post here.</p></div>"
+SAYS = "Reader {} says that this is quite a long comment about nothing in particular, as they are."
+
+
+@pytest.mark.parametrize("kind", ["<div class='comment'><p>{}</p></div>", "<article class='comment-body'><h3>R</h3><p>{}</p></article>", "<li id='comment-7'>{}</li>", "<div class='menu-open'><div class='menu'>{}</div></div>", "<div class='cookie-notice'><p>{}</p></div>"])
+def test_html_comments_and_notices_are_never_text(kind):
+    """However little the page says itself."""
+    many = "".join(kind.format(SAYS.format(k)) for k in range(200))
+    assert html_text.main_text(f"<body><nav>Menu</nav>{POST}<div>{many}</div></body>") == "Short post here."
+    assert html_text.main_text(f"<body><nav>Menu</nav>{many}</body>") == ""
+
+
+def test_html_without_landmarks():
+    """Known articles among menus, a banner and a footer: the same text with landmarks and with plain elements."""
+    r = random.Random(6)
+    say = lambda n: " ".join("".join(r.choice("abcdefg") for _ in range(r.randint(2, 9))) for _ in range(n))
+    right = 0
+    for _ in range(60):
+        blocks = [f"{say(r.randint(25, 90)).capitalize()}." for _ in range(r.randint(3, 12))]
+        links = "".join(f"<li><a href='/{k}'>{say(2)}</a></li>" for k in range(r.randint(3, 12)))
+        page = "<nav><ul>{}</ul></nav><main><article><h1>{}</h1>{}</article></main><aside><ul>{}</ul></aside><footer>© {}</footer>".format(links, blocks[0][:30].strip(), "".join(f"<p>{b}</p>" for b in blocks), links, say(6))
+        text = "\n\n".join([blocks[0][:30].strip(), *blocks])
+        assert html_text.main_text(page) == text
+        right += html_text.main_text(re.sub(r"<(/?)(nav|main|article|aside|footer)", r"<\1div", page)) == text
+    assert right >= 57
+
+
+def test_html_is_linear():
+    began = time.time()
+    for page in ("<b>" * 100_000 + "x", "<div>" * 50_000 + "x" + "</div>" * 50_000, "<p><b>" * 50_000 + "text</i>" * 50_000, POST + "".join(f"<div class='comment'><p>{SAYS}</p></div>" for _ in range(10_000))):
+        html_text.main_text(f"<body>{page}</body>")
+    assert time.time() - began < 40  # the square would take hours
+
+
+def test_html_smoothing_and_threshold_by_hand():
+    r = np.random.default_rng(2)
+    for n in (1, 2, 5, 40):
+        ratio = r.random(n) * 50
+        weight = lambda a, b: math.exp(-((a - b) ** 2) / (2 * html_text.SIGMA**2)) if abs(a - b) <= 3 else 0.0
+        want = [sum(weight(i, j) * ratio[j] for j in range(n)) / sum(weight(i, j) for j in range(n)) for i in range(n)]
+        assert np.allclose(html_text.smoothed(ratio), want)
+
+
+def test_html_empty_table_and_repeats(spark):
+    kind = "page_id long, url string, html string, text string"
+    assert html_text.extracted(spark.createDataFrame([], kind)).collect() == []
+    assert [tuple(r) for r in html_text.extracted(spark.createDataFrame([(1, "u", "<p>é</p>", "t")] * 2, kind)).collect()] == [(1, "u", "é", 1)] * 2
+
+
+def test_warc_long_addresses(spark):
+    """Headers have no length of their own: a row for each page, whatever its address."""
+    rows = [(1, "http://x/" + "a" * 4_000_000, "<p>1</p>"), (2, "b\x00\x01\x7f\r\n\r\nc", "<p>2</p>"), (3, "u", "<p>1</p>")]
+    got = {r.page_id: (r.record_type, r.refers_to, r.payload_bytes) for r in warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: ("response", None, 8), 2: ("response", None, 8), 3: ("revisit", 1, 8)}
