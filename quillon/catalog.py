@@ -402,6 +402,24 @@ def object_handle(spark, sf):
     return M.read(spark, sf, "documents").select(assets.handle(F.concat(F.lit("source/"), F.col("doc_id").cast("string")), F.col("doc_id")).alias("handle"))
 
 
+_WANTED = "(select p_partkey as k, p_name as path, md5(p_partkey::varchar) as guid, unnest([p_name, md5(p_partkey::varchar), 'unity@' || rtrim(replace(replace(to_base64(('a/' || p_partkey % 3000)::blob), '+', '-'), '/', '_'), '=') || '#' || p_partkey, 'x' || p_partkey]) as text from part)"
+
+
+@query(f"""with w as (select distinct text from {_WANTED}), a as (select 'a/' || p_partkey as asset, p_name as path, md5(p_partkey::varchar) as guid from part),
+ n as (select text, count(distinct asset) as n, min(asset) as asset from (select path as text, asset from a union all select guid, asset from a) group by 1),
+ h as (select distinct text, 'a/' || k % 3000 as asset, k::varchar as object from {_WANTED} where starts_with(text, 'unity@'))
+select text, a.asset, case when a.asset is not null then object end as object, case when a.asset is null then 'other workspace' end as problem from h left join a using (asset)
+union all select text, case when n = 1 then asset end, null, case when n is null then 'not found' when n > 1 then 'ambiguous' end from w left join n using (text) where not starts_with(text, 'unity@')""")
+def asset_targets(spark, sf):
+    """Parts as assets, each asked for by path, guid, handle, and a name that none has."""
+    p = M.read(spark, sf, "part")
+    key = F.col("p_partkey").cast("string")
+    a = p.select(F.concat(F.lit("a/"), key).alias("asset"), F.col("p_name").alias("path"), F.md5(key).alias("guid"))
+    of = F.concat(F.lit("a/"), (F.col("p_partkey") % 3000).cast("string"))
+    wanted = p.select(F.explode(F.array("p_name", F.md5(key), assets.handle(of, F.col("p_partkey")), F.concat(F.lit("x"), key))).alias("text"))
+    return assets.targets(wanted, a)
+
+
 # suppliers placed in nations, nations in regions: a supplier's second object points at its first one and at the nation's
 _PLACED = "(select s_suppkey s, n_nationkey n, n_regionkey r from supplier join nation on s_nationkey = n_nationkey)"
 

@@ -129,6 +129,42 @@ def handle(asset, object_id):
     return F.concat(F.lit("unity@"), F.rtrim(F.translate(F.base64(F.encode(asset, "utf-8")), "+/", "-_"), F.lit("=")), F.lit("#"), object_id.cast("string"))
 
 
+def decoded(text):
+    """(asset, object) of a handle as a Column struct; null if it is none."""
+    t = F.regexp_extract(text, r"^unity@([A-Za-z0-9_-]*)#(.*)$", 1)
+    padded = F.rpad(F.translate(t, "-_", "+/"), (F.ceil(F.length(t) / 4) * 4).cast("int"), F.lit("="))
+    asset = F.call_function("try_to_binary", padded, F.lit("base64"))
+    asset = F.call_function("try_validate_utf8", asset.cast("string"))
+    return F.when(text.rlike(r"^unity@[A-Za-z0-9_-]*#") & asset.isNotNull(), F.struct(asset.alias("asset"), F.regexp_extract(text, r"^unity@[^#]*#(.*)$", 1).alias("object")))
+
+
+def targets(wanted: DataFrame, assets: DataFrame) -> DataFrame:
+    """wanted(text) with (asset, object, problem): what a search's target means among assets(asset, path, guid).
+
+    A handle means an object of its asset, if that is here; else the one asset of that path or guid is meant,
+    without an object. problem: `not found`, `ambiguous`, `other workspace`, or null.
+    """
+    w = wanted.select("text").distinct().withColumn("h", decoded(F.col("text")))
+    here = assets.select(F.col("asset").alias("known")).distinct()
+    by_handle = w.where("h is not null").join(here, F.col("h.asset") == F.col("known"), "left")
+    by_handle = by_handle.select("text", F.col("known").alias("asset"), F.when(F.col("known").isNotNull(), F.col("h.object")).alias("object"), F.when(F.col("known").isNull(), "other workspace").alias("problem"))
+    plain = w.where("h is null").select("text")
+    names = assets.select(F.col("asset").alias("a"), F.col("path").alias("text")).unionByName(assets.select(F.col("asset").alias("a"), F.col("guid").alias("text")))
+    several = plain.join(names, "text", "left").groupBy("text").agg(F.count_distinct("a").alias("n"), F.min("a").alias("a"))
+    problem = F.when(F.col("n") == 0, "not found").when(F.col("n") > 1, "ambiguous")
+    return by_handle.unionByName(several.select("text", F.when(F.col("n") == 1, F.col("a")).alias("asset"), F.lit(None).cast("string").alias("object"), problem.alias("problem")))
+
+
+def script_types(refs: DataFrame, guids: DataFrame, types: DataFrame) -> DataFrame:
+    """(asset, id, type): what the m_Script pointers of refs(asset, id, field, guid, target) mean: the type(asset, type) of the one asset(guid, asset, path) of that guid.
+
+    An asset that is no `.cs` file gives no type: what lies inside a library isn't guessed.
+    """
+    one = guids.groupBy("guid").agg(F.count_distinct("asset").alias("n"), F.min("asset").alias("script"), F.min("path").alias("path")).where("n = 1 and path like '%.cs'")
+    said = refs.where("field = 'm_Script' and target <> 0").join(one.select("guid", "script"), "guid")
+    return said.join(types.select(F.col("asset").alias("script"), "type"), "script").select("asset", "id", "type")
+
+
 def incoming(edges: DataFrame, asset: str, object_id: int | None = None) -> DataFrame:
     out = edges.where(F.col("to") == asset)
     return out if object_id is None else out.where(F.col("target") == object_id)

@@ -39,11 +39,40 @@ def visible(rows: DataFrame, sees: DataFrame, project: str) -> DataFrame:
     return rows.join(sees.where(F.col("project") == project).select(F.col("sees").alias("project")), "project", "left_semi")
 
 
+def visible_memberships(rows: DataFrame, sees: DataFrame, assemblies: DataFrame) -> DataFrame:
+    """(viewer, ...): rows(project, path, metadata, ...) that each project may see.
+
+    Source is seen by those that see its project. Metadata is seen by its own project, if that refers to the
+    file without alias or by `global`: assemblies(project, path, aliases).
+    """
+    source = rows.where("not metadata").join(sees.select(F.col("project").alias("viewer"), F.col("sees").alias("project")), "project")
+    plain = assemblies.where((F.size("aliases") == 0) | F.array_contains("aliases", "global")).select("project", "path").distinct()
+    own = rows.where("metadata").join(plain, ["project", "path"], "left_semi").withColumn("viewer", F.col("project"))
+    return source.select("viewer", *rows.columns).unionByName(own.select("viewer", *rows.columns))
+
+
+def same_domain(a: str, b: str) -> Column:
+    """Whether two declarations (structs of metadata, file_key, project) may be one symbol: of one library, or of one project."""
+    x, y = (lambda k: F.col(f"{a}.{k}")), (lambda k: F.col(f"{b}.{k}"))
+    return F.when(x("metadata") & y("metadata"), x("file_key") == y("file_key")).when(~x("metadata") & ~y("metadata"), x("project") == y("project")).otherwise(F.lit(False))
+
+
 def within_bins(spans: DataFrame, points: DataFrame, keys: list[str], width: int = BIN) -> DataFrame:
-    """Points (at) joined with the spans (start <= at < end) of their keys. A span is in each bin it touches, a point in one."""
-    s = spans.withColumn("bin", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor((F.greatest("end", F.col("start") + 1) - 1) / width))))
-    p = points.withColumn("bin", F.floor(F.col("at") / width))
-    return p.join(s, [*keys, "bin"]).where("start <= at and at < end").drop("bin")
+    """Points (at) joined with the spans (start <= at < end) of their keys.
+
+    A span belongs to a level by its length, at which bins are as wide as it or wider, so it lies in two at
+    most, however long; a point looks up one bin of each level that there is.
+    """
+    size = F.greatest(F.col("end") - F.col("start"), F.lit(1))
+    level = F.lit(0)
+    for k in range(1, 24):
+        level += (size > width * 4 ** (k - 1)).cast("int")
+    s = spans.withColumn("level", level)
+    s = s.withColumn("bin", F.explode(F.sequence(F.floor(F.col("start") / (width * F.pow(F.lit(4.0), F.col("level")))), F.floor((F.greatest("end", F.col("start") + 1) - 1) / (width * F.pow(F.lit(4.0), F.col("level")))))))
+    levels = sorted(r[0] for r in spans.select(level.alias("level")).distinct().collect())  # two dozen at most
+    p = points.withColumn("level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>")))
+    p = p.withColumn("bin", F.floor(F.col("at") / (width * F.pow(F.lit(4.0), F.col("level")))))
+    return p.join(s, [*keys, "level", "bin"]).where("start <= at and at < end").drop("bin", "level")
 
 
 def innermost(spans: DataFrame, points: DataFrame, keys: list[str], point: list[str], width: int = BIN) -> DataFrame:

@@ -209,15 +209,21 @@ def native_bound(occurrences: DataFrame, decls: DataFrame, includes: DataFrame)
 
     occurrences(file_key, language, name, at), decls(file_key, language, name, qualified, kind,
     start, end), includes(file_key, target). The nearest come first: 0 same file, 1 included, 2 other.
+    Locals are found within their file. What another name may mean is found once for a file and name, however
+    often the file says it, and joined back to its places.
     """
-    d = decls.select(F.col("file_key").alias("of"), F.col("language").alias("dl"), "name", F.col("qualified").alias("target"), "kind", "start", "end")
-    here = N.is_local("kind") & (F.col("file_key") == F.col("of")) & (F.col("at") >= F.col("start")) & (F.col("at") < F.col("end"))
-    pairs = occurrences.join(d, "name").where(N.compatible(F.col("language"), F.col("dl")) & (here | ~N.is_local("kind")))
+    site = ["file_key", "at", "name"]
+    local = decls.where(N.is_local("kind")).select("file_key", "name", F.col("start").alias("_s"), F.col("end").alias("_e"), F.col("qualified").alias("target"))
+    inner = occurrences.select(*site).distinct().join(local, ["file_key", "name"]).where("at >= _s and at < _e").select(*site, "target", F.lit(0).alias("near"), F.lit(False).alias("uncertain"))
+    rest = occurrences.join(inner.select(*site).distinct(), site, "left_anti")
+    group = lambda c: F.when(F.col(c).isin("c", "cpp", "header"), "native").when(F.col(c).isin("hlsl", "glsl", "shaderlab"), "shader").otherwise(F.col(c))
+    d = decls.where(~N.is_local("kind")).select(F.col("file_key").alias("of"), F.col("language").alias("dl"), "name", F.col("qualified").alias("target"), group("language").alias("group")).distinct()
+    asked = rest.select("file_key", "language", "name", group("language").alias("group")).distinct()
+    may = asked.join(d, ["group", "name"]).where(N.compatible(F.col("language"), F.col("dl")))
     inc = includes.select("file_key", F.col("target").alias("of"), F.lit(True).alias("included")).distinct()
-    pairs = pairs.join(inc, ["file_key", "of"], "left").withColumn("near", F.when(F.col("of") == F.col("file_key"), 0).when(F.col("included"), 1).otherwise(2))
-    local = N.is_local("kind")
-    pairs = pairs.withColumn("any_local", F.bool_or(local).over(Window.partitionBy("file_key", "at", "name"))).where(local | ~F.col("any_local"))
-    return pairs.select("file_key", "at", "name", "target", "near", (~local).alias("uncertain"))
+    near = F.when(F.col("of") == F.col("file_key"), 0).when(F.col("included"), 1).otherwise(2)
+    may = may.join(inc, ["file_key", "of"], "left").select("file_key", "language", "name", "target", near.alias("near"))
+    return inner.unionByName(rest.join(may, ["file_key", "language", "name"]).select(*site, "target", "near", F.lit(True).alias("uncertain")))
 
 
 def native_derived(decls: DataFrame, base: str) -> DataFrame:

@@ -24,6 +24,7 @@ class Corpus:
     imports: DataFrame | None = None
     visibility: DataFrame | None = None
     edges: DataFrame | None = None
+    assets: DataFrame | None = None
     composed: DataFrame | None = None
     types: DataFrame | None = None
 
@@ -51,11 +52,26 @@ def plan(corpus: Corpus, query: Query) -> DataFrame:
     if s == "instance":
         exact = any(f.value == "exact" for f in query.of("type-match"))
         return assets.instances(corpus.need("composed"), corpus.need("types"), query.target.name, exact)
+    if s in ("references", "dependencies") and corpus.assets is not None:
+        return _asset_edges(corpus, query)
     if s in ("references", "dependencies"):
         return (assets.incoming if s == "references" else assets.outgoing)(corpus.need("edges"), query.target.name)
     return search.declarations(corpus.need("declarations"), query)
 
 
+def _asset_edges(corpus: Corpus, query: Query) -> DataFrame:
+    """Edges into or out of the asset or object that a path, guid or handle means."""
+    edges = corpus.need("edges")
+    wanted = edges.sparkSession.createDataFrame([(query.target.name,)], "text string")
+    asset, object_id, problem = assets.targets(wanted, corpus.need("assets")).select("asset", "object", "problem").first()
+    if problem:
+        raise QueryError({"not found": f"No asset is named `{query.target.name}`.", "ambiguous": f"`{query.target.name}` names several assets; take a handle from a result.", "other workspace": "This object isn't of this corpus."}[problem])
+    if query.selector == "references":
+        return assets.incoming(edges, asset) if object_id is None else assets.incoming(edges, asset).where(F.col("target").cast("string") == object_id)
+    out = assets.outgoing(edges, asset)
+    return out if object_id is None else out.where(F.col("id").cast("string") == object_id)
+
+
 def _implementations(corpus: Corpus, query: Query) -> DataFrame:
     """Types below the target, or what overrides it if it is a member; filters hold for the results, not for what lies between."""
     decls = corpus.need("declarations")
