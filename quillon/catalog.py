@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions import names as N
 from .functions import sequences as S
 from .functions import text as X
-from .operators import assets, hierarchy, history, incremental, joins, matching, monitor, navigation, passages, prefabs, scopes, search, tracing
+from .operators import assets, hierarchy, history, incremental, joins, matching, monitor, navigation, packages, passages, prefabs, scopes, search, tracing
 from .operators import graph as G
 from .plans.compile import Corpus, plan, run
 from .plans.language import parse
@@ -420,6 +420,24 @@ def asset_targets(spark, sf):
     return assets.targets(wanted, a)
 
 
+# parts as packages: 400 names, with as many versions as there are parts; each asks for two others
+_PACKAGES = """(select 'p' || p_partkey % 400 as name, (p_partkey // 400 + 1)::bigint as version, 'p' || unnest([(p_partkey * 7 + 3) % 400, (p_partkey * 3 + p_partkey // 400) % 400]) as dependency, unnest([p_partkey % 5 + 1, (p_partkey // 7) % 5 + 1])::bigint as least from part)"""
+
+
+@query(f"""with recursive p as (select * from {_PACKAGES}), r(name, version) as (select distinct name, 1::bigint from p where name in ('p1', 'p2') union select dependency, least from r join p using (name, version)),
+ b as (select name, max(version) as version from r group by 1), k as (select name, dependency from p join b using (name, version)),
+ n(name) as (select distinct name from p where name in ('p1', 'p2') union select dependency from n join k using (name))
+select name, version || '.0' as version, (name, version) in (select (name, version) from p) as available from b where name in (select name from n)""")
+def package_closure(spark, sf):
+    """What two packages need: one version a name, the greatest asked for, and nothing that only passed versions need."""
+    p, k = M.read(spark, sf, "part"), F.col("p_partkey")
+    text = lambda *x: F.concat(*(F.lit(y) if isinstance(y, str) else y.cast("string") for y in x))
+    ask = lambda d, v: F.struct(text("p", d).alias("dependency"), text(v, ".0").alias("least"))
+    of = F.expr("p_partkey div 400")
+    rows = p.select(text("p", k % 400).alias("name"), text(of + 1, ".0").alias("version"), F.inline(F.array(ask((k * 7 + 3) % 400, k % 5 + 1), ask((k * 3 + of) % 400, F.expr("(p_partkey div 7) % 5 + 1")))))
+    return packages.selected(rows, rows.where("name in ('p1', 'p2')").select("name", F.lit("1.0").alias("version")).distinct())
+
+
 # suppliers placed in nations, nations in regions: a supplier's second object points at its first one and at the nation's
 _PLACED = "(select s_suppkey s, n_nationkey n, n_regionkey r from supplier join nation on s_nationkey = n_nationkey)"
 

@@ -45,7 +45,8 @@ def occurrences(texts: DataFrame, passages: DataFrame) -> DataFrame:
     if places is None:
         return texts.select("key").limit(0).join(passages.select("passage").limit(0)).select("passage", "key", *(F.lit(0).cast("long").alias(x) for x in ("number", "start", "end")))
     places = stored(places)
-    found = places.join(p.select("passage", "want"), "passage").join(texts.select("key", "text"), "key").withColumn("words", X.tokens("text"))
+    wanted = places.join(p.select("passage", "want"), "passage")
+    found = texts.select("key", "text").join(F.broadcast(wanted) if places.count() <= SMALL else wanted, "key").withColumn("words", X.tokens("text"))
     found = found.where(F.slice("words", F.col("at"), F.size("want")) == F.col("want"))
     last = F.col("at") + F.size("want") - 1
     out = found.select("passage", "key", _start(F.col("text"), F.col("words"), F.col("at")).cast("long").alias("start"), (_start(F.col("text"), F.col("words"), last) + F.length(F.element_at("words", last))).cast("long").alias("end"))
