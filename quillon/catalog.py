@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions import names as N
 from .functions import sequences as S
 from .functions import text as X
-from .operators import assets, hierarchy, history, incremental, joins, matching, monitor, navigation, packages, passages, prefabs, scopes, search, tracing
+from .operators import assets, history, incremental, joins, matching, monitor, navigation, packages, passages, prefabs, scopes, search, tracing
 from .operators import graph as G
 from .plans.compile import Corpus, plan, run
 from .plans.language import parse
