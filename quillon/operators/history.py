@@ -22,6 +22,7 @@ def change_set(old: DataFrame, new: DataFrame) -> DataFrame:
 
 def score(similarity: Column, exact: Column, path: Column, owner: Column, name: Column, signature: Column, overlap: Column, group: Column, callers: Column) -> Column:
     """How well two regions match; the flags are 0 or 1."""
+    # What each piece of evidence counts.
     return F.floor(similarity / 2) + exact * 24 + path * 8 + owner * 18 + name * 12 + signature * 10 + overlap * 18 + group * 12 + callers * 24
 
 

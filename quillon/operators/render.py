@@ -30,8 +30,11 @@ def omission(shown: int, total: int | None) -> str:
 
 def results(found: DataFrame, limit: int, count: bool = True) -> str:
     """Rows (path, line, source, and symbol, uncertain or target if there) as a list, grouped by path."""
-    rows = found.limit(limit + 1).collect()
-    total = None if not count else found.count() if len(rows) > limit else len(rows)
+    held = found.persist() if count else found  # the search runs once, and its order stays
+    rows = held.limit(limit + 1).collect()
+    total = None if not count else held.count() if len(rows) > limit else len(rows)
+    if count:
+        held.unpersist()
     out, last = [], None
     for r in rows[:limit]:
         x = r.asDict()
