@@ -297,10 +297,10 @@ def _types(spark, sf):
  n as (select project, qualified, min(kind) as kind from t group by 1, 2)
 select project, qualified from n join r on p = project and q = qualified where kind = 'class' and split_part(q, '.', -1) <> 'T1'""")
 def derived_scoped(spark, sf):
-    """`impl:T1`: bases are resolved in their scopes round by round, and many types share a name."""
+    """`impl:T1`: bases are resolved in their scopes, and many types share a name. A type is one row, in however many parts it is declared."""
     decls, imports, sees = _types(spark, sf)
     c = Corpus(M.files(spark, sf), declarations=decls, imports=imports, visibility=sees)
-    return plan(c, parse("impl:T1")).select("project", "qualified")
+    return plan(c, parse("impl:T1")).select("project", "qualified").distinct()
 
 
 SITES = """(select l_orderkey, l_linenumber, 'k::n' || case l_linenumber % 4 when 0 then l_partkey % 25 when 1 then l_orderkey % 25 when 2 then l_suppkey % 25 else 7 end || '::S' || l_suppkey % 20 as w from lineitem)"""
