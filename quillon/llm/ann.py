@@ -6,10 +6,12 @@ promise most; there, per-query tables of inner products with the code words give
 scores, and the best are scored again on the original vectors.
 
 Lists that lie together form a group, and a query is sent to a group once, with the lists that it
-visits there. Groups are cut into chunks of bounded size by a hash of the id, and so are a group's
+visits there. A row keeps how far its code is from it: so each score lies within bounds, and every row
+whose upper bound reaches the k-th lower one is scored exactly, however many rows share a code. In the
+lists that a query visits nothing is missed. Groups are cut into chunks of bounded size by a hash of the id, and so are a group's
 queries: no task holds more than a chunk of each, whatever third of the vectors shares a list. How
-many lists a query visits at least is measured on the sample when the index is fitted; it goes on
-down its order until the lists hold several times the rows it asks for.
+many lists a query visits at least is measured when the index is fitted, by some of the queries
+against the sample; it goes on down its order until the lists hold several times the rows it asks for.
 """
 
 from __future__ import annotations
@@ -29,8 +31,9 @@ CHUNK = 8192
 QUERIES = 1024
 #: Lists in a group, about.
 GROUP = 16
-#: Share of the sample's true neighbours that the visited lists must hold.
-REACH = 0.95
+#: Share of the sample's true neighbours that the visited lists must hold, and by how many queries this is measured.
+REACH = 0.98
+TRIED = 512
 RERANK = 12
 SEED = 11
 
@@ -57,7 +60,7 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 class Index:
     """Centroids, code books of the residuals' parts, and how many lists a query visits."""
 
-    def __init__(self, sample: np.ndarray, total: int, k: int):
+    def __init__(self, sample: np.ndarray, total: int, k: int, asked: np.ndarray | None = None):
         self.dim = sample.shape[1]
         self.centres = kmeans(sample, max(1, min(len(sample) // 8, int(total**0.5), 4096)))
         middles = kmeans(self.centres, -(-len(self.centres) // GROUP))
@@ -70,13 +73,16 @@ class Index:
         self.cuts = np.linspace(0, self.dim, min(SUB, self.dim) + 1).astype(int)
         rest = sample - self.centres[own]
         self.books = [kmeans(rest[:, a:b], CODES) for a, b in zip(self.cuts[:-1], self.cuts[1:], strict=True)]
-        q = sample[np.random.default_rng(SEED).permutation(len(sample))[:256]]
+        q = sample[np.random.default_rng(SEED).permutation(len(sample))[:TRIED]] if asked is None or not len(asked) else asked
         s = q @ sample.T
-        best = np.argsort(-s, axis=1, kind="stable")[:, : k + 1]
+        for row, v in zip(s, q, strict=True):  # a query is no neighbour of its own
+            row[(sample == v).all(1)] = -np.inf
+        best = np.argsort(-s, axis=1, kind="stable")[:, :k]
         order = self.promise(q)
         place = np.empty_like(order)
         np.put_along_axis(place, order, np.arange(order.shape[1])[None, :], 1)
-        need = np.sort(np.take_along_axis(place, own[best], 1).ravel())
+        need = np.sort(np.take_along_axis(place, own[best], 1)[np.take_along_axis(s, best, 1) > -np.inf])
+        need = need if len(need) else np.zeros(1, np.int64)
         self.probes = int(need[min(len(need) - 1, int(REACH * len(need)))]) + 1
 
     def nearest(self, x: np.ndarray) -> np.ndarray:
@@ -89,6 +95,10 @@ class Index:
         rest = x - self.centres[own]
         return np.stack([closest(rest[:, a:b], book) for a, b, book in zip(self.cuts[:-1], self.cuts[1:], self.books, strict=True)], 1).astype(np.uint8)
 
+    def decoded(self, codes: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """The vectors that codes stand for."""
+        return self.centres[own] + np.concatenate([book[codes[:, m]] for m, book in enumerate(self.books)], 1)
+
     def tables(self, q: np.ndarray) -> np.ndarray:
         """Inner products of the queries' parts with all code words: query, part, code."""
         out = np.zeros((len(q), len(self.books), CODES))
@@ -120,7 +130,10 @@ def nearest(embeddings: DataFrame, queries: str, k: int = 20, id_col: str = "vec
         return spark.createDataFrame([], kind)
     share = rows if total <= FIT_ROWS else rows.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(1e6 * FIT_ROWS / total))
     sample = np.array([r[0] for r in share.select("v").collect()] or [r[0] for r in rows.select("v").take(256)])
-    index = Index(sample, total, k)
+    ask = rows.where(queries)
+    asks = ask.count()
+    few = ask if asks <= TRIED else ask.where(F.pmod(F.xxhash64("id", F.lit(SEED)), F.lit(1_000_000)) < int(1e6 * TRIED / asks))
+    index = Index(sample, total, k, np.array([r[0] for r in few.select("v").collect()]))
     handed = spark.sparkContext.broadcast(index)
     dim = index.dim
 
@@ -133,9 +146,11 @@ def nearest(embeddings: DataFrame, queries: str, k: int = 20, id_col: str = "vec
             if len(x):
                 i: Index = handed.value
                 own = i.nearest(x)
-                yield pa.record_batch([batch["id"], pa.array(own, pa.int32()), pa.array(i.group[own], pa.int32()), pa.array([r.tobytes() for r in i.encode(x, own)], pa.binary()), pa.array([r.tobytes() for r in x], pa.binary())], names=["id", "list", "grp", "code", "v"])
+                codes = i.encode(x, own)
+                off = np.sqrt(((x - i.decoded(codes, own)) ** 2).sum(1))
+                yield pa.record_batch([batch["id"], pa.array(own, pa.int32()), pa.array(i.group[own], pa.int32()), pa.array([r.tobytes() for r in codes], pa.binary()), pa.array(off), pa.array([r.tobytes() for r in x], pa.binary())], names=["id", "list", "grp", "code", "off", "v"])
 
-    lists = c.stored(rows.dropDuplicates(["id", "v"]).mapInArrow(filed, "id long, list int, grp int, code binary, v binary"))
+    lists = c.stored(rows.dropDuplicates(["id", "v"]).mapInArrow(filed, "id long, list int, grp int, code binary, off double, v binary"))
 
     sizes = np.zeros(len(index.centres), np.int64)
     for r in lists.groupBy("list").count().collect():
@@ -163,10 +178,10 @@ def nearest(embeddings: DataFrame, queries: str, k: int = 20, id_col: str = "vec
             yield pa.record_batch([pa.array([r[j] for r in got], t) for j, t in enumerate((pa.int64(), pa.int32(), pa.binary(), pa.binary()))], names=["q", "grp", "visits", "qv"])
 
     cut = lists.groupBy("grp").agg(F.count("*").alias("n")).selectExpr("grp", f"cast(ceil(n / {CHUNK}) as int) chunks")
-    probes = c.stored(rows.where(queries).dropDuplicates(["id", "v"]).withColumn("own", F.count("*").over(Window.partitionBy("id"))).mapInArrow(asked, "q long, grp int, visits binary, qv binary"))
+    probes = c.stored(ask.dropDuplicates(["id", "v"]).withColumn("own", F.count("*").over(Window.partitionBy("id"))).mapInArrow(asked, "q long, grp int, visits binary, qv binary"))
     qcut = probes.groupBy("grp").agg(F.count("*").alias("n")).selectExpr("grp", f"cast(ceil(n / {QUERIES}) as int) blocks")
     cuts = F.broadcast(c.stored(cut.join(qcut, "grp")))  # a row a group: 4096 / GROUP at most, or so
-    left = lists.join(cuts, "grp").selectExpr("grp", "cast(pmod(xxhash64(id), chunks) as int) chunk", "explode(sequence(0, blocks - 1)) block", "id", "list", "code", "v")
+    left = lists.join(cuts, "grp").selectExpr("grp", "cast(pmod(xxhash64(id), chunks) as int) chunk", "explode(sequence(0, blocks - 1)) block", "id", "list", "code", "off", "v")
     right = probes.join(cuts, "grp").selectExpr("grp", "explode(sequence(0, chunks - 1)) chunk", "cast(pmod(xxhash64(q), blocks) as int) block", "q", "visits", "qv")
 
     def search(a: pa.Table, b: pa.Table) -> pa.Table:
@@ -177,9 +192,9 @@ def nearest(embeddings: DataFrame, queries: str, k: int = 20, id_col: str = "vec
             ids, own = a["id"].to_numpy()[order], a["list"].to_numpy()[order]
             codes = np.frombuffer(b"".join(a["code"].to_pylist()), np.uint8).reshape(len(ids), -1)[order]
             x = np.frombuffer(b"".join(a["v"].to_pylist()), float).reshape(len(ids), dim)[order]
+            off, size = a["off"].to_numpy()[order], np.sqrt((x**2).sum(1))
             qs, qv = b["q"].to_numpy(), np.frombuffer(b"".join(b["qv"].to_pylist()), float).reshape(len(b), dim)
             visits = np.unpackbits(np.frombuffer(b"".join(b["visits"].to_pylist()), np.uint8).reshape(len(b), -1), axis=1).astype(bool)
-            keep = RERANK * k
             for at in range(0, len(qs), 32):
                 q = qv[at : at + 32]
                 tables = i.tables(q)
@@ -187,12 +202,14 @@ def nearest(embeddings: DataFrame, queries: str, k: int = 20, id_col: str = "vec
                 for m in range(codes.shape[1]):
                     rough += tables[:, m][:, codes[:, m]]
                 rough[~visits[at : at + 32][:, i.place[own]] | (ids[None, :] == qs[at : at + 32, None])] = -np.inf
-                for r, key, v in zip(rough, qs[at : at + 32].tolist(), q, strict=True):
+                long = np.sqrt((q**2).sum(1))
+                for r, key, v, n in zip(rough, qs[at : at + 32].tolist(), q, long.tolist(), strict=True):
                     near = np.flatnonzero(r > -np.inf)
-                    if len(near) > keep:  # of equal codes the smaller ids
-                        least = np.partition(r, len(r) - keep)[len(r) - keep]
-                        over = np.flatnonzero(r > least)
-                        near = np.sort(np.concatenate((over, np.flatnonzero(r == least)[: keep - len(over)])))
+                    slack = 1e-9 * n * size  # more than sums of doubles are off by
+                    for width in (n * off + slack, slack):  # by the codes' bounds, then by products that are off by rounding only
+                        if len(near) > k:
+                            s, w = r[near] if width is not slack else x[near] @ v, width[near]
+                            near = near[s + w >= np.partition(s - w, len(near) - k)[len(near) - k]]
                     s = (x[near] * v).sum(1)  # row by row: equal rows give equal numbers wherever they stand
                     best = np.argsort(-s, kind="stable")[:k]
                     out.append((np.full(len(best), key), ids[near][best], s[best]))

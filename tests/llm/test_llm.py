@@ -938,3 +938,17 @@ def test_warc_long_addresses(spark):
     rows = [(1, "http://x/" + "a" * 4_000_000, "<p>1</p>"), (2, "b\x00\x01\x7f\r\n\r\nc", "<p>2</p>"), (3, "u", "<p>1</p>")]
     got = {r.page_id: (r.record_type, r.refers_to, r.payload_bytes) for r in warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {1: ("response", None, 8), 2: ("response", None, 8), 3: ("revisit", 1, 8)}
+
+
+def test_ann_finds_the_nearest_among_near_copies(spark):
+    """Groups larger than what used to be reranked, whose rows share their codes."""
+    from quillon.llm.ann import nearest
+
+    r = np.random.default_rng(5)
+    x = r.normal(size=(4, 16))[r.integers(0, 4, 2400)] + 1e-4 * r.normal(size=(2400, 16))
+    got = nearest(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>"), "id % 20 = 0").toPandas()
+    found = got.groupby("query_id")["vec_id"].apply(set)
+    s = x[::20] @ x.T
+    s[np.arange(len(s)), np.arange(0, 2400, 20)] = -np.inf
+    best = np.argsort(-s, axis=1, kind="stable")[:, :20]
+    assert len(got) == 2400 and np.mean([len(found[20 * k] & set(b)) / 20 for k, b in enumerate(best)]) >= 0.95
