@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .history import ACCEPT, KEEP, MARGIN, score
-from .tables import stored
+from .tables import dealt, stored, together
 
 #: An edge: the commit at hand and its neighbour.
 EDGE = ["at", "to"]
@@ -31,10 +31,11 @@ def candidates(edges: DataFrame, regions: DataFrame, similarity: Column | None =
     sides are unchanged and stay out, on either side. similarity: of the columns `h` and `t`, structs
     of the two regions; by default 100 for equal blobs, else 60.
     """
-    whole = F.struct(*(F.col(c) for c in regions.columns))
-    a = edges.select(*EDGE).distinct().join(regions.select(F.col("commit").alias("at"), whole.alias("h")), "at")
-    b = edges.select(*EDGE).distinct().join(regions.select(F.col("commit").alias("to"), whole.alias("t")), "to")
-    same = unchanged(edges, regions).toDF("_at", "_to", "_here", "_there")
+    return _candidates(*_sides(edges, regions), similarity)
+
+
+def _candidates(a: DataFrame, b: DataFrame, similarity: Column | None = None) -> DataFrame:
+    same = _unchanged(a, b).toDF("_at", "_to", "_here", "_there")
     on = (F.col("at") == F.col("_at")) & (F.col("to") == F.col("_to"))
     a = a.join(same, on & (F.col("h.region") == F.col("_here")), "left_anti")
     b = b.join(same, on & (F.col("t.region") == F.col("_there")), "left_anti")
@@ -57,9 +58,24 @@ def candidates(edges: DataFrame, regions: DataFrame, similarity: Column | None =
 
 def unchanged(edges: DataFrame, regions: DataFrame) -> DataFrame:
     """(at, to, here, there): regions of the same path, name and blob on both sides of edges(at, to). They need no search, and no text is read."""
-    r = regions.select("commit", "region", "path", "name", "blob")
-    a = edges.select(*EDGE).distinct().join(r.select(F.col("commit").alias("at"), F.col("region").alias("here"), "path", "name", "blob"), "at")
-    return a.join(r.select(F.col("commit").alias("to"), F.col("region").alias("there"), "path", "name", "blob"), ["to", "path", "name", "blob"]).select(*EDGE, "here", "there")
+    return _unchanged(*_sides(edges, regions))
+
+
+def _sides(edges: DataFrame, regions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(at, to, h) and (at, to, t): the regions of either end of each edge, both written in buckets of `to`.
+
+    All that follows joins and groups by `at`, `to` and more, so each side is shuffled once.
+    """
+    whole = F.struct(*(F.col(c) for c in regions.columns))
+    e = edges.select(*EDGE).distinct()
+    a = e.join(regions.select(F.col("commit").alias("at"), whole.alias("h")), "at")
+    b = e.join(regions.select(F.col("commit").alias("to"), whole.alias("t")), "to")
+    return dealt(a.select(*EDGE, "h"), "to"), dealt(b.select(*EDGE, "t"), "to")
+
+
+def _unchanged(a: DataFrame, b: DataFrame) -> DataFrame:
+    of = lambda df, side, as_: df.select(*EDGE, F.col(side)["region"].alias(as_), *(F.col(side)[k].alias(k) for k in ("path", "name", "blob")))
+    return of(a, "h", "here").join(of(b, "t", "there"), [*EDGE, "path", "name", "blob"]).select(*EDGE, "here", "there")
 
 
 def competition(scored: DataFrame) -> DataFrame:
@@ -69,17 +85,15 @@ def competition(scored: DataFrame) -> DataFrame:
     alike by RIVAL, it leads the region and all other claimants by more than MARGIN, and itself prefers
     the candidate to all others by more than MARGIN; it is no rival if it prefers another by so much.
     """
-    best = Window.partitionBy(*EDGE, "there").orderBy(F.desc("score"), "here")
-    rows = scored.withColumn("_n", F.row_number().over(best))
-    top = rows.where("_n <= 2").groupBy(*EDGE, "there").agg(F.max(F.when(F.col("_n") == 1, F.struct("here", "score", "similarity"))).alias("_1"), F.max(F.when(F.col("_n") == 2, F.struct("here", "score", "similarity"))).alias("_2"))
-    own = Window.partitionBy(*EDGE, "here").orderBy(F.desc("score"), "there")
-    wants = scored.withColumn("_n", F.row_number().over(own)).where("_n <= 2").groupBy(*EDGE, F.col("here").alias("_rival")).agg(F.max(F.when(F.col("_n") == 1, F.struct("there", "score"))).alias("_a"), F.max(F.when(F.col("_n") == 2, F.struct("there", "score"))).alias("_b"))
-    rows = scored.join(top, [*EDGE, "there"]).withColumn("_rival", F.col("_1.here"))
-    rows = rows.join(wants, [*EDGE, "_rival"], "left")
+    whole = lambda *keys: Window.partitionBy(*EDGE, keys[0]).orderBy(F.desc("score"), keys[1]).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    own, best = whole("here", "there"), whole("there", "here")
+    # what a region wants goes along with it, so that the best of a candidate brings its own
+    rows = scored.withColumns({"_a": F.first(F.struct("there", "score")).over(own), "_b": F.nth_value(F.struct("there", "score"), 2).over(own)})
+    rows = rows.withColumns({"_1": F.first(F.struct("here", "score", "similarity", "_a", "_b")).over(best), "_2": F.nth_value(F.struct("here", "score"), 2).over(best)})
     s, first, second = F.col("score"), F.col("_1"), F.col("_2")
     leads = first["here"] == F.col("here")
     behind = F.coalesce((second["score"] >= ACCEPT) & (second["score"] + MARGIN >= s), F.lit(False))
-    elsewhere = F.coalesce(F.when(F.col("_a.there") == F.col("there"), F.col("_b.score")).otherwise(F.col("_a.score")), F.lit(-(1 << 30)))
+    elsewhere = F.coalesce(F.when(first["_a"]["there"] == F.col("there"), first["_b"]["score"]).otherwise(first["_a"]["score"]), F.lit(-(1 << 30)))
     weak = (first["similarity"] < RIVAL) | (first["score"] <= s + MARGIN) | F.coalesce(second["score"] + MARGIN >= first["score"], F.lit(False))
     other = (
         F.when(first["score"] < ACCEPT, "none").when(weak, "uncertain").when(elsewhere > first["score"] + MARGIN, "none")
@@ -123,9 +137,12 @@ def classified(scored: DataFrame, forward: bool = False) -> DataFrame:
 
 def mapping(edges: DataFrame, regions: DataFrame, scored: DataFrame | None = None, forward: bool = False) -> DataFrame:
     """classified() links of all edges(at, to), with those of unchanged regions, which are never searched for."""
-    scored = scored if scored is not None else candidates(edges, regions)
-    same = unchanged(edges, regions).select(*EDGE, "here", "there", F.lit("continue").alias("relation"), F.lit(None).cast("int").alias("score"), F.lit(100).alias("similarity"), F.lit(False).alias("uncertain"), F.lit("unchanged").alias("reason"))
-    return same.unionByName(classified(scored, forward))
+    a, b = _sides(edges, regions)
+    with together(edges.sparkSession):
+        scored = dealt(scored if scored is not None else _candidates(a, b), "to")
+    same = _unchanged(a, b).select(*EDGE, "here", "there", F.lit("continue").alias("relation"), F.lit(None).cast("int").alias("score"), F.lit(100).alias("similarity"), F.lit(False).alias("uncertain"), F.lit("unchanged").alias("reason"))
+    with together(edges.sparkSession):
+        return stored(same.unionByName(classified(scored, forward)))
 
 
 def paired(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,10 +27,32 @@ def folder(spark: SparkSession) -> str:
 def stored(df: DataFrame) -> DataFrame:
     """df as a table of the shared folder: lineage ends, and a lost executor costs nothing."""
     path = folder(df.sparkSession)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """df as a table in buckets of a key, for several joins and groupings by it and more: under together() they shuffle nothing."""
+    spark, path = df.sparkSession, folder(df.sparkSession)
+    name, n = f"t_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(n, key).write.bucketBy(n, key).option("path", path).option("compression", "zstd").saveAsTable(name)
+    out = spark.table(name)
+    spark.sql(f"drop table {name}")  # its files stay
+    return out
+
+
+@contextmanager
+def together(spark: SparkSession):
+    """While this lasts, sides that are dealt by one of a join's keys are joined as they lie."""
+    conf = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(conf)
+    spark.conf.set(conf, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(conf, before)
+
+
 class Rounds:
     """What an iteration has found so far: each round is written once, into one table."""
 
@@ -39,7 +62,7 @@ class Rounds:
     def add(self, df: DataFrame) -> DataFrame:
         """Writes a round and gives it back as read."""
         at = f"{self.path}/{self.n:06d}"
-        df.write.parquet(at)
+        df.write.option("compression", "zstd").parquet(at)
         self.n += 1
         return self.spark.read.schema(self.schema).parquet(at)
 

@@ -110,3 +110,23 @@ def test_unchanged_regions_are_not_searched(spark):
     r = spark.createDataFrame([("c1", "1", "p", "f", "o", "x"), ("c2", "2", "p", "f", "o", "x"), ("c2", "3", "q", "f", "o", "x"), ("c3", "4", "p2", "f", "o", "x")], "commit string, region string, path string, name string, owner string, blob string")
     got = {(x.here, x.there): (x.relation, x.reason) for x in M.mapping(e, r).collect()}
     assert got == {("2", "1"): ("continue", "unchanged"), ("4", "2"): ("move", "competing predecessors"), ("4", "3"): ("move", "competing predecessors")}
+
+
+def test_mapping_shuffles_each_side_once(spark):
+    """However many joins and windows follow, what is written next depends on tables dealt by `to`."""
+    from quillon.operators import tables
+
+    edges = spark.range(1, 40).selectExpr("cast(id as string) at", "cast(id - 1 as string) to")
+    r = spark.range(40).crossJoin(spark.range(4).toDF("r")).selectExpr("cast(id as string) commit", "concat('g', r) region", "concat('d', r, '/', id div 5 % 2) path", "concat('g', r) name", "'o' owner", "cast((id + 2 * r) div 3 as string) blob")
+    size = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        a, b = M._sides(edges, r)
+        with tables.together(spark):
+            scored = tables.dealt(M._candidates(a, b), "to")
+            assert "Exchange" not in M._candidates(a, b)._jdf.queryExecution().executedPlan().toString()
+            assert "Exchange" not in M.classified(scored)._jdf.queryExecution().executedPlan().toString()
+        got, want = M.mapping(edges, r), M.classified(M.candidates(edges, r))
+        assert got.where("reason <> 'unchanged'").exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty() and not want.isEmpty()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", size)
