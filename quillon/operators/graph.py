@@ -58,16 +58,18 @@ PRIMES = (2_147_483_629, 2_147_483_587)
 def _jumped(step: DataFrame) -> DataFrame:
     """(id, end, hops, last) of step(id, to): where pointers lead that go on while they meet an id; last is the id before the end.
 
-    Pointers are doubled, so a run of n takes log n rounds.
+    Pointers are doubled, so a run of n takes log n rounds. One that met no id is at its end, and is written once.
     """
     now = stored(step.select("id", F.col("to").alias("end"), F.lit(1).cast("long").alias("hops"), F.col("id").alias("last")))
+    done, all_ = None, now
     for _ in range(now.count().bit_length() + 2):
-        on = now.select(F.col("id").alias("mid"), F.col("end").alias("further"), F.col("hops").alias("more"), F.col("last").alias("late"))
+        on = all_.select(F.col("id").alias("mid"), F.col("end").alias("further"), F.col("hops").alias("more"), F.col("last").alias("late"))
         both = stored(now.join(on, F.col("end") == F.col("mid"), "left").select("id", F.coalesce("further", "end").alias("end"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"), F.coalesce("late", "last").alias("last"), F.col("mid").isNotNull().alias("moved")))
-        moved = not both.where("moved").isEmpty()
-        now = both.drop("moved")
-        if not moved:
-            return now
+        ended, now = both.where("not moved").drop("moved"), both.where("moved").drop("moved")
+        done = ended if done is None else done.unionByName(ended)
+        if now.isEmpty():
+            return done
+        all_ = done.unionByName(now)
     raise ValueError("The commit graph has a cycle.")
 
 
@@ -83,43 +85,51 @@ class Commits:
     def __init__(self, parents: DataFrame, tips: list[str] | DataFrame):
         self.spark = parents.sparkSession
         self.roots = tips.select("root").distinct() if isinstance(tips, DataFrame) else self.spark.createDataFrame([(t,) for t in dict.fromkeys(tips)], "root string")
+        self.roots = stored(self.roots)
         self.edges = stored(parents.where("parent is not null and id is not null").groupBy("id", "parent").agg(F.min("pos").alias("pos")))
-        up = self.edges.groupBy("id").agg(F.count("*").alias("up"))
-        down = self.edges.groupBy(F.col("parent").alias("id")).agg(F.count("*").alias("down"))
-        inner = up.where("up = 1").join(down.where("down = 1"), "id").select("id").join(self.roots.withColumnRenamed("root", "id"), "id", "left_anti")
-        inner = stored(inner)
-        own = self.edges.join(inner, "id", "left_semi")
-        self.above = _jumped(own.select("id", F.col("parent").alias("to")))  # towards the root
-        self.below = _jumped(self.edges.join(inner.withColumnRenamed("id", "parent"), "parent", "left_semi").select(F.col("parent").alias("id"), F.col("id").alias("to")))
+        # of each node how many edges lead up and down, and the one above if it is alone
+        up = self.edges.select("id", F.lit(1).alias("up"), F.lit(0).alias("down"), F.col("parent").alias("to"))
+        down = self.edges.groupBy(F.col("parent").alias("id")).agg(F.count("*").alias("down")).select("id", F.lit(0).alias("up"), "down", F.lit(None).cast("string").alias("to"))
+        tip = self.roots.select(F.col("root").alias("id"), F.lit(0).alias("up"), F.lit(2).alias("down"), F.lit(None).cast("string").alias("to"))
+        degrees = up.unionByName(down).unionByName(tip).groupBy("id").agg(F.sum("up").alias("up"), F.sum("down").alias("down"), F.max("to").alias("to"))
+        inner = stored(degrees.where("up = 1 and down = 1").select("id", "to"))
+        self.above = _jumped(inner)  # towards the root
         knots = self.edges.join(inner, "id", "left_anti")
-        ends = self.above.select(F.col("id").alias("parent"), "end", "hops")
-        self.knots = stored(knots.join(ends, "parent", "left").select(F.col("id").alias("src"), "pos", F.col("parent").alias("first"), F.coalesce("end", "parent").alias("dst"), (F.coalesce("hops", F.lit(0)) + 1).alias("hops")))
+        ends = self.above.select(F.col("id").alias("parent"), "end", "hops", "last")
+        self.knots = stored(knots.join(ends, "parent", "left").select(F.col("id").alias("src"), "pos", F.col("parent").alias("first"), F.coalesce("end", "parent").alias("dst"), (F.coalesce("hops", F.lit(0)) + 1).alias("hops"), "last"))
+
+    @property
+    def below(self) -> DataFrame:
+        """(id, end, hops, last) away from the root: a run hangs by its first commit from one knot, and is known by its last one."""
+        runs = self.knots.where("last is not null").select("last", F.col("src").alias("end"), F.col("hops").alias("n"), F.col("first").alias("late"))
+        return self.above.select("id", "hops", "last").join(runs, "last").select("id", "end", (F.col("n") - F.col("hops")).alias("hops"), F.col("late").alias("last"))
 
     def nodes(self) -> DataFrame:
         return self.edges.select("id").unionByName(self.edges.select(F.col("parent").alias("id"))).unionByName(self.roots.select(F.col("root").alias("id"))).distinct()
 
-    def _weighted(self) -> DataFrame:
-        return self.knots.groupBy("src", "dst").agg(F.max("hops").alias("far"), *(F.count("*").alias(f"c{k}") for k in range(len(PRIMES))))
+    def _weighted(self, counts: bool) -> DataFrame:
+        return self.knots.groupBy("src", "dst").agg(F.max("hops").alias("far"), *(F.count("*").alias(f"c{k}") for k in range(len(PRIMES)) if counts))
 
     @staticmethod
     def _sums(rows: DataFrame, *keys: str) -> DataFrame:
-        return rows.groupBy(*keys).agg(F.max("far").alias("far"), *((F.sum(f"c{k}") % p).alias(f"c{k}") for k, p in enumerate(PRIMES)))
+        return rows.groupBy(*keys).agg(F.max("far").alias("far"), *((F.sum(f"c{k}") % p).alias(f"c{k}") for k, p in enumerate(PRIMES) if f"c{k}" in rows.columns))
 
     @staticmethod
-    def _times(a: str, b: str) -> list:
-        return [(F.col(f"{a}.far") + F.col(f"{b}.far")).alias("far"), *((F.col(f"{a}.c{k}") * F.col(f"{b}.c{k}") % p).alias(f"c{k}") for k, p in enumerate(PRIMES))]
+    def _times(a: str, b: str, counts: bool) -> list:
+        return [(F.col(f"{a}.far") + F.col(f"{b}.far")).alias("far"), *((F.col(f"{a}.c{k}") * F.col(f"{b}.c{k}") % p).alias(f"c{k}") for k, p in enumerate(PRIMES) if counts)]
 
     def walk(self, ends: bool = False) -> tuple[DataFrame, DataFrame | None]:
-        """(root, id, far, c0, c1) of all that each tip reaches, and with `ends` (id, c0, c1) of how many ways lead from it to an end.
+        """(root, id, far) of all that each tip reaches; with `ends` also the number of ways, c0 and c1, and (id, c0, c1) of how many lead on to an end.
 
-        far is the greatest number of steps, c0 and c1 the number of ways modulo PRIMES. With A the edges
+        far is the greatest number of steps, c0 and c1 are modulo PRIMES. With A the edges
         between knots, powers A^1, A^2, A^4, ... are squared, and what is reached within 2^k steps, times A^(2^k),
         is reached within 2^(k+1): rounds grow with the logarithm of depth. A power holds the pairs so many
         knots apart, which grows with the width of the graph.
         """
-        one = [F.lit(1).cast("long").alias(f"c{k}") for k in range(len(PRIMES))]
-        f = stored(self.roots.select("root", F.col("root").alias("id"), F.lit(0).cast("long").alias("far"), *one))
-        power = stored(self._weighted())
+        counts = [f"c{k}" for k in range(len(PRIMES)) if ends]
+        one = [F.lit(1).cast("long").alias(x) for x in counts]
+        f = self.roots.select("root", F.col("root").alias("id"), F.lit(0).cast("long").alias("far"), *one)
+        power = stored(self._weighted(ends))
         g = None
         if ends:
             last = self.nodes().join(self.edges.select("id"), "id", "left_anti")
@@ -127,16 +137,16 @@ class Commits:
         for _ in range(power.count().bit_length() + 2):  # no way passes more knots than there are
             if power.isEmpty():
                 break
-            on = f.alias("f").join(power.alias("a"), F.col("f.id") == F.col("a.src")).select("f.root", F.col("a.dst").alias("id"), *self._times("f", "a"))
+            on = f.alias("f").join(power.alias("a"), F.col("f.id") == F.col("a.src")).select("f.root", F.col("a.dst").alias("id"), *self._times("f", "a", ends))
             f = stored(self._sums(f.unionByName(on), "root", "id"))
             if g is not None:
-                back = power.alias("a").join(g.alias("g"), F.col("a.dst") == F.col("g.id")).select(F.col("a.src").alias("id"), *self._times("a", "g"))
+                back = power.alias("a").join(g.alias("g"), F.col("a.dst") == F.col("g.id")).select(F.col("a.src").alias("id"), *self._times("a", "g", ends))
                 g = stored(self._sums(g.unionByName(back), "id"))
-            power = stored(self._sums(power.alias("a").join(power.alias("b"), F.col("a.dst") == F.col("b.src")).select("a.src", "b.dst", *self._times("a", "b")), "src", "dst"))
+            power = stored(self._sums(power.alias("a").join(power.alias("b"), F.col("a.dst") == F.col("b.src")).select("a.src", "b.dst", *self._times("a", "b", ends)), "src", "dst"))
         else:
             raise ValueError("The commit graph has a cycle.")
         runs = self.below.select("id", F.col("end").alias("knot"), "hops").join(f.withColumnRenamed("id", "knot"), "knot")
-        f = f.unionByName(runs.select("root", "id", (F.col("far") + F.col("hops")).alias("far"), *(f"c{k}" for k in range(len(PRIMES)))))
+        f = f.unionByName(runs.select("root", "id", (F.col("far") + F.col("hops")).alias("far"), *counts))
         if g is not None:
             runs = self.above.select("id", F.col("end").alias("knot")).join(g.withColumnRenamed("id", "knot"), "knot")
             g = g.unionByName(runs.select("id", "far", *(f"c{k}" for k in range(len(PRIMES)))))

@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from quillon.operators import graph as G
 from quillon.operators.graph import Commits, History
 
 KIND = "id string, pos int, parent string"
@@ -88,3 +89,13 @@ def test_small_cases(spark):
     assert {r.id for r in Commits(two, ["m", "a"]).bases().collect()} == {"a"}
     with pytest.raises(ValueError, match="cycle"):
         Commits(spark.createDataFrame([("a", 0, "b"), ("b", 0, "c"), ("c", 0, "a"), ("t", 0, "a"), ("b", 1, "x")], KIND), ["t"]).ancestors().collect()
+
+
+def test_runs_are_followed_once(spark, monkeypatch):
+    """Pointers that have met their end are written once, and only those still open go on."""
+    written = []
+    monkeypatch.setattr(G, "stored", lambda df: written.append(df.localCheckpoint()) or written[-1])
+    step = [(f"r{k}", f"r{k - 1}") for k in range(1, 200)] + [(f"s{k}", f"e{k}") for k in range(1000)]
+    got = {r.id: (r.end, r.hops, r.last) for r in G._jumped(spark.createDataFrame(step, "id string, to string")).collect()}
+    assert got == {f"r{k}": ("r0", k, "r1") for k in range(1, 200)} | {f"s{k}": (f"e{k}", 1, f"s{k}") for k in range(1000)}
+    assert sum(df.count() for df in written) < 4600  # 1199 rows a round, for nine rounds, before
