@@ -8,7 +8,7 @@ from itertools import count
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import SMALL, Rounds, stored
+from .tables import SMALL, Rounds, discard, stored
 
 
 def closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -60,13 +60,14 @@ def _jumped(step: DataFrame) -> DataFrame:
 
     Pointers are doubled, so a run of n takes log n rounds. One that met no id is at its end, and is written once.
     """
-    now = stored(step.select("id", F.col("to").alias("end"), F.lit(1).cast("long").alias("hops"), F.col("id").alias("last")))
+    now = one = stored(step.select("id", F.col("to").alias("end"), F.lit(1).cast("long").alias("hops"), F.col("id").alias("last")))
     done, all_ = None, now
     for _ in range(now.count().bit_length() + 2):
         on = all_.select(F.col("id").alias("mid"), F.col("end").alias("further"), F.col("hops").alias("more"), F.col("last").alias("late"))
         both = stored(now.join(on, F.col("end") == F.col("mid"), "left").select("id", F.coalesce("further", "end").alias("end"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"), F.coalesce("late", "last").alias("last"), F.col("mid").isNotNull().alias("moved")))
         ended, now = both.where("not moved").drop("moved"), both.where("moved").drop("moved")
         done = ended if done is None else done.unionByName(ended)
+        discard(one)
         if now.isEmpty():
             return done
         all_ = done.unionByName(now)
@@ -97,6 +98,7 @@ class Commits:
         knots = self.edges.join(inner, "id", "left_anti")
         ends = self.above.select(F.col("id").alias("parent"), "end", "hops", "last")
         self.knots = stored(knots.join(ends, "parent", "left").select(F.col("id").alias("src"), "pos", F.col("parent").alias("first"), F.coalesce("end", "parent").alias("dst"), (F.coalesce("hops", F.lit(0)) + 1).alias("hops"), "last"))
+        discard(inner)
 
     @property
     def below(self) -> DataFrame:
@@ -138,11 +140,13 @@ class Commits:
             if power.isEmpty():
                 break
             on = f.alias("f").join(power.alias("a"), F.col("f.id") == F.col("a.src")).select("f.root", F.col("a.dst").alias("id"), *self._times("f", "a", ends))
-            f = stored(self._sums(f.unionByName(on), "root", "id"))
+            f, gone = stored(self._sums(f.unionByName(on), "root", "id")), [f, power]
             if g is not None:
                 back = power.alias("a").join(g.alias("g"), F.col("a.dst") == F.col("g.id")).select(F.col("a.src").alias("id"), *self._times("a", "g", ends))
+                gone.append(g)
                 g = stored(self._sums(g.unionByName(back), "id"))
             power = stored(self._sums(power.alias("a").join(power.alias("b"), F.col("a.dst") == F.col("b.src")).select("a.src", "b.dst", *self._times("a", "b", ends)), "src", "dst"))
+            discard(*gone)
         else:
             raise ValueError("The commit graph has a cycle.")
         runs = self.below.select("id", F.col("end").alias("knot"), "hops").join(f.withColumnRenamed("id", "knot"), "knot")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .history import ACCEPT, KEEP, MARGIN, score
-from .tables import dealt, stored, together
+from .tables import dealt, discard, stored, together
 
 #: An edge: the commit at hand and its neighbour.
 EDGE = ["at", "to"]
@@ -139,10 +139,12 @@ def mapping(edges: DataFrame, regions: DataFrame, scored: DataFrame | None = Non
     """classified() links of all edges(at, to), with those of unchanged regions, which are never searched for."""
     a, b = _sides(edges, regions)
     with together(edges.sparkSession):
-        scored = dealt(scored if scored is not None else _candidates(a, b), "to")
+        near = dealt(scored if scored is not None else _candidates(a, b), "to")
     same = _unchanged(a, b).select(*EDGE, "here", "there", F.lit("continue").alias("relation"), F.lit(None).cast("int").alias("score"), F.lit(100).alias("similarity"), F.lit(False).alias("uncertain"), F.lit("unchanged").alias("reason"))
     with together(edges.sparkSession):
-        return stored(same.unionByName(classified(scored, forward)))
+        out = stored(same.unionByName(classified(near, forward)))
+    discard(a, b, near)
+    return out
 
 
 def paired(old: DataFrame, new: DataFrame) -> DataFrame:
