@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import sequences as S
 from .graph import Commits
 from .history import GROUP
+from .tables import discard, stored
 
 
 def sibling_evidence(pairs: DataFrame, members: DataFrame) -> DataFrame:
@@ -66,14 +67,15 @@ def forwards(links: DataFrame, known: DataFrame, inside: DataFrame) -> DataFrame
     """
     text = lambda df, *keys: df.select(*(F.col(k).cast("string").alias(k) for k in keys))
     known, inside = text(known, "target", "commit", "region").distinct(), text(inside, "target", "commit").distinct()
-    open_ = inside.join(known.select("target", "commit").distinct(), ["target", "commit"], "left_anti")
-    steps = text(links, "at", "to", "here", "there").join(open_.select("target", F.col("commit").alias("to")), "to")
+    open_ = stored(inside.join(known.select("target", "commit").distinct(), ["target", "commit"], "left_anti"))
+    steps = stored(text(links, "at", "to", "here", "there").join(open_.select("target", F.col("commit").alias("to")), "to"))
     first = steps.join(known.select("target", F.col("commit").alias("at"), F.col("region").alias("here")), ["target", "at", "here"], "left_semi")
     node = lambda c, r: F.to_json(F.array("target", F.col(c), F.col(r)))
     seeds = first.select(node("to", "there").alias("root")).distinct()
     rest = steps.join(open_.select("target", F.col("commit").alias("at")), ["target", "at"], "left_semi")
     edges = rest.select(node("at", "here").alias("src"), node("to", "there").alias("dst"))
-    got = closure_of(edges, seeds)
+    got = closure_of(edges, seeds)  # over tables of its own
+    discard(open_, steps)
     at = F.from_json("id", "array<string>")
     return got.select(at[0].alias("target"), at[1].alias("commit"), at[2].alias("region"))
 
