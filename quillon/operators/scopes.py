@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import names as N
-from .tables import stored
+from .tables import SMALL, discard, stored
 
 #: What a name is asked for by: sites that agree in these have the same meanings.
 ASKED = ["project", "file_key", "scope", "module", "written"]
@@ -33,30 +33,56 @@ def head(name: Column) -> Column:
     return F.regexp_extract(name, r"^([^.:<]*)", 1)
 
 
+def _known_heads(known: DataFrame) -> DataFrame | None:
+    """(_head): each alias of any file, to be sent to all rows; None if there are too many for that."""
+    heads = known.select(F.col("alias").alias("_head")).distinct()
+    return F.broadcast(heads) if heads.count() <= SMALL else None
+
+
 def aliases(imports: DataFrame) -> DataFrame:
     """(file_key, alias, path): what each alias of imports(file_key, pos, path, alias) stands for, through other aliases of its file.
 
     Of several imports with one alias the first counts. Paths are extended by pointers of pointers, so a
     chain of n takes about log n rounds. An alias that leads into a cycle keeps the path that was written.
+    Only paths that begin like some alias go through rounds.
     """
     first = imports.where("alias is not null and alias <> '' and path is not null").groupBy("file_key", "alias").agg(F.min_by("path", "pos").alias("path"))
-    now = stored(first.select("file_key", "alias", "path", F.col("path").alias("said"), F.array("alias").alias("seen"), F.lit(False).alias("cyclic"), F.lit(True).alias("open")))
+    first = stored(first)
+    heads = _known_heads(first)
+    start = lambda df, open_: df.select("file_key", "alias", "path", F.col("path").alias("said"), F.array("alias").alias("seen"), F.lit(False).alias("cyclic"), F.lit(open_).alias("open"))
+    now = start(first, True)
+    if heads is not None:
+        on = head(F.col("path")) == F.col("_head")
+        if first.join(heads, on, "left_semi").isEmpty():
+            return first
+        now = start(first.join(heads, on, "left_semi"), True).unionByName(start(first.join(heads, on, "left_anti"), False))
+    now = stored(now)
+    discard(first)
     while not now.where("open").isEmpty():
         on = now.select(F.col("file_key").alias("of"), F.col("alias").alias("next"), F.col("path").alias("further"), F.col("seen").alias("more"), F.col("cyclic").alias("bad"))
-        step = now.join(on, (F.col("file_key") == F.col("of")) & (head(F.col("path")) == F.col("next")), "left")
+        step = now.where("open").join(on, (F.col("file_key") == F.col("of")) & (head(F.col("path")) == F.col("next")), "left")
         again = F.col("next").isNotNull() & ~F.col("cyclic")
         loop = again & (F.arrays_overlap("seen", "more") | F.col("bad"))
         rest = F.substring("path", F.length("next") + 1, F.length("path"))
-        now = stored(step.select("file_key", "alias", F.when(again & ~loop, F.concat("further", rest)).otherwise(F.col("path")).alias("path"), "said", F.when(again & ~loop, F.concat("seen", "more")).otherwise(F.col("seen")).alias("seen"), (F.col("cyclic") | loop).alias("cyclic"), (again & ~loop).alias("open")))
+        step = step.select("file_key", "alias", F.when(again & ~loop, F.concat("further", rest)).otherwise(F.col("path")).alias("path"), "said", F.when(again & ~loop, F.concat("seen", "more")).otherwise(F.col("seen")).alias("seen"), (F.col("cyclic") | loop).alias("cyclic"), (again & ~loop).alias("open"))
+        before, now = now, stored(step.unionByName(now.where("not open")))
+        discard(before)
     return now.select("file_key", "alias", F.when(F.col("cyclic"), F.col("said")).otherwise(F.col("path")).alias("path"))
 
 
 def expanded(sites: DataFrame, known: DataFrame, column: str = "written") -> DataFrame:
-    """sites(file_key, column) with an alias at the beginning of a name replaced; the result of aliases() is `known`."""
+    """sites(file_key, column) with an alias at the beginning of a name replaced; the result of aliases() is `known`.
+
+    Names that begin like no alias of any file stay where they are.
+    """
     a = known.select(F.col("file_key").alias("_of"), F.col("alias").alias("_alias"), F.col("path").alias("_path"))
-    out = sites.join(a, (F.col("file_key") == F.col("_of")) & (head(F.col(column)) == F.col("_alias")), "left")
+    heads = _known_heads(known)
+    like = head(F.col(column)) == F.col("_head")
+    some = sites.join(heads, like, "left_semi") if heads is not None else sites
+    out = some.join(a, (F.col("file_key") == F.col("_of")) & (head(F.col(column)) == F.col("_alias")), "left")
     rest = F.substring(F.col(column), F.length("_alias") + 1, F.length(column))
-    return out.withColumn(column, F.when(F.col("_alias").isNotNull(), F.concat("_path", rest)).otherwise(F.col(column))).drop("_of", "_alias", "_path")
+    out = out.withColumn(column, F.when(F.col("_alias").isNotNull(), F.concat("_path", rest)).otherwise(F.col(column))).drop("_of", "_alias", "_path")
+    return out.unionByName(sites.join(heads, like, "left_anti")) if heads is not None else out
 
 
 def _tuple(distance: Column, full: Column) -> Column:
@@ -112,11 +138,22 @@ def bound_in_scope(occurrences: DataFrame, decls: DataFrame, imports: DataFrame,
     """
     full = lambda k: F.coalesce(F.col(k), F.lit("")) if k in occurrences.columns else F.lit("")
     rows = occurrences.withColumns({"scope": full("scope"), "module": full("module"), "_text": F.col("written")})
-    rows = expanded(rows, aliases(imports))
-    found = resolved(rows, decls, imports, sees)
-    same = [F.col(f"o.{k}").eqNullSafe(F.col(f"f.{k}")) for k in ASKED]
+    rows = _asking(expanded(rows, aliases(imports)), imports)
+    found = stored(resolved(rows.drop("file_key").withColumnRenamed("_asker", "file_key"), decls, imports, sees).withColumnRenamed("file_key", "_asker"))
+    found = F.broadcast(found) if found.count() <= SMALL else found
+    keys = ["project", "_asker", "scope", "module", "written"]
+    same = [F.col(f"o.{k}").eqNullSafe(F.col(f"f.{k}")) for k in keys]
     on = same[0]
     for x in same[1:]:
         on &= x
     out = rows.alias("o").join(found.alias("f"), on, "left")
-    return out.select("o.*", "f.of", "f.target", F.coalesce("f.uncertain", F.lit(True)).alias("uncertain")).withColumn("written", F.col("_text")).drop("_text")
+    return out.select("o.*", "f.of", "f.target", F.coalesce("f.uncertain", F.lit(True)).alias("uncertain")).withColumn("written", F.col("_text")).drop("_text", "_asker")
+
+
+def _asking(rows: DataFrame, imports: DataFrame) -> DataFrame:
+    """rows(file_key, ...) with _asker: the file where it has imports without alias, which alone make names mean what they don't elsewhere; else null."""
+    files = stored(imports.where("path is not null and path <> '' and coalesce(alias, '') = ''").select(F.col("file_key").alias("_asker")).distinct())
+    n = files.count()
+    if not n:
+        return rows.withColumn("_asker", F.lit(None).cast(dict(files.dtypes)["_asker"]))
+    return rows.join(F.broadcast(files) if n <= SMALL else files, F.col("file_key") == F.col("_asker"), "left")

@@ -86,3 +86,19 @@ def test_closure_of_random_graphs(spark):
 def test_empty_tables(spark):
     d, i = spark.createDataFrame([], DECL), spark.createDataFrame([], IMPORT)
     assert S.aliases(i).collect() == [] and H.subtypes(d, i, d.select("project", "qualified")).collect() == []
+
+
+def test_a_name_is_asked_once_for_all_files_alike(spark, monkeypatch):
+    asked, own = [], S.full_names
+    monkeypatch.setattr(S, "full_names", lambda df, imports: asked.append(df.count()) or own(df, imports))
+    d = spark.createDataFrame([decl("class", "A.T"), decl("class", "I.U"), decl("class", "T")], DECL)
+    imports = spark.createDataFrame([(1, 0, "I", ""), (2, 0, "I", "Al"), (3, 0, "B.x", "Al"), (3, 1, "A", "B"), (4, 0, "A", "B")], IMPORT)
+    sites = [("p", k, "A", w) for k in [*range(100), None] for w in ("T", "U", "Al.U", "B.T", None)]
+    got = {}
+    for r in S.bound_in_scope(spark.createDataFrame(sites, "project string, file_key int, scope string, written string"), d, imports).collect():
+        got.setdefault(r.file_key, {})[r.written] = r.target
+    assert len(got) == 101 and sum(map(len, got.values())) == len(sites)
+    alone = {"T": "A.T", "U": None, "Al.U": None, "B.T": None, None: None}
+    assert got.pop(1) == alone | {"U": "I.U"} and got.pop(2) == alone | {"Al.U": "I.U"}
+    assert got.pop(3) == got.pop(4) == alone | {"B.T": "A.T"} and all(x == alone for x in got.values())
+    assert asked[0] <= 5 * 2 + 3  # not once for each file
