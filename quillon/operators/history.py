@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .tables import stored
 
 # What a pair must score, and by how much it must win.
 ACCEPT, MARGIN, KEEP, GROUP = 60, 6, 45, 80
@@ -54,41 +55,54 @@ def similar(old: DataFrame, new: DataFrame) -> DataFrame:
     return shared.select("old", "new", F.floor(F.col("n") * 200 / (F.col("x") + F.col("y"))).cast("int").alias("similarity")).unionByName(bare)
 
 
-def shared_shingles(old: DataFrame, new: DataFrame, least: int = ACCEPT - MARGIN, chunk: int = 1024) -> DataFrame:
-    """(old, new): every pair of texts(key, text), of different texts a side, whose similarity can reach `least`.
+def _shingled(texts: DataFrame) -> DataFrame:
+    """texts(side, id, n, text) as (side, id, n, w, t, h): tokens, distinct trigrams, and what those of one side that are alike in all similarities share."""
+    t = texts.select("side", "id", "n", X.tokens("text").alias("w")).where("w is not null").withColumn("t", X.trigrams(F.col("w")))
+    return stored(t.withColumn("h", F.sha2(F.to_json(F.struct(F.array_sort("t").alias("t"), F.when(F.size("t") == 0, F.col("w")).alias("w"))), 256)))
+
+
+def shared_shingles(both: DataFrame, least: int = ACCEPT - MARGIN, chunk: int = 1024) -> DataFrame:
+    """(old, new, score): the similarity of every pair of both(side, id, w, t), a text of either side, that can reach `least`.
 
     Such a pair shares a trigram among the rarest of each, all but (least / (200 - least)) of them. A
-    trigram's texts are joined in chunks. Texts of no trigram pair up with those of equal tokens.
+    trigram's texts are joined in chunks. Texts of no trigram pair up with those of equal tokens. Trigrams go by
+    number, and only those of both sides are compared, so a pair costs no second look at its texts.
     """
-    texts = lambda df, side: df.select(F.col("key").alias("id"), F.lit(side).alias("side"), X.tokens("text").alias("w")).where("w is not null")
-    both = texts(old, "old").unionByName(texts(new, "new")).withColumn("t", X.trigrams(F.col("w")))
     grams = both.select("id", "side", F.size("t").alias("size"), F.explode("t").alias("g"))
     held = grams.groupBy("g").agg(*[F.count(F.when(F.col("side") == s, 1)).alias(f"n_{s}") for s in ("old", "new")])
-    rare = Window.partitionBy("side", "id").orderBy(F.col("n_old") + F.col("n_new"), "g")
-    first = grams.join(held, "g").withColumn("r", F.row_number().over(rare)).where(F.col("r") <= F.col("size") - F.ceil(F.col("size") * least / (200 - least)) + 1)
-    first = first.where("n_old > 0 and n_new > 0")
+    held = stored(held.where("n_old > 0 and n_new > 0").withColumn("k", F.monotonically_increasing_id()))
+    grams = stored(grams.join(held, "g").select("id", "side", "size", "k", "n_old", "n_new"))
+    # grams of one side only come first among the rarest in any order, as they pair nothing
+    alone = F.col("size") - F.count("*").over(Window.partitionBy("side", "id"))
+    rare = Window.partitionBy("side", "id").orderBy(F.col("n_old") + F.col("n_new"), "k")
+    first = grams.withColumn("r", F.row_number().over(rare) + alone).where(F.col("r") <= F.col("size") - F.ceil(F.col("size") * least / (200 - least)) + 1)
     own = lambda side: F.pmod(F.xxhash64("id"), F.ceil(F.col(f"n_{side}") / chunk)).cast("long")
     all_ = lambda side: F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col(f"n_{side}") / chunk).cast("long") - 1))
-    a = first.where("side = 'old'").select("g", F.col("id").alias("old"), F.col("size").alias("x"), own("old").alias("i"), all_("new").alias("j"))
-    b = first.where("side = 'new'").select("g", F.col("id").alias("new"), F.col("size").alias("y"), own("new").alias("j"), all_("old").alias("i"))
-    pairs = a.join(b, ["g", "i", "j"]).where(F.least("x", "y") * 200 >= (F.col("x") + F.col("y")) * least).select("old", "new")
+    a = first.where("side = 'old'").select("k", F.col("id").alias("old"), F.col("size").alias("x"), own("old").alias("i"), all_("new").alias("j"))
+    b = first.where("side = 'new'").select("k", F.col("id").alias("new"), F.col("size").alias("y"), own("new").alias("j"), all_("old").alias("i"))
+    pairs = a.join(b, ["k", "i", "j"]).where(F.least("x", "y") * 200 >= (F.col("x") + F.col("y")) * least).select("old", "new", "x", "y").distinct()
+    sets = stored(grams.groupBy("side", "id").agg(F.collect_list("k").alias("ks")))
+    of = lambda side, as_: sets.where(F.col("side") == side).select(F.col("id").alias(side), F.col("ks").alias(as_))
+    pairs = pairs.join(of("old", "p"), "old").join(of("new", "q"), "new")
+    scored = pairs.select("old", "new", F.floor(F.size(F.array_intersect("p", "q")) * 200 / (F.col("x") + F.col("y"))).cast("int").alias("score"))
     bare = lambda side: both.where((F.col("side") == side) & (F.size("t") == 0)).select(F.col("id").alias(side), "w")
-    return pairs.unionByName(bare("old").join(bare("new"), "w").select("old", "new")).distinct()
+    return scored.unionByName(bare("old").join(bare("new"), "w").select("old", "new", F.lit(100).cast("int").alias("score")))
 
 
 def renames(old: DataFrame, new: DataFrame) -> DataFrame:
     """Removed to added texts(key, text): first those of equal blobs on one side each, then mutual bests by similarity.
 
-    Equal texts of a side stand as one in the search; they tie, so none of them is matched, but they remain rivals.
+    Texts of a side with equal trigrams stand as one in the search; they tie, so none of them is matched, but they remain rivals.
     """
-    blob = lambda df, side: df.where("text is not null").groupBy("text").agg(F.count("*").alias(f"n_{side}"), F.min("key").alias(side))
+    blob = lambda df, side: stored(df.where("text is not null").groupBy("text").agg(F.count("*").alias(f"n_{side}"), F.min("key").alias(side)))
     a, b = blob(old, "old"), blob(new, "new")
-    same = a.join(b, "text").where("n_old = 1 and n_new = 1").select("old", "new", F.lit(100).cast("int").alias("score"))
-    a, b = a.join(same.select("old"), "old", "left_anti"), b.join(same.select("new"), "new", "left_anti")
-    pairs = shared_shingles(a.select(F.col("old").alias("key"), "text"), b.select(F.col("new").alias("key"), "text"))
-    pairs = pairs.join(a.select("old", F.col("text").alias("x")), "old").join(b.select("new", F.col("text").alias("y")), "new")
-    scored = pairs.select("old", "new", X.similarity(X.tokens("x"), X.tokens("y")).alias("score"))
-    found = mutual_best(scored).join(a.where("n_old = 1").select("old"), "old", "left_semi").join(b.where("n_new = 1").select("new"), "new", "left_semi")
+    same = stored(a.join(b, "text").where("n_old = 1 and n_new = 1").select("old", "new", F.lit(100).cast("int").alias("score")))
+    rest = lambda df, side: df.join(same.select(side), side, "left_anti").select(F.lit(side).alias("side"), F.col(side).alias("id"), F.col(f"n_{side}").alias("n"), "text")
+    both = _shingled(rest(a, "old").unionByName(rest(b, "new")))
+    one = stored(both.groupBy("side", "h").agg(F.min("id").alias("id"), F.sum("n").alias("n")).drop("h"))
+    found = mutual_best(shared_shingles(both.drop("n").join(one, ["side", "id"])))
+    for side in ("old", "new"):
+        found = found.join(one.where((F.col("side") == side) & (F.col("n") == 1)).select(F.col("id").alias(side)), side, "left_semi")
     return same.unionByName(found.select("old", "new", "score"))
 
 
