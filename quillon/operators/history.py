@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.names import let
 from .tables import stored
 
 # What a pair must score, and by how much it must win.
@@ -46,11 +47,12 @@ def mutual_best(scored: DataFrame) -> DataFrame:
 
 def similar(old: DataFrame, new: DataFrame) -> DataFrame:
     """(old, new, similarity) of all pairs of whole texts(key, text) that share a trigram, or whose tokens are equal; keys are unique."""
-    t = lambda df, side: df.select(F.col("key").alias(side), X.tokens("text").alias("w")).where("w is not null").withColumn("t", X.trigrams(F.col("w")))
-    a, b = t(old, "old"), t(new, "new")
-    grams = lambda df, side, size: df.select(side, F.size("t").alias(size), F.explode("t").alias("g"))
-    shared = grams(a, "old", "x").join(grams(b, "new", "y"), "g").groupBy("old", "new", "x", "y").agg(F.count("*").alias("n"))
-    bare = a.where(F.size("t") == 0).select("old", "w").join(b.where(F.size("t") == 0).select("new", "w"), "w").select("old", "new", F.lit(100).cast("int").alias("similarity"))
+    # a text's trigrams are worked out once, with their number
+    once = lambda size: F.inline(let(X.trigrams(X.tokens("text")), lambda t: F.transform(t, lambda g: F.struct(F.size(t).alias(size), g.alias("g")))))
+    grams = lambda df, side, size: df.select(F.col("key").alias(side), once(size))
+    shared = grams(old, "old", "x").join(grams(new, "new", "y"), "g").groupBy("old", "new", "x", "y").agg(F.count("*").alias("n"))
+    few = F.explode(F.filter(F.array(X.tokens("text")), lambda w: F.size(w) < 3)).alias("w")  # texts of no trigram
+    bare = old.select(F.col("key").alias("old"), few).join(new.select(F.col("key").alias("new"), few), "w").select("old", "new", F.lit(100).cast("int").alias("similarity"))
     # equal sets of trigrams give 100 as equal token lists do
     return shared.select("old", "new", F.floor(F.col("n") * 200 / (F.col("x") + F.col("y"))).cast("int").alias("similarity")).unionByName(bare)
 

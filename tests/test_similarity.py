@@ -13,3 +13,9 @@ def test_texts_alike_in_all_but_space_stand_as_one(spark, monkeypatch):
     new = {1000 + k: spaced(60 + k) for k in range(60)} | {1500: "a b c d e f g h i j l", 1501: "x  y", 1502: "p   q", 1503: "Q R"}
     assert {tuple(r) for r in history.renames(df(old), df(new)).collect()} == {(500, 1500, 88), (501, 1501, 100)}
     assert scored == [4]  # not 3600 and more
+
+
+def test_trigrams_of_a_text_are_worked_out_once(spark):
+    df = lambda x: spark.createDataFrame(x, "key long, text string")
+    plan = history.similar(df([(1, "a b c d")]), df([(2, "b c d")]))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 4  # each side once for its trigrams, once for texts of none
