@@ -12,13 +12,17 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.tables import lean
+
 SLICE = 1 << 20
 _U = np.uint64
 _RNG = np.random.default_rng(20240607)
@@ -74,12 +78,44 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/q-{uuid.uuid4().hex}"
 
 
+#: The folders that stored() has written inside the innermost scratch().
+_WRITTEN: ContextVar[list[str] | None] = ContextVar("written", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes, at its end, the tables that stored() wrote inside. Gives a stored() whose tables stay: results that leave go through it."""
+    paths: list[str] = []
+    token = _WRITTEN.set(paths)
+
+    def last(df: DataFrame) -> DataFrame:
+        out, path = _written(df)
+        if (outer := token.old_value) is not token.MISSING and outer is not None:
+            outer.append(path)
+        return out
+
+    try:
+        yield last
+    finally:
+        _WRITTEN.reset(token)
+        for path in paths:
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """df written as Parquet in the shared folder and read again: lineage ends, a lost executor costs nothing."""
+    out, path = _written(df)
+    if (paths := _WRITTEN.get()) is not None:
+        paths.append(path)
+    return out
+
+
+def _written(df: DataFrame) -> tuple[DataFrame, str]:
     path = shared_dir(df.sparkSession)
-    with small_batches(df.sparkSession):
+    with small_batches(df.sparkSession), lean(df.sparkSession):
         df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -294,10 +330,36 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def _place(df: DataFrame) -> Column | None:
+    """A number for each row by its place in df's files, the same at every reading: a hash of the file's path plus the row's number within.
+
+    None unless df is a scan of Parquet with columns and filters only, in which no two files' numbers overlap.
+    """
+    try:
+        node = df._jdf.queryExecution().analyzed()
+        if not node.deterministic() or "_metadata" in {x.lower() for x in df.columns}:
+            return None
+        while node.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+            node = node.children().head()
+        if node.nodeName() != "LogicalRelation":
+            return None
+        at = df.metadataColumn("_metadata")
+        first = F.xxhash64(at["file_path"]).bitwiseAND((1 << 62) - 1)
+        ends = df.select(at["file_path"].alias("path"), first.alias("a"), at["row_index"].alias("n")).groupBy("path").agg(F.first("a").alias("a"), F.max("n").alias("n"))
+    except (AnalysisException, AttributeError):
+        return None
+    ends = sorted((r.a, r.a + r.n) for r in ends.select("a", "n").collect())
+    return first + at["row_index"] if all(x[1] < y[0] for x, y in zip(ends, ends[1:], strict=False)) else None
+
+
 def numbered(df: DataFrame) -> tuple[DataFrame, str]:
-    """df written with a number of its own for each row, and the number's column: ids may be null or repeat."""
+    """df with a number of its own for each row, and the number's column: ids may be null or repeat.
+
+    Rows of files are numbered by their place and stay where they are; what was computed is written first.
+    """
     row = fresh(df, "row_number")
-    return stored(df.withColumn(row, F.monotonically_increasing_id())), row
+    place = _place(df)
+    return (stored(df.withColumn(row, F.monotonically_increasing_id())) if place is None else df.select("*", place.alias(row))), row
 
 
 #: Keys that a join broadcasts at most, and rows from which on a key may be one of them.

@@ -213,7 +213,8 @@ def one_of_each(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, id_col
     """
     base, row = c.numbered(docs)
     rows = base.select(F.col(row).alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    _, full = classed(rows, n, num, den, F.struct(F.col("id").isNull().alias("none"), "id", "row"))
     key = c.fresh(base, "gone_row")
-    gone = full.where("first is not null and first.row <> row").select(F.col("row").alias(key))
+    with c.scratch(docs.sparkSession) as last:
+        _, full = classed(rows, n, num, den, F.struct(F.col("id").isNull().alias("none"), "id", "row"))
+        gone = last(full.where("first is not null and first.row <> row").select(F.col("row").alias(key)))
     return base.join(gone, F.col(row) == F.col(key), "left_anti").drop(row)

@@ -175,7 +175,7 @@ def compare(t: pa.Table, edits: int) -> pa.Table:
 def repeats(base: DataFrame, row: str, edits: int = EDITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(row, number, near) of each line that repeats an earlier line, exactly or within the edits.
 
-    base: written rows, numbered by the column `row`. Of a class of lines the first by document id
+    base: rows numbered by the column `row`, alike at every reading. Of a class of lines the first by document id
     (null first), then hash of the text, then row, then number stays. near: unlike the one that stays.
     """
     kind = base.schema[id_col].dataType.simpleString()
@@ -243,8 +243,9 @@ def deduplicated(docs: DataFrame, edits: int = EDITS, id_col: str = "doc_id", te
     """
     base, row = c.numbered(docs)
     gone_, near_, key = (c.fresh(base, x) for x in ("gone", "near", "gone_row"))
-    own = repeats(base, row, edits, id_col, text_col).groupBy("row").agg(F.collect_list("number").alias(gone_), F.sum(F.col("near").cast("long")).alias(near_)).withColumnRenamed("row", key)
-    joined = base.join(own, F.col(row) == F.col(key), "left").drop(row, key)
+    with c.scratch(docs.sparkSession) as last:
+        own = last(repeats(base, row, edits, id_col, text_col).groupBy("row").agg(F.collect_list("number").alias(gone_), F.sum(F.col("near").cast("long")).alias(near_)).withColumnRenamed("row", key))
+    joined = base.join(own.hint("merge"), F.col(row) == F.col(key), "left").drop(row, key)
     names = docs.columns
 
     def go(batches):

@@ -219,8 +219,9 @@ def quality_kept(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     """The rows of docs, all their columns, that score `cut` or more."""
     held = F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0
     y = labels.select(F.col("doc_id").alias("lid"), F.col("quality").cast("double").alias("y")).where("lid is not null and y is not null").groupBy("lid").agg(F.avg("y").alias("y"))
-    learn = c.stored(measured(docs.where(~held).join(y.select("lid"), F.col(id_col) == F.col("lid"), "left_semi"), id_col, text_col))
-    model = docs.sparkSession.sparkContext.broadcast(fit(learn.join(y, F.col("id") == F.col("lid")).select("id", "x", "y")))
+    with c.scratch(docs.sparkSession):
+        learn = c.stored(measured(docs.where(~held).join(y.select("lid"), F.col(id_col) == F.col("lid"), "left_semi"), id_col, text_col))
+        model = docs.sparkSession.sparkContext.broadcast(fit(learn.join(y, F.col("id") == F.col("lid")).select("id", "x", "y")))
 
     def go(batches):
         for batch in batches:
